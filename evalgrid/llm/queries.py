@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evalgrid.llm import langid, neardup, tokencount
+from evalgrid.llm import langid, neardup, substring_dedup, tokencount, topk, urlfilter
 from evalgrid.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -16,10 +17,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents")).drop("sign")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+#: Rules and listed domains of the URL query.
+RULES = [
+    urlfilter.Rule("com", "/en/", "block"),
+    urlfilter.Rule("example.com", "/en/7", "allow"),
+    urlfilter.Rule("net", "/de/", "allow"),
+    urlfilter.Rule("example.net", "/de/8", "block"),
+    urlfilter.Rule("org", "/es/", "block"),
+]
+LISTED = ["ads-track.example.org", "casino-win.example.org", "cheap-pills.example.com", "free-bets.example.com", "spam-farm.example.org"]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
+    return urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,8 +51,16 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.component_table(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filters": op2_url_filters,
     "op5_token_counts": op5_token_counts,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_exact_top_k": op10_exact_top_k,
 }
