@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import langid, neardup, substring_dedup, tokencount, topk, urlfilter
+from evalgrid.llm import decontaminate, htmlmain, langid, licenses, neardup, substring_dedup, tokencount, topk, urlfilter
 from evalgrid.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -36,11 +36,19 @@ RULES = [
 LISTED = ["ads-track.example.org", "casino-win.example.org", "cheap-pills.example.com", "free-bets.example.com", "spam-farm.example.org"]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
     return urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,16 +59,23 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.component_table(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_url_filters": op2_url_filters,
+    "op4_license_scan": op4_license_scan,
     "op5_token_counts": op5_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_exact_top_k": op10_exact_top_k,
 }
