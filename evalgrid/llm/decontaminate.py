@@ -163,6 +163,15 @@ def rare_seeds(hashes: np.ndarray, frequency: dict[int, int]) -> np.ndarray:
     return own[n <= np.sort(n)[max(LEAST_SEEDS, (len(own) + 1) // 2) - 1]]
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """The item side of the join, sent to all tasks, for each part of the benchmark."""
+    for words in _items(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))):
+        hashes = {i: seed_hashes(w) for i, w in words.items()}
+        every = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes.values()]))
+        frequency = _frequencies(docs, every) if len(every) else {}
+        yield docs.sparkSession.sparkContext.broadcast(Items(words, {i: rare_seeds(h, frequency) for i, h in hashes.items()}))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, score, start_word, end_word``: the items that each whole text holds, copied or edited.
 
@@ -172,17 +181,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for words in _items(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))):
-        hashes = {i: seed_hashes(w) for i, w in words.items()}
-        every = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes.values()]))
-        frequency = _frequencies(docs, every) if len(every) else {}
-        shared = docs.sparkSession.sparkContext.broadcast(Items(words, {i: rare_seeds(h, frequency) for i, h in hashes.items()}))
+    for shared in _passes(docs, benchmark):
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 found = [(d, *m) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for m in shared.value.matches(t, threshold)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "start_word", "end_word"])
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "start_word", "end_word"]).astype({"doc_id": "Int64"})
 
         part = docs.mapInPandas(search, "doc_id long, item_id long, score double, start_word int, end_word int")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, judged where they stand; nulls and empty texts stay."""
+    out = docs
+    for shared in _passes(docs.select(F.col("text").cast("string").alias("text")), benchmark):
+        out = out.where(~_holds(shared, threshold)(F.col("text").cast("string")))
+    return out
+
+
+def _holds(shared, threshold: float):
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return pd.Series([next(shared.value.matches(t, threshold), None) is not None for t in texts], dtype=bool)
+
+    return holds

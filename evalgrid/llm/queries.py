@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import decontaminate, htmlmain, langid, licenses, neardup, substring_dedup, tokencount, topk, urlfilter
+from evalgrid.llm import decontaminate, htmlmain, langid, licenses, mixing, neardup, substring_dedup, tokencount, topk, urlfilter
 from evalgrid.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -45,6 +45,15 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed)
 
 
+#: Shares of all tokens that the mixture's domains are to have.
+SHARES = {"plain": 0.94, "poor": 0.04, "toxic": 0.02}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mixed(docs, _table(spark, sf_dir, "labels"), SHARES, with_text=False)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_notices(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +80,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filters": op2_url_filters,
+    "op3_mixing": op3_mixing,
     "op4_license_scan": op4_license_scan,
     "op5_token_counts": op5_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
