@@ -6,7 +6,7 @@ import importlib
 
 from evalgrid.plans import QUERIES, Query
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("records",)
 FLAGSHIP = "ag01_episode_aggregate"
 
 
