@@ -13,13 +13,14 @@ value over the set.
    of a bucket's classes.
 3. Classes that share a bucket but are not yet connected are compared with each
    other, again on full sets. A pair that is connected already can't change any
-   component, so nothing is lost by leaving it out, and a group of thousands of
-   near copies costs one comparison a member instead of a pair for every two.
+   component, so nothing is lost by leaving it out. Small buckets give pairs; the members
+   of larger ones go to blocks of about ``BLOCK_SHINGLES`` shingles, each block meets each
+   other of its bucket, and only confirmed links leave the task. Pairs of a large group are never
+   rows of a table, and buckets with the same members count once.
 
-Sets are compared where the texts of one class and of a block of its partners
-meet: partners are salted into blocks of about ``BLOCK``, so a class with a
-great many partners is spread over many tasks, and texts are shuffled instead of
-their (larger) sets.
+In step 2 the texts of one class and of a block of its partners meet: partners
+are salted into blocks of about ``BLOCK``, so a class with a great many partners
+is spread over many tasks. Texts are shuffled instead of their (larger) sets.
 
 With j the similarity at the threshold, a pair is missed with probability
 (1 - j**ROWS)**bands; the defaults keep this under 1 in 30,000.
@@ -40,6 +41,8 @@ from evalgrid.llm.components import components
 
 #: Partners of a class that are compared in one group.
 BLOCK = 128
+#: Members of an open bucket up to which pairs are formed, and shingles of a block of a larger one.
+PAIRED, BLOCK_SHINGLES = 12, 250_000
 #: Shingles whose coordinates are computed at once; such a block stays in the CPU's cache.
 _AT_ONCE = 1 << 15
 _SCATTER = np.uint32(0x9E3779B9)
@@ -130,7 +133,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataF
     wanted = spread.select("u", "salt", F.col("v").alias("id"), F.lit(1).alias("side")).unionByName(
         spread.select("u", "salt").distinct().select("u", "salt", F.col("u").alias("id"), F.lit(0).alias("side"))
     )
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.select("id", "u", "salt", "side"), "id")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.select("id", "u", "salt", "side").hint("merge"), "id")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, first = None, []
@@ -150,6 +153,42 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataF
     return dealt.mapInPandas(compare, "u long, v long").distinct()
 
 
+def _blockwise(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between members of a bucket that aren't connected yet; every two blocks of a bucket meet in one group."""
+    blocks = F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    dealt = members.select("band", "hash", "root", F.col("doc_id").alias("id"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "id")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", kind="stable")
+        sets = [shingle_set(t, n) for t in group["text"]]
+        group, sets = group[[len(x) > 0 for x in sets]], [x for x in sets if len(x)]
+        if not sets:
+            return pd.DataFrame(columns=["u", "v"], dtype="int64")
+        size = np.array([len(s) for s in sets])
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        known, at = np.unique(np.concatenate(sets), return_inverse=True)
+        ids, root, block = group["id"].to_numpy(), group["root"].to_numpy().copy(), group["own"].to_numpy()
+        between = group["i"].iloc[0] != group["j"].iloc[0]
+        found, there = [], np.zeros(len(known), np.int32)
+        for a in range(len(sets)):
+            open_ = (root != root[a]) & (100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])) & ((block != block[a]) if between else True)
+            open_[: a + 1] = False
+            if open_.any():
+                part = slice(starts[a], starts[a] + size[a])
+                there[at[part]] = 1
+                both = np.add.reduceat(there[at], starts)
+                there[at[part]] = 0
+                for b in np.flatnonzero(open_ & (100 * both >= percent * (size + size[a] - both))):
+                    found.append((ids[a], ids[b]))
+                    root[root == root[b]] = root[a]
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text").join(dealt.hint("merge"), "id")
+    return texts.groupBy("band", "hash", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+
+
 def _same_id(full: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of a doc_id that comes with several texts."""
     several = full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
@@ -188,9 +227,12 @@ def component_table(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     placed = members.join(roots, members["doc_id"] == roots["node"], "left").select(
         "band", "hash", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root")
     )
-    split = placed.groupBy("band", "hash").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-    open_members = written(placed.join(split.select("band", "hash"), ["band", "hash"]), "open")
-    a, b = open_members.alias("a"), open_members.alias("b")
+    split = placed.groupBy("band", "hash").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sign")
+    )
+    split = split.where("least < most").groupBy("size", "sign", "shingles").agg(F.min(F.struct("band", "hash")).alias("b"))
+    open_members = written(placed.join(split.select("b.band", "b.hash", "size", "shingles"), ["band", "hash"]), "open")
+    a, b = open_members.where(F.col("size") <= PAIRED).alias("a"), open_members.where(F.col("size") <= PAIRED).alias("b")
     rest = (
         a.join(b, ["band", "hash"])
         .where("a.root <> b.root AND a.doc_id < b.doc_id")
@@ -199,7 +241,9 @@ def component_table(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
         .distinct()
         .join(star, ["u", "v"], "left_anti")
     )
-    more = written(_confirmed(rest, texts, n, percent), "links")
+    large = open_members.where(F.col("size") > PAIRED)
+    more = _confirmed(rest, texts, n, percent).unionByName(_blockwise(large, texts, n, percent))
+    more = written(more, "links")
     if not more.isEmpty():
         roots = components(linked.unionByName(more))
     named = classes.select("f1", "f2", F.col("doc_id").alias("head")).join(roots, F.col("head") == F.col("node"), "left")
