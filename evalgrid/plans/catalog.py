@@ -6,7 +6,7 @@ import importlib
 
 from evalgrid.plans import QUERIES, Query
 
-MODULES = ("records", "matrix")
+MODULES = ("records", "matrix", "texts")
 FLAGSHIP = "ag01_episode_aggregate"
 
 
