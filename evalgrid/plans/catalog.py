@@ -6,7 +6,7 @@ import importlib
 
 from evalgrid.plans import QUERIES, Query
 
-MODULES = ("records", "matrix", "texts")
+MODULES = ("records", "matrix", "texts", "vectors")
 FLAGSHIP = "ag01_episode_aggregate"
 
 
