@@ -43,9 +43,9 @@ def jn01(spark: S, d: str) -> DataFrame:
 @register("src01_scan_episodes", sql("""
   SELECT episode_id, era, regexp_extract(name, 'run\\.(\\d+)_(\\d+)$', 1)::BIGINT AS task_id, regexp_extract(name, 'run\\.(\\d+)_(\\d+)$', 2)::BIGINT AS seed, reward, n_steps,
     CASE WHEN len(sites) = 1 THEN sites[1] || '_e' || era END AS cell
-  FROM (SELECT *, 'trial_on_run.' || task_id || '_' || seed AS name FROM episodes) WHERE era = 3""", "episodes"))
+  FROM (SELECT *, 'trial_on_run.' || task_id || '_' || seed AS name FROM episodes)""", "episodes"))
 def src01(spark: S, d: str) -> DataFrame:
-    named = b.episodes(spark, d).where("era = 3").withColumn("name", F.format_string("trial_on_run.%d_%d", "task_id", "seed"))
+    named = b.episodes(spark, d).withColumn("name", F.format_string("trial_on_run.%d_%d", "task_id", "seed"))
     part = lambda i: F.regexp_extract("name", r"run\.(\d+)_(\d+)$", i).cast("long")
     cell = F.when(F.size("sites") == 1, F.concat(F.col("sites")[0], F.lit("_e"), F.col("era").cast("string")))
     return named.select("episode_id", "era", part(1).alias("task_id"), part(2).alias("seed"), "reward", "n_steps", cell.alias("cell"))
@@ -255,9 +255,9 @@ def pf11(spark: S, d: str) -> DataFrame:
 
 @register("pf12_worklist_reasons", sql("""
   SELECT task_id, CASE WHEN done > 0 THEN 'finished' WHEN made = 0 THEN 'no artefact' WHEN errs = made THEN 'ungated' ELSE 'run' END AS action FROM (
-    SELECT t.task_id, count(e.episode_id) FILTER (reward >= 1 AND era = 6) AS done, count(e.episode_id) AS made, count(e.episode_id) FILTER (err) AS errs FROM tasks t LEFT JOIN (SELECT * FROM episodes WHERE seed = 0) e USING (task_id) GROUP BY 1)""", "episodes"))
+    SELECT t.task_id, count(e.episode_id) FILTER (reward >= 1 AND era = 6 AND seed = 0) AS done, count(e.episode_id) AS made, count(e.episode_id) FILTER (err) AS errs FROM tasks t LEFT JOIN episodes e USING (task_id) GROUP BY 1)""", "episodes"))
 def pf12(spark: S, d: str) -> DataFrame:
-    made = b.episodes(spark, d).where("seed = 0").groupBy("task_id").agg(F.count_if((F.col("reward") >= 1) & (F.col("era") == 6)).alias("done"), F.count("*").alias("made"), F.count_if("err").alias("errs"))
+    made = b.episodes(spark, d).groupBy("task_id").agg(F.count_if((F.col("reward") >= 1) & (F.col("era") == 6) & (F.col("seed") == 0)).alias("done"), F.count("*").alias("made"), F.count_if("err").alias("errs"))
     every = b.tasks(spark).select("task_id").join(made, "task_id", "left").fillna(0)
     return every.select("task_id", F.when(F.col("done") > 0, "finished").when(F.col("made") == 0, "no artefact").when(F.col("errs") == F.col("made"), "ungated").otherwise("run").alias("action"))
 
@@ -285,10 +285,10 @@ def win03(spark: S, d: str) -> DataFrame:
     return b.table(spark, d, "events").select("event_id", "value", rank.cast("double").alias("rank"))
 
 
-@register("win06_round_robin_batches", sql("SELECT episode_id, grp, ((rn - 1) // 8)::BIGINT AS chunk FROM (SELECT episode_id, grp, row_number() OVER (PARTITION BY grp, era ORDER BY episode_id) AS rn FROM episodes WHERE era = 2) WHERE rn <= 64", "episodes"))
+@register("win06_round_robin_batches", sql("SELECT episode_id, grp, ((rn - 1) // 8)::BIGINT AS chunk FROM (SELECT episode_id, grp, row_number() OVER (PARTITION BY grp, era ORDER BY episode_id) AS rn FROM episodes)", "episodes"))
 def win06(spark: S, d: str) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy("grp").orderBy("episode_id"))
-    return b.episodes(spark, d).where("era = 2").withColumn("rn", rn).where("rn <= 64").select("episode_id", "grp", F.floor((F.col("rn") - 1) / 8).alias("chunk"))
+    rn = F.row_number().over(Window.partitionBy("grp", "era").orderBy("episode_id"))
+    return b.episodes(spark, d).withColumn("rn", rn).select("episode_id", "grp", F.floor((F.col("rn") - 1) / 8).alias("chunk"))
 
 
 @register("win08_warmup_cosine_schedule", sql("SELECT episode_id, era, round(CASE WHEN k <= 20 THEN k / 20 ELSE 0.5 * (1 + cos(pi() * least(1.0, (k - 20)::DOUBLE / greatest(1, n - 20)))) END, 6) AS lr FROM (SELECT episode_id, era, row_number() OVER (PARTITION BY era ORDER BY episode_id) AS k, count(*) OVER (PARTITION BY era) AS n FROM episodes)", "episodes"))
@@ -336,10 +336,10 @@ def sort03(spark: S, d: str) -> DataFrame:
 
 @register("sort04_cycled_permutations", sql(f"""
   SELECT copy, episode_id FROM (SELECT copy, episode_id, row_number() OVER (ORDER BY copy, u, episode_id) AS rn FROM (
-    SELECT c.copy, episode_id, {draw_sql('cycle', 'c.copy', 'episode_id')} AS u FROM (SELECT episode_id FROM episodes WHERE era = 6 AND grp = 'shop' AND task_id < 60) p, range(0::BIGINT, 3::BIGINT) c(copy)))
-  WHERE rn <= (SELECT (2.5 * count(*))::BIGINT FROM episodes WHERE era = 6 AND grp = 'shop' AND task_id < 60)""", "episodes"))
+    SELECT c.copy, episode_id, {draw_sql('cycle', 'c.copy', 'episode_id')} AS u FROM (SELECT episode_id FROM episodes WHERE era = 6 AND grp = 'shop') p, range(0::BIGINT, 3::BIGINT) c(copy)))
+  WHERE rn <= (SELECT (2.5 * count(*))::BIGINT FROM episodes WHERE era = 6 AND grp = 'shop')""", "episodes"))
 def sort04(spark: S, d: str) -> DataFrame:
-    pool = b.episodes(spark, d).where("era = 6 AND grp = 'shop' AND task_id < 60").select("episode_id")
+    pool = b.episodes(spark, d).where("era = 6 AND grp = 'shop'").select("episode_id")
     size = pool.count()
     target = round(2.5 * size)
     copies = max(1, -(-target // max(size, 1)))
@@ -347,9 +347,9 @@ def sort04(spark: S, d: str) -> DataFrame:
     return cycled.orderBy("copy", draw("cycle", "copy", "episode_id"), "episode_id").limit(target).select("copy", "episode_id")
 
 
-@register("sort06_shuffled_epochs", sql(f"SELECT epoch, episode_id, row_number() OVER (PARTITION BY epoch, grp ORDER BY {draw_sql('epoch', 'epoch', 'episode_id')}, episode_id) AS pos FROM episodes, range(0::BIGINT, 2::BIGINT) e(epoch) WHERE n_steps >= 3 AND era = 1", "episodes"))
+@register("sort06_shuffled_epochs", sql(f"SELECT epoch, episode_id, row_number() OVER (PARTITION BY epoch, grp ORDER BY {draw_sql('epoch', 'epoch', 'episode_id')}, episode_id) AS pos FROM episodes, range(0::BIGINT, 2::BIGINT) e(epoch) WHERE n_steps >= 3", "episodes"))
 def sort06(spark: S, d: str) -> DataFrame:
-    e = b.episodes(spark, d).where("n_steps >= 3 AND era = 1").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    e = b.episodes(spark, d).where("n_steps >= 3").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
     pos = F.row_number().over(Window.partitionBy("epoch", "grp").orderBy(draw("epoch", "epoch", "episode_id"), "episode_id"))
     return e.select("epoch", "episode_id", pos.cast("long").alias("pos"))
 
@@ -389,9 +389,9 @@ def snk05(spark: S, d: str) -> DataFrame:
     return b.eval_records(spark, d).rollup("arm", "grp").agg(F.sum("n_steps").alias("samples")).withColumn("steps", F.ceil(F.col("samples") * 3 / 16))
 
 
-@register("ag14_scout_cost", sql("SELECT t.task_id, count(e.episode_id) AS k, count(e.episode_id) FILTER (terminated) AS terminated, count(e.episode_id) FILTER (reward >= 1) AS solved, coalesce(sum(n_steps), 0)::BIGINT AS steps FROM tasks t LEFT JOIN (SELECT * FROM episodes WHERE seed = 1 AND era = 5) e USING (task_id) GROUP BY 1", "episodes"))
+@register("ag14_scout_cost", sql("SELECT t.task_id, count(e.episode_id) AS k, count(e.episode_id) FILTER (terminated) AS terminated, count(e.episode_id) FILTER (reward >= 1) AS solved, coalesce(sum(n_steps), 0)::BIGINT AS steps FROM tasks t LEFT JOIN episodes e USING (task_id) GROUP BY 1", "episodes"))
 def ag14(spark: S, d: str) -> DataFrame:
-    e = b.episodes(spark, d).where("seed = 1 AND era = 5").groupBy("task_id").agg(F.count("*").alias("k"), F.count_if("terminated").alias("terminated"), F.count_if(F.col("reward") >= 1).alias("solved"), F.sum("n_steps").alias("steps"))
+    e = b.episodes(spark, d).groupBy("task_id").agg(F.count("*").alias("k"), F.count_if("terminated").alias("terminated"), F.count_if(F.col("reward") >= 1).alias("solved"), F.sum("n_steps").alias("steps"))
     return b.tasks(spark).select("task_id").join(e, "task_id", "left").fillna(0)
 
 
