@@ -220,7 +220,9 @@ def component_table(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     )
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent  # noqa: E731  the smaller set bounds the intersection
     star = members.where(F.col("low") != F.col("doc_id")).where(fits(F.col("low_n"), F.col("n_shingles"))).select(F.col("low").alias("u"), F.col("doc_id").alias("v")).distinct()
-    texts = docs.where("doc_id IS NOT NULL")
+    # Only texts with company are compared; they are picked out once, and the comparisons deal out these alone.
+    wanted = members.select("doc_id").distinct()
+    texts = written(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
     linked = written(_confirmed(star, texts, n, percent).unionByName(_same_id(full, classes)), "links")
     roots = components(linked)
 
