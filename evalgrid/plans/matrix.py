@@ -13,21 +13,31 @@ from evalgrid.plans.ctes import sql
 from evalgrid.sources import bindings as b
 
 S = SparkSession
-KIND = F.when(F.col("src") == F.col("dst"), "diagonal").when(F.col("src_era") == F.col("dst_era"), "theme").when(F.col("src_env") == F.col("dst_env"), "env").otherwise("neither")
+
+
+def kind():
+    """What a pair of cells shares."""
+    return F.when(F.col("src") == F.col("dst"), "diagonal").when(F.col("src_era") == F.col("dst_era"), "theme").when(F.col("src_env") == F.col("dst_env"), "env").otherwise("neither")
+
+
 KIND_SQL = "CASE WHEN src = dst THEN 'diagonal' WHEN src_era = dst_era THEN 'theme' WHEN src_env = dst_env THEN 'env' ELSE 'neither' END"
 CLASSED = {"classed": f"SELECT *, {KIND_SQL} AS kind FROM matrix"}
 #: How a mean and a deviation are rounded everywhere.
-MEAN = [F.round(F.avg("value"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("sd"), F.count("value").alias("n")]
 MEAN_SQL = "round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, count(value) AS n"
 
 
+def mean_columns() -> list:
+    """Mean, deviation and number of the values that are there."""
+    return [F.round(F.avg("value"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("sd"), F.count("value").alias("n")]
+
+
 def classed(spark: S, d: str) -> DataFrame:
     """The matrix with the kind of each pair. It must have two environments and two eras at least."""
     m = b.transfer(spark, d)
     factors = b.cells(spark, d).agg(F.count_distinct("env").alias("env"), F.count_distinct("era").alias("era")).first()
     if min(factors) < 2:
         raise ValueError("a dissociation needs two environments and two eras at least")
-    return m.withColumn("kind", KIND)
+    return m.withColumn("kind", kind())
 
 
 @register("src10_matrix_from_runs", sql("SELECT src || '__on__' || dst AS pair, round(value, 6) AS value, coalesce(n, 0) AS n, value IS NULL AS missing FROM matrix", "matrix"))
@@ -44,7 +54,7 @@ def jn04(spark: S, d: str) -> DataFrame:
 
 @register("jn05_dissociation_scores", sql(f"SELECT kind, {MEAN_SQL}, count(*) AS total FROM classed GROUP BY kind", "matrix", more=CLASSED))
 def jn05(spark: S, d: str) -> DataFrame:
-    return classed(spark, d).groupBy("kind").agg(*MEAN, F.count("*").alias("total"))
+    return classed(spark, d).groupBy("kind").agg(*mean_columns(), F.count("*").alias("total"))
 
 
 PER_SOURCE = "SELECT src, src_env, src_era, avg(value) FILTER (kind = 'theme') - avg(value) FILTER (kind = 'env') AS diff, avg(value) FILTER (kind = 'theme') AS theme, avg(value) FILTER (kind = 'env') AS env FROM classed GROUP BY 1, 2, 3"
@@ -79,7 +89,7 @@ def jn06(spark: S, d: str) -> DataFrame:
 
 @register("jn06_decay_by_gap", sql(f"SELECT same_env, gap, {MEAN_SQL} FROM ({DECAY}) GROUP BY same_env, gap", "matrix"))
 def jn06b(spark: S, d: str) -> DataFrame:
-    return decay_points(spark, d).groupBy("same_env", "gap").agg(*MEAN)
+    return decay_points(spark, d).groupBy("same_env", "gap").agg(*mean_columns())
 
 
 @register("jn07_asymmetry", sql("""SELECT round(avg(abs(a.value - z.value)), 6) AS mean_abs, count(*) AS n,
@@ -157,13 +167,15 @@ def ag09(spark: S, d: str) -> DataFrame:
     return m.select("arm", "grp", "n", "solved", *[F.round(c, 6).alias(c) for c in ("success", "se", "unit_mean")], "n_units")
 
 
-OWN = F.col("arm") == F.concat(F.lit("L_"), F.col("grp"))
+def own():
+    """Whether a row is its column's own."""
+    return F.col("arm") == F.concat(F.lit("L_"), F.col("grp"))
 
 
 @register("ag10_diagonal_gap", sql("""SELECT version, round(avg(m) FILTER (arm = 'L_' || grp) - avg(m) FILTER (arm <> 'L_' || grp), 6) AS gap, count(*) FILTER (arm = 'L_' || grp) AS n_diag, count(*) FILTER (arm <> 'L_' || grp) AS n_off FROM site_units WHERE arm <> 'M_all' GROUP BY version
   UNION ALL SELECT NULL, round(sum(s) FILTER (arm = 'L_' || grp) / sum(k) FILTER (arm = 'L_' || grp) - sum(s) FILTER (arm <> 'L_' || grp) / sum(k) FILTER (arm <> 'L_' || grp), 6), count(DISTINCT arm || grp) FILTER (arm = 'L_' || grp), count(DISTINCT arm || grp) FILTER (arm <> 'L_' || grp) FROM site_units WHERE arm <> 'M_all'""", "evals", more=SITE))
 def ag10(spark: S, d: str) -> DataFrame:
-    u = site_units(spark, d).where("arm <> 'M_all'").withColumn("own", OWN)
+    u = site_units(spark, d).where("arm <> 'M_all'").withColumn("own", own())
     side = lambda c, o: F.when(F.col("own") == o, F.col(c))
     per = u.groupBy("version").agg(F.round(F.avg(side("m", True)) - F.avg(side("m", False)), 6).alias("gap"), F.count_if("own").alias("n_diag"), F.count_if(~F.col("own")).alias("n_off"))
     whole = u.agg(F.round(F.sum(side("s", True)) / F.sum(side("k", True)) - F.sum(side("s", False)) / F.sum(side("k", False)), 6).alias("gap"),
@@ -244,8 +256,8 @@ UNIT_DIFFS = {**SITE, "unit_diffs": "SELECT a.arm, a.grp, a.version * 10 + a.see
 @register("jn09_paired_unit_tests", sql(sign_flips_sql("unit_diffs", "unit", "diff", 500, "units", ["arm", "grp"]), "evals", more=UNIT_DIFFS))
 def jn09(spark: S, d: str) -> DataFrame:
     u = site_units(spark, d)
-    own = u.where(OWN).select("grp", "version", "seed", F.col("m").alias("own_m"))
-    diffs = u.where(~OWN).join(own, ["grp", "version", "seed"]).select("arm", "grp", (F.col("version") * 10 + F.col("seed")).alias("unit"), (F.col("own_m") - F.col("m")).alias("diff"))
+    mine = u.where(own()).select("grp", "version", "seed", F.col("m").alias("own_m"))
+    diffs = u.where(~own()).join(mine, ["grp", "version", "seed"]).select("arm", "grp", (F.col("version") * 10 + F.col("seed")).alias("unit"), (F.col("own_m") - F.col("m")).alias("diff"))
     return sign_flips(diffs, "unit", "diff", 500, "units", ["arm", "grp"])
 
 

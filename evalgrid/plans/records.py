@@ -337,11 +337,11 @@ def sort03(spark: S, d: str) -> DataFrame:
 @register("sort04_cycled_permutations", sql(f"""
   SELECT copy, episode_id FROM (SELECT copy, episode_id, row_number() OVER (ORDER BY copy, u, episode_id) AS rn FROM (
     SELECT c.copy, episode_id, {draw_sql('cycle', 'c.copy', 'episode_id')} AS u FROM (SELECT episode_id FROM episodes WHERE era = 6 AND grp = 'shop') p, range(0::BIGINT, 3::BIGINT) c(copy)))
-  WHERE rn <= (SELECT (2.5 * count(*))::BIGINT FROM episodes WHERE era = 6 AND grp = 'shop')""", "episodes"))
+  WHERE rn <= (SELECT 5 * count(*) // 2 FROM episodes WHERE era = 6 AND grp = 'shop')""", "episodes"))
 def sort04(spark: S, d: str) -> DataFrame:
     pool = b.episodes(spark, d).where("era = 6 AND grp = 'shop'").select("episode_id")
     size = pool.count()
-    target = round(2.5 * size)
+    target = 5 * size // 2
     copies = max(1, -(-target // max(size, 1)))
     cycled = pool.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
     return cycled.orderBy("copy", draw("cycle", "copy", "episode_id"), "episode_id").limit(target).select("copy", "episode_id")

@@ -103,8 +103,7 @@ def fn03(spark: S, d: str) -> DataFrame:
     lines = F.split(F.replace(F.col("text"), F.lit("## "), F.lit("")), "\n")
     manual = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("## "), (i % 7 + 1).cast("string"), F.lit("."), x)), "\n")
     parsed = b.table(spark, d, "documents").select("doc_id", t.sections(manual).alias("s"))
-    # The break before the next heading belongs to no body.
-    entries = F.transform(F.array_sort(F.map_entries("s")), lambda e: F.struct(e.key.alias("k"), F.trim(F.regexp_replace(e.value, r"\n\z", "")).alias("body")))
+    entries = F.transform(F.array_sort(F.map_entries("s")), lambda e: F.struct(e.key.alias("k"), e.value.alias("body")))
     e = parsed.select("doc_id", entries.alias("e"))
     return e.select("doc_id", F.size("e").cast("long").alias("n_sections"), F.array_join(F.transform("e", lambda x: x.k.cast("string")), ",").alias("numbers"), F.sha1(F.array_join(F.transform("e", lambda x: x.body), "|").cast("binary")).alias("bodies"))
 
@@ -317,3 +316,11 @@ def win07(spark: S, d: str) -> DataFrame:
 def fn06(spark: S, d: str) -> DataFrame:
     cut = F.when(F.rlike("text", F.lit(r"[.!?] [^.!?]*[.!?]?$")), F.regexp_replace("text", r"(?<=[.!?]) [^.!?]*[.!?]?$", "")).otherwise(F.col("text"))
     return b.table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", cut.alias("recipe"))
+
+
+@register("fn16_perceptual_signature")
+def fn16(spark: S, d: str) -> DataFrame:
+    """The signature of a page's bytes read as pixels of three; there are no images among the tables."""
+    from evalgrid.functions.images import perceptual_signature
+
+    return b.table(spark, d, "pages").select("page_id", perceptual_signature()(F.col("html").cast("binary")).alias("signature")).select("page_id", "signature.gray", "signature.histogram")
