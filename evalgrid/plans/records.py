@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalgrid.functions.rng import draw, draw_sql
 from evalgrid.operators import evals
+from evalgrid.operators.selection import prefix_within, smallest
 from evalgrid.plans import register
 from evalgrid.plans.ctes import sql
 from evalgrid.sources import bindings as b
@@ -191,18 +192,14 @@ CAPPED = f"""SELECT grp, episode_id, n_steps, cum FROM (
 
 @register("win02_running_sum_prefix_cap", sql(CAPPED.format(order="era, task_id, seed, episode_id", cap=770), "episodes"))
 def win02(spark: S, d: str) -> DataFrame:
-    return prefix_within(b.episodes(spark, d).where("reward >= 1 AND terminated"), ["grp"], [F.col(c) for c in ("era", "task_id", "seed", "episode_id")], 770).select("grp", "episode_id", "n_steps", "cum")
-
-
-def prefix_within(df: DataFrame, by: list[str], order: list, cap: int) -> DataFrame:
-    """Whole episodes in order until the first that would overflow; steps aren't negative, so the running sum decides."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("cum", F.sum("n_steps").over(w)).where(F.col("cum") <= cap)
+    chosen = b.episodes(spark, d).where("reward >= 1 AND terminated")
+    return prefix_within(chosen, ["grp"], F.col("era") * 1000 + F.col("task_id"), [F.col("seed"), F.col("episode_id")], "n_steps", 770).select("grp", "episode_id", "n_steps", "cum")
 
 
 @register("pf04_select_unit_episodes", sql(CAPPED.format(order=f"{draw_sql('draw3', 'episode_id')}, episode_id", cap=385), "episodes"))
 def pf04(spark: S, d: str) -> DataFrame:
-    return prefix_within(b.episodes(spark, d).where("reward >= 1 AND terminated"), ["grp"], [draw("draw3", "episode_id"), F.col("episode_id")], 385).select("grp", "episode_id", "n_steps", "cum")
+    drawn = b.episodes(spark, d).where("reward >= 1 AND terminated").withColumn("u", draw("draw3", "episode_id"))
+    return prefix_within(drawn, ["grp"], F.shiftright("u", 20), [F.col("u"), F.col("episode_id")], "n_steps", 385).select("grp", "episode_id", "n_steps", "cum")
 
 
 @register("pf05_tasks_for_env", sql("""
@@ -280,9 +277,12 @@ def jn03(spark: S, d: str) -> DataFrame:
 
 @register("win03_average_rank", "SELECT event_id, value, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2 AS rank FROM events")
 def win03(spark: S, d: str) -> DataFrame:
-    w = Window.partitionBy("event_type")
-    rank = F.rank().over(w.orderBy("value")) + (F.count("*").over(Window.partitionBy("event_type", "value")) - 1) / 2
-    return b.table(spark, d, "events").select("event_id", "value", rank.cast("double").alias("rank"))
+    e = b.table(spark, d, "events").select("event_id", "event_type", "value")
+    # Ranks of distinct values, from their counts; the table itself isn't sorted.
+    counts = e.groupBy("event_type", "value").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.select("event_type", "value", (F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
+    return e.join(ranks, ["event_type", "value"]).select("event_id", "value", "rank")
 
 
 @register("win06_round_robin_batches", sql("SELECT episode_id, grp, ((rn - 1) // 8)::BIGINT AS chunk FROM (SELECT episode_id, grp, row_number() OVER (PARTITION BY grp, era ORDER BY episode_id) AS rn FROM episodes)", "episodes"))
@@ -342,9 +342,12 @@ def sort04(spark: S, d: str) -> DataFrame:
     pool = b.episodes(spark, d).where("era = 6 AND grp = 'shop'").select("episode_id")
     size = pool.count()
     target = 5 * size // 2
-    copies = max(1, -(-target // max(size, 1)))
-    cycled = pool.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
-    return cycled.orderBy("copy", draw("cycle", "copy", "episode_id"), "episode_id").limit(target).select("copy", "episode_id")
+    whole, rest = divmod(target, max(size, 1))
+    copy = lambda k: pool.withColumn("copy", F.lit(k).cast("long"))
+    out = smallest(copy(whole), draw("cycle", "copy", "episode_id"), ["episode_id"], rest) if rest else copy(whole).limit(0)
+    for k in range(whole):
+        out = out.unionByName(copy(k))
+    return out.select("copy", "episode_id")
 
 
 @register("sort06_shuffled_epochs", sql(f"SELECT epoch, episode_id, row_number() OVER (PARTITION BY epoch, grp ORDER BY {draw_sql('epoch', 'epoch', 'episode_id')}, episode_id) AS pos FROM episodes, range(0::BIGINT, 2::BIGINT) e(epoch) WHERE n_steps >= 3", "episodes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalgrid.functions import text as t
 from evalgrid.functions.rng import draw, draw_sql
+from evalgrid.operators.selection import smallest
 from evalgrid.plans import register
 from evalgrid.plans.ctes import sql
 from evalgrid.sources import bindings as b
@@ -232,13 +233,14 @@ def fn20(spark: S, d: str) -> DataFrame:
     return g.where("prompt <> '' AND answer IS NOT NULL").select("conv_id", F.length("prompt").cast("long").alias("n_prompt"), F.right("prompt", F.lit(200)).alias("kept"), "answer")
 
 
-@register("fn22_port_bands", "SELECT s_suppkey, port FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) JOIN (SELECT p AS port, row_number() OVER (ORDER BY p) AS i FROM range(6000::BIGINT, 60000::BIGINT, 20) r(p) WHERE NOT (p <= 6669 AND p + 19 >= 6665) AND NOT (p <= 10080 AND p + 19 >= 10080)) USING (i)")
+@register("fn22_port_bands", "SELECT s_suppkey, port FROM supplier JOIN (SELECT p AS port, row_number() OVER (ORDER BY p) - 1 AS i, count(*) OVER () AS n FROM range(6000::BIGINT, 60000::BIGINT, 20) r(p) WHERE NOT (p <= 6669 AND p + 19 >= 6665) AND NOT (p <= 10080 AND p + 19 >= 10080)) ON i = s_suppkey % n")
 def fn22(spark: S, d: str) -> DataFrame:
     unsafe = spark.createDataFrame([(6665, 6669), (10080, 10080)], "low long, high long")
     bands = spark.range(6000, 60000, 20).withColumnRenamed("id", "port").join(F.broadcast(unsafe), (F.col("port") <= F.col("high")) & (F.col("port") + 19 >= F.col("low")), "left_anti")
-    numbered = bands.withColumn("i", F.row_number().over(Window.orderBy("port")))
-    units = b.table(spark, d, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy("s_suppkey")).alias("i"))
-    return units.join(numbered, "i").select("s_suppkey", "port")
+    # The series has a few thousand values, whatever the tables' size.
+    numbered = bands.select("port", (F.row_number().over(Window.orderBy("port")) - 1).cast("long").alias("i"))
+    units = b.table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % numbered.count()).alias("i"))
+    return units.join(F.broadcast(numbered), "i").select("s_suppkey", "port")
 
 
 @register("fn19_injection_sites", "SELECT p_brand, module, sum(n)::BIGINT AS sites, sum(n * r * (d_in + d_out))::BIGINT AS budget FROM (SELECT p_brand, p_size, unnest(range(p_size)) AS layer, 1 AS n, 8 AS r FROM part) JOIN (VALUES ('q', 64, 64, false), ('gate', 64, 256, true)) m(module, d_in, d_out, every) ON every OR layer % 4 = 3 GROUP BY 1, 2")
@@ -271,7 +273,7 @@ def set03(spark: S, d: str) -> DataFrame:
     own = docs.where("source = 'src0'")
     target, pool = own.count(), docs.where("source <> 'src0'").join(own.select("key").distinct(), "key", "left_anti")
     size = pool.count()
-    drawn = pool.orderBy(draw("anchor", "doc_id"), "doc_id").limit(target).select(F.lit(1).alias("role"))
+    drawn = smallest(pool, draw("anchor", "doc_id"), ["doc_id"], target).select(F.lit(1).alias("role"))
     return own.select(F.lit(0).alias("role")).unionByName(drawn).agg(F.count_if(F.col("role") == 0).alias("own"), F.count_if(F.col("role") == 1).alias("anchors")).withColumn("pool", F.lit(size).cast("long"))
 
 
