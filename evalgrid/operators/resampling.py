@@ -35,7 +35,7 @@ def sign_flips(diffs: DataFrame, unit: str, value: str, n: int, seed: str, by: l
     enough = lambda c: F.when(F.col("n_units") >= 2, c)
     return out.select(
         *by, "n_units", F.round("observed", 6).alias("observed"), enough((1 + F.col("two")) / (1 + n)).alias("p_two"), enough((1 + F.col("one")) / (1 + n)).alias("p_one"),
-        F.round("null_mean", 6).alias("null_mean"), F.round("null_sd", 6).alias("null_sd"), F.round(F.col("observed") / F.nullif(F.col("sd"), F.lit(0.0)), 6).alias("d_z"))
+        F.round("null_mean", 6).alias("null_mean"), F.round("null_sd", 6).alias("null_sd"), F.when(F.col("sd") > 1e-12, F.round(F.col("observed") / F.col("sd"), 6)).alias("d_z"))
 
 
 def sign_flips_sql(diffs: str, unit: str, value: str, n: int, seed: str, by: list[str] | None = None) -> str:
@@ -49,7 +49,7 @@ def sign_flips_sql(diffs: str, unit: str, value: str, n: int, seed: str, by: lis
     join_t = f"JOIN tests USING ({', '.join(by)})" if by else "CROSS JOIN tests"
     return f"""
 SELECT {keys}n_units, round(observed, 6) AS observed, CASE WHEN n_units >= 2 THEN (1 + two) / {1 + n} END AS p_two, CASE WHEN n_units >= 2 THEN (1 + one) / {1 + n} END AS p_one,
-  round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(observed / nullif(sd, 0), 6) AS d_z
+  round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, CASE WHEN sd > 1e-12 THEN round(observed / sd, 6) END AS d_z
 FROM (SELECT {keys}avg({value}) AS observed, stddev_samp({value}) AS sd, count({value}) AS n_units FROM {diffs} {group}) seen {join_t.replace('tests', f'''(
   SELECT {keys}count(*) FILTER (abs(x) >= abs(observed) - 1e-12) AS two, count(*) FILTER (x >= observed - 1e-12) AS one, avg(x) AS null_mean, stddev_samp(x) AS null_sd
   FROM (SELECT {keys}perm, avg({value} * (1 - 2 * ({draw_sql(seed, 'perm', unit)} % 2))) AS x FROM {diffs}, range(0::BIGINT, {n}::BIGINT) r(perm) GROUP BY {keys}perm) null_

@@ -70,7 +70,7 @@ def jn05b(spark: S, d: str) -> DataFrame:
     return per_source(spark, d).select("src", F.round("theme", 6).alias("theme_mean"), F.round("env", 6).alias("env_mean"), F.round("diff", 6).alias("difference"))
 
 
-DECAY = """SELECT a.src_env = a.dst_env AS same_env, abs(a.src_year - a.dst_year) AS gap, (a.value + z.value) / 2 AS value, a.src, a.dst
+DECAY = """SELECT a.src_env = a.dst_env AS same_env, abs(a.src_year - a.dst_year) AS gap, coalesce((a.value + z.value) / 2, a.value, z.value) AS value, a.src, a.dst
   FROM matrix a JOIN matrix z ON a.src = z.dst AND a.dst = z.src WHERE a.src < a.dst AND a.src_year IS NOT NULL AND a.dst_year IS NOT NULL"""
 
 
