@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evalgrid.llm import decontaminate, langid, mixing, neardup, substring_dedup
 from evalgrid.llm.common import written
-from evalgrid.llm.queries import SHARES
+from evalgrid.llm.queries import BUDGET, SHARES
 
 #: Documents whose language is no better known than this are rejected; prose in a learned language scores over 0.4.
 LEAST_SCORE = 0.2
@@ -56,7 +56,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives each document its rate and number of copies in the mixture; those with none go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return mixing.mixed(docs, labels, SHARES).where("n_copies > 0")
+    return mixing.mixed(docs, labels, SHARES, BUDGET).where("n_copies > 0")
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Has Spark hand texts to Python in batches of at most so many rows and bytes, unless the session asks for fewer.
+
+    The usual 10,000 rows and 64 MB, held several times over in the JVM, Arrow and pandas by each
+    worker, are too much for executors of a few gigabytes.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(re.sub(r"\D", "", str(spark.conf.get(key))))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder, and read again.
 

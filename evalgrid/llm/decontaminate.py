@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import shingle_hashes
+from evalgrid.llm.common import modest_batches, shingle_hashes
 
 #: Words of a seed; share of documents, and multiple of the item's median, up to which it is rare; words of benchmark text sent out at a time.
 SEED, RARE, RARELY, MOST_WORDS = 3, 0.01, 4, 2_000_000
@@ -170,6 +170,7 @@ def rare_seeds(hashes: np.ndarray, frequency: dict[int, int], documents: int) ->
 
 def _passes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
     """The item side of the join, sent to all tasks, for each part of the benchmark."""
+    modest_batches(docs.sparkSession)
     for words in _items(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))):
         hashes = {i: seed_hashes(w) for i, w in words.items()}
         every = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes.values()]))

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalgrid.llm.common import modest_batches
+
 #: N-grams kept of each language and of each document.
 PROFILE_SIZE = 400
 #: A partition's pending n-grams are summed up when there are so many.
@@ -93,6 +95,7 @@ def profiles(labelled: DataFrame, size: int = PROFILE_SIZE) -> DataFrame:
     ``labelled`` has ``text`` and ``lang``; rows where either is null are left
     out. Equal counts are ranked by the n-gram's code.
     """
+    modest_batches(labelled.sparkSession)
     counts = (
         labelled.select("lang", "text")
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -142,6 +145,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     gives ``und`` and 0. Other columns, nulls among them, pass through; columns
     named like the two new ones are replaced. An empty table gives an empty one.
     """
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import mix32, shingle_hashes
+from evalgrid.llm.common import mix32, modest_batches, shingle_hashes
 
 #: Words of a shingle, share of a template's shingles that must be there, and bands of one coordinate.
 SHINGLE, CONTAIN, BANDS = 5, 0.8, 80
@@ -162,6 +162,7 @@ def license_notices(docs: DataFrame, templates: dict[str, list[str]] | None = No
     repeat or lack an id come out as they are; other columns are ignored; an empty
     table gives an empty one.
     """
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates, contain, bands))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

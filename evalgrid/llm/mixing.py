@@ -25,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import written
+from evalgrid.llm.common import modest_batches, written
 
 #: Buckets of hashed words, weight of the prior counts, and words at full strength before tempering.
-BUCKETS, PRIOR, TEMPER = 1 << 15, 0.5, 64
+BUCKETS, PRIOR, TEMPER = 1 << 15, 10.0, 64
 #: Labelled documents that the classifier learns from at most.
 LABELLED = 20_000
 #: Most gradient steps, relative distance from the targets at which they end, and the pull of rates to 1.
@@ -48,8 +48,9 @@ class Classifier:
 
     def __init__(self, domains: list[str], counts: np.ndarray, documents: np.ndarray) -> None:
         self.domains = domains
-        smooth = counts + PRIOR
-        self.words = np.log(smooth / smooth.sum(axis=1, keepdims=True))
+        # How much more often than expected each domain uses a word; rare words say little.
+        own, word = counts.sum(axis=1, keepdims=True), counts.sum(axis=0, keepdims=True)
+        self.words = np.log((counts + PRIOR) / (word * own / max(counts.sum(), 1) + PRIOR))
         self.prior = np.log((documents + 1) / (documents + 1).sum())
 
     def posteriors(self, text: str | None) -> np.ndarray:
@@ -83,15 +84,23 @@ def fit(labelled: DataFrame, domains: list[str]) -> Classifier:
     return Classifier(domains, counts, documents)
 
 
-def memberships(docs: DataFrame, model: Classifier, tokens: str = "n_tokens") -> DataFrame:
-    """``docs`` with ``posteriors``, an array in the order of the model's domains, and the text's number of words in ``tokens``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def memberships(docs: DataFrame, model: Classifier, found: Rates | None = None) -> DataFrame:
+    """``docs`` with ``posteriors``, in the order of the model's domains, the text's number of words ``n_tokens``, and the ``rate`` once rates are found.
 
-    @F.pandas_udf("p array<double>, n long")
+    One Python step computes them all, so a task needs one Python worker.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model, found))
+
+    @F.pandas_udf("p array<double>, n long, rate double")
     def soft(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"p": [shared.value.posteriors(t) for t in texts], "n": [len(t.split()) if t else 0 for t in texts]})
+        model, found = shared.value
+        p, n = [model.posteriors(t) for t in texts], [len(t.split()) if t else 0 for t in texts]
+        rate = found.of(np.stack(p), np.array(n, float)) if found and len(p) else np.ones(len(p))
+        return pd.DataFrame({"p": p, "n": n, "rate": rate})
 
-    return docs.drop("posteriors", tokens).withColumn("__s", soft(F.col("text").cast("string"))).withColumn("posteriors", F.col("__s.p")).withColumn(tokens, F.col("__s.n")).drop("__s")
+    columns = {"posteriors": "p", "n_tokens": "n"} | ({"rate": "rate"} if found else {})
+    out = docs.drop(*columns).withColumn("__s", soft(F.col("text").cast("string")))
+    return out.withColumns({c: F.col(f"__s.{x}") for c, x in columns.items()}).drop("__s")
 
 
 def _replay(a: np.ndarray, weight: np.ndarray, step: float, ridge: float, residuals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,20 +114,33 @@ def _replay(a: np.ndarray, weight: np.ndarray, step: float, ridge: float, residu
     return r, y
 
 
-def rates(members: DataFrame, goal: np.ndarray, tokens: str = "n_tokens", steps: int = STEPS, close: float = CLOSE, ridge: float = RIDGE) -> DataFrame:
-    """``members`` (with ``posteriors`` and ``tokens``) and each row's ``rate``, so that domains expect ``goal`` as shares of all tokens."""
+class Rates:
+    """What a document's rate follows from, besides its own tokens and posteriors: the residuals of all steps."""
+
+    def __init__(self, scale: float, weight: np.ndarray, step: float, ridge: float, residuals: list[np.ndarray]) -> None:
+        self.scale, self.weight, self.step, self.ridge, self.residuals = scale, weight, step, ridge, residuals
+
+    def of(self, posteriors: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        return _replay(posteriors * tokens[:, None] / self.scale, self.weight, self.step, self.ridge, self.residuals)[0]
+
+
+def solve(members: DataFrame, goal: np.ndarray, steps: int = STEPS, close: float = CLOSE, ridge: float = RIDGE) -> Rates:
+    """The rates of a written table of ``posteriors`` and ``n_tokens``, so that domains expect ``goal`` as shares of all tokens."""
     k = len(goal)
-    a_of = lambda batch: np.stack(batch["posteriors"].to_numpy()) * batch[tokens].to_numpy(float)[:, None] if len(batch) else np.zeros((0, k))
-    small = written(members.select("posteriors", tokens), "memberships")
-    scale = float(max(small.agg(F.sum(tokens)).first()[0] or 0, 1))
+    small = members.select("posteriors", "n_tokens")
+    scale = float(max(small.agg(F.sum("n_tokens")).first()[0] or 0, 1))
 
     def total(part) -> np.ndarray:
-        """Sums the vectors that ``part`` makes of each batch's rows, in a fixed order."""
+        """Sums the vectors that ``part`` makes of each batch's rows."""
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = sum(part(a_of(batch) / scale) for batch in batches)
-            for i, x in enumerate(np.atleast_1d(out).ravel() if not np.isscalar(out) else ()):
-                yield pd.DataFrame({"i": [i], "x": [x]})
+            out = None
+            for batch in batches:
+                if len(batch):
+                    x = np.ravel(part(np.stack(batch["posteriors"].to_numpy()) * batch["n_tokens"].to_numpy(float)[:, None] / scale))
+                    out = x if out is None else out + x
+            if out is not None:
+                yield pd.DataFrame({"i": np.arange(len(out), dtype=np.int32), "x": out})
 
         rows = small.mapInPandas(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
         out = np.zeros(max((r[0] for r in rows), default=-1) + 1)
@@ -132,19 +154,14 @@ def rates(members: DataFrame, goal: np.ndarray, tokens: str = "n_tokens", steps:
     step = 1 / (float(np.linalg.eigvalsh(weight[:, None] * gram * weight).max()) + ridge)
     residuals: list[np.ndarray] = []
     for _ in range(steps):
-        # Both sums of a step come from one pass: the residual where the gradient is taken, and that of the rates.
+        # Both sums of a step come from one pass: that of the rates, and the residual where the gradient is taken.
         both = total(lambda a: np.concatenate([a.T @ x for x in _replay(a, weight, step, ridge, residuals)]))
         if not len(both):
             break
         if np.abs(both[:k] - goal).max() <= close * max(goal.max(), 1e-300) and residuals:
             break
         residuals.append(both[k:] - goal)
-
-    @F.pandas_udf("double")
-    def rate(p: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(_replay(a_of(pd.DataFrame({"posteriors": p, tokens: n})) / scale, weight, step, ridge, residuals)[0])
-
-    return members.withColumn("rate", rate("posteriors", tokens))
+    return Rates(scale, weight, step, ridge, residuals)
 
 
 def copies(rate: str = "rate", key: str = "doc_id"):
@@ -178,8 +195,17 @@ def mixed(docs: DataFrame, labels: DataFrame, shares: dict[str, float], budget:
     Columns named like the new ones are replaced; an empty table gives an empty one. Without text,
     memberships are computed once and written; with it they are computed again beside the text.
     """
+    modest_batches(docs.sparkSession)
     model = fit(labelled_domains(docs, labels), DOMAINS)
-    own = memberships(docs.drop("rate", "n_copies"), model)
-    if not with_text:
-        own = written(own.drop("text"), "memberships")
-    return rates(own, np.array([shares[d] for d in DOMAINS]) * budget).withColumn("n_copies", copies())
+    docs, goal = docs.drop("rate", "n_copies"), np.array([shares[d] for d in DOMAINS]) * budget
+    if with_text:
+        found = solve(written(memberships(docs, model).select("posteriors", "n_tokens"), "memberships"), goal)
+        return memberships(docs, model, found).withColumn("n_copies", copies())
+    own = written(memberships(docs, model).drop("text"), "memberships")
+    found = solve(own, goal)
+
+    @F.pandas_udf("double")
+    def rate(p: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(found.of(np.stack(p.to_numpy()), n.to_numpy(float)) if len(p) else [], dtype=float)
+
+    return own.withColumn("rate", rate("posteriors", "n_tokens")).withColumn("n_copies", copies())

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import mix32, mix64, shingle_hashes, written
+from evalgrid.llm.common import mix32, mix64, modest_batches, shingle_hashes, written
 from evalgrid.llm.components import components
 
 #: Partners of a class that are compared in one group.
@@ -205,6 +205,7 @@ def component_table(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     comes out with its n_shingles 0, no component and not kept. Rows that repeat a
     doc_id are one document, with the links of all its texts. An empty table gives an empty one.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(signatures(docs, n, bands, rows), "signatures")
     full = signed.where("n_shingles > 0")

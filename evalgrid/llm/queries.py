@@ -46,12 +46,14 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Shares of all tokens that the mixture's domains are to have.
-SHARES = {"plain": 0.94, "poor": 0.04, "toxic": 0.02}
+SHARES = {"plain": 0.92, "poor": 0.05, "toxic": 0.03}
+#: Tokens of the mixture for each token of the corpus.
+BUDGET = 1.1
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mixing.mixed(docs, _table(spark, sf_dir, "labels"), SHARES, with_text=False)
+    return mixing.mixed(docs, _table(spark, sf_dir, "labels"), SHARES, BUDGET, with_text=False)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from evalgrid.llm.common import modest_batches
+
 #: Shorter units are never removed.
 MIN_WORDS = 8
 _SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)\s*|$)", re.S)
@@ -67,6 +69,7 @@ def _unit_table(docs: DataFrame, min_words: int) -> DataFrame:
                     }
                 )
 
+    modest_batches(docs.sparkSession)
     return _keyed(docs).where("text IS NOT NULL").mapInPandas(cut, "h1 long, h2 long, doc_id long, sign long, start int, stop int")
 
 

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalgrid.llm.common import modest_batches
+
 #: Characters of a chunk, and of the first overlap.
 CHUNK, OVERLAP = 1 << 16, 256
 #: Pieces whose counts a task remembers; then it starts afresh.
@@ -113,6 +115,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, chunk: int
     ``docs`` are ignored. ``vocabulary`` is a file that every executor has.
     """
 
+    modest_batches(docs.sparkSession)
+
     @F.pandas_udf("n_tokens long, n_chunks int, n_widened int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         counter = Counter(vocabulary, chunk, overlap)

@@ -75,7 +75,7 @@ def key_hashes(key: Column) -> tuple[Column, Column]:
 
 def places(h1: np.ndarray, h2: np.ndarray, level: int, bits: int, hashes: int) -> Iterator[np.ndarray]:
     """The ``hashes`` bit places of each key in a level's filter."""
-    a = h1.astype(np.uint64) + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)
+    a = h1.astype(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)
     b = h2.astype(np.uint64) | np.uint64(1)
     for i in range(hashes):
         x = a + np.uint64(i) * b

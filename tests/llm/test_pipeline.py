@@ -31,7 +31,7 @@ def test_stages_equal_brute_force(spark):
     assert texts[4] == {i: t for i, t in texts[3].items() if not holds(t)}
     last = kept[-1].toPandas()
     assert (last["n_copies"] > 0).all() and set(last["doc_id"]) <= set(texts[4])
-    every = mixing.mixed(kept[4], spark.read.parquet(f"{DATA}/labels.parquet"), p.SHARES).select("n_tokens", "posteriors", "rate", (F.col("n_copies") > 0).alias("in")).toPandas()
+    every = mixing.mixed(kept[4], spark.read.parquet(f"{DATA}/labels.parquet"), p.SHARES, p.BUDGET).select("n_tokens", "posteriors", "rate", (F.col("n_copies") > 0).alias("in")).toPandas()
     a = np.stack(every["posteriors"].to_numpy()) * every["n_tokens"].to_numpy()[:, None]
-    assert np.abs(a.T @ every["rate"].to_numpy() / every["n_tokens"].sum() - [p.SHARES[x] for x in mixing.DOMAINS]).max() < 2e-3
+    assert np.abs(a.T @ every["rate"].to_numpy() / every["n_tokens"].sum() - [p.SHARES[x] * p.BUDGET for x in mixing.DOMAINS]).max() < 2e-3
     assert every["in"].sum() == len(last)
