@@ -1,18 +1,20 @@
 """Main text of HTML pages by equivalence-class template deduction.
 
 1. A page's tokens are its tags, told apart by their path from the root (with class and
-   id), and, on pages that mark no article, its text runs. How often each page of a host holds a
+   id), and its text runs. How often each page of a host holds a
    token is the token's occurrence vector. Vectors are never gathered: a vector's fingerprint is the
    sum over pages of a hash of page and count, an aggregate that needs no page in one
    place, so a host with a third of all pages is no special case.
 2. Tokens of a host with one fingerprint form an equivalence class. Classes that are large (two
    tokens or more) and frequent (half of the host's pages or more, or its only page) make
    up the host's template. They nest by their paths: a class lies in the slot of the
-   class that holds the longest prefix of its path.
-3. A page is read against its host's template. Text stands in a slot, the innermost template
-   element around it. Slots of menus, headers, footers, side bars, notices, adverts, forms and reader
-   comments are left out, as is text that belongs to the template itself; where the template
-   has an article, only its slots are taken. What remains, decoded, is the main text.
+   class that holds the longest prefix of its path. A text run is the template's only if pages that
+   differ hold it, and one within an article only if articles that differ hold it: copies prove nothing.
+3. A page is read against its host's template. Text that belongs to the template itself is left out,
+   and where the page marks an article, only what lies within it is taken. Names are a further check:
+   menus, headers, footers, side bars, adverts, forms and reader comments are left out. Within an article, a part
+   with a name that prose bears as well (``_LOOSE_WORDS``) is left out only as a slot of the template whose text doesn't vary
+   between pages or stands beside text of the template, like the heading of a box. What remains, decoded, is the main text.
 
 The templates of all hosts go to every task only while they are at most ``MOST_BYTES`` together;
 beyond that they are joined to the pages by host, which the adaptive planner splits where a host is hot.
@@ -34,6 +36,8 @@ from evalgrid.llm.common import modest_batches, written
 
 #: Size up to which the hosts' templates are sent to every task, and the share of a host's pages that makes a class frequent.
 MOST_BYTES, FREQUENT = 16 << 20, 0.5
+#: Pages that must hold a text run within their articles before it counts as the template's: two articles may share a line by chance.
+PROOF = 3
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(script|style|noscript|template|iframe|svg|textarea|title)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
@@ -52,6 +56,8 @@ _ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner promo sponsor sponsored sidebar cookie cookies consent gdpr notice popup modal newsletter subscribe share sharing "
     "social comment comments respond reply replies disqus nav navbar navigation menu breadcrumb breadcrumbs header footer masthead related search login pagination pager".split()
 )
+#: Those of them that name parts of articles too. (Adverts and comments vary between pages as articles do, so the template can't tell them.)
+_LOOSE_WORDS = frozenset("banner header navigation notice related reply respond search share sharing social".split())
 _MAIN = frozenset(("article", "main"))
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -109,27 +115,57 @@ def _is_aside(label: str) -> bool:
     return tag in _ASIDE or (bool(names) and tag not in _MAIN and tag not in ("html", "body") and not _ASIDE_WORDS.isdisjoint(_SPLIT.split(names)))
 
 
+def _is_loose(label: str) -> bool:
+    """Whether only names that articles' parts bear as well make this aside."""
+    tag, _, names = label.partition(" ")
+    return tag not in _ASIDE and _is_aside(label) and _LOOSE_WORDS.issuperset(_ASIDE_WORDS.intersection(_SPLIT.split(names)))
+
+
 def _is_main(label: str) -> bool:
     tag, _, names = label.partition(" ")
     return tag in _MAIN or "main" in names.split()
 
 
+def _sign(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
 def _text_token(path: tuple[str, ...], text: str) -> str:
     return f"{'/'.join(path)}#{xxhash.xxh3_64_hexdigest(' '.join(text.split()).encode('utf-8', 'surrogatepass'))}"
 
 
-def tokens(page: str | None) -> Counter[str]:
-    """How often a page holds each token."""
+def tokens(page: str | None, sign: int = 0) -> list[tuple[str, int, int]]:
+    """How often a page holds each token, and a sign of what must differ for the token to prove a template.
+
+    That is the page's ``sign``, or, for text within an article, the sign of all text there. A path and ``~`` is
+    the token of a loosely named part, with the sign of the part's own text.
+    """
     found: Counter[str] = Counter()
-    parts = list(read(page)) if page else []
-    marked = any(kind == "open" and _is_main(path[-1]) for kind, path, _ in parts)
-    for kind, path, what in parts:
-        if kind == "text":
-            if not marked and what.strip():
-                found[_text_token(path, what)] += 1
-        else:
-            found["/".join(path) + (">" if kind == "close" else "")] += 1
-    return found
+    within: set[str] = set()
+    main: list[str] = []
+    loose: dict[tuple[str, ...], list[str]] = {}
+    mains: dict[tuple[str, ...], bool] = {}
+    for kind, path, what in read(page) if page else ():
+        if kind != "text":
+            key = "/".join(path)
+            found[key + (">" if kind == "close" else "")] += 1
+            if kind == "open" and _is_loose(path[-1]):
+                found[key + "~"] += 1
+                loose.setdefault(path, [])
+        elif what.strip():
+            token = _text_token(path, what)
+            found[token] += 1
+            if path not in mains:
+                mains[path] = any(map(_is_main, path))
+            if mains[path]:
+                within.add(token)
+                main.append(token)
+            for at, texts in loose.items():
+                if path[: len(at)] == at:
+                    texts.append(token)
+    own = {"/".join(at) + "~": _sign("\n".join(texts)) for at, texts in loose.items()}
+    own |= dict.fromkeys(within, _sign("\n".join(main)))
+    return [(token, n, own.get(token, sign)) for token, n in found.items()]
 
 
 def extract(page: str | None, template: frozenset[str]) -> str:
@@ -140,14 +176,17 @@ def extract(page: str | None, template: frozenset[str]) -> str:
     verdicts: dict[tuple[str, ...], bool] = {}
     own_main = any(kind == "open" and _is_main(path[-1]) for kind, path, _ in parts)
 
+    def spared(path: tuple[str, ...]) -> bool:
+        """Whether a part of an article is its text in spite of its name."""
+        key = "/".join(path)
+        if not own_main or not _is_loose(path[-1]) or not any(map(_is_main, path)):
+            return False
+        return key not in template or (f"{key}~" in template and not any("#" in t and t.startswith((f"{key}/", f"{key}#")) for t in template))
+
     def taken(path: tuple[str, ...]) -> bool:
-        """Whether text right within ``path`` is main text."""
+        """Whether text right within ``path`` is main text, unless it is the template's."""
         if path not in verdicts:
-            slots = [path[: i + 1] for i in range(len(path)) if "/".join(path[: i + 1]) in template]
-            slot = slots[-1] if slots else ()
-            # Elements of the page's own, inside the slot, are judged like those of the template.
-            around = (*slot, *path[len(slot) :])
-            verdicts[path] = not any(map(_is_aside, around)) and (not own_main or any(map(_is_main, around)))
+            verdicts[path] = (not own_main or any(map(_is_main, path))) and not any(_is_aside(label) and not spared(path[: i + 1]) for i, label in enumerate(path))
         return verdicts[path]
 
     blocks: list[list[str]] = [[]]
@@ -155,7 +194,7 @@ def extract(page: str | None, template: frozenset[str]) -> str:
         if kind != "text":
             if what not in _INLINE:
                 blocks.append([])
-        elif taken(path) and (own_main or _text_token(path, what) not in template):
+        elif taken(path) and not (what.strip() and _text_token(path, what) in template):
             blocks[-1].append(_html.unescape(what))
     return " ".join(words for words in (" ".join("".join(b).split()) for b in blocks if b) if words)
 
@@ -171,24 +210,27 @@ def templates(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for host, page in zip(batch["host"], batch["html"], strict=True):
-                sign = xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "surrogatepass")) >> 1
-                rows += [(host, token, n, sign) for token, n in tokens(page).items()]
-                rows.append((host, "", 1, sign))  # the empty token counts the host's pages
-            yield pd.DataFrame(rows, columns=["host", "token", "n", "sign"])
+                sign = _sign(page or "")
+                rows += [(host, token, n, sign, own) for token, n, own in tokens(page, sign)]
+                rows.append((host, "", 1, sign, sign))  # the empty token counts the host's pages
+            yield pd.DataFrame(rows, columns=["host", "token", "n", "sign", "own"])
 
-    found = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html")).mapInPandas(count, "host string, token string, n int, sign long")
+    found = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html")).mapInPandas(count, "host string, token string, n int, sign long, own long")
     vectors = found.groupBy("host", "token").agg(
         F.sum(F.xxhash64("sign", "n").cast("decimal(38,0)")).alias("vector"),
         F.count("*").alias("pages"),
-        F.min("sign").alias("low"),
-        F.max("sign").alias("high"),
+        F.min("own").alias("low"),
+        F.max("own").alias("high"),
+        F.max(F.col("own") != F.col("sign")).alias("inside"),
     )
     vectors = written(vectors, "occurrences")
     classes = vectors.where("token <> ''").groupBy("host", "vector", "pages").agg(F.count("*").alias("size"))
     hosts = vectors.where("token = ''").select("host", F.col("pages").alias("all"))
     valid = classes.join(hosts, "host").where((F.col("size") >= 2) & (F.col("pages") >= F.col("all") * FREQUENT)).select("host", "vector", "pages")
-    # A text run is the template's only if pages that differ hold it: copies of one page prove nothing.
-    return vectors.join(valid, ["host", "vector", "pages"]).where((F.instr("token", "#") == 0) | (F.col("low") < F.col("high"))).where("token <> ''").select("host", "token")
+    # A text run is the template's only if pages or articles that differ hold it, and a part varies only if its texts differ.
+    part = F.endswith("token", F.lit("~"))
+    proven = ((F.instr("token", "#") == 0) & ~part) | ((F.col("low") < F.col("high")) & (part | ~F.col("inside") | (F.col("pages") >= PROOF)))
+    return vectors.join(valid, ["host", "vector", "pages"]).where(proven).where("token <> ''").select("host", "token")
 
 
 def main_texts(pages: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:

@@ -339,6 +339,14 @@ def test_text_of_the_template_goes_where_no_article_is_marked(spark):
     assert htmlmain.main_texts(pages.limit(0)).count() == 0
 
 
+def test_template_decides_within_marked_articles(spark):
+    body = '<article><h1>T{0}</h1><div class="xq7"><p>Follow our paper daily</p></div><p>Story {0} tells {1}.</p><div class="market-share"><p>Share {1} of all</p></div><div class="related"><h3>See too</h3><p>Box {1}</p></div><div class="comments"><p>Says {1}</p></div></article>'
+    rows = [(i, f"https://e.org/{i}", f"<html><body>{body.format(i, i * i)}</body></html>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in htmlmain.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T{i} Story {i} tells {i * i}. Share {i * i} of all" for i in range(6)}
+    assert htmlmain.extract(rows[2][2], frozenset()) != got[2]
+
+
 # 10
 
 
