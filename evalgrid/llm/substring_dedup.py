@@ -1,7 +1,8 @@
 """Repeated lines and sentences: hash units, keep the earliest, cut out the rest.
 
-A unit is a line of at least ``MIN_WORDS`` words, and each sentence of so many words within
-it, so a passage that was pasted into the middle of a line is found as well. Units are
+A unit is a line that isn't blank, and each sentence of at least ``MIN_WORDS`` words within
+it, so a passage that was pasted into the middle of a line is found as well. A shorter sentence counts
+together with those after it, and with those before it, that make up so many words. Units are
 compared in lower case with their white space collapsed, by a 128-bit digest.
 
 The digests of all documents are grouped; partial aggregation keeps one row for each digest
@@ -25,25 +26,35 @@ from pyspark.sql.types import StringType
 
 from evalgrid.llm.common import modest_batches
 
-#: Shorter units are never removed.
+#: Shorter sentences within a line are removed only with their neighbours.
 MIN_WORDS = 8
 _SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)\s*|$)", re.S)
 
 
 def units(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
-    """``(start, stop, normalised text)`` of the units of a text; a line comes before its sentences."""
+    """``(start, stop, normalised text)`` of the units of a text; lines come before sentences."""
     found, at = [], 0
+    parts: list[tuple[int, int, list[str], bool]] = []
+    lines = set()
     for line in text.split("\n") if text else ():
         words = line.lower().split()
-        if len(words) >= min_words:
+        if words:
             found.append((at, at + len(line) + 1, " ".join(words)))
-            parts = [m.span() for m in _SENTENCE.finditer(line)]
-            if len(parts) > 1:
-                for low, high in parts:
-                    part = line[low:high].lower().split()
-                    if len(part) >= min_words:
-                        found.append((at + low, at + high, " ".join(part)))
+            spans = [m.span() for m in _SENTENCE.finditer(line)]
+            lines.add((len(parts), len(parts) + len(spans)))
+            parts += [(at + low, at + high, line[low:high].lower().split() if len(spans) > 1 else words, len(spans) > 1) for low, high in spans]
         at += len(line) + 1
+    runs = set()
+    for k, (_, _, own, within) in enumerate(parts):
+        if within:
+            for way in (1, -1):
+                last, n = k, len(own)
+                while n < min_words and 0 <= last + way < len(parts):
+                    last += way
+                    n += len(parts[last][2])
+                if n >= min_words:
+                    runs.add((min(k, last), max(k, last) + 1))
+    found += [(parts[i][0], parts[j - 1][1], " ".join(w for p in parts[i:j] for w in p[2])) for i, j in sorted(runs - lines)]
     return found
 
 

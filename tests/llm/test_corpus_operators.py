@@ -232,6 +232,13 @@ def test_substring_dedup_of_odd_rows(spark):
     assert substring_dedup.deduplicated(odd(spark).limit(0)).count() == 0
 
 
+def test_short_lines_and_passages_of_short_sentences_are_cut(spark):
+    passage = " ".join(f"Short one number {i}." for i in range(14))
+    rows = [(1, f"Menu\nOwn start. {passage} The end of it."), (2, f"menu\nQuite other. {passage} Over now."), (3, "Menu\nx y z")]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicated(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "Quite other. Over now.", 3: "x y z"}
+
+
 # 7
 
 
