@@ -57,7 +57,7 @@ class Classifier:
         """Probabilities of the domains; a text without words has the prior's."""
         own, n = np.unique(features(text), return_counts=True)
         seen = n.sum()
-        score = self.prior + (self.words[:, own] @ np.minimum(n, 8)) * min(1.0, TEMPER / seen if seen else 1.0)
+        score = self.prior + (self.words[:, own] @ n) * min(1.0, TEMPER / seen if seen else 1.0)
         p = np.exp(score - score.max())
         return p / p.sum()
 

@@ -126,6 +126,13 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.mixed(odd(spark), labels, queries.SHARES, with_text=False).count() == 11
 
 
+def test_posteriors_do_not_depend_on_length():
+    rnd = np.random.default_rng(3)
+    model = mixing.Classifier(["a", "b"], rnd.integers(0, 400, (2, mixing.BUCKETS)).astype(float), np.array([30.0, 10.0]))
+    text = " ".join(["marker"] * 5 + [f"w{i}" for i in range(80)])
+    assert model.posteriors(" ".join([text] * 100)) == pytest.approx(model.posteriors(text))
+
+
 # 4
 
 
