@@ -1,15 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. The documents that hold each word n-gram of the benchmark are counted over the whole
-   corpus: each task counts its own, the counts are summed by key. Only the benchmark's own n-grams
-   are counted, so the table is never longer than the benchmark.
-2. An item's seeds are its n-grams that are rare: in at most ``RARE`` of all documents, or not much more
-   frequent than the item's others. Rarity is relative to the item as well, so one that leaked into a great many documents keeps its seeds.
-3. A second pass joins passages to items on the seeds and aligns the words around each group of
-   seeds with the item by Smith and Waterman's recurrence, so edits, gaps and insertions
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. An item's seeds are all of its word n-grams, common ones as well: edited copies in a hot group
+   may keep just those n-grams that are frequent.
+2. One pass joins passages to items on the seeds. Where the words around a group of seeds
+   hold too few of the item's words for the threshold, no alignment can reach it and none is made.
+3. Elsewhere these words are aligned with the item by Smith and Waterman's recurrence, so edits, gaps and insertions
    cost a little instead of hiding a copy. The best alignment is kept as a share of the
-   score that a full copy would reach. An item of ``LONG`` words or more is aligned where two
-   different seeds of it stand close together, a shorter one at any seed.
+   score that a full copy would reach.
 
 The item side of the join (words and seeds) is sent to every task, but only ``MOST_WORDS``
 words of it at a time: a larger benchmark is handled in that many words per pass. Documents
@@ -29,10 +26,8 @@ from pyspark.sql import functions as F
 
 from evalgrid.llm.common import modest_batches, shingle_hashes
 
-#: Words of a seed; share of documents, and multiple of the item's median, up to which it is rare; words of benchmark text sent out at a time.
-SEED, RARE, RARELY, MOST_WORDS = 3, 0.01, 4, 2_000_000
-#: Words of an item from which two seeds are asked for.
-LONG = 12
+#: Words of a seed; words of benchmark text sent out at a time.
+SEED, MOST_WORDS = 3, 2_000_000
 #: Alignment scores, and the share of a full copy's score from which a document counts as contaminated.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
 _WORD = re.compile(r"\w+")
@@ -113,9 +108,10 @@ class Items:
             at = places[part]
             # Seeds farther apart than the item is long can't belong to one copy without many gaps.
             for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * len(item)) + 1):
-                if len(item) >= LONG and (which[part[group]] == which[part[group[0]]]).all():
-                    continue
                 low, high = max(0, at[group[0]] - len(item) - SEED), min(len(words), at[group[-1]] + len(item) + 2 * SEED)
+                # No alignment matches more of the item's words than occur there.
+                if np.isin(item, words[low:high]).sum() < threshold * len(item):
+                    continue
                 score, start, stop = align(item, words[low:high])
                 if score / (MATCH * len(item)) > best[0]:
                     best = (score / (MATCH * len(item)), int(low + start), int(low + stop))
@@ -137,45 +133,11 @@ def _items(benchmark: DataFrame) -> Iterator[dict[int, np.ndarray]]:
     yield held
 
 
-def _frequencies(docs: DataFrame, grams: np.ndarray) -> tuple[dict[int, int], int]:
-    """In how many documents each of the given n-grams occurs, and how many documents there are."""
-    known = docs.sparkSession.sparkContext.broadcast(grams)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = known.value
-        bitmap = np.zeros(1 << 20, bool)
-        bitmap[(every >> np.uint64(44)).astype(np.int64)] = True
-        n, total = np.zeros(len(every), np.int64), 0
-        for batch in batches:
-            total += len(batch)
-            for text in batch["text"]:
-                own = seed_hashes(word_hashes(text))
-                own = np.unique(own[bitmap[(own >> np.uint64(44)).astype(np.int64)]])
-                at = np.searchsorted(every, own)
-                ok = at < len(every)
-                n[at[ok][every[at[ok]] == own[ok]]] += 1
-        yield pd.DataFrame({"gram": every[n > 0].view(np.int64), "n": n[n > 0], "whole": False})
-        yield pd.DataFrame({"gram": [0], "n": [total], "whole": [True]})
-
-    rows = docs.select("text").mapInPandas(count, "gram long, n long, whole boolean").groupBy("gram", "whole").agg(F.sum("n").alias("n")).collect()
-    return {int(np.int64(g).view(np.uint64)): n for g, whole, n in rows if not whole}, sum(n for _, whole, n in rows if whole)
-
-
-def rare_seeds(hashes: np.ndarray, frequency: dict[int, int], documents: int) -> np.ndarray:
-    """An item's n-grams that are rare in the corpus, or for the item; at least half of them are."""
-    own = np.unique(hashes)
-    n = np.array([frequency.get(int(h), 0) for h in own])
-    return own[n <= max(RARE * documents, RARELY * np.median(n))] if len(own) else own
-
-
 def _passes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
     """The item side of the join, sent to all tasks, for each part of the benchmark."""
     modest_batches(docs.sparkSession)
     for words in _items(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))):
-        hashes = {i: seed_hashes(w) for i, w in words.items()}
-        every = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes.values()]))
-        frequency, total = _frequencies(docs, every) if len(every) else ({}, 0)
-        yield docs.sparkSession.sparkContext.broadcast(Items(words, {i: rare_seeds(h, frequency, total) for i, h in hashes.items()}))
+        yield docs.sparkSession.sparkContext.broadcast(Items(words, {i: seed_hashes(w) for i, w in words.items()}))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

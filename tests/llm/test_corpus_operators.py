@@ -52,6 +52,21 @@ def test_planted_copies_edits_and_clean_documents(spark):
     assert kept == {1000 + i for i in range(60)}
 
 
+def test_hot_groups_of_edited_and_partial_copies(spark):
+    rnd = random.Random(9)
+    say = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    items = [say(40) for _ in range(3)]
+    edited, single = list(items[0]), list(items[2])
+    edited[4::5] = ["changed"] * 8
+    single = [x for j in range(0, 40, 2) for x in (*items[2][j : j + 2], *(["new"] if 2 <= j < 38 else []))]
+    single[3:4] = []
+    rows = [(i, " ".join(say(30) + passage + say(30))) for i in range(80) for passage in ((edited, items[1][10:30])[i % 2],)]
+    rows += [(500, " ".join(say(30) + single + say(30))), (501, " ".join(items[0]))] + [(1000 + i, " ".join(say(100))) for i in range(60)]
+    found = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert got == {(i, i % 2) for i in range(80)} | {(500, 2), (501, 0)}
+
+
 def test_alignment_equals_plain_recurrence():
     rnd = np.random.default_rng(1)
     for _ in range(30):
