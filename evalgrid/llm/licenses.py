@@ -10,8 +10,8 @@ of at least 1 - (1 - contain / 5) ** BANDS: 99.9998 % at the defaults.
 A window that shares no shingle with any template has no coordinate in common with it either,
 so windows without one are passed over before coordinates are computed.
 
-Retrieved windows are verified exactly: the best stretch of text as long as the template must hold
-``contain`` of the template's shingles. Everything happens in the task that reads the text, window by
+Retrieved windows are verified exactly: a stretch of text as long as the template must hold
+``contain`` of the template's shingles; of stretches that overlap the best one counts. Everything happens in the task that reads the text, window by
 window of that text; nothing is shuffled.
 """
 
@@ -125,33 +125,32 @@ class Templates:
                     if not open_:
                         break
 
-    def verify(self, template: int, hashes: np.ndarray) -> tuple[float, int]:
-        """Largest share of the template's shingles in a stretch of its length, and where that begins."""
+    def verify(self, template: int, hashes: np.ndarray) -> Iterator[tuple[float, int, int]]:
+        """``(share, first, last + 1)``: stretches of the template's length that hold enough of its shingles, up to the last one held."""
         own, n = self.sets[template], self.lengths[template]
         at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
         there = own[at] == hashes
-        best = (0.0, 0)
         for start in np.flatnonzero(there).tolist():
             stretch = slice(start, start + n)
             share = len(np.unique(at[stretch][there[stretch]])) / len(own)
-            if share > best[0]:
-                best = (share, start)
-        return best
+            if share >= self.contain:
+                yield share, start, start + int(np.flatnonzero(there[stretch])[-1]) + 1
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """``(license, containment, first word, last word + 1)`` of every notice, the best of those that overlap."""
         hashes = shingles(text)
         found = set()
         for i, low, high in self.retrieve(hashes) if len(hashes) else ():
-            share, start = self.verify(i, hashes[low:high])
-            if share >= self.contain:
-                begin = low + start
-                found.add((self.lengths[i] * share, share, begin, begin + self.lengths[i] + SHINGLE - 1, self.names[i]))
-        kept: list[tuple[str, float, int, int]] = []
-        for _, share, begin, end, name in sorted(found, key=lambda x: (-x[0], x[2], x[4])):
-            if all(end <= b or begin >= e for _, _, b, e in kept):
-                kept.append((name, share, begin, end))
-        return sorted(kept, key=lambda x: x[2])
+            for share, start, stop in self.verify(i, hashes[low:high]):
+                found.add((self.lengths[i] * share, share, low + start, low + stop + SHINGLE - 1, self.names[i], self.lengths[i]))
+        kept: list[tuple[str, float, int, int, int]] = []
+        for _, share, begin, held, name, n in sorted(found, key=lambda x: (-x[0], x[2], x[4])):
+            if all(held <= b or begin >= e for _, _, b, e, _ in kept):
+                kept.append((name, share, begin, held, begin + n + SHINGLE - 1))
+        kept.sort(key=lambda x: x[2])
+        # A shortened notice takes up less than its template's length; it ends where the next one begins.
+        nexts = [x[2] for x in kept[1:]] + [np.inf]
+        return [(name, share, begin, min(end, after)) for (name, share, begin, _, end), after in zip(kept, nexts, strict=False)]
 
 
 def license_notices(docs: DataFrame, templates: dict[str, list[str]] | None = None, contain: float = CONTAIN, bands: int = BANDS) -> DataFrame:

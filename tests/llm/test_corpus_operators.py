@@ -186,6 +186,17 @@ def test_license_scan_of_odd_rows(spark):
     assert [r["doc_id"] for r in licenses.license_notices(docs(spark, [(None, "Released under the MIT License.")] * 2)).collect()] == [None, None]
 
 
+def test_adjacent_notices_are_a_row_each():
+    found = licenses.Templates(licenses.TEMPLATES)
+    notice = "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    n = len(licenses._WORD.findall(notice))
+    shorter = notice.replace("This work", "Work")
+    for before in range(40):
+        for first, width in ((notice, n), (shorter, n - 1)):
+            got = found.scan("w " * before + f"{first} {notice} {notice} " + "z " * 30)
+            assert [x[0] for x in got] == ["CC-BY-4.0"] * 3 and [x[2] for x in got][1:] == [before + width, before + width + n]
+
+
 # 5
 
 
