@@ -48,6 +48,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folders of a table that ``written`` gave, once nothing reads it any more; others are left alone."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if str(folder.getParent().toUri().getPath()).rstrip("/") == spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath().rstrip("/"):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def mix32(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of the 32-bit integers (in place); shifts and odd multipliers."""
     x ^= x >> np.uint32(16)
@@ -58,6 +67,18 @@ def mix32(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def remix32(x: np.ndarray) -> np.ndarray:
+    """A second bijection of the 32-bit integers (in place), with other shifts and multipliers."""
+    x ^= x >> np.uint32(17)
+    x *= np.uint32(0xED5AD4BB)
+    x ^= x >> np.uint32(11)
+    x *= np.uint32(0xAC4C1B51)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x31848BAB)
+    x ^= x >> np.uint32(14)
+    return x
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of the 64-bit integers (in place)."""
     x ^= x >> np.uint64(32)

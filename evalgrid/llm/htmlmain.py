@@ -6,15 +6,20 @@
    sum over pages of a hash of page and count, an aggregate that needs no page in one
    place, so a host with a third of all pages is no special case.
 2. Tokens of a host with one fingerprint form an equivalence class. Classes that are large (two
-   tokens or more) and frequent (half of the host's pages or more, or its only page) make
-   up the host's template. They nest by their paths: a class lies in the slot of the
-   class that holds the longest prefix of its path. A text run is the template's only if pages that
-   differ hold it, and one within an article only if articles that differ hold it: copies prove nothing.
-3. A page is read against its host's template. Text that belongs to the template itself is left out,
-   and where the page marks an article, only what lies within it is taken. Names are a further check:
-   menus, headers, footers, side bars, adverts, forms and reader comments are left out. Within an article, a part
-   with a name that prose bears as well (``_LOOSE_WORDS``) is left out only as a slot of the template whose text doesn't vary
-   between pages or stands beside text of the template, like the heading of a box. What remains, decoded, is the main text.
+   tokens or more) and frequent (half of the host's pages or more) are valid. A text run counts only if pages
+   that differ hold it, and one within an article only if articles that differ hold it: copies prove nothing.
+3. Valid classes nest: an element is the template's if its own token and those of all elements around it are
+   in valid classes. What lies between the template's tokens are its slots, and a slot's place in the nest says what it is
+   for: what stands in menus, headers, footers, side bars, adverts, forms or comments is not main text, nor is the template's own text,
+   and where an article is marked only what lies within it is taken.
+4. Names are a further check on what stands in a slot, and judge a part whose name prose bears as well (``_LOOSE_WORDS``)
+   only if it is the template's own and its text doesn't vary between pages or stands beside text of the template, like the heading of a box.
+   What remains, decoded, is the main text.
+
+Where a host's pages share no template, a page's is deduced from it alone. Without any template a page is one slot, and all its text comes out.
+
+Paths are hashes that grow with each element, and elements nest to ``DEPTH`` at most, as in browsers; what is open beyond
+that hangs there. So a page takes memory in proportion to its length, however broken it is.
 
 The templates of all hosts go to every task only while they are at most ``MOST_BYTES`` together;
 beyond that they are joined to the pages by host, which the adaptive planner splits where a host is hot.
@@ -26,6 +31,7 @@ import html as _html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -38,6 +44,8 @@ from evalgrid.llm.common import modest_batches, written
 MOST_BYTES, FREQUENT = 16 << 20, 0.5
 #: Pages that must hold a text run within their articles before it counts as the template's: two articles may share a line by chance.
 PROOF = 3
+#: Elements that nest.
+DEPTH = 512
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(script|style|noscript|template|iframe|svg|textarea|title)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
@@ -50,173 +58,248 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _SELF_ENDING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Elements, and words in class, id or role, that mark what isn't main text.
+#: Elements, and names in class, id or role, that mark what isn't main text.
 _ASIDE = frozenset("head nav header footer aside form dialog menu button select fieldset".split())
 _ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner promo sponsor sponsored sidebar cookie cookies consent gdpr notice popup modal newsletter subscribe share sharing "
-    "social comment comments respond reply replies disqus nav navbar navigation menu breadcrumb breadcrumbs header footer masthead related search login pagination pager".split()
+    "ad ads advert adverts advertisement advertising banner promo sponsor sponsored sidebar cookie cookies consent gdpr notice notices popup modal newsletter subscribe share sharing "
+    "social comment comments respond reply replies disqus nav navbar navigation menu breadcrumb breadcrumbs header footer masthead related search login pagination pager complementary contentinfo".split()
 )
+#: Names of readers' comments, which articles may bear too when they stand in another or outside of the main one.
+_COMMENT_WORDS = frozenset("comment comments respond reply replies disqus".split())
 #: Those of them that name parts of articles too. (Adverts and comments vary between pages as articles do, so the template can't tell them.)
-_LOOSE_WORDS = frozenset("banner header navigation notice related reply respond search share sharing social".split())
+_LOOSE_WORDS = frozenset("banner header navigation notice notices related reply respond search share sharing social".split())
+#: Words that say nothing of a name's meaning: ``share-buttons`` is a name for sharing, ``share-price`` is not.
+_PLAIN_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons center column container content el footer form global group header icons inner item items left links list main message module outer "
+    "page panel posts primary right row secondary section signup site slot small stories sub text the thread top unit widget wrap wrapper".split()
+)
 _MAIN = frozenset(("article", "main"))
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_NUMBER = re.compile(r"[0-9]+(?:x[0-9]+)?\Z")
+
+
+def _sign(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def _named(names: str, words: frozenset[str]) -> set[str]:
+    """The words among ``words`` that a class, id or role is a name of: they stand alone or beside numbers and words without meaning."""
+    found: set[str] = set()
+    for name in names.split():
+        parts = [x for x in _SPLIT.split(name) if x]
+        own = words.intersection(parts)
+        if own and all(x in own or x in _PLAIN_WORDS or x in _ASIDE_WORDS or _NUMBER.match(x) for x in parts):
+            found |= own
+    return found
+
+
+class _Kind:
+    """What an element's tag and names say of it."""
+
+    __slots__ = ("aside", "comment", "loose", "main")
+
+    def __init__(self, tag: str, names: str) -> None:
+        said = _named(names, _ASIDE_WORDS) if names and tag not in ("html", "body") else set()
+        self.comment = bool(said & _COMMENT_WORDS)
+        self.main = tag in _MAIN or "main" in names.split()
+        self.aside = tag in _ASIDE or (bool(said) and tag not in _MAIN)
+        # A word alone may name a part of the article; with words like box or list beside it, it doesn't.
+        self.loose = self.aside and tag not in _ASIDE and said <= _LOOSE_WORDS and said <= set(names.split())
+
+
+@lru_cache(4096)
+def _kind(tag: str, names: str) -> _Kind:
+    return _Kind(tag, names)
+
+
+class Element:
+    """An element: its path's hash, what it is, where it begins, and what a reader keeps of it."""
 
+    __slots__ = ("at", "key", "kind", "own", "parent", "tag")
 
-def read(page: str) -> Iterator[tuple[str, tuple[str, ...] | None, str]]:
-    """A page's parts in order: ``("open" | "close" | "void", path, tag)`` and ``("text", path, raw text)``.
+    def __init__(self, tag: str, names: str, parent: Element | None, at: int = -1) -> None:
+        self.tag, self.parent, self.kind, self.at = tag, parent, _kind(tag, names), at
+        self.key = _sign(f"{parent.key if parent else 0} {tag} {names}")
+        self.own = None
 
-    A path is a tuple of labels, tag and its class, id and role. An end tag ends what is open within its
-    element; one that fits nothing open is passed over.
+
+ROOT = Element("", "", None)
+
+
+def read(page: str) -> Iterator[tuple[str, Element, str]]:
+    """A page's parts in order: ``("open" | "close" | "void", element, tag)`` and ``("text", element around it, raw text)``.
+
+    An end tag ends what is open within its element; one that fits nothing open is passed over.
     """
-    stack: list[str] = []
-    tags: list[str] = []
+    stack: list[Element] = [ROOT]
 
     def end(names: tuple[str, ...], barrier: tuple[str, ...] = ()) -> bool:
-        for at in range(len(tags) - 1, -1, -1):
-            if tags[at] in names:
-                del tags[at:], stack[at:]
+        for at in range(len(stack) - 1, 0, -1):
+            if stack[at].tag in names:
+                del stack[at:]
                 return True
-            if tags[at] in barrier:
+            if stack[at].tag in barrier:
                 return False
         return False
 
-    at = 0
+    at, m = 0, None
     for m in _PART.finditer(page):
         if m.start() > at:
-            yield "text", tuple(stack), page[at : m.start()]
+            yield "text", stack[-1], page[at : m.start()]
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
         if m[2]:
-            if tag in tags:
-                yield "close", tuple(stack[: len(tags) - tags[::-1].index(tag)]), tag
+            closed = next((e for e in reversed(stack) if e.tag == tag), None)
+            if closed is not None:
+                yield "close", closed, tag
                 end((tag,))
             continue
         if tag in _SELF_ENDING and tag != "p":
             end(_SELF_ENDING[tag], ("ul", "ol", "dl", "table", "select"))
         elif tag in _ENDS_P:
             end(("p",), ("article", "section", "div", "td", "li", "body", "blockquote", "aside"))
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[4])) if m[4] else ""
-        label = f"{tag} {names.lower()}" if names else tag
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[4])).lower() if m[4] else ""
+        new = Element(tag, names, stack[min(len(stack), DEPTH) - 1], m.start())
         if tag in _VOID:
-            yield "void", (*stack, label), tag
+            yield "void", new, tag
         else:
-            stack.append(label)
-            tags.append(tag)
-            yield "open", tuple(stack), tag
+            del stack[DEPTH:]
+            stack.append(new)
+            yield "open", new, tag
     if at < len(page):
         rest = page[at:]
-        yield "text", tuple(stack), rest[: m.start()] if (m := re.search(r"<[a-zA-Z/][^>]*\Z", rest)) else rest
+        yield "text", stack[-1], rest[: m.start()] if (m := re.search(r"<[a-zA-Z/][^>]*\Z", rest)) else rest
 
 
-def _is_aside(label: str) -> bool:
-    tag, _, names = label.partition(" ")
-    return tag in _ASIDE or (bool(names) and tag not in _MAIN and tag not in ("html", "body") and not _ASIDE_WORDS.isdisjoint(_SPLIT.split(names)))
+def _text_token(around: Element, text: str) -> int:
+    return _sign(f"{around.key}#{' '.join(text.split())}")
 
 
-def _is_loose(label: str) -> bool:
-    """Whether only names that articles' parts bear as well make this aside."""
-    tag, _, names = label.partition(" ")
-    return tag not in _ASIDE and _is_aside(label) and _LOOSE_WORDS.issuperset(_ASIDE_WORDS.intersection(_SPLIT.split(names)))
+def _end_token(key: int) -> int:
+    return _sign(f"{key}>")
 
 
-def _is_main(label: str) -> bool:
-    tag, _, names = label.partition(" ")
-    return tag in _MAIN or "main" in names.split()
-
-
-def _sign(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+def _part_token(key: int) -> int:
+    return _sign(f"{key}~")
 
 
-def _text_token(path: tuple[str, ...], text: str) -> str:
-    return f"{'/'.join(path)}#{xxhash.xxh3_64_hexdigest(' '.join(text.split()).encode('utf-8', 'surrogatepass'))}"
+#: Kinds of tokens: tags, text runs, and loosely named parts.
+TAG, TEXT, PART = 0, 1, 2
 
 
-def tokens(page: str | None, sign: int = 0) -> list[tuple[str, int, int]]:
-    """How often a page holds each token, and a sign of what must differ for the token to prove a template.
+def tokens(page: str | None, sign: int = 0) -> list[tuple[int, int, int, int]]:
+    """``(token, kind, n, sign)``: how often a page holds each token, and a sign of what must differ for the token to prove a template.
 
-    That is the page's ``sign``, or, for text within an article, the sign of all text there. A path and ``~`` is
-    the token of a loosely named part, with the sign of the part's own text.
+    That is the page's ``sign``, or, for text within an article, the sign of all text there. A loosely named part is
+    a token of its own, with the sign of its text.
     """
-    found: Counter[str] = Counter()
-    within: set[str] = set()
-    main: list[str] = []
-    loose: dict[tuple[str, ...], list[str]] = {}
-    mains: dict[tuple[str, ...], bool] = {}
-    for kind, path, what in read(page) if page else ():
-        if kind != "text":
-            key = "/".join(path)
-            found[key + (">" if kind == "close" else "")] += 1
-            if kind == "open" and _is_loose(path[-1]):
-                found[key + "~"] += 1
-                loose.setdefault(path, [])
-        elif what.strip():
-            token = _text_token(path, what)
-            found[token] += 1
-            if path not in mains:
-                mains[path] = any(map(_is_main, path))
-            if mains[path]:
+    found: Counter[tuple[int, int]] = Counter()
+    within: set[int] = set()
+    main, loose = xxhash.xxh3_64(), {}
+    for what, e, text in read(page) if page else ():
+        if what != "text":
+            key = e.key
+            found[key if what != "close" else _end_token(key), TAG] += 1
+            if what != "close":
+                # What is main, and which loosely named parts are around, goes down from parent to child.
+                up = e.parent.own or (False, ())
+                inner = (*up[1], key) if e.kind.loose and what == "open" and key not in up[1] else up[1]
+                e.own = (up[0] or e.kind.main, inner)
+                if e.kind.loose and what == "open":
+                    found[_part_token(key), PART] += 1
+                    loose.setdefault(key, xxhash.xxh3_64())
+        elif text.strip():
+            token = _text_token(e, text)
+            found[token, TEXT] += 1
+            is_main, parts = e.own or (False, ())
+            if is_main:
                 within.add(token)
-                main.append(token)
-            for at, texts in loose.items():
-                if path[: len(at)] == at:
-                    texts.append(token)
-    own = {"/".join(at) + "~": _sign("\n".join(texts)) for at, texts in loose.items()}
-    own |= dict.fromkeys(within, _sign("\n".join(main)))
-    return [(token, n, own.get(token, sign)) for token, n in found.items()]
+                main.update(token.to_bytes(8, "little"))
+            for part in parts:
+                loose[part].update(token.to_bytes(8, "little"))
+    own = {_part_token(k): x.intdigest() >> 1 for k, x in loose.items()}
+    own |= dict.fromkeys(within, main.intdigest() >> 1)
+    return [(token, kind, n, own.get(token, sign)) for (token, kind), n in found.items()]
 
 
-def extract(page: str | None, template: frozenset[str]) -> str:
-    """The main text of a page, read against the tokens of its host's template."""
+def alone(page: str) -> frozenset[int]:
+    """The template of a page that has no host to share with: one page proves no text and no part, only tags."""
+    return frozenset(t[0] for t in tokens(page) if t[1] == TAG)
+
+
+def extract(page: str | None, template: frozenset[int], names: bool = True) -> str:
+    """The main text of a page: what is left in the slots of a template. Without ``names`` only the template's own elements are judged.
+
+    The page is read twice, as a box's heading may come last and the article after what looks like one.
+    """
     if not page:
         return ""
-    parts = list(read(page))
-    verdicts: dict[tuple[str, ...], bool] = {}
-    own_main = any(kind == "open" and _is_main(path[-1]) for kind, path, _ in parts)
-
-    def spared(path: tuple[str, ...]) -> bool:
-        """Whether a part of an article is its text in spite of its name."""
-        key = "/".join(path)
-        if not own_main or not _is_loose(path[-1]) or not any(map(_is_main, path)):
-            return False
-        return key not in template or (f"{key}~" in template and not any("#" in t and t.startswith((f"{key}/", f"{key}#")) for t in template))
-
-    def taken(path: tuple[str, ...]) -> bool:
-        """Whether text right within ``path`` is main text, unless it is the template's."""
-        if path not in verdicts:
-            verdicts[path] = (not own_main or any(map(_is_main, path))) and not any(_is_aside(label) and not spared(path[: i + 1]) for i, label in enumerate(path))
-        return verdicts[path]
+    boxes: set[int] = set()
+    own_main = False
+    for what, e, text in read(page):
+        if what == "open":
+            own_main |= e.kind.main and bool(template) and not (e.kind.comment and names)
+        elif what == "text" and text.strip() and _text_token(e, text) in template:
+            while e is not None and e.at not in boxes:  # the template's text makes all that is around it boxes
+                boxes.add(e.at)
+                e = e.parent
+
+    def judged(e: Element, parent: tuple[bool, bool, bool]) -> tuple[bool, bool, bool]:
+        """Whether an element is nested in the template, whether text within it may be main text, and whether an article is around it."""
+        (nested, ok, inside), kind = parent, e.kind
+        nested = nested and e.key in template
+        if ok and template and (names or nested):
+            comment = kind.comment and (inside or not kind.main or own_main)
+            aside = comment or kind.aside
+            if aside and kind.loose and inside and not comment:
+                # The template's own part is left out if its text doesn't vary or stands beside text of the template.
+                aside = nested and (_part_token(e.key) not in template or e.at in boxes)
+            ok = not aside
+        return nested, ok, inside or (kind.main and ok)
 
     blocks: list[list[str]] = [[]]
-    for kind, path, what in parts:
-        if kind != "text":
-            if what not in _INLINE:
+    for what, e, text in read(page):
+        if what != "text":
+            if what != "close":
+                e.own = judged(e, e.parent.own or (True, True, False))
+            if text not in _INLINE and blocks[-1]:
                 blocks.append([])
-        elif taken(path) and not (what.strip() and _text_token(path, what) in template):
-            blocks[-1].append(_html.unescape(what))
+            continue
+        _, ok, inside = e.own or (True, True, False)
+        if ok and (inside or not own_main) and not (text.strip() and _text_token(e, text) in template):
+            blocks[-1].append(_html.unescape(text))
     return " ".join(words for words in (" ".join("".join(b).split()) for b in blocks if b) if words)
 
 
+def text_of(page: str | None, template: frozenset[int]) -> str:
+    """The main text by the host's template or, where the host's pages share none, by the page's own."""
+    return extract(page, template or alone(page)) if page else ""
+
+
 def _host():
     return F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"://([^/?#]*)", 1)), F.lit(""))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, token``: the tokens of each host's template."""
+    """``host, token``: the tokens of each host's valid classes."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for host, page in zip(batch["host"], batch["html"], strict=True):
                 sign = _sign(page or "")
-                rows += [(host, token, n, sign, own) for token, n, own in tokens(page, sign)]
-                rows.append((host, "", 1, sign, sign))  # the empty token counts the host's pages
-            yield pd.DataFrame(rows, columns=["host", "token", "n", "sign", "own"])
-
-    found = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html")).mapInPandas(count, "host string, token string, n int, sign long, own long")
-    vectors = found.groupBy("host", "token").agg(
+                rows += [(host, *t[:3], sign, t[3]) for t in tokens(page, sign)]
+                rows.append((host, -1, TAG, 1, sign, sign))  # counts the host's pages
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
+
+    columns = ["host", "token", "kind", "n", "sign", "own"]
+    found = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html")).mapInPandas(count, "host string, token long, kind int, n int, sign long, own long")
+    vectors = found.groupBy("host", "token", "kind").agg(
         F.sum(F.xxhash64("sign", "n").cast("decimal(38,0)")).alias("vector"),
         F.count("*").alias("pages"),
         F.min("own").alias("low"),
@@ -224,13 +307,13 @@ def templates(pages: DataFrame) -> DataFrame:
         F.max(F.col("own") != F.col("sign")).alias("inside"),
     )
     vectors = written(vectors, "occurrences")
-    classes = vectors.where("token <> ''").groupBy("host", "vector", "pages").agg(F.count("*").alias("size"))
-    hosts = vectors.where("token = ''").select("host", F.col("pages").alias("all"))
+    classes = vectors.where("token >= 0").groupBy("host", "vector", "pages").agg(F.count("*").alias("size"))
+    hosts = vectors.where("token < 0").select("host", F.col("pages").alias("all"))
     valid = classes.join(hosts, "host").where((F.col("size") >= 2) & (F.col("pages") >= F.col("all") * FREQUENT)).select("host", "vector", "pages")
     # A text run is the template's only if pages or articles that differ hold it, and a part varies only if its texts differ.
-    part = F.endswith("token", F.lit("~"))
-    proven = ((F.instr("token", "#") == 0) & ~part) | ((F.col("low") < F.col("high")) & (part | ~F.col("inside") | (F.col("pages") >= PROOF)))
-    return vectors.join(valid, ["host", "vector", "pages"]).where(proven).where("token <> ''").select("host", "token")
+    varied = F.col("low") < F.col("high")
+    proven = (F.col("kind") == TAG) | (varied & ((F.col("kind") == PART) | ~F.col("inside") | (F.col("pages") >= PROOF)))
+    return vectors.where("token >= 0").join(valid, ["host", "vector", "pages"]).where(proven).select("host", "token")
 
 
 def main_texts(pages: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -238,27 +321,28 @@ def main_texts(pages: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
 
     A null or empty page, or one without main text, has an empty text. A null URL, or one without ``://``,
     counts to the host that has no name. Repeated rows come out as they are; an empty table gives an
-    empty one.
+    empty one. Very long, deep or broken pages take memory in proportion to their length.
     """
     modest_batches(pages.sparkSession)
     deduced = written(templates(pages), "templates")
-    size = deduced.agg(F.sum(F.octet_length("host") + F.octet_length("token"))).first()[0] or 0
+    size = deduced.agg(F.sum(F.octet_length("host") + F.lit(8))).first()[0] or 0
     own = pages.select("page_id", F.col("url"), F.col("html").cast("string").alias("html"), _host().alias("host"))
     whole = deduced.groupBy("host").agg(F.collect_list("token").alias("tokens"))
+    none: frozenset[int] = frozenset()
     if size <= most_bytes:
         by_host = {r["host"]: frozenset(r["tokens"]) for r in whole.toLocalIterator()}
         shared = pages.sparkSession.sparkContext.broadcast(by_host)
 
         @F.pandas_udf("string")
-        def text_of(host: pd.Series, page: pd.Series) -> pd.Series:
-            return pd.Series([extract(p, shared.value.get(h, frozenset())) for h, p in zip(host, page, strict=True)], dtype="object")
+        def main_text(host: pd.Series, page: pd.Series) -> pd.Series:
+            return pd.Series([text_of(p, shared.value.get(h, none)) for h, p in zip(host, page, strict=True)], dtype="object")
 
-        read_ = own.withColumn("text", text_of("host", "html"))
+        read_ = own.withColumn("text", main_text("host", "html"))
     else:
 
         @F.pandas_udf("string")
-        def text_of(template: pd.Series, page: pd.Series) -> pd.Series:
-            return pd.Series([extract(p, frozenset(() if t is None else t)) for t, p in zip(template, page, strict=True)], dtype="object")
+        def main_text(template: pd.Series, page: pd.Series) -> pd.Series:
+            return pd.Series([text_of(p, none if t is None else frozenset(t)) for t, p in zip(template, page, strict=True)], dtype="object")
 
-        read_ = own.join(whole, "host", "left").withColumn("text", text_of("tokens", "html"))
+        read_ = own.join(whole, "host", "left").withColumn("text", main_text("tokens", "html"))
     return read_.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

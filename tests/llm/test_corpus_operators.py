@@ -387,6 +387,66 @@ def test_template_decides_within_marked_articles(spark):
     assert htmlmain.extract(rows[2][2], frozenset()) != got[2]
 
 
+def test_deduced_classes_equal_brute_force(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    by_host: dict = {}
+    for r in pages.collect():
+        host = r["url"].split("://")[1].split("/")[0].split("?")[0].split("#")[0].lower()
+        by_host.setdefault(host, []).append({t[:2]: (t[2], t[3]) for t in htmlmain.tokens(r["html"], htmlmain._sign(r["html"]))})
+    want = set()
+    for host, found in by_host.items():
+        vectors: dict = {}
+        for token in {t for f in found for t in f}:
+            vectors.setdefault(tuple(f.get(token, (0, 0))[0] for f in found), []).append(token)
+        for vector, own in vectors.items():
+            held = sum(n > 0 for n in vector)
+            if len(own) < 2 or held < htmlmain.FREQUENT * len(found):
+                continue
+            for token in own:
+                signs = {f[token][1] for f in found if token in f}
+                inside = token[1] == htmlmain.TEXT and any(f[token][1] != next(iter(f.values()))[1] for f in found if token in f)
+                if token[1] == htmlmain.TAG or (len(signs) > 1 and (token[1] == htmlmain.PART or not inside or held >= htmlmain.PROOF)):
+                    want.add((host, token[0]))
+    assert {tuple(r) for r in htmlmain.templates(pages).collect()} == want and want
+
+
+def test_the_template_decides_on_the_given_pages(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    templates: dict = {}
+    for r in htmlmain.templates(pages).collect():
+        templates.setdefault(r["host"], set()).add(r["token"])
+    got = {r["page_id"]: r["text"] for r in htmlmain.main_texts(pages).collect()}
+    for r in pages.collect():
+        own = frozenset(templates[r["url"].split("://")[1].split("/")[0].split("?")[0].split("#")[0].lower()])
+        assert htmlmain.extract(r["html"], frozenset()) != got[r["page_id"]]  # without a template all text comes out
+        assert htmlmain.extract(r["html"], own, names=False) == got[r["page_id"]]  # with one its nested elements suffice
+
+
+def test_parts_of_articles_stay_and_comments_go_anywhere():
+    page = (
+        '<html><body><nav>menu</nav><main><article class="post"><p>One.</p><p class="share-price">Two.</p><div class="related-work">Three.</div><section id="search-methods">Four.</section>'
+        '<div class="share-buttons">Tell</div><ul class="comment-list"><li>first</li></ul></article><article class="comment">I say</article></main><article class="comments">You say</article></body></html>'
+    )
+    assert htmlmain.text_of(page, frozenset()) == htmlmain.text_of(page, htmlmain.alone("<html><body><nav>")) == "One. Two. Three. Four."
+
+
+def test_broken_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    page = "<body><article>" + '<div class="x">a ' * 300_000
+    tracemalloc.start()
+    text = htmlmain.text_of(page, frozenset())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text == " ".join("a" * 300_000) and len(page) > 5_000_000 and most < 200_000_000
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(i, f"https://f.org/{i}", f"<html><body><nav>m</nav><article>Text {i}</article></body></html>", "h", 1, "t") for i in range(4)]
+    got = htmlmain.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, host string, token int, text string"))
+    assert {(r["page_id"], r["text"]) for r in got.collect()} == {(i, f"Text {i}") for i in range(4)}
+
+
 # 10
 
 
