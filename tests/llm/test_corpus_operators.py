@@ -200,32 +200,61 @@ def test_adjacent_notices_are_a_row_each():
 # 5
 
 
+VOCABULARIES = ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 
-def test_counts_equal_the_library(spark, vocabulary):
-    whole = tokencount.Counter(vocabulary)
+def library(vocabulary, texts):
+    """Tokens of whole texts by the library itself."""
+    if vocabulary.endswith(".model"):
+        import sentencepiece
+
+        return [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=vocabulary).encode(texts)]
+    from tokenizers import Tokenizer
+
+    return [len(x.ids) for x in Tokenizer.from_file(vocabulary).encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_counts_equal_the_library(spark, name):
+    vocabulary = pytest.importorskip("public_tokenizers").path(name)
     d = table(spark, "documents")
     texts = dict(d.select("doc_id", "text").collect())
-    want = dict(zip(texts, whole.pieces(list(texts.values())), strict=True))
+    want = dict(zip(texts, library(vocabulary, list(texts.values())), strict=True))
     for chunk, overlap in ((tokencount.CHUNK, tokencount.OVERLAP), (300, 16)):
         got = tokencount.token_counts(d, vocabulary, chunk=chunk, overlap=overlap).collect()
         assert {r["doc_id"]: r["n_tokens"] for r in got} == want
         assert all(r["n_bytes"] == len(texts[r["doc_id"]].encode()) and r["over_limit"] == (want[r["doc_id"]] > 2048) for r in got)
+        assert sum(r["n_chunks"] > 1 for r in got) > len(got) / 3  # ordinary documents take chunks
 
 
-def test_splices_hold_for_hostile_texts(vocabulary):
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_splices_hold_for_hostile_texts(name):
+    vocabulary = pytest.importorskip("public_tokenizers").path(name)
     rnd = random.Random(3)
     parts = ["a", "b", " ", "\n", "é", "\u0301", "<|endoftext|>", "'s", "日本", "\u00a0", "\x1c", "Σ", "🙂", "12"]
-    texts = ["a" * 4000, "", " \n", "é" * 900 + " " + "x\u0301 " * 50, "<|startoftext|>" * 60, None, *["".join(rnd.choice(parts) for _ in range(3000)) for _ in range(6)]]
-    want = tokencount.Counter(vocabulary).pieces([x or "" for x in texts])
+    texts = ["a" * 4000, "", " \n", "é" * 900 + " " + "x\u0301 " * 50, "<|startoftext|>" * 60, None, "  \n  " * 300, *["".join(rnd.choice(parts) for _ in range(3000)) for _ in range(6)]]
+    want = library(vocabulary, [x or "" for x in texts])
     for chunk, overlap in ((64, 8), (50, 1), (700, 90)):
         got = tokencount.Counter(vocabulary, chunk, overlap).count(texts)
         assert [x[0] for x in got] == want and sum(x[2] for x in got) > 0
 
 
+def test_vocabularies_without_a_proof_are_refused(vocabulary, tmp_path):
+    import json
+    from pathlib import Path
+
+    spec = json.loads(Path(vocabulary).read_text())
+    for change in ({"pre_tokenizer": None}, {"normalizer": {"type": "Prepend", "prepend": "_"}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="boundary"):
+            tokencount.proven(str(tmp_path / "v.json"))
+
+
 def test_token_counts_of_odd_rows(spark, vocabulary):
     got = tokencount.token_counts(odd(spark), vocabulary).collect()
     assert len(got) == 11 and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {0}
