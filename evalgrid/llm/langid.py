@@ -18,6 +18,7 @@ language are kept. What reaches the driver, and then every task, is at most
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,9 @@ from evalgrid.llm.common import modest_batches
 PROFILE_SIZE = 400
 #: A partition's pending n-grams are summed up when there are so many.
 _PENDING = 1 << 20
-_WORD = re.compile(r"[^\W\d_]+")
+#: Word characters that are numbers but not decimal digits, such as one half or a circled one: no letters either.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def grams(text: str | None) -> np.ndarray:
