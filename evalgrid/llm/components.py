@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import written
+from evalgrid.llm.common import discard, written
 
 
 def _to_smallest(links: DataFrame, at_least_self: bool) -> DataFrame:
     """Links from each node's neighbours to the smallest of them (and of itself).
 
     ``links`` are (u, v). The smallest neighbour is a plain aggregate, which
-    sums up within each task first, and is joined back; a hub's links are never
-    gathered in one place.
+    sums up within each task first, and is written and joined back; so both sides of the join are
+    plain tables, of which the adaptive planner splits a hub's links.
     """
     low = links.groupBy("u").agg(F.min("v").alias("low"))
-    low = low.withColumn("low", F.least("u", "low")) if at_least_self else low
+    low = written(low.withColumn("low", F.least("u", "low")) if at_least_self else low, "lows")
     out = links.join(low, "u")
     if at_least_self:
         return out.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
@@ -43,7 +43,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_smallest(both, at_least_self=True)
         small = _to_smallest(large.where("u <> v"), at_least_self=False)
-        now = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        before, now = now, written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        discard(before)
     else:
         raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     pairs = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")

@@ -36,13 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import mix32, mix64, modest_batches, shingle_hashes, written
+from evalgrid.llm.common import mix32, mix64, modest_batches, remix32, shingle_hashes, written
 from evalgrid.llm.components import components
 
 #: Partners of a class that are compared in one group.
 BLOCK = 128
-#: Members of an open bucket up to which pairs are formed, and shingles of a block of a larger one.
-PAIRED, BLOCK_SHINGLES = 12, 250_000
+#: Members of an open bucket up to which pairs are formed, and shingles and members of a block of a larger one.
+PAIRED, BLOCK_SHINGLES, BLOCK_MEMBERS = 12, 250_000, 128
 #: Shingles whose coordinates are computed at once; such a block stays in the CPU's cache.
 _AT_ONCE = 1 << 15
 _SCATTER = np.uint32(0x9E3779B9)
@@ -81,7 +81,7 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
         for b in range(bands):
             h = np.full(stop - start, b + 1, np.uint64)
             for k in range(b * rows, (b + 1) * rows):
-                least = np.minimum.reduceat(mix32(scattered + np.uint32(k)), at)
+                least = np.minimum.reduceat(remix32(scattered + np.uint32(k)), at)
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + least)
             out[start:stop, b] = h.view(np.int64)
         start = stop
@@ -124,11 +124,11 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= percent * union of their full sets.
 
+    ``n`` bounds the partners that a pair's bucket gives u; by it they are dealt to blocks, so nothing is counted by u.
     The texts of ``u`` and of a block of its partners ``v`` are brought together.
     An id with several texts in ``docs`` is linked if any of them is.
     """
-    many = pairs.groupBy("u").agg(F.count("*").alias("n"))
-    spread = pairs.join(many, "u").withColumn("salt", (F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / BLOCK))).cast("int"))
+    spread = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     spread = written(spread.select("u", "salt", "v"), "pairs")
     wanted = spread.select("u", "salt", F.col("v").alias("id"), F.lit(1).alias("side")).unionByName(
         spread.select("u", "salt").distinct().select("u", "salt", F.col("u").alias("id"), F.lit(0).alias("side"))
@@ -155,7 +155,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataF
 
 def _blockwise(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between members of a bucket that aren't connected yet; every two blocks of a bucket meet in one group."""
-    blocks = F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int")
+    blocks = F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("size") / BLOCK_MEMBERS)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     dealt = members.select("band", "hash", "root", F.col("doc_id").alias("id"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "id")
@@ -216,11 +216,11 @@ def component_table(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
     buckets = keys.groupBy("band", "hash").agg(F.min(F.struct("doc_id", "n_shingles")).alias("low"), F.count("*").alias("size")).where("size > 1")
     # Members of every bucket that has company, with the bucket's smallest class.
     members = written(
-        keys.join(buckets, ["band", "hash"]).select("band", "hash", "doc_id", "n_shingles", F.col("low.doc_id").alias("low"), F.col("low.n_shingles").alias("low_n")),
+        keys.join(buckets, ["band", "hash"]).select("band", "hash", "doc_id", "n_shingles", "size", F.col("low.doc_id").alias("low"), F.col("low.n_shingles").alias("low_n")),
         "members",
     )
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent  # noqa: E731  the smaller set bounds the intersection
-    star = members.where(F.col("low") != F.col("doc_id")).where(fits(F.col("low_n"), F.col("n_shingles"))).select(F.col("low").alias("u"), F.col("doc_id").alias("v")).distinct()
+    star = members.where(F.col("low") != F.col("doc_id")).where(fits(F.col("low_n"), F.col("n_shingles"))).groupBy(F.col("low").alias("u"), F.col("doc_id").alias("v")).agg(F.max("size").alias("n"))
     # Only texts with company are compared; they are picked out once, and the comparisons deal out these alone.
     wanted = members.select("doc_id").distinct()
     texts = written(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
@@ -240,7 +240,7 @@ def component_table(docs: DataFrame, n: int = 3, percent: int = 85, bands: int =
         a.join(b, ["band", "hash"])
         .where("a.root <> b.root AND a.doc_id < b.doc_id")
         .where(fits(F.col("a.n_shingles"), F.col("b.n_shingles")))
-        .select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v"))
+        .select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v"), F.lit(1).alias("n"))
         .distinct()
         .join(star, ["u", "v"], "left_anti")
     )

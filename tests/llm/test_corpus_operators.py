@@ -91,18 +91,20 @@ def test_decontamination_of_odd_rows_and_small_passes(spark, monkeypatch):
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(6000).select(F.concat(F.lit("host"), "id", F.lit(".example.org")).alias("key"))
     listed = universe.where(F.xxhash64("key") % 7 == 0)
-    cascade = urlfilter.build(listed, universe)
+    keys = urlfilter.universe_keys(listed, universe)
+    cascade = urlfilter.build(keys)
+    assert urlfilter.n_shards(keys) == 1 and urlfilter.n_shards(keys, 100) > 3
     rows = universe.select("key", *urlfilter.key_hashes(F.col("key")), (F.xxhash64("key") % 7 == 0)).toPandas()
     assert len(cascade.levels) > 1
     assert (cascade.contains(rows.iloc[:, 1].to_numpy(), rows.iloc[:, 2].to_numpy()) == rows.iloc[:, 3].to_numpy()).all()
 
 
-def test_urls_of_all_shapes_and_the_join_beyond_the_limit(spark):
+def test_urls_of_all_shapes_by_one_shard_and_by_many(spark):
     urls = [None, "", "no scheme", "http://A.Spam.Example.org", "http://spam.example.org/x?y#z", "ftp://notspam.example.org/en/", "https://x.com/en/a", "https://www.example.com/en/77?q", "https://xample.net/de/8", "https://b.example.net/de/8#f", "x://", "http://h?a/b", "http://h#a/b"]
     pages = spark.createDataFrame([(i, u, "extra") for i, u in enumerate(urls + urls[:2])], "page_id long, url string, host string")
     listed = spark.createDataFrame([("spam.example.org",), (None,), ("spam.example.org",)], "key string")
-    got, joined = ([tuple(r) for r in urlfilter.judge(pages, queries.RULES, listed, most).orderBy("page_id").collect()] for most in (urlfilter.MOST_BYTES, 0))
-    assert got == joined
+    got, sharded = ([tuple(r) for r in urlfilter.judge(pages, queries.RULES, listed, most).orderBy("page_id").collect()] for most in (urlfilter.SHARD_BYTES, 4))
+    assert got == sharded
     by = {r[0]: r[1:5] for r in got}
     assert by[0] == by[1] == by[2] == ("", "", None, "allow")
     assert by[3] == ("a.spam.example.org", "", None, "block") and by[4] == ("spam.example.org", "/x", None, "block") and by[5][3] == "allow"
@@ -360,6 +362,25 @@ def test_profiles_equal_a_plain_count(spark):
     assert got == want
 
 
+def test_distances_equal_a_plain_computation(spark):
+    d = table(spark, "documents")
+    model = langid.fit(d.where(~langid.held_out()))
+    profile = {lang: {} for lang in model.langs}
+    for lang, gram, rank in langid.profiles(d.where(~langid.held_out())).collect():
+        profile[lang][gram] = rank
+    for text in [r["text"] for r in d.collect()] + ["½ ² ①", "Ωmega ½ x²", "a"]:
+        counts = Counter(langid.grams(text).tolist())
+        own = sorted(counts, key=lambda g: (-counts[g], g))[: langid.PROFILE_SIZE]
+        far = {lang: sum(abs(ranks[g] - i) if g in ranks else langid.PROFILE_SIZE for i, g in enumerate(own)) for lang, ranks in profile.items()}
+        want = min(sorted(far), key=far.get) if own else "und"
+        got, score = model.predict(text)
+        assert got == want and score == pytest.approx(1 - far[want] / (langid.PROFILE_SIZE * len(own)) if own else 0)
+
+
+def test_numbers_are_no_letters():
+    assert not len(langid.grams("½ ² ① 12 Ⅷ ௧")) and len(langid.grams("x²"))
+
+
 def test_language_of_odd_rows(spark):
     model = langid.fit(table(spark, "documents"))
     got = langid.identify(odd(spark), model).collect()
@@ -519,7 +540,7 @@ def test_pages_with_clashing_columns(spark):
 # 10
 
 
-def test_top_k_with_ties_nulls_and_hot_vectors(spark):
+def test_top_k_with_ties_nulls_and_hot_vectors(spark, monkeypatch):
     rnd = np.random.default_rng(7)
     rows = [(i, [float(x) for x in rnd.normal(size=6)], "q") for i in range(300)] + [(1000 + i, [1.0] * 6, "hot") for i in range(150)]
     rows += [(2000, None, "n"), (2050, [1.0, None, 1.0, 1.0, 1.0, 1.0], "n"), (2100, [float("nan")] * 6, "n"), (2150, [float("inf")] * 6, "n"), (None, [1.0] * 6, "n"), (2200, [3.0], "n")]
@@ -527,11 +548,26 @@ def test_top_k_with_ties_nulls_and_hot_vectors(spark):
     whole = {i: np.append(np.floor(256 * np.array(x)), [0] * (6 - len(x))) for i, x, k in rows if i is not None and k != "n"} | {2200: np.array([768.0, 0, 0, 0, 0, 0])}
     want = {(q, n + 1, i, s) for q in whole if q % 50 == 0 for n, (s, i) in enumerate(sorted(((int(whole[q] @ y), i) for i, y in whole.items() if i != q), key=lambda x: (-x[0], x[1]))[:5])}
     assert {tuple(r) for r in topk.top_k(v, F.col("vec_id") % 50 == 0).collect()} == want
+    monkeypatch.setattr(topk, "QUERIES", 3)  # several passes
+    assert {tuple(r) for r in topk.top_k(v.repartition(5), F.col("vec_id") % 50 == 0).collect()} == want
     few = v.where("vec_id IN (0, 1, 2)")
     assert topk.top_k(few, F.col("vec_id") == 0).count() == 2
     assert topk.top_k(v.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids_large_scores_and_few_rows(spark):
+    rows = [(0, [2.0, 0.0]), (0, [1.0, 0.0]), (0, None), (1, [3.0, 1.0]), (2, [1.0, 5.0]), (2, [2.0, 5.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(v, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 3 * 256 * 256), (0, 2, 2, 2 * 256 * 256), (0, 3, 2, 256 * 256)]  # the least vector asks; equal ids take part each
+    big = spark.createDataFrame([(0, [1e5] * 4), (1, [3e5] * 4), (2, [3e5, 3e5, 3e5, 3e5 + 1 / 256])], "vec_id long, embedding array<double>")
+    assert [r["score"] for r in topk.top_k(big, F.col("vec_id") == 0).orderBy("rank").collect()] == [256**2 * 12 * 10**10 + 25600000, 256**2 * 12 * 10**10]
+    huge = spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="62 bits"):
+        topk.top_k(huge, F.col("vec_id") == 0).collect()
+    assert topk.top_k(v.limit(0), F.col("vec_id") == 0).count() == 0
+
+
 # the queries
 
 
