@@ -9,7 +9,8 @@
    score that a full copy would reach.
 
 The item side of the join (words and seeds) is sent to every task, but only ``MOST_WORDS``
-words of it at a time: a larger benchmark is handled in that many words per pass. Documents
+words of it at a time: a larger benchmark is handled in that many words per pass, each a further scan of the documents.
+The sorted benchmark goes through the driver, a part at a time. Documents
 are never shuffled, and no task holds more than a batch of them.
 """
 
@@ -73,13 +74,15 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """Benchmark items, and where in them each seed stands."""
-
-    def __init__(self, words: dict[int, np.ndarray], seeds: dict[int, np.ndarray]) -> None:
-        self.words = words
-        pairs = sorted((int(h), i) for i, hashes in seeds.items() for h in set(hashes.tolist()))
-        self.hashes = np.array([p[0] for p in pairs], np.uint64)
-        self.items = np.array([p[1] for p in pairs], np.int64)
+    """Benchmark texts with their items, and where each seed stands. Texts that share an item_id stay apart."""
+
+    def __init__(self, entries: list[tuple[int, np.ndarray]]) -> None:
+        self.ids, self.words = [i for i, _ in entries], [w for _, w in entries]
+        own = [np.unique(seed_hashes(w)) for w in self.words]
+        hashes = np.concatenate([np.empty(0, np.uint64), *own])
+        which = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        order = np.lexsort((which, hashes))
+        self.hashes, self.items = hashes[order], which[order]
         # Most n-grams of a corpus are no seeds; a bitmap of 2**20 places tells without a search.
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
@@ -100,6 +103,7 @@ class Items:
         items, places, which = self.hits(seed_hashes(words)) if len(words) else ((), (), ())
         if not len(items):
             return
+        found: dict[int, tuple[float, int, int]] = {}
         order = np.lexsort((places, items))
         items, places, which = items[order], places[order], which[order]
         for part in np.split(np.arange(len(items)), np.flatnonzero(np.diff(items)) + 1):
@@ -115,20 +119,23 @@ class Items:
                 score, start, stop = align(item, words[low:high])
                 if score / (MATCH * len(item)) > best[0]:
                     best = (score / (MATCH * len(item)), int(low + start), int(low + stop))
-            if best[0] >= threshold:
-                yield int(items[part[0]]), *best
+            item_id = self.ids[int(items[part[0]])]
+            if best[0] >= threshold and best[0] > found.get(item_id, (0.0,))[0]:
+                found[item_id] = best
+        for item_id, best in found.items():
+            yield item_id, *best
 
 
-def _items(benchmark: DataFrame) -> Iterator[dict[int, np.ndarray]]:
-    """The benchmark's items as word hashes, at most ``MOST_WORDS`` words at a time (one item at least)."""
-    held, size = {}, 0
+def _items(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The benchmark's texts as word hashes, at most ``MOST_WORDS`` words at a time (one text at least)."""
+    held, size = [], 0
     for item_id, text in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         words = word_hashes(text)
         if size and size + len(words) > MOST_WORDS:
             yield held
-            held, size = {}, 0
+            held, size = [], 0
         if len(words):
-            held[item_id] = np.concatenate([held[item_id], words]) if item_id in held else words
+            held.append((item_id, words))
             size += len(words)
     yield held
 
@@ -136,16 +143,16 @@ def _items(benchmark: DataFrame) -> Iterator[dict[int, np.ndarray]]:
 def _passes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
     """The item side of the join, sent to all tasks, for each part of the benchmark."""
     modest_batches(docs.sparkSession)
-    for words in _items(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))):
-        yield docs.sparkSession.sparkContext.broadcast(Items(words, {i: seed_hashes(w) for i, w in words.items()}))
+    for entries in _items(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))):
+        yield docs.sparkSession.sparkContext.broadcast(Items(entries))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, score, start_word, end_word``: the items that each whole text holds, copied or edited.
 
     The score is the best alignment's as a share of a full copy's (1). Null or empty texts and
-    items, and items without an id, match nothing. Repeated documents come out once each;
-    items that share an id are one. Other columns are ignored; empty tables give an empty one.
+    items, and items without an id, match nothing. Repeated documents come out once each; of unlike texts that
+    share an item_id the best match counts. Other columns are ignored; empty tables give an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
