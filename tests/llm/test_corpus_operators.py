@@ -77,6 +77,35 @@ def test_alignment_equals_plain_recurrence():
         assert decontaminate.align(a, w)[0] == h.max()
 
 
+def test_unlike_texts_of_one_item_are_matched_apart(spark):
+    rnd = random.Random(3)
+    long, short = ([f"w{rnd.randrange(4000)}" for _ in range(n)] for n in (60, 20))
+    bench = spark.createDataFrame([(7, " ".join(long)), (7, " ".join(short)), (8, " ".join(short))], "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, [(1, "a b c " + " ".join(short)), (2, " ".join(long)), (3, " ".join(short + long))]), bench)
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in found.collect()) == [(1, 7, 1.0), (1, 8, 1.0), (2, 7, 1.0), (3, 7, 1.0), (3, 8, 1.0)]
+
+
+def test_recall_of_heavily_edited_copies():
+    """Seeds against full alignment where up to four words in ten are replaced, dropped or followed by another."""
+    rnd = random.Random(8)
+    say = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    items = [say(40) for _ in range(60)]
+    found = decontaminate.Items([(i, decontaminate.word_hashes(" ".join(x))) for i, x in enumerate(items)])
+    for rate, least in ((0.1, 1.0), (0.2, 1.0), (0.3, 0.98), (0.4, 0.9)):
+        true = caught = 0
+        for i in list(range(60)) * 3:
+            copy = []
+            for w in items[i]:
+                way = rnd.randrange(3) if rnd.random() < rate else None
+                copy += {None: [w], 0: ["x"], 1: [], 2: [w, "y"]}[way]
+            text = " ".join(say(30) + copy + say(30))
+            score, _, _ = decontaminate.align(decontaminate.word_hashes(" ".join(items[i])), decontaminate.word_hashes(text))
+            if score >= decontaminate.THRESHOLD * decontaminate.MATCH * 40:
+                true += 1
+                caught += any(m[0] == i for m in found.matches(text, decontaminate.THRESHOLD))
+        assert true > 40 and caught >= least * true, (rate, caught, true)
+
+
 def test_decontamination_of_odd_rows_and_small_passes(spark, monkeypatch):
     bench = spark.createDataFrame([(1, None), (None, "one two three four"), (2, ""), (3, "one two three"), (4, "short")], "item_id long, text string")
     monkeypatch.setattr(decontaminate, "MOST_WORDS", 2)
@@ -219,7 +248,35 @@ def test_every_window_over_the_threshold_is_found_by_brute_force():
     for i, own in enumerate(found.sets):
         for at in range(len(hashes)):
             best[found.names[i]] = max(best[found.names[i]], len(set(hashes[at : at + found.lengths[i]].tolist()) & set(own.tolist())) / len(own))
-    assert {name for name, share in best.items() if share >= 0.8} == {x[0] for x in found.scan(text)} == {"GPL-3.0", "MIT"}
+    verified = {found.names[i] for i, low, high in found.retrieve(hashes) for _ in found.verify(i, hashes[low:high])}
+    assert {name for name, share in best.items() if share >= 0.8} == verified >= {"GPL-3.0", "MIT"}
+    assert {x[0] for x in found.scan(text)} == {"GPL-3.0", "MIT"}
+
+
+def test_shortened_notices_and_variants_are_told_apart():
+    found = licenses.Templates(licenses.TEMPLATES)
+    for text, name in (
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "MIT"),
+        ("Licensed under the MIT license", "MIT"),
+        ("you can use it under the terms of the GNU Lesser General Public License", "LGPL"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ):
+        assert [x[0] for x in found.scan(f"a b c d e f {text} u v w x y z")] == [name]
+
+
+def test_verification_equals_a_plain_count():
+    rnd = np.random.default_rng(6)
+    found = licenses.Templates({"a": [" ".join(f"w{x}" for x in rnd.integers(0, 4, 60))], "b": [" ".join(f"v{i}" for i in range(30))]}, contain=0.3)
+    for i, own in enumerate(found.sets):
+        hashes = np.concatenate([rnd.choice(own, 200), rnd.integers(0, 99, 60).astype(np.uint64)])
+        rnd.shuffle(hashes)
+        n, want = found.lengths[i], []
+        for start in np.flatnonzero(np.isin(hashes, own)).tolist():
+            part = hashes[start : start + n]
+            share = len(np.intersect1d(part, own)) / len(own)
+            if share >= 0.3:
+                want.append((share, start, start + int(np.flatnonzero(np.isin(part, own))[-1]) + 1))
+        assert list(found.verify(i, hashes)) == want
 
 
 def test_license_scan_of_odd_rows(spark):
