@@ -6,7 +6,7 @@ they are aggregates, so the draws are what is spread over the cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalgrid.functions.rng import draw
@@ -56,13 +56,33 @@ FROM (SELECT {keys}avg({value}) AS observed, stddev_samp({value}) AS sd, count({
   {join.replace('seen', f'(SELECT {keys}avg({value}) AS observed FROM {diffs} {group}) seen')} {group}) tests''')}"""
 
 
-def bootstrap(units: DataFrame, ordinal: str, value: str, n: int, seed: str, alpha: float = 0.05) -> DataFrame:
-    """Percentile bootstrap of a mean, with linear percentiles. ``ordinal`` numbers the units from 0 without gaps."""
-    size = units.agg(F.count("*").alias("size"))
-    drawn = times(units.crossJoin(size), n).select("perm", (draw(seed, "perm", ordinal) % F.col("size")).alias(ordinal))
-    means = drawn.join(units.select(ordinal, value), ordinal).groupBy("perm").agg(F.avg(value).alias("x"))
+#: Draws of permutation and bootstrap tests, and of those over pairs of cells (fixed values of the design).
+N_PERM, N_PERM_PAIRS = 10_000, 2_000
+
+
+def numbered(units: DataFrame, order: str, name: str = "unit") -> DataFrame:
+    """Units numbered from 0 without gaps. They are aggregates, a few thousand at most, so one sort is enough."""
+    return units.withColumn(name, (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
+
+
+def bootstrap(units: DataFrame, order: str, value: str, n: int, seed: str, alpha: float = 0.05) -> DataFrame:
+    """Percentile bootstrap of a mean, with linear percentiles; units are numbered by ``order``, whatever gaps it has."""
+    own = numbered(units.where(F.col(value).isNotNull()).select(order, value), order)
+    size = own.agg(F.count("*").alias("size"))
+    drawn = times(own.select("unit").crossJoin(size), n).select("perm", (draw(seed, "perm", "unit") % F.col("size")).alias("unit"))
+    means = drawn.join(own.select("unit", value), "unit").groupBy("perm").agg(F.avg(value).alias("x"))
     return means.agg(F.round(F.percentile("x", alpha / 2), 6).alias("low"), F.round(F.percentile("x", 1 - alpha / 2), 6).alias("high")).crossJoin(
-        units.agg(F.round(F.avg(value), 6).alias("mean"), F.count("*").alias("n_units")))
+        own.agg(F.round(F.avg(value), 6).alias("mean"), F.count("*").alias("n_units")))
+
+
+def bootstrap_sql(units: str, order: str, value: str, n: int, seed: str) -> str:
+    """The same interval in DuckDB's SQL."""
+    from evalgrid.functions.rng import draw_sql
+
+    own = f"(SELECT row_number() OVER (ORDER BY {order}) - 1 AS unit, {value} FROM {units} WHERE {value} IS NOT NULL)"
+    return f"""SELECT low, high, mean, n_units FROM (SELECT round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM (
+    SELECT perm, avg(v.{value}) AS x FROM (SELECT perm, {draw_sql(seed, 'perm', 'unit')} % (SELECT count(*) FROM {own}) AS pick FROM {own}, range(0::BIGINT, {n}::BIGINT) p(perm)) JOIN {own} v ON v.unit = pick GROUP BY perm)),
+  (SELECT round(avg({value}), 6) AS mean, count(*) AS n_units FROM {own})"""
 
 
 def line(x: Column, y: Column) -> list[Column]:

@@ -21,6 +21,22 @@ def prefix_within(df: DataFrame, by: list[str], coarse: Column, fine: list[Colum
     return out.where(F.col("cum") <= cap).drop("__coarse", "__base")
 
 
+def rank_within(df: DataFrame, by: list[str], coarse: Column, fine: list[Column | str], name: str) -> DataFrame:
+    """Row numbers from 1 within ``by`` in the order (coarse, fine).
+
+    Counts by the coarse key tell where each key's numbers begin, so only rows with one coarse key are sorted
+    together, and a key that holds a large share of all rows is spread over many tasks.
+    """
+    keyed = df.withColumn("__coarse", coarse)
+    counts = keyed.groupBy(*by, "__coarse").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__coarse").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    keys = [*by, "__coarse"]
+    joined = keyed.alias("k").join(begins.alias("s"), [F.col(f"k.{c}").eqNullSafe(F.col(f"s.{c}")) for c in keys]).select("k.*", "s.__base")
+    within = Window.partitionBy(*keys).orderBy(*fine)
+    return joined.withColumn(name, F.col("__base") + F.row_number().over(within)).drop("__coarse", "__base")
+
+
 def smallest(df: DataFrame, draw: Column, ties: list[str], k: int, bits: int = 12) -> DataFrame:
     """The k rows with the smallest 32-bit draws; equal draws in the order of ``ties``.
 

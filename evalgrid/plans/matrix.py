@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from evalgrid.functions.rng import draw, draw_sql
 from evalgrid.operators import evals
-from evalgrid.operators.resampling import bootstrap, line, line_sql, sign_flips, sign_flips_sql, times
+from evalgrid.operators.resampling import N_PERM, N_PERM_PAIRS, bootstrap, bootstrap_sql, line, line_sql, numbered, sign_flips, sign_flips_sql, times
+from evalgrid.operators.selection import rank_within
 from evalgrid.plans import register
 from evalgrid.plans.ctes import sql
 from evalgrid.sources import bindings as b
@@ -245,20 +246,20 @@ def win04(spark: S, d: str) -> DataFrame:
 DIFFS = {"diffs": f"SELECT src, diff FROM ({PER_SOURCE}) WHERE diff IS NOT NULL"}
 
 
-@register("stat01_sign_flip", sql(sign_flips_sql("diffs", "src", "diff", 2000, "flip"), "matrix", more=CLASSED | DIFFS))
+@register("stat01_sign_flip", sql(sign_flips_sql("diffs", "src", "diff", N_PERM, "flip"), "matrix", more=CLASSED | DIFFS))
 def stat01(spark: S, d: str) -> DataFrame:
-    return sign_flips(per_source(spark, d).where("diff IS NOT NULL").select("src", "diff"), "src", "diff", 2000, "flip")
+    return sign_flips(per_source(spark, d).where("diff IS NOT NULL").select("src", "diff"), "src", "diff", N_PERM, "flip")
 
 
 UNIT_DIFFS = {**SITE, "unit_diffs": "SELECT a.arm, a.grp, a.version * 10 + a.seed AS unit, o.m - a.m AS diff FROM site_units a JOIN site_units o ON o.arm = 'L_' || a.grp AND o.grp = a.grp AND o.version = a.version AND o.seed = a.seed WHERE a.arm <> o.arm"}
 
 
-@register("jn09_paired_unit_tests", sql(sign_flips_sql("unit_diffs", "unit", "diff", 500, "units", ["arm", "grp"]), "evals", more=UNIT_DIFFS))
+@register("jn09_paired_unit_tests", sql(sign_flips_sql("unit_diffs", "unit", "diff", N_PERM, "units", ["arm", "grp"]), "evals", more=UNIT_DIFFS))
 def jn09(spark: S, d: str) -> DataFrame:
     u = site_units(spark, d)
     mine = u.where(own()).select("grp", "version", "seed", F.col("m").alias("own_m"))
     diffs = u.where(~own()).join(mine, ["grp", "version", "seed"]).select("arm", "grp", (F.col("version") * 10 + F.col("seed")).alias("unit"), (F.col("own_m") - F.col("m")).alias("diff"))
-    return sign_flips(diffs, "unit", "diff", 500, "units", ["arm", "grp"])
+    return sign_flips(diffs, "unit", "diff", N_PERM, "units", ["arm", "grp"])
 
 
 POINTS = {"points": f"SELECT * FROM ({DECAY}) WHERE same_env AND value IS NOT NULL"}
@@ -271,16 +272,16 @@ def ranked_points(spark: S, d: str) -> DataFrame:
     return p.select("src", "dst", rank("gap").alias("rx"), rank("value").alias("ry"), F.row_number().over(Window.orderBy("src", "dst")).cast("long").alias("pos"))
 
 
-@register("stat02_spearman", sql(f"""SELECT n, round(rho, 6) AS rho, (1 + hits) / 501.0::DOUBLE AS p FROM (SELECT count(*) AS n, corr(rx, ry) AS rho FROM ({RANKED})), (
+@register("stat02_spearman", sql(f"""SELECT n, round(rho, 6) AS rho, (1 + hits) / {N_PERM_PAIRS + 1}.0::DOUBLE AS p FROM (SELECT count(*) AS n, corr(rx, ry) AS rho FROM ({RANKED})), (
     SELECT count(*) FILTER (abs(r) >= abs(o) - 1e-12) AS hits FROM (SELECT perm, corr(a.rx, z.ry) AS r FROM (
-      SELECT perm, rx, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql('rho', 'perm', 'pos')}, pos) AS slot FROM ({RANKED}), range(0::BIGINT, 500::BIGINT) p(perm)) a JOIN ({RANKED}) z ON z.pos = a.slot GROUP BY perm), (SELECT corr(rx, ry) AS o FROM ({RANKED})))""", "matrix", more=POINTS))
+      SELECT perm, rx, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql('rho', 'perm', 'pos')}, pos) AS slot FROM ({RANKED}), range(0::BIGINT, {N_PERM_PAIRS}::BIGINT) p(perm)) a JOIN ({RANKED}) z ON z.pos = a.slot GROUP BY perm), (SELECT corr(rx, ry) AS o FROM ({RANKED})))""", "matrix", more=POINTS))
 def stat02(spark: S, d: str) -> DataFrame:
     r = ranked_points(spark, d)
     slot = F.row_number().over(Window.partitionBy("perm").orderBy(draw("rho", "perm", "pos"), "pos"))
-    moved = times(r.select("pos", "rx"), 500).withColumn("slot", slot.cast("long")).join(r.select(F.col("pos").alias("slot"), "ry"), "slot").groupBy("perm").agg(F.corr("rx", "ry").alias("r"))
+    moved = times(r.select("pos", "rx"), N_PERM_PAIRS).withColumn("slot", slot.cast("long")).join(r.select(F.col("pos").alias("slot"), "ry"), "slot").groupBy("perm").agg(F.corr("rx", "ry").alias("r"))
     seen = r.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
     hits = moved.crossJoin(seen).agg(F.count_if(F.abs("r") >= F.abs("rho") - 1e-12).alias("hits"))
-    return seen.crossJoin(hits).select("n", F.round("rho", 6).alias("rho"), ((1 + F.col("hits")) / 501).alias("p"))
+    return seen.crossJoin(hits).select("n", F.round("rho", 6).alias("rho"), ((1 + F.col("hits")) / (N_PERM_PAIRS + 1)).alias("p"))
 
 
 @register("stat03_ols", "SELECT l_returnflag, " + line_sql("l_quantity", "l_extendedprice") + " FROM lineitem GROUP BY 1")
@@ -288,77 +289,170 @@ def stat03(spark: S, d: str) -> DataFrame:
     return b.table(spark, d, "lineitem").groupBy("l_returnflag").agg(*line(F.col("l_quantity"), F.col("l_extendedprice")))
 
 
-BOOT = {"boot_units": "SELECT src AS u, diff FROM diffs"}
+@register("stat03_slope_permutation", sql(f"""SELECT n, round(slope, 6) AS slope, round(r2, 6) AS r2, (1 + hits) / {N_PERM_PAIRS + 1}.0::DOUBLE AS p FROM (SELECT count(*) AS n, regr_slope(value, gap) AS slope, corr(gap, value) ** 2 AS r2 FROM points), (
+    SELECT count(*) FILTER (abs(b) >= abs(o) - 1e-12) AS hits FROM (SELECT perm, regr_slope(z.value, a.gap) AS b FROM (
+      SELECT perm, gap, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql('slope', 'perm', 'pos')}, pos) AS slot FROM numbered_points, range(0::BIGINT, {N_PERM_PAIRS}::BIGINT) p(perm)) a JOIN numbered_points z ON z.pos = a.slot GROUP BY perm), (SELECT regr_slope(value, gap) AS o FROM points))""",
+    "matrix", more=POINTS | {"numbered_points": "SELECT *, row_number() OVER (ORDER BY src, dst) AS pos FROM points"}))
+def stat03b(spark: S, d: str) -> DataFrame:
+    """The slope of transfer over the gap of years, with a permutation p: values are dealt anew to the gaps."""
+    points = decay_points(spark, d).where("same_env AND value IS NOT NULL")
+    r = points.withColumn("pos", F.row_number().over(Window.orderBy("src", "dst")).cast("long"))
+    slot = F.row_number().over(Window.partitionBy("perm").orderBy(draw("slope", "perm", "pos"), "pos")).cast("long")
+    moved = times(r.select("pos", "gap"), N_PERM_PAIRS).withColumn("slot", slot).join(r.select(F.col("pos").alias("slot"), "value"), "slot").groupBy("perm").agg(F.regr_slope("value", "gap").alias("b"))
+    seen = r.agg(F.count("*").alias("n"), F.regr_slope("value", "gap").alias("slope"), F.pow(F.corr("gap", "value"), 2).alias("r2"))
+    hits = moved.crossJoin(seen).agg(F.count_if(F.abs("b") >= F.abs("slope") - 1e-12).alias("hits"))
+    return seen.crossJoin(hits).select("n", F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"), ((1 + F.col("hits")) / (N_PERM_PAIRS + 1)).alias("p"))
 
 
-@register("stat04_bootstrap_mean", sql(f"""SELECT low, high, mean, n_units FROM (SELECT round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM (
-    SELECT perm, avg(v.diff) AS x FROM (SELECT perm, {draw_sql('boot', 'perm', 'u')} % (SELECT count(*) FROM boot_units) AS pick FROM boot_units, range(0::BIGINT, 2000::BIGINT) p(perm)) JOIN boot_units v ON v.u = pick GROUP BY perm)),
-  (SELECT round(avg(diff), 6) AS mean, count(*) AS n_units FROM boot_units)""", "matrix", more=CLASSED | DIFFS | BOOT))
+@register("stat04_bootstrap_mean", sql(bootstrap_sql("diffs", "src", "diff", N_PERM, "boot"), "matrix", more=CLASSED | DIFFS))
 def stat04(spark: S, d: str) -> DataFrame:
-    return bootstrap(per_source(spark, d).where("diff IS NOT NULL").select(F.col("src").alias("u"), "diff"), "u", "diff", 2000, "boot")
+    return bootstrap(per_source(spark, d).select("src", "diff"), "src", "diff", N_PERM, "boot")
 
 
-@register("stat05_cluster_bootstrap", sql(f"""SELECT round(quantile_cont(t, 0.025), 6) AS theme_low, round(quantile_cont(t, 0.975), 6) AS theme_high, round(quantile_cont(t - e, 0.025), 6) AS diff_low, round(quantile_cont(t - e, 0.975), 6) AS diff_high FROM (
-    SELECT perm, avg(v.theme) AS t, avg(v.env) AS e FROM (SELECT perm, {draw_sql('cluster', 'perm', 'src')} % 25 AS pick FROM ({PER_SOURCE}), range(0::BIGINT, 1000::BIGINT) p(perm)) JOIN ({PER_SOURCE}) v ON v.src = pick GROUP BY perm)""", "matrix", more=CLASSED))
+CLUSTERS = {"clusters": f"SELECT row_number() OVER (ORDER BY src) - 1 AS unit, theme, env FROM ({PER_SOURCE}) WHERE theme IS NOT NULL OR env IS NOT NULL"}
+
+
+@register("stat05_cluster_bootstrap", sql(f"""SELECT round(quantile_cont(t, 0.025), 6) AS theme_low, round(quantile_cont(t, 0.975), 6) AS theme_high, round(quantile_cont(e, 0.025), 6) AS env_low, round(quantile_cont(e, 0.975), 6) AS env_high, round(quantile_cont(t - e, 0.025), 6) AS diff_low, round(quantile_cont(t - e, 0.975), 6) AS diff_high FROM (
+    SELECT perm, avg(v.theme) AS t, avg(v.env) AS e FROM (SELECT perm, {draw_sql('cluster', 'perm', 'unit')} % (SELECT count(*) FROM clusters) AS pick FROM clusters, range(0::BIGINT, {N_PERM}::BIGINT) p(perm)) JOIN clusters v ON v.unit = pick GROUP BY perm)""", "matrix", more=CLASSED | CLUSTERS))
 def stat05(spark: S, d: str) -> DataFrame:
-    u = per_source(spark, d).select("src", "theme", "env")
-    drawn = times(u.select("src"), 1000).select("perm", (draw("cluster", "perm", "src") % 25).alias("src"))
-    means = drawn.join(u, "src").groupBy("perm").agg(F.avg("theme").alias("t"), F.avg("env").alias("e"))
+    """Both means and their difference from one resample of the cells that have any."""
+    u = numbered(per_source(spark, d).where("theme IS NOT NULL OR env IS NOT NULL").select("src", "theme", "env"), "src")
+    size = u.agg(F.count("*").alias("size"))
+    drawn = times(u.select("unit").crossJoin(size), N_PERM).select("perm", (draw("cluster", "perm", "unit") % F.col("size")).alias("unit"))
+    means = drawn.join(u, "unit").groupBy("perm").agg(F.avg("theme").alias("t"), F.avg("env").alias("e"))
     q = lambda c, p, n: F.round(F.percentile(c, p), 6).alias(n)
     diff = F.col("t") - F.col("e")
-    return means.agg(q("t", 0.025, "theme_low"), q("t", 0.975, "theme_high"), q(diff, 0.025, "diff_low"), q(diff, 0.975, "diff_high"))
+    return means.agg(q("t", 0.025, "theme_low"), q("t", 0.975, "theme_high"), q("e", 0.025, "env_low"), q("e", 0.975, "env_high"), q(diff, 0.025, "diff_low"), q(diff, 0.975, "diff_high"))
 
 
-@register("stat06_label_permutation", sql(f"""SELECT round(any_value(o), 6) AS observed, (1 + count(*) FILTER (abs(x) >= abs(o) - 1e-12)) / 201 AS p FROM (
+@register("stat06_label_permutation", sql(f"""SELECT round(any_value(o), 6) AS observed, (1 + count(*) FILTER (abs(x) >= abs(o) - 1e-12)) / {N_PERM_PAIRS + 1} AS p FROM (
     SELECT s.perm, avg(value) FILTER (le = re AND s.src <> z.src) - avg(value) FILTER (ln = rn AND le <> re) AS x FROM
       (SELECT p.perm, p.cell AS src, c.era AS le, c.env AS ln FROM slots p JOIN cells c ON c.cell = p.slot) s
       JOIN (SELECT p.perm, p.cell AS src, c.era AS re, c.env AS rn FROM slots p JOIN cells c ON c.cell = p.slot) z ON s.perm = z.perm JOIN matrix m ON m.src = s.src AND m.dst = z.src GROUP BY s.perm),
-  (SELECT avg(value) FILTER (kind = 'theme') - avg(value) FILTER (kind = 'env') AS o FROM classed)""", "matrix", more=CLASSED | {"slots": f"SELECT perm, cell, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql('label', 'perm', 'cell')}, cell) - 1 AS slot FROM cells, range(0::BIGINT, 200::BIGINT) r(perm)"}))
+  (SELECT avg(value) FILTER (kind = 'theme') - avg(value) FILTER (kind = 'env') AS o FROM classed)""", "matrix", more=CLASSED | {"slots": f"SELECT perm, cell, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql('label', 'perm', 'cell')}, cell) - 1 AS slot FROM cells, range(0::BIGINT, {N_PERM_PAIRS}::BIGINT) r(perm)"}))
 def stat06(spark: S, d: str) -> DataFrame:
     c = b.cells(spark, d)
     slot = (F.row_number().over(Window.partitionBy("perm").orderBy(draw("label", "perm", "cell"), "cell")) - 1).cast("long")
-    labels = times(c.select("cell"), 200).withColumn("slot", slot).join(c.select(F.col("cell").alias("slot"), "env", "era"), "slot").select("perm", "cell", "env", "era")
+    labels = times(c.select("cell"), N_PERM_PAIRS).withColumn("slot", slot).join(c.select(F.col("cell").alias("slot"), "env", "era"), "slot").select("perm", "cell", "env", "era")
     m = b.transfer(spark, d).where("value IS NOT NULL AND src <> dst").select("src", "dst", "value")
     side = lambda n: labels.select("perm", F.col("cell").alias(n), F.col("env").alias(f"{n}_env"), F.col("era").alias(f"{n}_era"))
     moved = m.join(F.broadcast(side("src")), "src").join(F.broadcast(side("dst")), ["perm", "dst"])
     x = F.avg(F.when(F.col("src_era") == F.col("dst_era"), F.col("value"))) - F.avg(F.when((F.col("src_env") == F.col("dst_env")) & (F.col("src_era") != F.col("dst_era")), F.col("value")))
     seen = classed(spark, d).agg((F.avg(F.when(F.col("kind") == "theme", F.col("value"))) - F.avg(F.when(F.col("kind") == "env", F.col("value")))).alias("o"))
-    return moved.groupBy("perm").agg(x.alias("x")).crossJoin(seen).agg(F.round(F.max("o"), 6).alias("observed"), ((1 + F.count_if(F.abs("x") >= F.abs("o") - 1e-12)) / 201).alias("p"))
+    return moved.groupBy("perm").agg(x.alias("x")).crossJoin(seen).agg(F.round(F.max("o"), 6).alias("observed"), ((1 + F.count_if(F.abs("x") >= F.abs("o") - 1e-12)) / (N_PERM_PAIRS + 1)).alias("p"))
+
+
+NORMAL_DIFFS = {
+    "normals": f"SELECT *, {KIND_SQL} AS kind FROM ({NORMAL})",
+    "normal_diffs": "SELECT src, diff FROM (SELECT src, avg(normal) FILTER (kind = 'theme') - avg(normal) FILTER (kind = 'env') AS diff FROM normals GROUP BY 1) WHERE diff IS NOT NULL",
+}
+
 
+def ladder_sql(tests: str) -> str:
+    return f"SELECT observed, p_two, CASE WHEN observed IS NULL OR p_two IS NULL OR p_two >= 0.05 OR abs(observed) < 0.02 THEN 'inconclusive' WHEN observed > 0 THEN 'organizes_by_theme' ELSE 'organizes_by_environment' END AS verdict FROM ({tests})"
 
-@register("stat07_verdict", sql(f"SELECT observed AS difference, p_two, CASE WHEN p_two IS NULL THEN 'inconclusive' WHEN p_two >= 0.05 THEN 'inconclusive' WHEN abs(observed) < 0.02 THEN 'inconclusive' WHEN observed > 0 THEN 'organizes_by_theme' ELSE 'organizes_by_environment' END AS verdict FROM ({sign_flips_sql('diffs', 'src', 'diff', 2000, 'flip')})", "matrix", more=CLASSED | DIFFS))
+
+def ladder(tests: DataFrame) -> DataFrame:
+    """The decision on one matrix: significant at .05 and an effect of .02 at least, else inconclusive."""
+    undecided = F.col("observed").isNull() | F.col("p_two").isNull() | (F.col("p_two") >= 0.05) | (F.abs("observed") < 0.02)
+    return tests.select("observed", "p_two", F.when(undecided, "inconclusive").when(F.col("observed") > 0, "organizes_by_theme").otherwise("organizes_by_environment").alias("verdict"))
+
+
+@register("stat07_verdict", sql(f"""SELECT r.observed AS raw_difference, r.p_two AS raw_p, r.verdict AS raw_verdict, z.observed AS normal_difference, z.p_two AS normal_p, z.verdict AS normal_verdict, usable, CASE WHEN usable THEN z.verdict ELSE r.verdict END AS verdict, r.verdict <> z.verdict AS disagree
+  FROM ({ladder_sql(sign_flips_sql('diffs', 'src', 'diff', N_PERM, 'flip'))}) r, ({ladder_sql(sign_flips_sql('normal_diffs', 'src', 'diff', N_PERM, 'flip'))}) z, (SELECT count(DISTINCT dst) FILTER (NOT kept) < count(DISTINCT dst) // 2 AS usable FROM normals)""", "matrix", more=CLASSED | DIFFS | NORMAL_DIFFS))
 def stat07(spark: S, d: str) -> DataFrame:
-    t = stat01(spark, d)
-    undecided = F.col("p_two").isNull() | (F.col("p_two") >= 0.05) | (F.abs("observed") < 0.02)
-    return t.select(F.col("observed").alias("difference"), "p_two", F.when(undecided, "inconclusive").when(F.col("observed") > 0, "organizes_by_theme").otherwise("organizes_by_environment").alias("verdict"))
+    """The ladder on the raw and on the normalised matrix; the normalised one leads while it is usable."""
+    raw = ladder(sign_flips(per_source(spark, d).where("diff IS NOT NULL").select("src", "diff"), "src", "diff", N_PERM, "flip"))
+    of = lambda k: F.avg(F.when(F.col("kind") == k, F.col("normal")))
+    normal = normalised(spark, d).withColumn("kind", kind()).groupBy("src").agg((of("theme") - of("env")).alias("diff")).where("diff IS NOT NULL")
+    second = ladder(sign_flips(normal, "src", "diff", N_PERM, "flip"))
+    both = raw.toDF("raw_difference", "raw_p", "raw_verdict").crossJoin(second.toDF("normal_difference", "normal_p", "normal_verdict")).crossJoin(jn08b(spark, d).select("usable"))
+    return both.withColumn("verdict", F.when(F.col("usable"), F.col("normal_verdict")).otherwise(F.col("raw_verdict"))).withColumn("disagree", F.col("raw_verdict") != F.col("normal_verdict"))
 
 
 SCORES = {"pair_diffs": "SELECT a.era * 1000 + a.seed * 231 + a.task_id AS unit, a.m - z.m AS diff, a.m >= 1 AS wa, z.m >= 1 AS wz FROM (SELECT task_id, seed, era, avg(reward) AS m FROM evals WHERE arm = 'L_wiki' GROUP BY ALL) a JOIN (SELECT task_id, seed, era, avg(reward) AS m FROM evals WHERE arm = 'M_all' GROUP BY ALL) z USING (task_id, seed, era)"}
+CONTROL = "CASE WHEN p IS NULL THEN 'inconclusive' WHEN p >= 0.05 OR coalesce(abs(dz) < 0.2, false) THEN 'does_nothing' WHEN observed > 0 THEN 'functional' ELSE 'harmful' END"
 
 
-@register("stat09_random_control", sql(f"SELECT t.*, b, c, CASE WHEN p_two >= 0.05 THEN 'does_nothing' WHEN observed > 0 THEN 'functional' ELSE 'harmful' END AS verdict FROM ({sign_flips_sql('pair_diffs', 'unit', 'diff', 200, 'control')}) t, (SELECT count(*) FILTER (wa AND NOT wz) AS b, count(*) FILTER (wz AND NOT wa) AS c FROM pair_diffs)", "evals", more=SCORES))
-def stat09(spark: S, d: str) -> DataFrame:
+def control_verdict():
+    """Whether an adapter beats its random control: significant at .05 with an effect of .2 deviations at least."""
+    return F.when(F.col("p").isNull(), "inconclusive").when((F.col("p") >= 0.05) | F.coalesce(F.abs("dz") < 0.2, F.lit(False)), "does_nothing").when(F.col("observed") > 0, "functional").otherwise("harmful")
+
+
+def pair_scores(spark: S, d: str) -> DataFrame:
     from evalgrid.plans.records import paired
 
-    p = paired(spark, d).select((F.col("era") * 1000 + F.col("seed") * 231 + F.col("task_id")).alias("unit"), (F.col("ma") - F.col("mb")).alias("diff"), (F.col("ma") >= 1).alias("wa"), (F.col("mb") >= 1).alias("wz"))
+    return paired(spark, d).select((F.col("era") * 1000 + F.col("seed") * 231 + F.col("task_id")).alias("unit"), (F.col("ma") - F.col("mb")).alias("diff"), (F.col("ma") >= 1).alias("wa"), (F.col("mb") >= 1).alias("wz"))
+
+
+@register("stat09_random_control", sql(f"SELECT n_units, observed, p, dz, low, high, b, c, {CONTROL} AS verdict FROM (SELECT n_units, observed, p_two AS p, d_z AS dz FROM ({sign_flips_sql('pair_diffs', 'unit', 'diff', N_PERM_PAIRS, 'control')})) t, (SELECT low, high FROM ({bootstrap_sql('pair_diffs', 'unit', 'diff', N_PERM_PAIRS, 'control-ci')})) i, (SELECT count(*) FILTER (wa AND NOT wz) AS b, count(*) FILTER (wz AND NOT wa) AS c FROM pair_diffs)", "evals", more=SCORES))
+def stat09(spark: S, d: str) -> DataFrame:
+    """The paired control: sign flips, an interval of the mean difference, and the discordant pairs."""
+    p = pair_scores(spark, d)
     counts = p.agg(F.count_if(F.col("wa") & ~F.col("wz")).alias("b"), F.count_if(F.col("wz") & ~F.col("wa")).alias("c"))
-    t = sign_flips(p.select("unit", "diff"), "unit", "diff", 200, "control").crossJoin(counts)
-    return t.withColumn("verdict", F.when(F.col("p_two") >= 0.05, "does_nothing").when(F.col("observed") > 0, "functional").otherwise("harmful"))
+    t = sign_flips(p.select("unit", "diff"), "unit", "diff", N_PERM_PAIRS, "control").select("n_units", "observed", F.col("p_two").alias("p"), F.col("d_z").alias("dz"))
+    interval = bootstrap(p.select("unit", "diff"), "unit", "diff", N_PERM_PAIRS, "control-ci").select("low", "high")
+    return t.crossJoin(interval).crossJoin(counts).withColumn("verdict", control_verdict())
+
+
+POOLED = {
+    "pooled": "SELECT row_number() OVER (ORDER BY g DESC, unit) - 1 AS i, g, x, count(*) FILTER (g) OVER () AS k FROM (SELECT true AS g, era * 1000 + seed * 231 + task_id AS unit, avg(reward) AS x FROM evals WHERE arm = 'L_wiki' GROUP BY ALL UNION ALL SELECT false, era * 1000 + seed * 231 + task_id, avg(reward) FROM evals WHERE arm = 'M_all' GROUP BY ALL)",
+    "dealt": f"SELECT perm, x, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql('unpaired', 'perm', 'i')}, i) <= k AS side FROM pooled, range(0::BIGINT, 500::BIGINT) p(perm)",
+    "observed_arms": "SELECT avg(x) FILTER (g) - avg(x) FILTER (NOT g) AS o, sqrt((var_samp(x) FILTER (g) + var_samp(x) FILTER (NOT g)) / 2) AS sd FROM pooled",
+}
+
+
+@register("stat09_unpaired_control", sql(f"SELECT observed, p, dz, {CONTROL} AS verdict FROM (SELECT round(any_value(o), 6) AS observed, (1 + count(*) FILTER (abs(t) >= abs(o) - 1e-12)) / 501.0::DOUBLE AS p, round(any_value(o / sd), 6) AS dz FROM (SELECT perm, avg(x) FILTER (side) - avg(x) FILTER (NOT side) AS t FROM dealt GROUP BY perm), observed_arms)", "evals", more=POOLED))
+def stat09b(spark: S, d: str, n: int = 500) -> DataFrame:
+    """The unpaired control: labels of the arms are dealt anew. Its units are some thousands, so the draws number ``n``."""
+    e = b.eval_records(spark, d).where(F.col("arm").isin("L_wiki", "M_all"))
+    x = e.groupBy((F.col("arm") == "L_wiki").alias("g"), (F.col("era") * 1000 + F.col("seed") * 231 + F.col("task_id")).alias("unit")).agg(F.avg("reward").alias("x"))
+    pooled = x.withColumn("i", (F.row_number().over(Window.orderBy(F.desc("g"), "unit")) - 1).cast("long")).crossJoin(x.agg(F.count_if("g").alias("k")))
+    side = F.row_number().over(Window.partitionBy("perm").orderBy(draw("unpaired", "perm", "i"), "i")) <= F.col("k")
+    moved = times(pooled, n).withColumn("side", side).groupBy("perm").agg((F.avg(F.when(F.col("side"), F.col("x"))) - F.avg(F.when(~F.col("side"), F.col("x")))).alias("t"))
+    arm = lambda f, own: f(F.when(F.col("g") if own else ~F.col("g"), F.col("x")))
+    seen = x.agg((arm(F.avg, True) - arm(F.avg, False)).alias("o"), F.sqrt((arm(F.var_samp, True) + arm(F.var_samp, False)) / 2).alias("sd"))
+    out = moved.crossJoin(seen).agg(F.round(F.max("o"), 6).alias("observed"), ((1 + F.count_if(F.abs("t") >= F.abs("o") - 1e-12)) / (n + 1)).alias("p"), F.round(F.max(F.col("o") / F.col("sd")), 6).alias("dz"))
+    return out.withColumn("verdict", control_verdict())
 
 
 @register("stat10_stratified_split", f"SELECT vec_id, label, CASE WHEN rn <= greatest(1, least(n - 1, round(0.3 * n))) THEN 'test' ELSE 'train' END AS side FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {draw_sql('split', 'vec_id')}, vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings)")
 def stat10(spark: S, d: str) -> DataFrame:
-    w = Window.partitionBy("label")
-    e = b.table(spark, d, "embeddings").select("vec_id", "label", F.row_number().over(w.orderBy(draw("split", "vec_id"), "vec_id")).alias("rn"), F.count("*").over(w).alias("n"))
+    """A share of each class is held out. Ranks are taken within ranges of the draws, whose counts are summed up first, so a large class is sorted in many tasks."""
+    e = b.table(spark, d, "embeddings").select("vec_id", "label").withColumn("u", draw("split", "vec_id"))
+    ranked = rank_within(e, ["label"], F.shiftright("u", 24), ["u", "vec_id"], "rn")
     most = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.round(0.3 * F.col("n"))))
-    return e.select("vec_id", "label", F.when(F.col("rn") <= most, "test").otherwise("train").alias("side"))
-
-
-@register("stat13_trust_gate", sql("SELECT check_name, ok, bool_and(ok) OVER () AS trusted FROM (SELECT 'episodes' AS check_name, count(*) > 0 AS ok FROM episodes UNION ALL SELECT 'zero_steps', count(*) FILTER (n_steps = 0) = 0 FROM episodes UNION ALL SELECT 'matrix_filled', count(value) = count(*) FROM matrix UNION ALL SELECT 'probe', false FROM (SELECT count(*) FROM embeddings WHERE label IS NULL))", "episodes", "matrix"))
+    return ranked.join(F.broadcast(e.groupBy("label").agg(F.count("*").alias("n"))), "label").select("vec_id", "label", F.when(F.col("rn") <= most, "test").otherwise("train").alias("side"))
+
+
+@register("stat10_grouped_holdout", f"""WITH groups AS (SELECT g, row_number() OVER (ORDER BY {draw_sql('groups', 'g')}, g) <= greatest(1, round(0.3 * count(*) OVER ())) AS test FROM (SELECT DISTINCT source AS g FROM documents WHERE source IS NOT NULL))
+  SELECT lang AS label, count(*) FILTER (test) AS n_test, count(*) FILTER (NOT test) AS n_train, count(*) FILTER (NOT test) = 0 AS absent_from_train, count(DISTINCT source) FILTER (test) AS test_groups FROM documents JOIN groups ON g = source GROUP BY 1""")
+def stat10b(spark: S, d: str) -> DataFrame:
+    """Whole groups go to one side; fewer than four can't be split. Classes that the training side lacks are marked."""
+    docs = b.table(spark, d, "documents").select("source", "lang").where("source IS NOT NULL")
+    groups = docs.select(F.col("source").alias("g")).distinct()
+    n = groups.count()
+    if n < 4:
+        raise ValueError(f"a grouped split needs four groups at least, not {n}")
+    sides = groups.withColumn("test", F.row_number().over(Window.orderBy(draw("groups", "g"), "g")) <= F.greatest(F.lit(1), F.round(0.3 * F.lit(n))))
+    g = docs.join(F.broadcast(sides), F.col("source") == F.col("g")).groupBy(F.col("lang").alias("label"))
+    train = F.count_if(~F.col("test"))
+    return g.agg(F.count_if("test").alias("n_test"), train.alias("n_train"), (train == 0).alias("absent_from_train"), F.count_distinct(F.when(F.col("test"), F.col("source"))).alias("test_groups"))
+
+
+@register("stat13_trust_gate", sql("""SELECT check_name, required, status, required AND status <> 'ok' AS blocking, NOT bool_or(required AND status <> 'ok') OVER () AS trusted FROM (
+    SELECT 'episodes' AS check_name, true AS required, CASE WHEN count(*) = 0 THEN 'skipped' WHEN count(*) FILTER (n_steps = 0) * 2 > count(*) THEN 'failed' ELSE 'ok' END AS status FROM episodes
+    UNION ALL SELECT 'matrix_filled', false, CASE WHEN count(value) = 0 THEN 'skipped' WHEN count(value) < count(*) THEN 'failed' ELSE 'ok' END FROM matrix
+    UNION ALL SELECT 'identity_labels', true, CASE WHEN count(label) = 0 THEN 'skipped' WHEN count(label) < count(*) OR count(DISTINCT label) < 2 THEN 'failed' ELSE 'ok' END FROM embeddings
+    UNION ALL SELECT 'random_control', true, CASE WHEN count(*) < 2 THEN 'skipped' ELSE 'ok' END FROM pair_diffs)""", "evals", "matrix", more=SCORES))
 def stat13(spark: S, d: str) -> DataFrame:
-    e = b.episodes(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("n_steps") == 0).alias("z"))
-    one = lambda df, name, ok: df.select(F.lit(name).alias("check_name"), ok.alias("ok"))
-    filled = b.transfer(spark, d).agg((F.count("value") == F.count("*")).alias("ok"))
-    skipped = b.table(spark, d, "embeddings").where("label IS NULL").agg(F.count("*").alias("n"))
-    rows = one(e, "episodes", F.col("n") > 0).unionByName(one(e, "zero_steps", F.col("z") == 0)).unionByName(one(filled, "matrix_filled", F.col("ok"))).unionByName(one(skipped, "probe", F.lit(False)))
-    return rows.withColumn("trusted", F.bool_and("ok").over(Window.partitionBy()))
+    """Checks with their status; a required one that was skipped blocks like one that failed."""
+    one = lambda df, name, required, skipped, failed: df.agg(F.when(skipped, "skipped").when(failed, "failed").otherwise("ok").alias("status")).select(F.lit(name).alias("check_name"), F.lit(required).alias("required"), "status")
+    n, never = F.count("*"), F.lit(False)
+    rows = (
+        one(b.episodes(spark, d), "episodes", True, n == 0, F.count_if(F.col("n_steps") == 0) * 2 > n)
+        .unionByName(one(b.transfer(spark, d), "matrix_filled", False, F.count("value") == 0, F.count("value") < n))
+        .unionByName(one(b.table(spark, d, "embeddings"), "identity_labels", True, F.count("label") == 0, (F.count("label") < n) | (F.count_distinct("label") < 2)))
+        .unionByName(one(pair_scores(spark, d), "random_control", True, n < 2, never)))
+    blocking = F.col("required") & (F.col("status") != "ok")
+    return rows.withColumn("blocking", blocking).withColumn("trusted", ~F.bool_or(blocking).over(Window.partitionBy()))
