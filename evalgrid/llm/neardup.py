@@ -42,7 +42,7 @@ from evalgrid.llm.components import components
 #: Partners of a class that are compared in one group.
 BLOCK = 128
 #: Members of an open bucket up to which pairs are formed, and shingles and members of a block of a larger one.
-PAIRED, BLOCK_SHINGLES, BLOCK_MEMBERS = 12, 250_000, 128
+PAIRED, BLOCK_SHINGLES, BLOCK_MEMBERS = 12, 250_000, 512
 #: Shingles whose coordinates are computed at once; such a block stays in the CPU's cache.
 _AT_ONCE = 1 << 15
 _SCATTER = np.uint32(0x9E3779B9)
