@@ -128,8 +128,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataF
     The texts of ``u`` and of a block of its partners ``v`` are brought together.
     An id with several texts in ``docs`` is linked if any of them is.
     """
-    spread = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    spread = written(spread.select("u", "salt", "v"), "pairs")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    # Pairs dealt to different numbers of blocks get salts of their own, so that no block sums up several.
+    salt = F.pmod(F.xxhash64("v"), blocks) + blocks * (blocks - 1) / 2
+    spread = written(pairs.select("u", salt.cast("long").alias("salt"), "v"), "pairs")
     wanted = spread.select("u", "salt", F.col("v").alias("id"), F.lit(1).alias("side")).unionByName(
         spread.select("u", "salt").distinct().select("u", "salt", F.col("u").alias("id"), F.lit(0).alias("side"))
     )
