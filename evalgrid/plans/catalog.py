@@ -6,7 +6,7 @@ import importlib
 
 from evalgrid.plans import QUERIES, Query
 
-MODULES = ("records", "matrix", "texts", "vectors", "gates")
+MODULES = ("records", "matrix", "texts", "vectors", "gates", "leaks")
 FLAGSHIP = "ag01_episode_aggregate"
 
 

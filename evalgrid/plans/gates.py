@@ -5,51 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalgrid.functions import text as t
 from evalgrid.functions.rng import draw, draw_sql
 from evalgrid.operators import graphs, sinks
 from evalgrid.plans import register
 from evalgrid.plans.ctes import sql
-from evalgrid.plans.texts import GRAM_SQL
 from evalgrid.sources import bindings as b
 
 S = SparkSession
-LABEL = "Licensed under the Apache License, Version 2.0."
-#: Rules by name: pattern, and whether text inside an observed label is waived. The pattern has the same meaning in Java and RE2.
-RULES = {"version": (r"(?i)\bversion [0-9]", True), "year": (r"\b(?:19|20)[0-9]{2}\b", False), "secret": (r"token = ", False), "agent": (r"(?i)\blicense\b", True)}
-
-
-def rule_hits(spark: S, d: str) -> DataFrame:
-    """A row for each document and pattern rule that fires outside waived labels."""
-    waived = F.replace(F.col("text"), F.lit(LABEL), F.lit(" "))
-    fired = [F.when(F.size(F.regexp_extract_all(waived if w else F.col("text"), F.lit(p), 0)) > 0, F.lit(r)) for r, (p, w) in RULES.items()]
-    docs = b.table(spark, d, "documents").select("doc_id", "source", "n_chars", F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())).alias("rule"))
-    return docs
-
-
-HITS = " UNION ALL ".join(f"SELECT doc_id, source, n_chars, '{r}' AS rule FROM documents WHERE regexp_matches({f'replace(text, {chr(39)}{LABEL}{chr(39)}, {chr(39)} {chr(39)})' if w else 'text'}, '{p}')" for r, (p, w) in RULES.items())
-NGRAM_HITS = f"SELECT DISTINCT id AS doc_id, 'ngram' AS rule FROM ({GRAM_SQL.format(id='doc_id', table='documents')}) WHERE gram IN (SELECT gram FROM ({GRAM_SQL.format(id='item_id', table='benchmark')}))"
-
-
-def ngram_hits(spark: S, d: str) -> DataFrame:
-    mine = b.table(spark, d, "documents").select("doc_id", F.explode(t.ngrams(F.col("text"), 6)).alias("gram"))
-    theirs = b.table(spark, d, "benchmark").select(F.explode(t.ngrams(F.col("text"), 6)).alias("gram")).distinct()
-    return mine.join(theirs, "gram", "left_semi").select("doc_id").distinct().withColumn("rule", F.lit("ngram"))
-
-
-@register("gate01_leak_check", f"SELECT doc_id, rule FROM ({HITS}) UNION ALL {NGRAM_HITS}")
-def gate01(spark: S, d: str) -> DataFrame:
-    return rule_hits(spark, d).select("doc_id", "rule").unionByName(ngram_hits(spark, d))
-
-
-@register("gate02_gate_summary", f"SELECT d.source, count(*) AS n, count(h.doc_id) AS leaking, count(*) FILTER (d.n_chars > 6000) AS too_long, count(*) FILTER (d.n_chars > 8000) AS warned, bool_and(h.doc_id IS NULL AND d.n_chars <= 6000) AS pass FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM ({HITS})) h USING (doc_id) GROUP BY 1")
-def gate02(spark: S, d: str) -> DataFrame:
-    leaks = rule_hits(spark, d).select("doc_id").distinct().withColumn("leak", F.lit(True))
-    docs = b.table(spark, d, "documents").select("doc_id", "source", "n_chars").join(leaks, "doc_id", "left").withColumn("leak", F.coalesce("leak", F.lit(False)))
-    return docs.groupBy("source").agg(
-        F.count("*").alias("n"), F.count_if("leak").alias("leaking"), F.count_if(F.col("n_chars") > 6000).alias("too_long"), F.count_if(F.col("n_chars") > 8000).alias("warned"),
-        F.bool_and(~F.col("leak") & (F.col("n_chars") <= 6000)).alias("pass"))
-
 
 @register("gate03_determinism", "SELECT user_id, event_type, count(*) AS repeats, count(DISTINCT md5(props)) AS hashes, count(DISTINCT md5(props)) = 1 AND count(*) >= 2 AS ok FROM events GROUP BY 1, 2")
 def gate03(spark: S, d: str) -> DataFrame:
@@ -57,13 +19,6 @@ def gate03(spark: S, d: str) -> DataFrame:
     return g.withColumn("ok", (F.col("hashes") == 1) & (F.col("repeats") >= 2))
 
 
-@register("gate04_leaky_own_answers", "SELECT conv_id, count(*) FILTER (strpos(lower(text), answer) > 0) AS leaky, count(*) AS n FROM (SELECT conv_id, text, lower(regexp_extract(text, '([A-Za-z]{4,})[.!?]?$', 1)) AS a0, first_value(lower(regexp_extract(text, '([A-Za-z]{4,})[.!?]?$', 1))) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) WHERE answer <> '' GROUP BY 1")
-def gate04(spark: S, d: str) -> DataFrame:
-    last = F.lower(F.regexp_extract("text", r"([A-Za-z]{4,})[.!?]?$", 1))
-    c = b.table(spark, d, "conversations").withColumn("answer", F.first(last).over(Window.partitionBy("conv_id").orderBy("turn")))
-    return c.where("answer <> ''").groupBy("conv_id").agg(F.count_if(F.contains(F.lower("text"), F.col("answer"))).alias("leaky"), F.count("*").alias("n"))
-
-
 @register("gate05_required_fields", "SELECT count(*) FILTER (text IS NULL OR text = '') AS no_text, count(*) FILTER (lang IS NULL) AS no_lang, count(*) FILTER (n_chars <> length(text)) AS wrong_length, count(*) - count(DISTINCT doc_id) AS repeated FROM documents")
 def gate05(spark: S, d: str) -> DataFrame:
     return b.table(spark, d, "documents").agg(

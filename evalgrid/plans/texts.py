@@ -50,20 +50,6 @@ def src08(spark: S, d: str) -> DataFrame:
     return b.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("site")).agg(side(F.col("o_orderpriority") < "3").alias("a"), side(F.col("o_orderpriority") > "3").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
 
 
-@register("jn12_intent_overlap", f"SELECT id AS doc_id, count(DISTINCT gram) AS shared FROM ({GRAM_SQL.format(id='doc_id', table='documents')}) WHERE gram IN (SELECT gram FROM ({GRAM_SQL.format(id='item_id', table='benchmark')})) GROUP BY 1")
-def jn12(spark: S, d: str) -> DataFrame:
-    mine = b.table(spark, d, "documents").select("doc_id", F.explode(t.ngrams(F.col("text"), 6)).alias("gram"))
-    theirs = b.table(spark, d, "benchmark").select(F.explode(t.ngrams(F.col("text"), 6)).alias("gram")).distinct()
-    return mine.join(theirs, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
-
-
-@register("jn13_leak_tripwires", sql("SELECT arm, count(*) FILTER (split = 'test') AS test, count(*) FILTER (list_contains(sites, held_out) OR (held_out = 'multi' AND grp = 'multi')) AS held_out, count(*) FILTER (task_id > 231) AS unknown FROM evals JOIN arms USING (arm) WHERE reward >= 1 GROUP BY 1", "evals", "arms"))
-def jn13(spark: S, d: str) -> DataFrame:
-    e = b.eval_records(spark, d).where("reward >= 1").join(F.broadcast(b.arms(spark).select("arm", F.col("held_out").alias("held"))), "arm")
-    held = F.array_contains("sites", F.col("held")) | ((F.col("held") == "multi") & (F.col("grp") == "multi"))
-    return e.groupBy("arm").agg(F.count_if(F.col("split") == "test").alias("test"), F.count_if(held).alias("held_out"), F.count_if(F.col("task_id") > b.N_TASKS).alias("unknown"))
-
-
 @register("jn14_content_anti_join", "SELECT source, count(*) AS kept FROM documents WHERE source <> 'src0' AND sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE source = 'src0') GROUP BY 1")
 def jn14(spark: S, d: str) -> DataFrame:
     docs = b.table(spark, d, "documents").select("source", F.sha1(F.col("text").cast("binary")).alias("key"))
