@@ -116,13 +116,6 @@ def snk08(spark: S, d: str) -> DataFrame:
     return b.table(spark, d, "part").groupBy("p_brand").agg(F.round(F.avg(alpha), 6).alias("alpha"), F.bool_and(F.abs(ratio - 1) <= 1e-6).alias("preserved"))
 
 
-@register("src03_discover_trials", "SELECT user_id, count(*) AS trials, string_agg(event_type || '-' || event_id, ',' ORDER BY ts, event_id) AS ordered FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
-def src03(spark: S, d: str) -> DataFrame:
-    e = b.table(spark, d, "events").where(F.col("event_type").isin("view", "click"))
-    s = F.array_sort(F.collect_list(F.struct("ts", "event_id", F.concat_ws("-", "event_type", "event_id").alias("name"))))
-    return e.groupBy("user_id").agg(F.count("*").alias("trials"), F.array_join(F.transform(s, lambda x: x.getField("name")), ",").alias("ordered"))
-
-
 @register("ag15_per_cell_batch_mean", sql("SELECT grp, round(avg(m), 6) AS loss, count(*) AS batches FROM (SELECT DISTINCT e.grp, b.batch, b.m FROM (SELECT episode_id, grp, episode_id // 16 AS batch FROM episodes) e JOIN (SELECT episode_id // 16 AS batch, avg(n_steps) AS m FROM episodes GROUP BY 1) b USING (batch)) GROUP BY grp", "episodes"))
 def ag15(spark: S, d: str) -> DataFrame:
     batches = b.episodes(spark, d).groupBy(F.floor(F.col("episode_id") / 16).alias("batch")).agg(F.avg("n_steps").alias("m"), F.collect_set("grp").alias("groups"))

@@ -61,17 +61,6 @@ def src02(spark: S, d: str) -> DataFrame:
     return nested.select("episode_id", F.size("s").cast("long").alias("n_steps"), F.array_join(F.transform("s", lambda x: x.l_partkey.cast("string")), ",").alias("steps"), F.element_at("s", -1).l_partkey.alias("last_step"))
 
 
-@register("src04_read_results", sql(f"""
-  SELECT arm, CASE WHEN n = 0 THEN 'empty' ELSE 'ok' END AS status, n, n_retried, avg_reward FROM (
-    SELECT a.arm, count(task_id) AS n, count(*) FILTER (n_attempts > 1) AS n_retried, round(avg(reward), 6) AS avg_reward FROM arms a LEFT JOIN (
-      SELECT arm, task_id, arg_max(reward, episode_id) AS reward, count(*) AS n_attempts FROM evals GROUP BY arm, era, seed, task_id) e USING (arm) GROUP BY a.arm)""", "evals", "arms"))
-def src04(spark: S, d: str) -> DataFrame:
-    last = evals.latest(b.eval_records(spark, d), ["arm", "era", "seed", "task_id"], [F.col("episode_id")], "episode_id")
-    found = b.arms(spark).select("arm").join(last, "arm", "left").groupBy("arm")
-    out = found.agg(F.count("task_id").alias("n"), F.count_if(F.col("n_attempts") > 1).alias("n_retried"), F.round(F.avg("reward"), 6).alias("avg_reward"))
-    return out.withColumn("status", F.when(F.col("n") == 0, "empty").otherwise("ok"))
-
-
 @register("win01_latest_trial_dedup", """
   SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, round(arg_max(value, (ts, event_id)), 6) AS value, count(DISTINCT event_id) AS n_attempts FROM events GROUP BY 1, 2""")
 def win01(spark: S, d: str) -> DataFrame:

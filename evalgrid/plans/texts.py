@@ -21,21 +21,6 @@ def first_turn(spark: S, d: str, role: str):
     return F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
 
 
-@register("src05_json_reader", "SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k FROM events WHERE props IS NOT NULL AND trim(props) <> '' GROUP BY 1")
-def src05(spark: S, d: str) -> DataFrame:
-    e = b.table(spark, d, "events").where("props IS NOT NULL AND trim(props) <> ''").select("event_type", F.from_json("props", "k long").k.alias("k"))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
-
-
-@register("src06_split_csv", sql("SELECT task_id, max(split) AS split, max('wiki,' || sites_key) AS sites, count(*) AS n FROM episodes GROUP BY 1", "episodes"))
-def src06(spark: S, d: str) -> DataFrame:
-    line = F.format_string('run.%d,%d,"wiki,%s",%s', F.col("task_id"), F.col("task_id"), F.col("sites_key"), F.col("split"))
-    row = F.from_csv(line, "name string, task_id long, sites string, split string", {"quote": '"'})
-    e = b.episodes(spark, d).select(row.alias("r"))
-    task = F.coalesce(F.nullif(F.regexp_extract("r.name", r"run\.(\d+)", 1), F.lit("")).cast("long"), F.col("r.task_id"))
-    return e.groupBy(task.alias("task_id")).agg(F.max("r.split").alias("split"), F.max("r.sites").alias("sites"), F.count("*").alias("n"))
-
-
 @register("src07_load_chat_corpus", """SELECT cell, conv_id, human, gpt FROM (SELECT conv_id % 6 AS cell, conv_id, human, gpt, row_number() OVER (PARTITION BY conv_id % 6 ORDER BY conv_id) AS rn FROM (
     SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS human, arg_min(text, turn) FILTER (role = 'assistant') AS gpt FROM conversations GROUP BY 1) WHERE human IS NOT NULL AND gpt IS NOT NULL) WHERE rn <= 10""")
 def src07(spark: S, d: str) -> DataFrame:
