@@ -69,53 +69,12 @@ def gr02(spark: S, d: str) -> DataFrame:
     return g.agg(F.min(F.struct("user_id", "ts", "event_id")).getField("user_id").alias("first_user"), F.count("*").alias("visits")).orderBy("path").limit(200)
 
 
-@register("st01_incremental_fill", sql("SELECT count(*) AS pairs, count(*) FILTER (n >= 30) AS filled, count(*) FILTER (n IS NULL OR n < 30) AS todo FROM matrix", "matrix"))
-def st01(spark: S, d: str) -> DataFrame:
-    m = b.transfer(spark, d).select("src", "dst", "n")
-    todo = sinks.missing(m, m.where("n >= 30"), ["src", "dst"])
-    total = m.agg(F.count("*").alias("pairs"))
-    return total.crossJoin(todo.agg(F.count("*").alias("todo"))).select("pairs", (F.col("pairs") - F.col("todo")).alias("filled"), "todo")
-
-
-@register("st02_content_memo", "SELECT source, count(*) FILTER (rn = 1) AS misses, count(*) FILTER (rn > 1) AS hits FROM (SELECT source, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS rn FROM documents) GROUP BY 1")
-def st02(spark: S, d: str) -> DataFrame:
-    docs = b.table(spark, d, "documents").select("doc_id", "source", F.sha1(F.col("text").cast("binary")).alias("key"))
-    first = docs.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("miss"))
-    g = docs.join(first, "doc_id", "left").groupBy("source")
-    return g.agg(F.count_if(F.col("miss").isNotNull()).alias("misses"), F.count_if(F.col("miss").isNull()).alias("hits"))
-
-
-@register("snk01_append_projected", "SELECT event_type, count(*) AS n, 'props,ts,user_id' AS dropped FROM events GROUP BY 1")
-def snk01(spark: S, d: str) -> DataFrame:
-    out, dropped = sinks.project_onto(b.table(spark, d, "events"), ["event_id", "event_type", "value", "note"])
-    return out.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("dropped", F.lit(",".join(sorted(dropped))))
-
-
-@register("snk03_corpus_side_car", sql("SELECT CASE WHEN grp = 'multi' THEN NULL ELSE grp || '_e' || era END AS cell, count(*) AS n_episodes, sum(n_steps)::BIGINT AS expected, count(*) FILTER (n_steps = 0) AS skipped FROM episodes WHERE reward >= 1 GROUP BY 1", "episodes"))
-def snk03(spark: S, d: str) -> DataFrame:
-    cell = F.when(F.col("grp") != "multi", F.concat("grp", F.lit("_e"), F.col("era").cast("string")))
-    return b.episodes(spark, d).where("reward >= 1").groupBy(cell.alias("cell")).agg(F.count("*").alias("n_episodes"), F.sum("n_steps").alias("expected"), F.count_if(F.col("n_steps") == 0).alias("skipped"))
-
-
 @register("snk04_registry_upsert", "SELECT coalesce(n.k, o.k) AS k, coalesce(n.rows, o.rows) AS rows FROM (SELECT source AS k, count(*) AS rows FROM documents WHERE lang = 'en' GROUP BY 1) o FULL JOIN (SELECT source || '-de' AS k, count(*) AS rows FROM documents WHERE lang = 'de' GROUP BY 1) n ON o.k = n.k")
 def snk04(spark: S, d: str) -> DataFrame:
     counts = lambda lang, suffix: b.table(spark, d, "documents").where(F.col("lang") == lang).groupBy(F.concat("source", F.lit(suffix)).alias("k")).agg(F.count("*").alias("rows"))
     return sinks.upsert(counts("en", ""), counts("de", "-de"), "k")
 
 
-@register("snk07_shape_validation", "SELECT label::BIGINT AS label, count(*) AS n, count(*) FILTER (len(embedding[1:32]) = 32 AND len(embedding[33:64]) = 32) AS matched FROM embeddings GROUP BY 1")
-def snk07(spark: S, d: str) -> DataFrame:
-    ok = (F.size(F.slice("embedding", 1, 32)) == 32) & (F.size(F.slice("embedding", 33, 32)) == 32)
-    return b.table(spark, d, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"), F.count_if(ok).alias("matched"))
-
-
-@register("snk08_scale_preservation", "SELECT p_brand, round(avg(p_retailprice * p_size / 8), 6) AS alpha, bool_and(abs((p_retailprice * p_size / 8) / p_size / (p_retailprice / 8) - 1) <= 1e-6) AS preserved FROM part GROUP BY 1")
-def snk08(spark: S, d: str) -> DataFrame:
-    alpha = F.col("p_retailprice") * F.col("p_size") / 8
-    ratio = alpha / F.col("p_size") / (F.col("p_retailprice") / 8)
-    return b.table(spark, d, "part").groupBy("p_brand").agg(F.round(F.avg(alpha), 6).alias("alpha"), F.bool_and(F.abs(ratio - 1) <= 1e-6).alias("preserved"))
-
-
 @register("ag15_per_cell_batch_mean", sql("SELECT grp, round(avg(m), 6) AS loss, count(*) AS batches FROM (SELECT DISTINCT e.grp, b.batch, b.m FROM (SELECT episode_id, grp, episode_id // 16 AS batch FROM episodes) e JOIN (SELECT episode_id // 16 AS batch, avg(n_steps) AS m FROM episodes GROUP BY 1) b USING (batch)) GROUP BY grp", "episodes"))
 def ag15(spark: S, d: str) -> DataFrame:
     batches = b.episodes(spark, d).groupBy(F.floor(F.col("episode_id") / 16).alias("batch")).agg(F.avg("n_steps").alias("m"), F.collect_set("grp").alias("groups"))

@@ -139,12 +139,6 @@ def snk06(spark: S, d: str) -> DataFrame:
     return wide.select("src", *[F.coalesce(F.col(str(k)), F.lit(".")).alias(f"d{k}") for k in range(25)])
 
 
-@register("snk02_matrix_round_trip", sql("SELECT src, dst, round(value, 6) AS value FROM matrix", "matrix"))
-def snk02(spark: S, d: str) -> DataFrame:
-    text = b.transfer(spark, d).select(F.to_json(F.struct("src", "dst", F.nanvl("value", F.lit(None).cast("double")).alias("value"))).alias("json"))
-    return text.select(F.from_json("json", "src long, dst long, value double").alias("x")).select("x.src", "x.dst", F.round("x.value", 6).alias("value"))
-
-
 # Site matrices: arms against task groups.
 
 SITE = {"site_units": "SELECT arm, grp, era AS version, seed, count(*) AS k, count(*) FILTER (reward >= 1) AS s, avg((reward >= 1)::DOUBLE) AS m FROM evals GROUP BY ALL",

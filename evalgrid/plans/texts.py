@@ -21,20 +21,6 @@ def first_turn(spark: S, d: str, role: str):
     return F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
 
 
-@register("src07_load_chat_corpus", """SELECT cell, conv_id, human, gpt FROM (SELECT conv_id % 6 AS cell, conv_id, human, gpt, row_number() OVER (PARTITION BY conv_id % 6 ORDER BY conv_id) AS rn FROM (
-    SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS human, arg_min(text, turn) FILTER (role = 'assistant') AS gpt FROM conversations GROUP BY 1) WHERE human IS NOT NULL AND gpt IS NOT NULL) WHERE rn <= 10""")
-def src07(spark: S, d: str) -> DataFrame:
-    c = b.table(spark, d, "conversations").groupBy("conv_id").agg(first_turn(spark, d, "user").alias("human"), first_turn(spark, d, "assistant").alias("gpt"))
-    whole = c.where("human IS NOT NULL AND gpt IS NOT NULL").withColumn("cell", F.col("conv_id") % 6)
-    return whole.withColumn("rn", F.row_number().over(Window.partitionBy("cell").orderBy("conv_id"))).where("rn <= 10").drop("rn")
-
-
-@register("src08_adapter_pairs", "SELECT o_custkey AS site, max(o_orderkey) FILTER (o_orderpriority < '3') AS a, max(o_orderkey) FILTER (o_orderpriority > '3') AS b FROM orders GROUP BY 1 HAVING a IS NOT NULL AND b IS NOT NULL")
-def src08(spark: S, d: str) -> DataFrame:
-    side = lambda c: F.max(F.when(c, F.col("o_orderkey")))
-    return b.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("site")).agg(side(F.col("o_orderpriority") < "3").alias("a"), side(F.col("o_orderpriority") > "3").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-
-
 @register("jn14_content_anti_join", "SELECT source, count(*) AS kept FROM documents WHERE source <> 'src0' AND sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE source = 'src0') GROUP BY 1")
 def jn14(spark: S, d: str) -> DataFrame:
     docs = b.table(spark, d, "documents").select("source", F.sha1(F.col("text").cast("binary")).alias("key"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalgrid.operators import sinks
 from evalgrid.plans import register
 from evalgrid.plans.ctes import sql
 from evalgrid.sources import bindings as b
@@ -97,3 +98,133 @@ def src06(spark: S, d: str) -> DataFrame:
         F.concat_ws(",", F.lit("a"), "sites_key", "era").alias("sites"), F.col("split").alias("browsergym_split"))
     e.repartitionByRange(4, "episode_id").sortWithinPartitions("episode_id").drop("episode_id").write.option("header", "true").csv(root)
     return files.read_split(spark, root)
+
+
+@register("src07_load_chat_corpus", "SELECT conv_id % 6 AS cell, conv_id, human, gpt FROM (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS human, arg_min(text, turn) FILTER (role = 'assistant') AS gpt FROM conversations GROUP BY 1) WHERE human IS NOT NULL AND gpt IS NOT NULL")
+def src07(spark: S, d: str) -> DataFrame:
+    return load_corpus(b.table(spark, d, "conversations").withColumn("cell", F.col("conv_id") % 6), list(range(6)))
+
+
+def load_corpus(turns: DataFrame, cells: list, most: int | None = None) -> DataFrame:
+    """``cell, conv_id, human, gpt``: the first turn of each side of every conversation that has both, at most ``most`` a cell; cells without any are warned about."""
+    import warnings
+
+    from pyspark.sql import Window
+
+    first = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
+    whole = turns.groupBy("cell", "conv_id").agg(first("user").alias("human"), first("assistant").alias("gpt")).where("human IS NOT NULL AND gpt IS NOT NULL")
+    if most is not None:
+        whole = whole.withColumn("rn", F.row_number().over(Window.partitionBy("cell").orderBy("conv_id"))).where(F.col("rn") <= most).drop("rn")
+    there = {r["cell"] for r in whole.select("cell").distinct().collect()}  # a row a cell
+    if gone := sorted(set(cells) - there):
+        warnings.warn(f"no conversation in cells {gone}", stacklevel=2)
+    return whole.where(F.col("cell").isin(cells))
+
+
+TENSORS = """SELECT vec_id, 'base_model.model.layers.' || label || '.mlp.lora_A.weight' AS name, [x::DOUBLE FOR x IN embedding[1:32]] AS v FROM embeddings
+  UNION ALL SELECT vec_id, 'layers.' || label || '.mlp.lora_B.weight', [x::DOUBLE FOR x IN embedding[33:64]] FROM embeddings WHERE embedding[33] > 0"""
+
+
+def tensors(spark: S, d: str) -> DataFrame:
+    """Embeddings as adapter files: factor A from the first half, B from the second, which is missing where it begins below 0; their names have different prefixes."""
+    e = b.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    a = e.select("vec_id", F.format_string("base_model.model.layers.%d.mlp.lora_A.weight", "label").alias("name"), F.slice("v", 1, 32).alias("v"))
+    z = e.where(F.get("v", 32) > 0).select("vec_id", F.format_string("layers.%d.mlp.lora_B.weight", "label").alias("name"), F.slice("v", 33, 32).alias("v"))
+    return a.unionByName(z)
+
+
+def read_adapter(files_: DataFrame, key: str = "vec_id") -> DataFrame:
+    """``key, site, a, b``: the pairs of factors of each site, known by its path from ``layers.`` on; only whole pairs."""
+    part = lambda i: F.regexp_extract("name", r"(layers\..*)\.lora_([AB])\.weight$", i)
+    side = lambda s: F.first(F.when(F.col("side") == s, F.col("v")), ignorenulls=True)
+    named = files_.select(key, part(1).alias("site"), part(2).alias("side"), "v").where("site <> ''")
+    return named.groupBy(key, "site").agg(side("A").alias("a"), side("B").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+
+
+@register("src08_adapter_pairs", f"SELECT vec_id, site, round(list_sum(a), 6) AS a, round(list_sum(b), 6) AS b FROM (SELECT vec_id, regexp_extract(name, '(layers.*).lora', 1) AS site, any_value(v) FILTER (name LIKE '%lora_A%') AS a, any_value(v) FILTER (name LIKE '%lora_B%') AS b FROM ({TENSORS}) GROUP BY 1, 2) WHERE a IS NOT NULL AND b IS NOT NULL")
+def src08(spark: S, d: str) -> DataFrame:
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 6).alias(c)
+    return read_adapter(tensors(spark, d)).select("vec_id", "site", total("a"), total("b"))
+
+
+#: Shape of the factors.
+RANK, D_IN, D_OUT = 4, 8, 8
+
+
+@register("snk07_shape_validation", f"""SELECT site, count(*) AS n, '{{"r":{RANK},"lora_alpha":{2 * RANK},"target_modules":["mlp"],"peft_type":"LORA"}}' AS config FROM (SELECT vec_id, regexp_extract(name, '(layers.*).lora', 1) AS site, count(*) AS k FROM ({TENSORS}) GROUP BY 1, 2) WHERE k = 2 GROUP BY site""")
+def snk07(spark: S, d: str) -> DataFrame:
+    """Factors of the right shape, written as adapters with a configuration beside them, and read again."""
+    pairs = sinks.check_shapes(read_adapter(tensors(spark, d)), RANK, D_IN, D_OUT)
+    root = files.work_dir(spark, "adapters")
+    pairs.write.parquet(f"{root}/factors")
+    config = F.to_json(F.struct(F.lit(RANK).alias("r"), F.lit(2 * RANK).alias("lora_alpha"), F.array(F.lit("mlp")).alias("target_modules"), F.lit("LORA").alias("peft_type")))
+    pairs.select("site").distinct().withColumn("config", config).write.parquet(f"{root}/config")
+    made = spark.read.parquet(f"{root}/factors").groupBy("site").agg(F.count("*").alias("n"))
+    return made.join(spark.read.parquet(f"{root}/config"), "site")
+
+
+@register("snk08_scale_preservation", "SELECT p_brand, count(*) AS n, round(avg(p_retailprice * p_size / 8), 6) AS alpha, count(*) FILTER (abs((round(p_retailprice * p_size / 8, 3) / p_size) / (p_retailprice / 8) - 1) > 1e-6) AS off FROM part GROUP BY 1")
+def snk08(spark: S, d: str) -> DataFrame:
+    """The alpha that keeps each part's scale at its own rank, served with three decimals; ``off`` counts those that rounding moves too far, which ``require_preserved`` refuses."""
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    alpha, ratio = sinks.preserved_scale(price, F.lit(8), size, F.round(price * size / 8, 3))
+    return b.table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.avg(alpha), 6).alias("alpha"), F.count_if(F.abs(ratio - 1) > 1e-6).alias("off"))
+
+
+@register("snk01_append_projected", "SELECT event_type, count(*) AS n, round(sum(value), 6) AS total, 0::BIGINT AS notes, CASE WHEN event_type = 'view' THEN '' ELSE 'props,ts,user_id' END AS dropped FROM events GROUP BY 1")
+def snk01(spark: S, d: str) -> DataFrame:
+    """Findings appended twice to a table under its first header; the columns that fell away are told."""
+    path, header = f"{files.work_dir(spark, 'findings')}/rows", ["event_id", "event_type", "value", "note"]
+    e = b.table(spark, d, "events")
+    first = sinks.append_rows(e.where("event_type = 'view'").select("event_id", "event_type", "value"), path, header)
+    second = sinks.append_rows(e.where("event_type <> 'view'"), path, header)
+    told = F.when(F.col("event_type") == "view", F.lit(",".join(sorted(first)))).otherwise(F.lit(",".join(sorted(second))))
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.count("note").alias("notes")).withColumn("dropped", told)
+
+
+@register("snk02_matrix_round_trip", sql("SELECT src, dst, round(value, 6) AS value, (SELECT count(value) FROM matrix) AS filled, (SELECT count(*) FROM matrix) AS total FROM matrix", "matrix"))
+def snk02(spark: S, d: str) -> DataFrame:
+    """The matrix saved twice in one place, the second time whole, with NaN for what never ran; read again as it was."""
+    path, schema = f"{files.work_dir(spark, 'matrix')}/saved", "src long, dst long, value double"
+    m = b.transfer(spark, d).select("src", "dst", F.coalesce("value", F.lit(float("nan"))).alias("value"))
+    sinks.save(m.where("src = dst"), path)
+    sinks.save(m, path)
+    saved = sinks.load(spark, path, schema)
+    return saved.crossJoin(saved.agg(F.count("value").alias("filled"), F.count("*").alias("total"))).select("src", "dst", F.round("value", 6).alias("value"), "filled", "total")
+
+
+@register("snk03_corpus_side_car", """SELECT 'c' || conv_id % 6 AS cell, count(DISTINCT conv_id) AS n_episodes, count(*) FILTER (role = 'assistant') AS n_expected, count(*) FILTER (role = 'assistant' AND before = 'user') AS n_samples, count(*) FILTER (role = 'assistant' AND before = 'user') = 0 AS skipped,
+    CASE WHEN count(*) FILTER (role = 'assistant' AND before = 'user') > 0 THEN 'cell=c' || conv_id % 6 END AS folder FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY conv_id % 6""")
+def snk03(spark: S, d: str) -> DataFrame:
+    """A chat corpus with a folder a cell, and its side-car: an answer is expected for every assistant's turn, and emitted where the user spoke before."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = b.table(spark, d, "conversations").withColumn("cell", F.concat(F.lit("c"), (F.col("conv_id") % 6).cast("string")))
+    c = c.withColumn("before", F.lag(F.struct("role", "text")).over(w))
+    expected = c.groupBy("cell").agg(F.count_distinct("conv_id").alias("n_episodes"), F.count_if(F.col("role") == "assistant").alias("n_expected"))
+    say = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))
+    samples = c.where("role = 'assistant' AND before.role = 'user'").select("cell", F.array(say("human", F.col("before.text")), say("gpt", F.col("text"))).alias("conversations"))
+    return sinks.build_corpus(samples, expected, files.work_dir(spark, "corpus"))
+
+
+@register("st01_incremental_fill", sql("SELECT src, dst, round(value, 6) AS value, CASE WHEN n >= 30 THEN 1 ELSE 2 END AS run FROM matrix", "matrix"))
+def st01(spark: S, d: str) -> DataFrame:
+    """A matrix filled in two runs: the first one did the pairs with thirty episodes or more, the second one what was left, saving after each of three parts."""
+    path = f"{files.work_dir(spark, 'fill')}/matrix"
+    m = b.transfer(spark, d).select("src", "dst", "value", "n")
+    done = lambda run: lambda todo: todo.select("src", "dst", "value", F.lit(run).alias("run"))
+    sinks.fill(m.where("n >= 30"), path, ["src", "dst"], done(1))
+    return sinks.fill(m, path, ["src", "dst"], done(2), pieces=3).select("src", "dst", F.round("value", 6).alias("value"), "run")
+
+
+@register("st02_content_memo", "SELECT source, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, sum(length(text))::BIGINT AS characters FROM (SELECT source, text, sha1(text) IN (SELECT sha1(text) FROM documents WHERE lang = 'en') AS hit FROM documents) GROUP BY 1")
+def st02(spark: S, d: str) -> DataFrame:
+    """Lengths of texts answered from a cache by content: English documents fill it first, then all documents use it."""
+    path = f"{files.work_dir(spark, 'memo')}/cache"
+    docs = b.table(spark, d, "documents").select("source", "lang", "text")
+    length = lambda new: new.select("key", F.length("content").cast("long").alias("n"))
+    sinks.memoised(docs.where("lang = 'en'"), path, F.col("text"), length)
+    hits, cache = sinks.memoised(docs.select("source", "text"), path, F.col("text"), length)
+    # What the second run computed is in the cache by now, so hits are those that the first run had.
+    return hits.join(cache, "key").groupBy("source").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.sum("n").alias("characters"))
