@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def crawl(roots: DataFrame, edges: DataFrame, most_depth: int, most_pages: int, by: str = "host") -> DataFrame:
-    """``by, node, depth`` in first-in-first-out order; each node once, by its first parent.
+def crawl(roots: DataFrame, edges: DataFrame, most_depth: int, most_pages: int, by: str = "host", keep=lambda df: df) -> DataFrame:
+    """``by, node, depth, place``: what a first-in-first-out crawl visits, in its order (from 1); each node once.
 
-    ``roots`` has ``by, node``; ``edges`` has ``src, dst, ord``. Depth bounds the rounds, and so the
-    plan; budgets are kept per ``by``, nearer nodes first.
+    ``roots`` has ``by, node``; ``edges`` has ``src, dst, ord``, the place of a link on its page, and ``by`` if nodes are only unique within it. Links of the
+    page visited first come first. Depth bounds the rounds, and so the plan; only what the page budget of a ``by`` lets in is followed further, so a
+    frontier has at most the budget's pages times the links of one. ``keep`` may write what each round found and give it back, so rounds don't repeat those before.
     """
-    seen = roots.select(by, "node", F.lit(0).cast("long").alias("depth"))
+    within = [by] if by in edges.columns else []
+    seen = keep(roots.select(by, "node", F.lit(0).cast("long").alias("depth"), F.lit(1).cast("long").alias("place")))
     front = seen
     for depth in range(1, most_depth + 1):
-        found = front.join(edges, F.col("node") == F.col("src")).select(by, F.col("dst").alias("node")).distinct()
-        front = found.join(seen.select("node"), "node", "left_anti").select(by, "node", F.lit(depth).cast("long").alias("depth"))
+        links = edges.withColumnRenamed("src", "node")
+        found = front.join(links, [*within, "node"]).groupBy(by, F.col("dst").alias("node")).agg(F.min(F.struct("place", "ord", F.col("dst"))).alias("first"))
+        new = found.join(seen.select(by, "node"), [by, "node"], "left_anti")
+        sizes = seen.groupBy(by).agg(F.max("place").alias("before"))
+        order = F.row_number().over(Window.partitionBy(by).orderBy("first"))
+        front = keep(new.join(sizes, by).select(by, "node", F.lit(depth).cast("long").alias("depth"), (F.col("before") + order).alias("place")).where(F.col("place") <= most_pages))
         seen = seen.unionByName(front)
-    place = F.row_number().over(Window.partitionBy(by).orderBy("depth", "node"))
-    return seen.withColumn("place", place.cast("long")).where(F.col("place") <= most_pages)
+    return seen.where(F.col("place") <= most_pages)

@@ -45,16 +45,6 @@ def jn16(spark: S, d: str) -> DataFrame:
     return g.where("k = 5")
 
 
-REST = "regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1)"
-
-
-@register("fn02_url_algebra", f"SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, CASE WHEN regexp_replace({REST}, '#.*$', '') = '' THEN '/' ELSE regexp_replace({REST}, '#.*$', '') END AS path, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/The' AS resolved FROM pages")
-def fn02(spark: S, d: str) -> DataFrame:
-    rest = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/?#]*(.*)$", 1), r"#.*$", "")
-    origin = F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1)
-    return b.table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)).alias("host"), F.when(rest == "", "/").otherwise(rest).alias("path"), F.concat(origin, F.lit("/The")).alias("resolved"))
-
-
 @register("fn03_numbered_sections", r"""SELECT doc_id, count(*) AS n_sections, string_agg(k::VARCHAR, ',' ORDER BY k) AS numbers, sha1(string_agg(body, '|' ORDER BY k)) AS bodies FROM (
   SELECT doc_id, (i % 7 + 1)::INTEGER AS k, arg_max(trim(line, ' '), i) AS body FROM (SELECT doc_id, unnest(string_split(replace(text, '## ', ''), chr(10))) AS line, unnest(range(len(string_split(replace(text, '## ', ''), chr(10))))) AS i FROM documents) GROUP BY 1, 2) GROUP BY 1""")
 def fn03(spark: S, d: str) -> DataFrame:
@@ -88,15 +78,6 @@ def fn07(spark: S, d: str) -> DataFrame:
 HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
 
 
-@register("fn08_render_with_caps", f"SELECT host, left(string_agg(title, ' / ' ORDER BY page_id), 300) AS rendered FROM (SELECT {HOST} AS host, page_id, left(regexp_extract(html, '<title>([^<]*)', 1), 60) AS title, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) AS rn FROM pages) WHERE rn <= 25 GROUP BY 1")
-def fn08(spark: S, d: str) -> DataFrame:
-    host = F.regexp_extract("url", r"://([^/?#]*)", 1)
-    p = b.table(spark, d, "pages").select(host.alias("host"), "page_id", F.left(F.regexp_extract("html", r"<title>([^<]*)", 1), F.lit(60)).alias("title"))
-    top = p.withColumn("rn", F.row_number().over(Window.partitionBy("host").orderBy("page_id"))).where("rn <= 25")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "title"))), lambda x: x.title), " / ")
-    return top.groupBy("host").agg(F.left(joined, F.lit(300)).alias("rendered"))
-
-
 @register("fn09_inject_block", "SELECT conv_id, turn, CASE WHEN strpos(text, ' ') > 0 THEN substr(text, 1, strpos(text, ' ')) || '[manual] ' || substr(text, strpos(text, ' ') + 1) ELSE text END AS text FROM conversations WHERE role = 'user' AND turn <= 1")
 def fn09(spark: S, d: str) -> DataFrame:
     at = F.instr("text", " ")
@@ -122,16 +103,6 @@ def fn10(spark: S, d: str) -> DataFrame:
     return p.select("page_id", *[F.round(F.col("v")[i], 6).alias(n) for i, n in ((0, "link"), (1, "heading"), (8, "other"))])
 
 
-@register("fn12_page_elements", """SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))::BIGINT AS links, len(regexp_extract_all(html, '<h[1-6]'))::BIGINT AS headings,
-  len(regexp_extract_all(html, '<(?:input|button)'))::BIGINT AS controls, left(coalesce(regexp_extract_all(html, '<a href="[^"]*">([^<]*)', 1)[1], ''), 120) AS first_label FROM pages""")
-def fn12(spark: S, d: str) -> DataFrame:
-    every = lambda p, i: F.regexp_extract_all("html", F.lit(p), i)
-    n = lambda c: F.size(c).cast("long")
-    return b.table(spark, d, "pages").select(
-        "page_id", F.regexp_extract("html", r"<title>([^<]*)", 1).alias("title"), n(F.array_distinct(every(r'<a href="([^"]*)"', 1))).alias("links"), n(every(r"<h[1-6]", 0)).alias("headings"),
-        n(every(r"<(?:input|button)", 0)).alias("controls"), F.left(F.coalesce(F.get(every(r'<a href="[^"]*">([^<]*)', 1), 0), F.lit("")), F.lit(120)).alias("first_label"))
-
-
 @register("sort05_first_matching_label", """SELECT page_id, coalesce(list_filter(regexp_extract_all(html, '<a href="[^"]*">([^<]*)', 1), lambda x: regexp_matches(x, '^[a-z]{4,}$'))[1], 'list') AS label FROM pages""")
 def sort05(spark: S, d: str) -> DataFrame:
     labels = F.regexp_extract_all("html", F.lit(r'<a href="[^"]*">([^<]*)'), 1)
@@ -234,14 +205,6 @@ def set03(spark: S, d: str) -> DataFrame:
     return own.select(F.lit(0).alias("role")).unionByName(drawn).agg(F.count_if(F.col("role") == 0).alias("own"), F.count_if(F.col("role") == 1).alias("anchors")).withColumn("pool", F.lit(size).cast("long"))
 
 
-@register("set04_observed_labels", """SELECT host, count(DISTINCT label) AS labels FROM (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, lower(trim(unnest(list_concat(regexp_extract_all(html, '<a href="[^"]*">([^<]*)', 1), regexp_extract_all(html, '<h1>([^<]*)', 1), ['h1: ' || x FOR x IN regexp_extract_all(html, '<h1>([^<]*)', 1)], [regexp_extract(html, '<title>([^<]*)', 1)])), ' ')) AS label FROM pages) WHERE label <> '' GROUP BY 1""")
-def set04(spark: S, d: str) -> DataFrame:
-    h1 = F.regexp_extract_all("html", F.lit(r"<h1>([^<]*)"), 1)
-    labels = F.concat(F.regexp_extract_all("html", F.lit(r'<a href="[^"]*">([^<]*)'), 1), h1, F.transform(h1, lambda x: F.concat(F.lit("h1: "), x)), F.array(F.regexp_extract("html", r"<title>([^<]*)", 1)))
-    p = b.table(spark, d, "pages").select(F.regexp_extract("url", r"://([^/?#]*)", 1).alias("host"), F.explode(labels).alias("x")).select("host", F.lower(F.trim("x")).alias("label"))
-    return p.where("label <> ''").distinct().groupBy("host").agg(F.count("*").alias("labels"))
-
-
 @register("set05_pooled_minus_held_out", "SELECT source, count(*) AS n, count(*) FILTER (sha1(text) IN (SELECT sha1(text) FROM documents WHERE source = 'src3')) AS leaks FROM documents WHERE source <> 'src3' GROUP BY 1")
 def set05(spark: S, d: str) -> DataFrame:
     docs = b.table(spark, d, "documents").select("source", F.sha1(F.col("text").cast("binary")).alias("key"))

@@ -51,11 +51,27 @@ def test_ngrams_are_a_set_and_short_texts_have_none(spark):
 
 
 def test_crawl_keeps_budgets_and_visits_once(spark):
-    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (5, 1)], "src long, dst long")
+    edges = spark.createDataFrame([(1, 3, 0), (1, 2, 1), (2, 3, 0), (3, 4, 0), (3, 6, 1), (2, 5, 0), (4, 5, 0), (5, 1, 0)], "src long, dst long, ord int")
     roots = spark.createDataFrame([("h", 1)], "host string, node long")
     walk = lambda depth, pages: [(r["node"], r["depth"]) for r in graphs.crawl(roots, edges, depth, pages).orderBy("place").collect()]
-    assert walk(2, 9) == [(1, 0), (2, 1), (3, 1), (4, 2)]
-    assert walk(3, 2) == [(1, 0), (2, 1)]
+    assert walk(2, 9) == [(1, 0), (3, 1), (2, 1), (4, 2), (6, 2), (5, 2)]  # in the order of links, and of the pages that hold them
+    assert walk(3, 2) == [(1, 0), (3, 1)]
+    assert walk(3, 4) == [(1, 0), (3, 1), (2, 1), (4, 2)]
+
+
+def test_references_resolve_as_the_library_does(spark):
+    from urllib.parse import urljoin, urlsplit
+
+    from evalgrid.functions import urls
+
+    bases = ["http://h.org/a/b?x=1#f", "https://h.org", "http://h.org:81/abc/", "http://h.org/?q"]
+    refs = ["/x", "x/y", "../z", "./w?k=2", "?n=3", "#top", "", "//h.org/p", "http://h.org/q#z", "//other.org/p", "https://other.org/", "mailto:a@b", "javascript:void(0)", "../../../up", "a/./b/../c", ".."]
+    rows = [(u, x) for x in bases for u in refs]
+    got = spark.createDataFrame(rows, "u string, b string").select("u", "b", urls.site_path(F.col("u"), F.col("b")).alias("p")).collect()
+    for r in got:
+        u, base = urlsplit(urljoin(r["b"], r["u"])), urlsplit(r["b"])
+        off = u.scheme not in ("http", "https") or u.netloc != base.netloc
+        assert r["p"] == (None if off else (u.path or "/") + (f"?{u.query}" if u.query else "")), tuple(r)
 
 
 def test_upsert_refuses_to_clobber(spark):
