@@ -37,7 +37,8 @@ def ngrams_sql(text: str, n: int) -> tuple[str, str]:
 
 def sections(text: Column) -> Column:
     """Bodies of a manual's numbered sections by number; of duplicates the last wins."""
-    parts = F.slice(F.split(text, r"(?m)^## (?=\d\.)"), 2, 1_000_000)
+    every = F.split(text, r"(?m)^## (?=\d\.)")
+    parts = F.slice(every, 2, F.greatest(F.size(every), F.lit(1)))
     pairs = F.transform(parts, lambda p: F.struct(F.substring(p, 1, 1).cast("int").alias("k"), F.regexp_replace(F.substring(p, 3, 1_000_000_000), r"\A\s+|\s+\z", "").alias("body")))
     # At most ten numbers: the last body of each.
     last = lambda found: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.try_element_at(F.filter(found, lambda x: x.k == k), F.lit(-1)))

@@ -37,6 +37,19 @@ def rank_within(df: DataFrame, by: list[str], coarse: Column, fine: list[Column
     return joined.withColumn(name, F.col("__base") + F.row_number().over(within)).drop("__coarse", "__base")
 
 
+def next_within(df: DataFrame, by: list[str], coarse: Column, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the ``value`` of the next row within ``by`` in the order of ``order``, null for the last.
+
+    Rows are sorted within ranges of the order (``coarse``); the first row of each range, one a range, closes the one before.
+    """
+    keyed = df.withColumn("__coarse", coarse)
+    ends = keyed.groupBy(*by, "__coarse").agg(F.min_by(value, order).alias("__first"))
+    ends = ends.withColumn("__next", F.lead("__first").over(Window.partitionBy(*by).orderBy("__coarse"))).drop("__first")
+    keys = [*by, "__coarse"]
+    joined = keyed.alias("k").join(ends.alias("s"), [F.col(f"k.{c}").eqNullSafe(F.col(f"s.{c}")) for c in keys]).select("k.*", "s.__next")
+    return joined.withColumn(name, F.coalesce(F.lead(value).over(Window.partitionBy(*keys).orderBy(order)), "__next")).drop("__coarse", "__next")
+
+
 def smallest(df: DataFrame, draw: Column, ties: list[str], k: int, bits: int = 12) -> DataFrame:
     """The k rows with the smallest 32-bit draws; equal draws in the order of ``ties``.
 

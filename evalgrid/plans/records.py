@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalgrid.functions.rng import draw, draw_sql
 from evalgrid.operators import evals
-from evalgrid.operators.selection import prefix_within, smallest
+from evalgrid.operators.selection import prefix_within, rank_within, smallest
 from evalgrid.plans import register
 from evalgrid.plans.ctes import sql
 from evalgrid.sources import bindings as b
@@ -274,24 +274,35 @@ def win03(spark: S, d: str) -> DataFrame:
     return e.join(ranks, ["event_type", "value"]).select("event_id", "value", "rank")
 
 
-@register("win06_round_robin_batches", sql("SELECT episode_id, grp, ((rn - 1) // 8)::BIGINT AS chunk FROM (SELECT episode_id, grp, row_number() OVER (PARTITION BY grp, era ORDER BY episode_id) AS rn FROM episodes)", "episodes"))
+#: Rows of a range in which episodes are sorted together: 2 ** RANGE ids.
+RANGE = 16
+
+
+@register("win06_round_robin_batches", sql("SELECT episode_id, grp, chunk, row_number() OVER (ORDER BY chunk, grp, era, rn) AS place FROM (SELECT episode_id, grp, era, rn, ((rn - 1) // 8)::BIGINT AS chunk FROM (SELECT episode_id, grp, era, row_number() OVER (PARTITION BY grp, era ORDER BY episode_id) AS rn FROM episodes))", "episodes"))
 def win06(spark: S, d: str) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy("grp", "era").orderBy("episode_id"))
-    return b.episodes(spark, d).withColumn("rn", rn).select("episode_id", "grp", F.floor((F.col("rn") - 1) / 8).alias("chunk"))
+    return round_robin(b.episodes(spark, d).select("episode_id", "grp", "era"), ["grp", "era"], "episode_id", 8)
+
+
+def round_robin(rows: DataFrame, by: list[str], order: str, size: int, most: int | None = None) -> DataFrame:
+    """Batches of ``size`` rows of one cell, emitted cell after cell, chunk after chunk, with the row's ``place`` in that order; at most ``most`` rows."""
+    ranked = rank_within(rows, by, F.shiftright(order, RANGE), [order], "rn").withColumn("chunk", F.floor((F.col("rn") - 1) / size))
+    out = rank_within(ranked, [], F.floor(F.col("chunk") / 512), ["chunk", *by, "rn"], "place")
+    return (out if most is None else out.where(F.col("place") <= most)).select(order, by[0], "chunk", "place")
 
 
 @register("win08_warmup_cosine_schedule", sql("SELECT episode_id, era, round(CASE WHEN k <= 20 THEN k / 20 ELSE 0.5 * (1 + cos(pi() * least(1.0, (k - 20)::DOUBLE / greatest(1, n - 20)))) END, 6) AS lr FROM (SELECT episode_id, era, row_number() OVER (PARTITION BY era ORDER BY episode_id) AS k, count(*) OVER (PARTITION BY era) AS n FROM episodes)", "episodes"))
 def win08(spark: S, d: str) -> DataFrame:
-    w = Window.partitionBy("era")
-    steps = b.episodes(spark, d).select("episode_id", "era", F.row_number().over(w.orderBy("episode_id")).alias("k"), F.count("*").over(w).alias("n"))
+    e = b.episodes(spark, d).select("episode_id", "era")
+    steps = rank_within(e, ["era"], F.shiftright("episode_id", RANGE), ["episode_id"], "k").join(F.broadcast(e.groupBy("era").agg(F.count("*").alias("n"))), "era")
     down = 0.5 * (1 + F.cos(F.pi() * F.least(F.lit(1.0), (F.col("k") - 20) / F.greatest(F.lit(1), F.col("n") - 20))))
     return steps.select("episode_id", "era", F.round(F.when(F.col("k") <= 20, F.col("k") / 20).otherwise(down), 6).alias("lr"))
 
 
-@register("win09_round_robin_slots", sql("SELECT slot, count(*) AS n, sum(n_steps)::BIGINT AS steps FROM (SELECT n_steps, (row_number() OVER (PARTITION BY era ORDER BY task_id, episode_id) - 1) % 4 AS slot FROM episodes) GROUP BY slot", "episodes"))
+@register("win09_round_robin_slots", sql("SELECT slot, count(*) AS n, sum(n_steps)::BIGINT AS steps FROM (SELECT n_steps, (row_number() OVER (ORDER BY task_id, episode_id) - 1) % 4 AS slot FROM episodes) GROUP BY slot", "episodes"))
 def win09(spark: S, d: str) -> DataFrame:
-    slot = ((F.row_number().over(Window.partitionBy("era").orderBy("task_id", "episode_id")) - 1) % 4).cast("long")
-    return b.episodes(spark, d).select("n_steps", slot.alias("slot")).groupBy("slot").agg(F.count("*").alias("n"), F.sum("n_steps").alias("steps"))
+    """Units in the order of tasks dealt to four slots in turn; a task's episodes are sorted together, whole tasks never are."""
+    placed = rank_within(b.episodes(spark, d).select("task_id", "episode_id", "n_steps"), [], F.col("task_id"), ["episode_id"], "place")
+    return placed.groupBy(((F.col("place") - 1) % 4).alias("slot")).agg(F.count("*").alias("n"), F.sum("n_steps").alias("steps"))
 
 
 @register("sort01_canonical_units", sql("SELECT CASE grp WHEN 'wiki' THEN 1 WHEN 'news' THEN 2 WHEN 'shop' THEN 3 ELSE 4 END * 10 + era AS ord, grp || '_e' || era AS unit, count(*) AS n FROM episodes GROUP BY grp, era", "episodes"))
@@ -330,20 +341,17 @@ def sort03(spark: S, d: str) -> DataFrame:
 def sort04(spark: S, d: str) -> DataFrame:
     pool = b.episodes(spark, d).where("era = 6 AND grp = 'shop'").select("episode_id")
     size = pool.count()
-    target = 5 * size // 2
-    whole, rest = divmod(target, max(size, 1))
-    copy = lambda k: pool.withColumn("copy", F.lit(k).cast("long"))
-    out = smallest(copy(whole), draw("cycle", "copy", "episode_id"), ["episode_id"], rest) if rest else copy(whole).limit(0)
-    for k in range(whole):
-        out = out.unionByName(copy(k))
-    return out.select("copy", "episode_id")
+    whole, rest = divmod(5 * size // 2, max(size, 1))
+    copies = pool.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(whole - 1, 0)).cast("long")))) if whole else pool.withColumn("copy", F.lit(0).cast("long")).limit(0)
+    last = smallest(pool.withColumn("copy", F.lit(whole).cast("long")), draw("cycle", "copy", "episode_id"), ["episode_id"], rest) if rest else copies.limit(0)
+    return copies.unionByName(last).select("copy", "episode_id")
 
 
 @register("sort06_shuffled_epochs", sql(f"SELECT epoch, episode_id, row_number() OVER (PARTITION BY epoch, grp ORDER BY {draw_sql('epoch', 'epoch', 'episode_id')}, episode_id) AS pos FROM episodes, range(0::BIGINT, 2::BIGINT) e(epoch) WHERE n_steps >= 3", "episodes"))
 def sort06(spark: S, d: str) -> DataFrame:
-    e = b.episodes(spark, d).where("n_steps >= 3").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
-    pos = F.row_number().over(Window.partitionBy("epoch", "grp").orderBy(draw("epoch", "epoch", "episode_id"), "episode_id"))
-    return e.select("epoch", "episode_id", pos.cast("long").alias("pos"))
+    e = b.episodes(spark, d).where("n_steps >= 3").select("grp", "episode_id").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    e = e.withColumn("u", draw("epoch", "epoch", "episode_id"))
+    return rank_within(e, ["epoch", "grp"], F.shiftright("u", 24), ["u", "episode_id"], "pos").select("epoch", "episode_id", "pos")
 
 
 @register("sort07_latest_checkpoint", """
@@ -376,9 +384,17 @@ def fn21(spark: S, d: str) -> DataFrame:
     return s.select("grp", "samples", steps.alias("optim_steps"), F.round(steps * 25 / 3600, 6).alias("gpu_hours"))
 
 
-@register("snk05_cost_table", sql("SELECT arm, grp, sum(n_steps)::BIGINT AS samples, ceil(sum(n_steps) * 3 / 16)::BIGINT AS steps FROM evals GROUP BY ROLLUP (arm, grp)", "evals"))
+#: Fixed values of the plan: batch, seconds of a step, epochs, arms' grid of evaluation, and seconds of an episode.
+BATCH, STEP_S, EPOCHS, GRID, EPISODE_S = 16, 25, 3, 18, 120
+
+
+@register("snk05_cost_table", sql(f"SELECT arm, grp, sum(n_steps)::BIGINT AS samples, ceil(sum(n_steps) * {EPOCHS} / {BATCH})::BIGINT AS steps, round(ceil(sum(n_steps) * {EPOCHS} / {BATCH}) * {STEP_S} / 3600, 6) AS gpu_hours, r AS repeats, {GRID * GRID} * 20 * r AS sweep_episodes, round({GRID * GRID} * 20 * r * {EPISODE_S} / 3600, 6) AS sweep_hours FROM evals, (VALUES (1), (3), (5)) v(r) GROUP BY r, ROLLUP (arm, grp)", "evals"))
 def snk05(spark: S, d: str) -> DataFrame:
-    return b.eval_records(spark, d).rollup("arm", "grp").agg(F.sum("n_steps").alias("samples")).withColumn("steps", F.ceil(F.col("samples") * 3 / 16))
+    """Training cost of each arm and group with totals, and the cost of the sweep over the grid at one, three and five repeats."""
+    cost = b.eval_records(spark, d).rollup("arm", "grp").agg(F.sum("n_steps").alias("samples")).withColumn("steps", F.ceil(F.col("samples") * EPOCHS / BATCH))
+    cost = cost.withColumn("gpu_hours", F.round(F.col("steps") * STEP_S / 3600, 6)).withColumn("repeats", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))))
+    episodes = GRID * GRID * 20 * F.col("repeats")
+    return cost.withColumn("sweep_episodes", episodes).withColumn("sweep_hours", F.round(episodes * EPISODE_S / 3600, 6))
 
 
 @register("ag14_scout_cost", sql("SELECT t.task_id, count(e.episode_id) AS k, count(e.episode_id) FILTER (terminated) AS terminated, count(e.episode_id) FILTER (reward >= 1) AS solved, coalesce(sum(n_steps), 0)::BIGINT AS steps FROM tasks t LEFT JOIN episodes e USING (task_id) GROUP BY 1", "episodes"))

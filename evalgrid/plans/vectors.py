@@ -11,6 +11,7 @@ from evalgrid.functions.rng import draw, draw_sql
 from evalgrid.functions.text import l2_normalised
 from evalgrid.operators import vectors as v
 from evalgrid.operators.resampling import times
+from evalgrid.operators.selection import next_within, rank_within
 from evalgrid.plans import register
 from evalgrid.plans.ctes import sql
 from evalgrid.sources import bindings as b
@@ -34,9 +35,9 @@ def cells(spark: S, d: str) -> DataFrame:
 
 
 def successors(spark: S, d: str) -> DataFrame:
-    """Each vector with the next one of its label."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return embedded(spark, d).select("vec_id", "label", F.col("v").alias("a"), F.lead("v").over(w).alias("b")).where("b IS NOT NULL")
+    """Each vector with the next one of its label; a label's vectors are sorted in ranges of their ids."""
+    e = embedded(spark, d).select("vec_id", "label", F.col("v").alias("a"))
+    return next_within(e, ["label"], F.shiftright("vec_id", 13), "vec_id", "a", "b").where("b IS NOT NULL").select("vec_id", "label", "a", "b")
 
 
 def cell_pairs(spark: S, d: str) -> DataFrame:
@@ -47,8 +48,8 @@ def cell_pairs(spark: S, d: str) -> DataFrame:
 
 @register("src09_vector_store", "SELECT vec_id, label::BIGINT AS label, len(embedding)::BIGINT AS dim, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])), 6) AS norm, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings")
 def src09(spark: S, d: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long")
-    return embedded(spark, d).select("vec_id", F.col("label").cast("long").alias("label"), F.size("v").cast("long").alias("dim"), F.round(v.norm(F.col("v")), 6).alias("norm"), place.alias("place"))
+    e = embedded(spark, d).select("vec_id", F.col("label").cast("long").alias("label"), F.size("v").cast("long").alias("dim"), F.round(v.norm(F.col("v")), 6).alias("norm"))
+    return rank_within(e, ["label"], F.shiftright("vec_id", 13), ["vec_id"], "place")
 
 
 NEAR = f"SELECT a.cell, a.env, a.era, z.cell AS near, z.era AS near_era, {COS.format(a='a.v', b='z.v')} AS sim FROM vecs a JOIN vecs z ON a.env <> z.env"
@@ -258,21 +259,20 @@ def vec17(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "era long, norm double, residual double")
 
 
-@register("vec18_routing_coefficients", sql("SELECT vec_id, k - 1 AS k, round(exp((v[k] - m) / 0.5) / s, 6) AS weight FROM (SELECT vec_id, v, m, list_sum([exp((x - m) / 0.5) FOR x IN v[1:5]]) AS s, unnest(range(1, 6)) AS k FROM (SELECT vec_id, v, list_max(v[1:5]) AS m FROM e))", more=E))
+@register("vec18_routing_coefficients", sql("SELECT vec_id, k - 1 AS k, round(exp((v[k] - m) / 0.5) / s, 6) AS weight FROM (SELECT vec_id, v, m, list_sum([exp((x - m) / 0.5) FOR x IN v]) AS s, unnest(range(1, 65)) AS k FROM (SELECT vec_id, v, list_max(v) AS m FROM e))", more=E))
 def vec18(spark: S, d: str) -> DataFrame:
-    e = embedded(spark, d).select("vec_id", F.slice("v", 1, 5).alias("l")).withColumn("m", F.array_max("l"))
+    e = embedded(spark, d).select("vec_id", F.col("v").alias("l")).withColumn("m", F.array_max("l"))
     w = F.transform("l", lambda x: F.exp((x - F.col("m")) / 0.5))
     out = e.select("vec_id", w.alias("w")).withColumn("s", F.aggregate("w", F.lit(0.0), lambda s, x: s + x)).select("vec_id", "s", F.posexplode("w").alias("k", "x"))
     return out.select("vec_id", F.col("k").cast("long").alias("k"), F.round(F.col("x") / F.col("s"), 6).alias("weight"))
 
 
-LSE = "(list_max({v}[1:8]) + ln(list_sum([exp(x - list_max({v}[1:8])) FOR x IN {v}[1:8]])))"
+LSE = "(list_max({v}) + ln(list_sum([exp(x - list_max({v})) FOR x IN {v}])))"
 
 
-@register("vec19_kl_divergence", sql("SELECT vec_id, round(list_sum([exp(a[i] - la) * ((a[i] - la) - (b[i] - lb)) FOR i IN range(1, 9)]), 6) AS kl FROM (SELECT *, " + LSE.format(v="a") + " AS la, " + LSE.format(v="b") + " AS lb FROM pair)", more=PAIR))
+@register("vec19_kl_divergence", sql("SELECT vec_id, round(list_sum([exp(a[i] - la) * ((a[i] - la) - (b[i] - lb)) FOR i IN range(1, 65)]), 6) AS kl FROM (SELECT *, " + LSE.format(v="a") + " AS la, " + LSE.format(v="b") + " AS lb FROM pair)", more=PAIR))
 def vec19(spark: S, d: str) -> DataFrame:
-    head = lambda c: F.slice(c, 1, 8)
-    p = successors(spark, d).select("vec_id", head("a").alias("a"), head("b").alias("b"), F.array_max(head("a")).alias("ma"), F.array_max(head("b")).alias("mb"))
+    p = successors(spark, d).select("vec_id", "a", "b", F.array_max("a").alias("ma"), F.array_max("b").alias("mb"))
     lse = lambda c, m: F.col(m) + F.ln(F.aggregate(c, F.lit(0.0), lambda s, x: s + F.exp(x - F.col(m))))
     p = p.withColumn("la", lse("a", "ma")).withColumn("lb", lse("b", "mb"))
     term = F.zip_with("a", "b", lambda x, y: F.exp(x - F.col("la")) * ((x - F.col("la")) - (y - F.col("lb"))))
@@ -319,3 +319,38 @@ def stat11(spark: S, d: str) -> DataFrame:
 @register("stat12_probe_decomposition")
 def stat12(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame([probe(spark, d, t) for t in ("label", "era")], "target string, accuracy double, majority double, uniform double")
+
+
+@register("vec15_simplex_projection", sql("SELECT vec_id, round(theta, 6) AS theta, len([x FOR x IN v IF x > theta])::BIGINT AS support, round(list_sum([greatest(0, x - theta) FOR x IN v]), 6) AS total FROM (SELECT vec_id, any_value(v) AS v, max((s - 1) / k) AS theta FROM (SELECT vec_id, v, k, sum(x) OVER (PARTITION BY vec_id ORDER BY k) AS s FROM (SELECT vec_id, v, unnest(list_sort(v, 'DESC')) AS x, unnest(range(1, len(v) + 1)) AS k FROM e)) GROUP BY 1)", more=E))
+def vec15b(spark: S, d: str) -> DataFrame:
+    """Each vector's projection onto the simplex: what a threshold leaves of it, found from the sums of its largest components."""
+    sums = F.aggregate(F.sort_array("v", asc=False), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"), F.lit(float("-inf")).alias("t")),
+        lambda acc, x: F.struct((acc.s + x).alias("s"), (acc.k + 1).alias("k"), F.greatest(acc.t, (acc.s + x - 1) / (acc.k + 1)).alias("t")))
+    e = embedded(spark, d).select("vec_id", "v", sums.getField("t").alias("t"))
+    return e.select("vec_id", F.round("t", 6).alias("theta"), F.size(F.filter("v", lambda x: x > F.col("t"))).cast("long").alias("support"),
+        F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.greatest(F.lit(0.0), x - F.col("t"))), 6).alias("total"))
+
+
+INVARIANTS = VECS | {
+    "n": "SELECT env, count(*) AS n, min(era) AS low FROM vecs GROUP BY 1",
+    "c": "SELECT v.env, era, v, 1.0::DOUBLE / n AS w, 1.0::DOUBLE / n - (era = low)::INTEGER AS dw FROM vecs v JOIN n ON n.env = v.env",
+    "m": "SELECT env, i, sum(w * v[i]) AS m, sum(dw * v[i]) AS dm FROM (SELECT env, w, dw, v, unnest(range(1, 65)) AS i FROM c) GROUP BY ALL",
+    "g": "SELECT a.env, sum(a.w * z.w * list_dot_product(a.v, z.v)) AS q, sum(a.dw * z.dw * list_dot_product(a.v, z.v)) AS dq FROM c a JOIN c z ON a.env = z.env GROUP BY 1",
+}
+
+
+@register("vec16_mixture_invariants", sql("SELECT g.env, round(abs(q - mm), 6) AS norm_violation, round(abs(dq - dd), 6) AS contrast_violation, sqrt(mm) <= most + 1e-9 AS within_largest, q >= -1e-9 AS positive FROM g JOIN (SELECT env, sum(m * m) AS mm, sum(dm * dm) AS dd FROM m GROUP BY 1) s ON s.env = g.env JOIN (SELECT env, max(sqrt(list_dot_product(v, v))) AS most FROM c GROUP BY 1) k ON k.env = g.env", more=INVARIANTS))
+def vec16b(spark: S, d: str) -> DataFrame:
+    """For uniform mixtures of each environment's cells: norms and contrasts by the Gram matrix equal those of the vectors, and no mixture is longer than its longest part."""
+    c = cells(spark, d)
+    n = c.groupBy("env").agg(F.count("*").alias("n"), F.min("era").alias("low"))
+    c = c.join(n, "env").select("env", "era", "v", (1 / F.col("n")).alias("w"), (1 / F.col("n") - (F.col("era") == F.col("low")).cast("int")).alias("dw"))
+    m = c.select("env", "w", "dw", F.posexplode("v").alias("i", "x")).groupBy("env", "i").agg(F.sum(F.col("w") * F.col("x")).alias("m"), F.sum(F.col("dw") * F.col("x")).alias("dm"))
+    sums = m.groupBy("env").agg(F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("dm") * F.col("dm")).alias("dd"))
+    z = c.select("env", F.col("v").alias("z"), F.col("w").alias("zw"), F.col("dw").alias("zdw"))
+    dot = F.aggregate(F.zip_with("v", "z", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    g = c.join(z, "env").groupBy("env").agg(F.sum(F.col("w") * F.col("zw") * dot).alias("q"), F.sum(F.col("dw") * F.col("zdw") * dot).alias("dq"))
+    most = c.groupBy("env").agg(F.max(v.norm(F.col("v"))).alias("most"))
+    return g.join(sums, "env").join(most, "env").select(
+        "env", F.round(F.abs(F.col("q") - F.col("mm")), 6).alias("norm_violation"), F.round(F.abs(F.col("dq") - F.col("dd")), 6).alias("contrast_violation"),
+        (F.sqrt("mm") <= F.col("most") + 1e-9).alias("within_largest"), (F.col("q") >= -1e-9).alias("positive"))
