@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalgrid.functions import urls
+from evalgrid.functions import styles, urls
+from evalgrid.functions.text import hue
 from evalgrid.operators import graphs
 from evalgrid.plans import register
 from evalgrid.sources import bindings as b
@@ -111,3 +112,52 @@ def fn08(spark: S, d: str) -> DataFrame:
     top = p.withColumn("rn", F.row_number().over(Window.partitionBy("host").orderBy("page_id"))).where(F.col("rn") <= PAGES)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("page_id", "path", "title"))), lambda x: F.concat(F.lit("## "), x.path, F.lit(" "), x.title))
     return top.groupBy("host").agg(F.left(F.array_join(lines, "\n"), F.lit(60_000)).alias("rendered"))
+
+
+CSS = f"regexp_replace(array_to_string(regexp_extract_all(html, '{styles.STYLE}', 1), chr(10)), '{styles.COMMENT}', ' ', 'g')"
+DECLARED = f"[{{'p': lower(trim(regexp_extract(c, '{styles.DECLARATION}', 1))), 'v': lower(trim(regexp_extract(c, '{styles.DECLARATION}', 2)))}} FOR c IN flatten([string_split(x, ';') FOR x IN regexp_extract_all(css, '{styles.BLOCK}', 1)]) IF regexp_matches(c, '{styles.DECLARATION}')]"
+COUNTED = "concat_ws(' ', " + ", ".join(f"CASE WHEN len([x FOR x IN ds IF {styles.condition(n, 'duckdb')}]) > 0 THEN '{n}=' || len([x FOR x IN ds IF {styles.condition(n, 'duckdb')}]) END" for n in sorted(styles.COUNTERS)) + ")"
+
+
+@register("fn13_css_and_colours", rf"""SELECT page_id, len(ds)::BIGINT AS declarations, len(regexp_extract_all(css, '@media'))::BIGINT AS media, len(regexp_extract_all(css, '@keyframes'))::BIGINT AS keyframes, len(regexp_extract_all(css, '(?m)^\s*--[-a-zA-Z0-9_]+\s*:'))::BIGINT AS custom, len(regexp_extract_all(css, 'var[(]\s*--'))::BIGINT AS vars,
+    {COUNTED} AS counters, array_to_string(list_sort(list_distinct([trim(translate(string_split(x.v, ',')[1], '"' || chr(39), ''), ' ') FOR x IN ds IF x.p = 'font-family'])), ',') AS families FROM (SELECT page_id, css, {DECLARED} AS ds FROM (SELECT page_id, {CSS} AS css FROM pages))""")
+def fn13(spark: S, d: str) -> DataFrame:
+    """What a page's own style sheets declare; ``colours`` gives hue, saturation and lightness of their colours."""
+    p = b.table(spark, d, "pages").select("page_id", styles.sheet(F.col("html")).alias("css")).withColumn("ds", styles.declarations(F.col("css")))
+    n = lambda pattern: F.size(F.regexp_extract_all("css", F.lit(pattern), 0)).cast("long")
+    return p.select(
+        "page_id", F.size("ds").cast("long").alias("declarations"), n("@media").alias("media"), n("@keyframes").alias("keyframes"), n(r"(?m)^\s*--[-a-zA-Z0-9_]+\s*:").alias("custom"), n(r"var[(]\s*--").alias("vars"),
+        styles.counters("ds").alias("counters"), styles.families("ds").alias("families"))
+
+
+def colours(sheets: DataFrame, key: str, css: str) -> DataFrame:
+    """``key, hex, hue, saturation, lightness`` of each distinct colour of a style sheet."""
+    found = sheets.select(key, styles.declarations(F.col(css)).alias("ds")).select(key, F.explode(styles.palette("ds")).alias("hex"))
+    h, s, light = hue(F.col("hex"))
+    return found.select(key, "hex", F.round(h, 6).alias("hue"), F.round(s, 6).alias("saturation"), F.round(light, 6).alias("lightness"))
+
+
+#: Attributes that only say how something looks.
+LOOKS = "bgcolor|background|align|valign|cellpadding|cellspacing|hspace|vspace|nowrap|border|width|height"
+BARE = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)[{][%{#].*?[%}#][}]', ' ', 'g')"
+KINDS = "[lower(x) FOR x IN regexp_extract_all(bare, '<([a-zA-Z][a-zA-Z0-9]*)', 1)]"
+DOCTYPE = "lower(regexp_extract(html, '(?i)<!doctype([^>]*)>', 1))"
+
+
+@register("fn14_html_histogram", rf"""SELECT page_id, CASE WHEN NOT regexp_matches(html, '(?i)<!doctype[^>]*>') THEN 'none' WHEN contains(dt, 'xhtml') THEN 'xhtml' WHEN contains(dt, 'html 4') THEN 'html4' WHEN trim(dt) IN ('html', '') THEN 'html5' ELSE 'html4' END AS doctype,
+    len(ts)::BIGINT AS tags, array_to_string([k || '=' || len(list_filter(ts, lambda y: y = k)) FOR k IN list_sort(list_distinct(ts))], ' ') AS histogram, len(regexp_extract_all(bare, '\s[-a-zA-Z_:][-a-zA-Z0-9_:.]*\s*="'))::BIGINT AS attributes,
+    len(regexp_extract_all(bare, '(?i)<(?:table|td|th|tr)\b[^>]*\s(?:{LOOKS})\s*='))::BIGINT AS presentational, regexp_matches(html, '(?i)<meta[^>]+name\s*=\s*.viewport') AS viewport, regexp_matches(html, '(?i)<meta[^>]+charset') AS charset
+  FROM (SELECT page_id, html, bare, {DOCTYPE} AS dt, {KINDS} AS ts FROM (SELECT page_id, html, {BARE} AS bare FROM pages))""")
+def fn14(spark: S, d: str) -> DataFrame:
+    """A page's document type, its tags by kind, attributes, tables that only lay out, and flags of its head; styles, comments and template code don't count."""
+    bare = F.col("html")
+    for pattern in (r"(?is)<style[^>]*>.*?</style>", r"(?s)<!--.*?-->", r"(?s)[{][%{#].*?[%}#][}]"):
+        bare = F.regexp_replace(bare, pattern, " ")
+    dt = F.lower(F.regexp_extract("html", r"(?i)<!doctype([^>]*)>", 1))
+    doctype = F.when(~F.rlike("html", F.lit(r"(?i)<!doctype[^>]*>")), "none").when(F.contains(dt, F.lit("xhtml")), "xhtml").when(F.contains(dt, F.lit("html 4")), "html4").when(F.trim(dt).isin("html", ""), "html5").otherwise("html4")
+    p = b.table(spark, d, "pages").select("page_id", "html", bare.alias("bare")).withColumn("ts", F.transform(F.regexp_extract_all("bare", F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), 1), lambda x: F.lower(x)))
+    n = lambda pattern: F.size(F.regexp_extract_all("bare", F.lit(pattern), 0)).cast("long")
+    each = F.expr("array_join(transform(array_sort(array_distinct(ts)), k -> concat(k, '=', size(filter(ts, y -> y = k)))), ' ')")
+    return p.select(
+        "page_id", doctype.alias("doctype"), F.size("ts").cast("long").alias("tags"), each.alias("histogram"), n(r'\s[-a-zA-Z_:][-a-zA-Z0-9_:.]*\s*="').alias("attributes"),
+        n(rf"(?i)<(?:table|td|th|tr)\b[^>]*\s(?:{LOOKS})\s*=").alias("presentational"), F.rlike("html", F.lit(r"(?i)<meta[^>]+name\s*=\s*.viewport")).alias("viewport"), F.rlike("html", F.lit(r"(?i)<meta[^>]+charset")).alias("charset"))

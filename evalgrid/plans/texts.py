@@ -109,30 +109,6 @@ def sort05(spark: S, d: str) -> DataFrame:
     return b.table(spark, d, "pages").select("page_id", F.coalesce(F.try_element_at(F.filter(labels, lambda x: F.rlike(x, F.lit("^[a-z]{4,}$"))), F.lit(1)), F.lit("list")).alias("label"))
 
 
-HEX = "(('0x' || substr(md5(url), {i}, 2))::INTEGER / 255.0)::DOUBLE"
-
-
-@register("fn13_css_and_colours", f"""SELECT page_id, len(regexp_extract_all(regexp_extract(html, '<style>([^<]*)', 1), '[a-z-]+:[^;}}]+'))::BIGINT AS declarations, round(60 * CASE WHEN hi = lo THEN 0 WHEN hi = r THEN ((g - b) / (hi - lo) + 6) % 6 WHEN hi = g THEN (b - r) / (hi - lo) + 2 ELSE (r - g) / (hi - lo) + 4 END, 6) AS hue,
-  round(CASE WHEN hi = lo THEN 0 ELSE (hi - lo) / (1 - abs(hi + lo - 1)) END, 6) AS saturation, round((hi + lo) / 2, 6) AS lightness FROM (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM (SELECT page_id, html, {HEX.format(i=1)} AS r, {HEX.format(i=3)} AS g, {HEX.format(i=5)} AS b FROM pages))""")
-def fn13(spark: S, d: str) -> DataFrame:
-    h, s, light = t.hue(F.md5(F.col("url").cast("binary")))
-    declared = F.regexp_extract_all(F.regexp_extract("html", r"<style>([^<]*)", 1), F.lit(r"[a-z-]+:[^;}]+"), 0)
-    return b.table(spark, d, "pages").select("page_id", F.size(declared).cast("long").alias("declarations"), F.round(h, 6).alias("hue"), F.round(s, 6).alias("saturation"), F.round(light, 6).alias("lightness"))
-
-
-STRIPPED = "regexp_replace(regexp_replace(html, '<style>[^<]*</style>', '', 'g'), '<!--.*?-->', '', 'gs')"
-
-
-@register("fn14_html_histogram", f"""SELECT page_id, CASE WHEN html LIKE '<!DOCTYPE html>%' THEN 'html5' WHEN lower(html) LIKE '<!doctype%' THEN 'legacy' ELSE 'none' END AS doctype, len(regexp_extract_all({STRIPPED}, '<[a-zA-Z]'))::BIGINT AS tags, len(list_distinct(regexp_extract_all({STRIPPED}, '<([a-zA-Z][a-zA-Z0-9]*)', 1)))::BIGINT AS kinds,
-  len(regexp_extract_all({STRIPPED}, ' [a-z-]+="'))::BIGINT AS attributes, strpos(html, '<meta charset') > 0 AS has_charset FROM pages""")
-def fn14(spark: S, d: str) -> DataFrame:
-    bare = F.regexp_replace(F.regexp_replace("html", r"<style>[^<]*</style>", ""), r"(?s)<!--.*?-->", "")
-    n = lambda p: F.size(F.regexp_extract_all(bare, F.lit(p), 0)).cast("long")
-    kinds = F.size(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), 1))).cast("long")
-    doctype = F.when(F.startswith("html", F.lit("<!DOCTYPE html>")), "html5").when(F.startswith(F.lower("html"), F.lit("<!doctype")), "legacy").otherwise("none")
-    return b.table(spark, d, "pages").select("page_id", doctype.alias("doctype"), n("<[a-zA-Z]").alias("tags"), kinds.alias("kinds"), n(' [a-z-]+="').alias("attributes"), (F.instr("html", "<meta charset") > 0).alias("has_charset"))
-
-
 @register("fn15_signature_blocks", f"SELECT host, round(links / (links + 20.0)::DOUBLE, 6) AS link_sat, round(bold / greatest(1, paragraphs), 6) AS bold_frac, round(links / sqrt(links * links + bold * bold + paragraphs * paragraphs), 6) AS link_unit FROM (SELECT {HOST} AS host, sum(len(regexp_extract_all(html, '<a ')))::DOUBLE AS links, sum(len(regexp_extract_all(html, '<b>')))::DOUBLE AS bold, sum(len(regexp_extract_all(html, '<p>')))::DOUBLE AS paragraphs FROM pages GROUP BY 1)")
 def fn15(spark: S, d: str) -> DataFrame:
     n = lambda p: F.sum(F.size(F.regexp_extract_all("html", F.lit(p), 0))).cast("double")

@@ -120,3 +120,19 @@ def test_streamed_dedup_keeps_each_key_once_a_day(spark):
     finally:
         q.stop()
     assert keys and len(keys) == len(set(keys))
+
+
+def test_style_sheets_are_counted_by_declaration(spark):
+    from evalgrid.functions import styles
+    from evalgrid.plans import sites
+
+    css = """/* p{float:left} */ :root{--main: #FFF; } @media (max-width: 9px) { a{ color:#0a0; background: rgb(1,2,3) } }
+    h1 { font-family: 'Open Sans', serif; font-size: 1.5em; display:flex; width: 50%; max-width: 900px; border-radius:3px }
+    .x{position:sticky;transition:all 1s;-webkit-box-shadow:0 0 3px #336699;color:hsl(1,2%,3%)!important;grid-area:a}"""
+    df = spark.createDataFrame([(1, f"<html><STYLE type='a'>{css}</style>"), (2, "<p>none")], "k int, html string")
+    ds = df.select("k", styles.sheet(F.col("html")).alias("css")).withColumn("ds", styles.declarations(F.col("css")))
+    rows = {r["k"]: (r["c"], r["f"]) for r in ds.select("k", styles.counters("ds").alias("c"), styles.families("ds").alias("f")).collect()}
+    assert rows[1] == ("border_radius=1 fixed_px_width=1 flex=1 fluid_unit=1 grid=1 hex=1 hsl=1 important=1 pos_fixed=1 rgb=1 shadow=1 transition=1 unit_em=1 vendor=1".replace("fluid_unit=1", "fluid_unit=2"), "open sans")
+    assert rows[2] == ("", "")
+    got = {(r["hex"], r["hue"], r["saturation"], r["lightness"]) for r in sites.colours(ds, "k", "css").collect()}
+    assert got == {("ffffff", 0.0, 0.0, 1.0), ("00aa00", 120.0, 1.0, 0.333333), ("336699", 210.0, 0.5, 0.4)}
