@@ -19,26 +19,62 @@ def gate03(spark: S, d: str) -> DataFrame:
     return g.withColumn("ok", (F.col("hashes") == 1) & (F.col("repeats") >= 2))
 
 
-@register("gate05_required_fields", "SELECT count(*) FILTER (text IS NULL OR text = '') AS no_text, count(*) FILTER (lang IS NULL) AS no_lang, count(*) FILTER (n_chars <> length(text)) AS wrong_length, count(*) - count(DISTINCT doc_id) AS repeated FROM documents")
+ASSERTIONS = {
+    "text": "text IS NULL OR text = ''", "lang": "lang IS NULL", "source": "source IS NULL", "length": "n_chars <> length(text)", "owner": "NOT regexp_like(source, '^src[0-9]+$')", "language": "lang NOT IN ('en', 'de', 'es', 'fr')",
+}
+
+
+@register("gate05_required_fields", " UNION ALL ".join(f"SELECT '{k}' AS assertion, count(*) FILTER ({v.replace('regexp_like', 'regexp_matches')}) AS violations, min(doc_id) FILTER ({v.replace('regexp_like', 'regexp_matches')}) AS example FROM documents" for k, v in ASSERTIONS.items()) + " UNION ALL SELECT 'unique', count(*) - count(DISTINCT doc_id), NULL FROM documents")
 def gate05(spark: S, d: str) -> DataFrame:
-    return b.table(spark, d, "documents").agg(
-        F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("no_text"), F.count_if(F.col("lang").isNull()).alias("no_lang"),
-        F.count_if(F.col("n_chars") != F.length("text")).alias("wrong_length"), (F.count("*") - F.count_distinct("doc_id")).alias("repeated"))
+    """Every assertion on the corpus with its violations and the first document that breaks it; one pass for all of them."""
+    docs = b.table(spark, d, "documents")
+    counts = docs.agg(
+        *[F.struct(F.count_if(F.expr(v)).alias("violations"), F.min(F.when(F.expr(v), F.col("doc_id"))).alias("example")).alias(k) for k, v in ASSERTIONS.items()],
+        F.struct((F.count("*") - F.count_distinct("doc_id")).alias("violations"), F.lit(None).cast("long").alias("example")).alias("unique"))
+    rows = F.array(*[F.struct(F.lit(k).alias("assertion"), F.col(f"{k}.violations").alias("violations"), F.col(f"{k}.example").alias("example")) for k in (*ASSERTIONS, "unique")])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def require_fields(assertions: DataFrame) -> None:
+    """Raises ValueError with every assertion that doesn't hold."""
+    broken = [f"{r['assertion']} ({r['violations']})" for r in assertions.where("violations > 0").orderBy("assertion").collect()]  # a row an assertion
+    if broken:
+        raise ValueError(f"assertions that don't hold: {', '.join(broken)}")
+
 
+STATUS = """SELECT 'documents' AS artefact, count(*) AS n, CASE WHEN count(*) = 0 THEN 'missing' WHEN count(DISTINCT source) < 20 THEN 'partial' ELSE 'ok' END AS status FROM documents UNION ALL SELECT 'pages', count(*), CASE WHEN count(*) = 0 THEN 'missing' WHEN count(*) FILTER (html NOT LIKE '%</html>%') > 0 THEN 'partial' ELSE 'ok' END FROM pages UNION ALL SELECT 'embeddings', count(*), CASE WHEN count(*) = 0 THEN 'missing' WHEN count(*) FILTER (len(embedding) <> 64) > 0 THEN 'partial' ELSE 'ok' END FROM embeddings UNION ALL SELECT 'labels', count(*), CASE WHEN count(*) = 0 THEN 'missing' WHEN count(*) < (SELECT count(*) FROM documents) THEN 'partial' ELSE 'ok' END FROM labels"""
 
-@register("gate06_artefact_status", "SELECT 'documents' AS artefact, count(*) AS n, CASE WHEN count(*) = 0 THEN 'missing' WHEN count(DISTINCT source) < 20 THEN 'partial' ELSE 'ok' END AS status FROM documents UNION ALL SELECT 'pages', count(*), CASE WHEN count(*) = 0 THEN 'missing' WHEN count(*) FILTER (html NOT LIKE '%</html>%') > 0 THEN 'partial' ELSE 'ok' END FROM pages UNION ALL SELECT 'embeddings', count(*), CASE WHEN count(*) = 0 THEN 'missing' WHEN count(*) FILTER (len(embedding) <> 64) > 0 THEN 'partial' ELSE 'ok' END FROM embeddings")
+
+@register("gate06_artefact_status", f"SELECT *, (SELECT coalesce(string_agg(artefact, ',' ORDER BY artefact), '') FROM ({STATUS}) WHERE status <> 'ok' AND artefact <> 'labels') AS blocking FROM ({STATUS})")
 def gate06(spark: S, d: str) -> DataFrame:
+    """The status of each artefact by what it holds, and the list of those that block; labels may be partial."""
+
     def one(name: str, partial) -> DataFrame:
         status = F.when(F.count("*") == 0, "missing").when(partial, "partial").otherwise("ok")
         return b.table(spark, d, name).agg(F.count("*").alias("n"), status.alias("status")).withColumn("artefact", F.lit(name))
 
-    return one("documents", F.count_distinct("source") < 20).unionByName(one("pages", F.count_if(~F.contains("html", F.lit("</html>"))) > 0)).unionByName(one("embeddings", F.count_if(F.size("embedding") != 64) > 0))
+    docs = b.table(spark, d, "documents").agg(F.count("*").alias("docs"))
+    labels = b.table(spark, d, "labels").agg(F.count("*").alias("n")).crossJoin(docs).select("n", F.when(F.col("n") == 0, "missing").when(F.col("n") < F.col("docs"), "partial").otherwise("ok").alias("status"), F.lit("labels").alias("artefact"))
+    rows = one("documents", F.count_distinct("source") < 20).unionByName(one("pages", F.count_if(~F.contains("html", F.lit("</html>"))) > 0)).unionByName(one("embeddings", F.count_if(F.size("embedding") != 64) > 0)).unionByName(labels)
+    bad = F.when((F.col("status") != "ok") & (F.col("artefact") != "labels"), F.col("artefact"))
+    return rows.withColumn("blocking", F.array_join(F.array_sort(F.collect_list(bad).over(Window.partitionBy())), ","))
+
+
+CHECKS = {"repeated_keys": "n - n_keys", "empty_episodes": "empty", "stale_declaration": "(declared <> emitted)::INTEGER", "empty_selection": "(n = 0)::INTEGER"}
 
 
-@register("gate07_preflight", sql("SELECT arm, count(*) AS n, count(*) - count(DISTINCT era * 100000 + seed * 10000 + task_id) AS repeated_keys, count(*) FILTER (n_steps = 0) AS empty_episodes, sum(n_steps)::BIGINT AS declared FROM evals GROUP BY 1", "evals"))
+@register("gate07_preflight", sql("WITH c AS (SELECT arm, count(task_id) AS n, count(DISTINCT era * 100000 + seed * 10000 + task_id) AS n_keys, count(*) FILTER (n_steps = 0) AS empty, coalesce(sum(n_steps), 0)::BIGINT AS declared, coalesce(sum(found), 0)::BIGINT AS emitted FROM arms LEFT JOIN (SELECT e.*, coalesce(k, 0) AS found FROM evals e LEFT JOIN (SELECT l_orderkey, count(*) AS k FROM lineitem WHERE l_quantity > 0 GROUP BY 1) ON l_orderkey = episode_id) USING (arm) GROUP BY 1) "
+    + " UNION ALL ".join(f"SELECT arm, '{k}' AS problem, ({v})::BIGINT AS n FROM c WHERE ({v}) > 0" for k, v in CHECKS.items()), "evals", "arms").replace("\nWITH c AS (", ",\nc AS (", 1))
 def gate07(spark: S, d: str) -> DataFrame:
+    """The problems of each arm before a launch: keys that repeat, episodes without steps, a side-car whose declared steps aren't those that are there, an empty selection. An arm without a problem has no row."""
     key = F.col("era") * 100000 + F.col("seed") * 10000 + F.col("task_id")
-    return b.eval_records(spark, d).groupBy("arm").agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct(key)).alias("repeated_keys"), F.count_if(F.col("n_steps") == 0).alias("empty_episodes"), F.sum("n_steps").alias("declared"))
+    there = b.table(spark, d, "lineitem").where("l_quantity > 0").groupBy(F.col("l_orderkey").alias("episode_id")).agg(F.count("*").alias("found"))
+    e = b.eval_records(spark, d).join(there, "episode_id", "left").groupBy("arm").agg(
+        F.count("task_id").alias("n"), F.count_distinct(key).alias("n_keys"), F.count_if(F.col("n_steps") == 0).alias("empty"), F.sum("n_steps").alias("declared"), F.coalesce(F.sum("found"), F.lit(0)).alias("emitted"))
+    c = b.arms(spark).select("arm").join(e, "arm", "left").fillna(0)
+    problems = {"repeated_keys": F.col("n") - F.col("n_keys"), "empty_episodes": F.col("empty"), "stale_declaration": (F.col("declared") != F.col("emitted")).cast("long"), "empty_selection": (F.col("n") == 0).cast("long")}
+    rows = F.filter(F.array(*[F.struct(F.lit(k).alias("problem"), v.cast("long").alias("n")) for k, v in problems.items()]), lambda x: x.n > 0)
+    return c.select("arm", F.explode(rows).alias("r")).select("arm", "r.*")
 
 
 @register("gr02_visited_in_order", "SELECT path, first_user, visits FROM (SELECT path, arg_min(user_id, (user_id, ts, event_id)) AS first_user, count(*) AS visits FROM (SELECT '/' || event_type || '/' || json_extract_string(props, '$.k') AS path, user_id, ts, event_id FROM events) GROUP BY path) ORDER BY path LIMIT 200")

@@ -41,10 +41,27 @@ def classed(spark: S, d: str) -> DataFrame:
     return m.withColumn("kind", kind())
 
 
-@register("src10_matrix_from_runs", sql("SELECT src || '__on__' || dst AS pair, round(value, 6) AS value, coalesce(n, 0) AS n, value IS NULL AS missing FROM matrix", "matrix"))
+@register("src10_matrix_from_runs", sql("""SELECT a.cell || '__on__' || z.cell AS pair, round(value, 6) AS value, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'missing' WHEN value IS NULL THEN 'unreadable' ELSE 'ok' END AS status FROM cells a CROSS JOIN cells z LEFT JOIN (
+    SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n, avg((l_quantity >= 25)::DOUBLE) FILTER (l_quantity IS NOT NULL) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) ON src = a.cell AND dst = z.cell""", "cells"))
 def src10(spark: S, d: str) -> DataFrame:
-    m = b.transfer(spark, d)
-    return m.select(F.concat_ws("__on__", "src", "dst").alias("pair"), F.round("value", 6).alias("value"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("value").isNull().alias("missing"))
+    """The matrix from runs named by their pair: names are taken apart, rates recomputed from the records at the caller's threshold, pairs that never ran stay, and failures are told."""
+    line = b.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    s = b.table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    c = b.table(spark, d, "orders").select("o_orderkey", "o_custkey").join(b.table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    runs = line.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("l_orderkey") == F.col("o_orderkey"))
+    named = runs.select(F.concat_ws("__on__", "s_nationkey", "c_nationkey").alias("pair"), F.col("l_quantity").alias("score"))
+    return matrix_from_runs(named, b.cells(spark, d).select(F.col("cell").cast("string").alias("cell")), 25.0)
+
+
+def matrix_from_runs(runs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """``pair, value, n, status`` of the whole grid, from records (``pair, score``): the share of scores that reach the threshold. A pair without records is missing, one without any score unreadable."""
+    side = lambda i: F.split_part("pair", F.lit("__on__"), F.lit(i))
+    counted = runs.groupBy("pair").agg(F.count("*").alias("n"), F.avg((F.col("score") >= threshold).cast("double")).alias("value"))
+    counted = counted.select(side(1).alias("a"), side(2).alias("z"), "n", "value")
+    grid = cells.select(F.col("cell").alias("a")).crossJoin(F.broadcast(cells.select(F.col("cell").alias("z"))))  # the grid of the design
+    out = grid.join(counted, ["a", "z"], "left")
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("value").isNull(), "unreadable").otherwise("ok")
+    return out.select(F.concat_ws("__on__", "a", "z").alias("pair"), F.round("value", 6).alias("value"), F.coalesce("n", F.lit(0)).alias("n"), status.alias("status"))
 
 
 @register("jn04_pair_grid_coverage", sql("SELECT src_env AS env, count(*) AS pairs, count(value) AS filled, count(*) FILTER (value IS NULL OR n < 20) AS missing, round(count(value) / count(*), 6) AS coverage FROM matrix WHERE src <> dst GROUP BY 1", "matrix"))
@@ -71,6 +88,12 @@ def jn05b(spark: S, d: str) -> DataFrame:
     return per_source(spark, d).select("src", F.round("theme", 6).alias("theme_mean"), F.round("env", 6).alias("env_mean"), F.round("diff", 6).alias("difference"))
 
 
+@register("jn05_dissociation_per_target", sql("SELECT dst, round(avg(value) FILTER (kind = 'theme'), 6) AS theme_mean, round(avg(value) FILTER (kind = 'env'), 6) AS env_mean, round(avg(value) FILTER (kind = 'neither'), 6) AS neither_mean, count(value) FILTER (kind <> 'diagonal') AS n FROM classed GROUP BY 1", "matrix", more=CLASSED))
+def jn05c(spark: S, d: str) -> DataFrame:
+    of = lambda k: F.round(F.avg(F.when(F.col("kind") == k, F.col("value"))), 6).alias(f"{k}_mean")
+    return classed(spark, d).groupBy("dst").agg(of("theme"), of("env"), of("neither"), F.count(F.when(F.col("kind") != "diagonal", F.col("value"))).alias("n"))
+
+
 DECAY = """SELECT a.src_env = a.dst_env AS same_env, abs(a.src_year - a.dst_year) AS gap, coalesce((a.value + z.value) / 2, a.value, z.value) AS value, a.src, a.dst
   FROM matrix a JOIN matrix z ON a.src = z.dst AND a.dst = z.src WHERE a.src < a.dst AND a.src_year IS NOT NULL AND a.dst_year IS NOT NULL"""
 
@@ -156,10 +179,15 @@ def site_matrix(units: DataFrame) -> DataFrame:
     return out.withColumn("success", F.col("solved") / F.col("n")).withColumn("se", evals.binomial(F.col("n"), F.col("solved")))
 
 
-@register("ag09_site_matrix", sql("SELECT arm, grp, n, solved, round(success, 6) AS success, round(se, 6) AS se, n_units, round(unit_mean, 6) AS unit_mean FROM site", "evals", more=SITE))
+@register("ag09_site_matrix", sql("""SELECT arm, g.grp, coalesce(n, 0)::BIGINT AS n, coalesce(solved, 0)::BIGINT AS solved, round(success, 6) AS success, round(se, 6) AS se, coalesce(n_units, 0) AS n_units, round(unit_mean, 6) AS unit_mean, coalesce(dropped, 0) AS dropped
+  FROM arms CROSS JOIN (VALUES ('wiki'), ('news'), ('shop'), ('multi')) g(grp) LEFT JOIN (SELECT * FROM site WHERE n_units > 0) USING (arm, grp) LEFT JOIN (SELECT arm, count(*) AS dropped FROM evals WHERE grp IS NULL OR reward IS NULL GROUP BY 1) USING (arm)""", "evals", "arms", more=SITE))
 def ag09(spark: S, d: str) -> DataFrame:
+    """Episode pool and unit mean of every arm and group, the whole grid kept, and each arm's records without a group or a reward."""
     m = site_matrix(site_units(spark, d))
-    return m.select("arm", "grp", "n", "solved", *[F.round(c, 6).alias(c) for c in ("success", "se", "unit_mean")], "n_units")
+    grid = b.arms(spark).select("arm").crossJoin(spark.createDataFrame([(g,) for g in b.GROUPS], "grp string"))
+    dropped = b.eval_records(spark, d).groupBy("arm").agg(F.count_if(F.col("grp").isNull() | F.col("reward").isNull()).alias("dropped"))
+    out = grid.join(m, ["arm", "grp"], "left").join(dropped, "arm", "left").fillna(0, ["n", "solved", "n_units", "dropped"])
+    return out.select("arm", "grp", "n", "solved", *[F.round(c, 6).alias(c) for c in ("success", "se", "unit_mean")], "n_units", "dropped")
 
 
 def own():
@@ -167,15 +195,23 @@ def own():
     return F.col("arm") == F.concat(F.lit("L_"), F.col("grp"))
 
 
-@register("ag10_diagonal_gap", sql("""SELECT version, round(avg(m) FILTER (arm = 'L_' || grp) - avg(m) FILTER (arm <> 'L_' || grp), 6) AS gap, count(*) FILTER (arm = 'L_' || grp) AS n_diag, count(*) FILTER (arm <> 'L_' || grp) AS n_off FROM site_units WHERE arm <> 'M_all' GROUP BY version
-  UNION ALL SELECT NULL, round(sum(s) FILTER (arm = 'L_' || grp) / sum(k) FILTER (arm = 'L_' || grp) - sum(s) FILTER (arm <> 'L_' || grp) / sum(k) FILTER (arm <> 'L_' || grp), 6), count(DISTINCT arm || grp) FILTER (arm = 'L_' || grp), count(DISTINCT arm || grp) FILTER (arm <> 'L_' || grp) FROM site_units WHERE arm <> 'M_all'""", "evals", more=SITE))
+GAP = """SELECT version, avg(m) FILTER (own) - avg(m) FILTER (NOT own) AS gap, count(*) FILTER (own) AS n_diag, count(*) FILTER (NOT own) AS n_off, sqrt(var_samp(m) FILTER (own) / count(*) FILTER (own) + var_samp(m) FILTER (NOT own) / count(*) FILTER (NOT own)) AS unit_se, NULL::DOUBLE AS pool_se FROM single GROUP BY version
+  UNION ALL SELECT NULL, pd - po, nd, no_, unit_se, sqrt(pd * (1 - pd) / kd + po * (1 - po) / ko) FROM (SELECT sum(s) FILTER (own) AS sd, sum(k) FILTER (own) AS kd, sum(s) FILTER (NOT own) AS so, sum(k) FILTER (NOT own) AS ko, sd / kd AS pd, so / ko AS po, count(DISTINCT arm || grp) FILTER (own) AS nd, count(DISTINCT arm || grp) FILTER (NOT own) AS no_,
+    sqrt(var_samp(m) FILTER (own) / count(*) FILTER (own) + var_samp(m) FILTER (NOT own) / count(*) FILTER (NOT own)) AS unit_se FROM single)"""
+
+
+@register("ag10_diagonal_gap", sql(f"SELECT version, round(gap, 6) AS gap, n_diag, n_off, round(unit_se, 6) AS unit_se, round(pool_se, 6) AS pool_se FROM ({GAP})", "evals", more=SITE | {"single": "SELECT *, arm = 'L_' || grp AS own FROM site_units WHERE arm <> 'M_all'"}))
 def ag10(spark: S, d: str) -> DataFrame:
+    """Diagonal less the rest by version and pooled, with the standard error over units, and the binomial one of the pools."""
     u = site_units(spark, d).where("arm <> 'M_all'").withColumn("own", own())
     side = lambda c, o: F.when(F.col("own") == o, F.col(c))
-    per = u.groupBy("version").agg(F.round(F.avg(side("m", True)) - F.avg(side("m", False)), 6).alias("gap"), F.count_if("own").alias("n_diag"), F.count_if(~F.col("own")).alias("n_off"))
-    whole = u.agg(F.round(F.sum(side("s", True)) / F.sum(side("k", True)) - F.sum(side("s", False)) / F.sum(side("k", False)), 6).alias("gap"),
-                  F.count_distinct(F.when(F.col("own"), F.concat("arm", "grp"))).alias("n_diag"), F.count_distinct(F.when(~F.col("own"), F.concat("arm", "grp"))).alias("n_off"))
-    return per.unionByName(whole.select(F.lit(None).cast("long").alias("version"), "gap", "n_diag", "n_off"))
+    cells = lambda o: F.count_distinct(F.when(F.col("own") == o, F.concat("arm", "grp")))
+    unit_se = F.sqrt(F.var_samp(side("m", True)) / F.count_if("own") + F.var_samp(side("m", False)) / F.count_if(~F.col("own")))
+    per = u.groupBy("version").agg((F.avg(side("m", True)) - F.avg(side("m", False))).alias("gap"), F.count_if("own").alias("n_diag"), F.count_if(~F.col("own")).alias("n_off"), unit_se.alias("unit_se")).withColumn("pool_se", F.lit(None).cast("double"))
+    rate = lambda o: F.sum(side("s", o)) / F.sum(side("k", o))
+    var = lambda o: rate(o) * (1 - rate(o)) / F.sum(side("k", o))
+    whole = u.agg((rate(True) - rate(False)).alias("gap"), cells(True).alias("n_diag"), cells(False).alias("n_off"), unit_se.alias("unit_se"), F.sqrt(var(True) + var(False)).alias("pool_se")).withColumn("version", F.lit(None).cast("long"))
+    return per.unionByName(whole).select("version", F.round("gap", 6).alias("gap"), "n_diag", "n_off", F.round("unit_se", 6).alias("unit_se"), F.round("pool_se", 6).alias("pool_se"))
 
 
 LOSO = {**SITE, "loso": """SELECT arm, pl, sl, pr, sr, ql, tl, qr, tr, pr - pl AS penalty, qr - ql AS seen_delta FROM (
@@ -198,14 +234,17 @@ def loso(spark: S, d: str) -> DataFrame:
     return g.withColumn("penalty", F.col("pr") - F.col("pl")).withColumn("seen_delta", F.col("qr") - F.col("ql"))
 
 
-@register("ag11_leave_one_out_table", sql("""SELECT arm, round(penalty, 6) AS penalty, round(pl / pr, 6) AS retention, round(seen_delta, 6) AS seen_delta, round(penalty - seen_delta, 6) AS did, round(se, 6) AS did_se,
+@register("ag11_leave_one_out_table", sql("""SELECT arm, round(penalty, 6) AS penalty, round(retention, 6) AS retention, round(seen_delta, 6) AS seen_delta, round(penalty - seen_delta, 6) AS did, round(se, 6) AS did_se,
     CASE WHEN se IS NULL OR se <= 0 THEN 'insufficient' WHEN (penalty - seen_delta) / se >= 2 THEN 'specific' WHEN abs((penalty - seen_delta) / se) < 1 THEN 'general' ELSE 'indeterminate' END AS verdict
-  FROM (SELECT *, sqrt(sl * sl + sr * sr + tl * tl + tr * tr) AS se FROM loso)""", "evals", "arms", more=LOSO))
+  FROM (SELECT arm, penalty, pl / pr AS retention, seen_delta, se FROM rows_ UNION ALL SELECT '_pooled', avg(penalty), sum(pl) / sum(pr), avg(seen_delta), sqrt(sum(se * se)) / count(*) FROM rows_)""", "evals", "arms", more=LOSO | {"rows_": "SELECT *, sqrt(sl * sl + sr * sr + tl * tl + tr * tr) AS se FROM loso"}))
 def ag11(spark: S, d: str) -> DataFrame:
-    g = loso(spark, d).withColumn("se", F.sqrt(F.expr("sl * sl + sr * sr + tl * tl + tr * tr"))).withColumn("did", F.col("penalty") - F.col("seen_delta"))
+    """Penalty, retention and difference in differences of each arm, and of all of them pooled, with errors added in quadrature."""
+    g = loso(spark, d).withColumn("se", F.sqrt(F.expr("sl * sl + sr * sr + tl * tl + tr * tr")))
+    pooled = g.agg(F.lit("_pooled").alias("arm"), F.avg("penalty").alias("penalty"), (F.sum("pl") / F.sum("pr")).alias("retention"), F.avg("seen_delta").alias("seen_delta"), (F.sqrt(F.sum(F.col("se") * F.col("se"))) / F.count("*")).alias("se"))
+    rows = g.select("arm", "penalty", F.expr("pl / pr").alias("retention"), "seen_delta", "se").unionByName(pooled).withColumn("did", F.col("penalty") - F.col("seen_delta"))
     z = F.col("did") / F.col("se")
     verdict = F.when(F.col("se").isNull() | (F.col("se") <= 0), "insufficient").when(z >= 2, "specific").when(F.abs(z) < 1, "general").otherwise("indeterminate")
-    return g.select("arm", F.round("penalty", 6).alias("penalty"), F.round(F.expr("pl / pr"), 6).alias("retention"), F.round("seen_delta", 6).alias("seen_delta"), F.round("did", 6).alias("did"), F.round("se", 6).alias("did_se"), verdict.alias("verdict"))
+    return rows.select("arm", *[F.round(c, 6).alias(c) for c in ("penalty", "retention", "seen_delta", "did")], F.round("se", 6).alias("did_se"), verdict.alias("verdict"))
 
 
 OOD = {"keyed": "SELECT arm, era, seed, task_id, arg_min(sites, episode_id) AS sites, avg(reward) AS reward FROM evals GROUP BY 1, 2, 3, 4",
@@ -228,6 +267,26 @@ def ag12(spark: S, d: str) -> DataFrame:
     return g.select("arm", F.round("f", 6).alias("f"), "n", F.round("p", 6).alias("penalty"), F.round(rise, 6).alias("rise"))
 
 
+@register("ag12_ood_subgroups", sql("SELECT arm, array_to_string(sites, '+') AS sites_key, round(any_value(f), 6) AS f, count(*) AS n, round(avg(ref - reward), 6) AS penalty FROM binned GROUP BY ALL", "evals", "arms", more=OOD))
+def ag12b(spark: S, d: str) -> DataFrame:
+    """The same penalties by the sites that a task needs."""
+    g = ood_bins(spark, d).groupBy("arm", F.array_join("sites", "+").alias("sites_key"))
+    return g.agg(F.round(F.max("f"), 6).alias("f"), F.count("*").alias("n"), F.round(F.avg(F.col("ref") - F.col("reward")), 6).alias("penalty"))
+
+
+BINS = {"bins": "SELECT arm, f, avg(ref - reward) AS p FROM binned GROUP BY arm, f",
+        "ranks": "SELECT arm, rank() OVER (PARTITION BY arm ORDER BY f) AS rf, rank() OVER (PARTITION BY arm ORDER BY p) + (count(*) OVER (PARTITION BY arm, p) - 1) / 2 AS rp, p - lag(p) OVER (PARTITION BY arm ORDER BY f) AS rise FROM bins"}
+
+
+@register("ag12_ood_trend", sql("SELECT arm, count(*) AS bins, coalesce(bool_and(rise >= 0), true) AS monotone, round(corr(rf, rp), 6) AS rho FROM ranks GROUP BY arm", "evals", "arms", more=OOD | BINS))
+def ag12c(spark: S, d: str) -> DataFrame:
+    """Whether an arm's penalty rises with the unseen share, and the rank correlation of the two over its bins."""
+    g = ood_bins(spark, d).groupBy("arm", "f").agg(F.avg(F.col("ref") - F.col("reward")).alias("p"))
+    w = Window.partitionBy("arm")
+    r = g.select("arm", F.rank().over(w.orderBy("f")).alias("rf"), (F.rank().over(w.orderBy("p")) + (F.count("*").over(Window.partitionBy("arm", "p")) - 1) / 2).alias("rp"), (F.col("p") - F.lag("p").over(w.orderBy("f"))).alias("rise"))
+    return r.groupBy("arm").agg(F.count("*").alias("bins"), F.coalesce(F.bool_and(F.col("rise") >= 0), F.lit(True)).alias("monotone"), F.round(F.corr("rf", "rp"), 6).alias("rho"))
+
+
 @register("win04_column_winners", sql("SELECT grp, arg_max(arm, (success, arm)) AS best_row, round(max(success), 6) AS best, arg_max(arm, (success, arm)) = 'L_' || grp AS own_is_best FROM site GROUP BY grp", "evals", more=SITE))
 def win04(spark: S, d: str) -> DataFrame:
     m = site_matrix(site_units(spark, d))

@@ -199,11 +199,17 @@ def pf05(spark: S, d: str) -> DataFrame:
 
 
 @register("pf06_subset_with_absent_report", sql("""
-  SELECT w.id AS task_id, count(e.episode_id) AS n, count(e.episode_id) = 0 AS absent FROM (SELECT 7 * k AS id FROM range(1::BIGINT, 41::BIGINT) r(k)) w LEFT JOIN episodes e ON e.task_id = w.id GROUP BY 1""", "episodes"))
+  SELECT w.id AS task_id, count(e.episode_id) AS n, count(e.episode_id) = 0 AS absent, CASE WHEN count(e.episode_id) > 0 THEN row_number() OVER (PARTITION BY count(e.episode_id) = 0 ORDER BY w.id) <= 20 ELSE false END AS taken FROM (SELECT 7 * k AS id FROM range(1::BIGINT, 41::BIGINT) r(k)) w LEFT JOIN episodes e ON e.task_id = w.id GROUP BY 1""", "episodes"))
 def pf06(spark: S, d: str) -> DataFrame:
-    wanted = spark.range(1, 41).select((F.col("id") * 7).alias("task_id"))
-    counts = b.episodes(spark, d).join(F.broadcast(wanted), "task_id", "left_semi").groupBy("task_id").agg(F.count("*").alias("n"))
-    return wanted.join(counts, "task_id", "left").fillna(0).withColumn("absent", F.col("n") == 0)
+    return subset(b.episodes(spark, d), "task_id", spark.range(1, 41).select((F.col("id") * 7).alias("task_id")), 20)
+
+
+def subset(rows: DataFrame, key: str, wanted: DataFrame, limit: int | None = None) -> DataFrame:
+    """``key, n, absent, taken`` of every wanted key: its rows, whether there are none, and whether it is among the ``limit`` first of those there (the limit is the caller's)."""
+    counts = rows.join(F.broadcast(wanted), key, "left_semi").groupBy(key).agg(F.count("*").alias("n"))  # a list of ids that the caller named
+    out = wanted.join(counts, key, "left").fillna(0, ["n"]).withColumn("absent", F.col("n") == 0)
+    place = F.row_number().over(Window.partitionBy("absent").orderBy(key))
+    return out.withColumn("taken", ~F.col("absent") & (place <= limit if limit is not None else F.lit(True)))
 
 
 @register("pf07_train_candidates", sql("SELECT task_id, CASE WHEN grp = 'multi' THEN NULL ELSE grp END AS site, count(*) AS n FROM episodes WHERE split = 'train' GROUP BY 1, 2", "episodes"))
@@ -355,18 +361,30 @@ def sort06(spark: S, d: str) -> DataFrame:
 
 
 @register("sort07_latest_checkpoint", """
-  SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'signup') > 0 THEN 'final' WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'checkpoint-' || arg_max(event_id, event_id) FILTER (event_type = 'purchase') END AS artefact FROM events GROUP BY 1""")
+  SELECT u.user_id, CASE WHEN count(*) FILTER (event_type = 'signup') > 0 THEN 'final' WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'checkpoint-' || max(event_id) FILTER (event_type = 'purchase') END AS artefact,
+    CASE WHEN count(event_id) = 0 THEN 'missing' WHEN count(*) FILTER (event_type IN ('signup', 'purchase')) = 0 THEN 'invalid' ELSE 'found' END AS status
+  FROM (SELECT DISTINCT c_custkey AS user_id FROM customer UNION SELECT user_id FROM events) u LEFT JOIN events e ON e.user_id = u.user_id GROUP BY 1""")
 def sort07(spark: S, d: str) -> DataFrame:
+    """Each wanted unit's final artefact, else its highest checkpoint; a unit with neither is invalid, one that left nothing missing."""
     e = b.table(spark, d, "events")
-    latest = F.max(F.when(F.col("event_type") == "purchase", F.col("event_id")))
-    return e.groupBy("user_id").agg(F.when(F.count_if(F.col("event_type") == "signup") > 0, "final").otherwise(F.concat(F.lit("checkpoint-"), latest.cast("string"))).alias("artefact"))
+    found = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "signup").alias("final"), F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("step"))
+    wanted = b.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).union(e.select("user_id")).distinct()
+    artefact = F.when(F.col("final") > 0, "final").otherwise(F.concat(F.lit("checkpoint-"), F.col("step").cast("string")))
+    return wanted.join(found, "user_id", "left").select("user_id", artefact.alias("artefact"), F.when(F.col("final").isNull(), "missing").when((F.col("final") == 0) & F.col("step").isNull(), "invalid").otherwise("found").alias("status"))
 
 
 @register("set01_canonical_site_key", sql("SELECT sites_key, count(*) AS n FROM episodes GROUP BY 1", "episodes"))
 def set01(spark: S, d: str) -> DataFrame:
-    backwards = b.episodes(spark, d).select(F.reverse("sites").alias("sites"))
-    key = F.array_join(F.array_intersect(F.array(*map(F.lit, b.SITES)), "sites"), "+")
-    return backwards.groupBy(key.alias("sites_key")).agg(F.count("*").alias("n"))
+    backwards = b.episodes(spark, d).select(F.transform(F.reverse("sites"), lambda x: F.concat(F.lit(" "), F.upper(x))).alias("sites"))
+    return backwards.groupBy(site_key("sites").alias("sites_key")).agg(F.count("*").alias("n"))
+
+
+def site_key(sites: str):
+    """The sites in their fixed order, whatever theirs, case and blanks; an unknown site, or none at all, is an error."""
+    tidy = F.transform(sites, lambda x: F.lower(F.trim(x)))
+    known = F.array(*map(F.lit, b.SITES))
+    bad = F.coalesce((F.size(tidy) < 1) | (F.size(F.array_except(tidy, known)) > 0), F.lit(True))
+    return F.when(bad, F.raise_error(F.concat(F.lit("no such sites: "), F.coalesce(F.array_join(tidy, "+"), F.lit(""))))).otherwise(F.array_join(F.array_intersect(known, tidy), "+"))
 
 
 @register("fn01_nominal_year", sql("SELECT era, round(avg(year), 6) AS mean_year, CASE WHEN count(year) = count(*) THEN max(year) - min(year) END AS spread, count(*) AS n FROM (SELECT era, CASE WHEN era < 6 THEN 1996.0 + era * 4 + CASE grp WHEN 'wiki' THEN 0.0 WHEN 'news' THEN 0.5 ELSE 1.5 END END::DOUBLE AS year FROM episodes WHERE grp <> 'multi') GROUP BY era", "episodes"))

@@ -62,6 +62,15 @@ def jn10(spark: S, d: str) -> DataFrame:
     return best.select(F.col("a_cell").alias("cell"), F.col("b_cell").alias("near"), F.round("sim", 6).alias("sim"), (F.col("a_era") == F.col("b_era")).alias("era_match"))
 
 
+@register("jn10_neighbour_summary", sql(f"SELECT count(*) AS n, round(avg((near_era = era)::DOUBLE), 6) AS top1_match, round(avg(abs(near_era - era)), 6) AS mean_gap, round(1.0 / (SELECT count(DISTINCT era) FROM vecs), 6)::DOUBLE AS chance FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY sim DESC, near) AS rn FROM ({NEAR})) WHERE rn = 1", more=VECS))
+def jn10b(spark: S, d: str) -> DataFrame:
+    """How often the nearest cell of another environment is of the same era, how far off it is otherwise, and chance."""
+    p = cell_pairs(spark, d).where("a_env <> b_env").withColumn("sim", v.cosine(F.col("a_v"), F.col("b_v")))
+    best = p.withColumn("rn", F.row_number().over(Window.partitionBy("a_cell").orderBy(F.desc("sim"), "b_cell"))).where("rn = 1")
+    n_eras = cells(spark, d).agg(F.count_distinct("era").alias("k"))
+    return best.crossJoin(n_eras).agg(F.count("*").alias("n"), F.round(F.avg((F.col("a_era") == F.col("b_era")).cast("double")), 6).alias("top1_match"), F.round(F.avg(F.abs(F.col("a_era") - F.col("b_era"))), 6).alias("mean_gap"), F.round(1 / F.max("k"), 6).alias("chance"))
+
+
 @register("jn11_training_neighbour", sql(f"SELECT cell, arg_max(near, (sim, near)) AS by_similarity, arg_min(near, (abs(era - near_era), near)) AS by_year FROM ({NEAR}) WHERE era >= 4 AND near_era < 4 GROUP BY cell", more=VECS))
 def jn11(spark: S, d: str) -> DataFrame:
     p = cell_pairs(spark, d).where("a_env <> b_env AND a_era >= 4 AND b_era < 4").withColumn("sim", v.cosine(F.col("a_v"), F.col("b_v")))
