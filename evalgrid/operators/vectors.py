@@ -29,6 +29,18 @@ def mean_vector(df: DataFrame, by: list[str], vector: str, dim: int) -> DataFram
     return sums.select(*by, F.array(*[F.col(f"__{i}") for i in range(dim)]).alias("v"))
 
 
+#: Rows that a driver-side step takes at most.
+MOST_ROWS = 1000
+
+
+def bounded(df: DataFrame, most: int = MOST_ROWS) -> pd.DataFrame:
+    """A table that must be small, on the driver; more rows than ``most`` raise ValueError."""
+    out = df.limit(most + 1).toPandas()
+    if len(out) > most:
+        raise ValueError(f"more than {most} rows for a step that takes them on the driver")
+    return out
+
+
 def gram(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Sum of outer products, sum of vectors and their number. The d x d matrix is all that reaches the driver."""
 

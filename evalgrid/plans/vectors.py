@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evalgrid.functions.rng import draw, draw_sql
 from evalgrid.functions.text import l2_normalised
 from evalgrid.operators import vectors as v
-from evalgrid.operators.resampling import times
+from evalgrid.operators.resampling import N_PERM, N_PERM_PAIRS, times
 from evalgrid.operators.selection import next_within, rank_within
 from evalgrid.plans import register
 from evalgrid.plans.ctes import sql
@@ -143,21 +143,37 @@ def vec05(spark: S, d: str) -> DataFrame:
 
 @register("vec06_average_linkage")
 def vec06(spark: S, d: str) -> DataFrame:
-    pdf = cells(spark, d).orderBy("cell").toPandas()  # sixty cells at most
+    pdf = v.bounded(cells(spark, d).orderBy("cell"))
     x = np.stack(pdf["v"].to_numpy())
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     merges = v.merge_order([f"{c:03d}" for c in pdf["cell"]], 1 - x @ x.T)
     return spark.createDataFrame([(i, a, z, round(h, 6), n) for i, (a, z, h, n) in enumerate(merges)], "step long, left string, right string, height double, size long")
 
 
-@register("vec07_distance_agreement")
+WEIGHTS = VECS | {
+    "distances": f"SELECT least(a.era * 5 + a.env, z.era * 5 + z.env) AS p, greatest(a.era * 5 + a.env, z.era * 5 + z.env) AS q, 1 - {COS.format(a='a.v', b='z.v')} AS x FROM vecs a JOIN vecs z ON a.cell < z.cell WHERE a.env < 5 AND z.env < 5 AND a.era < 5 AND z.era < 5",
+    "both_ways": "SELECT least(src, dst) AS p, greatest(src, dst) AS q, avg(value) AS y FROM matrix WHERE value IS NOT NULL AND src <> dst GROUP BY 1, 2",
+    "paired_up": "SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry, row_number() OVER (ORDER BY p, q) AS pos FROM (SELECT p, q, round(x, 9) AS x, round(y, 9) AS y FROM distances JOIN both_ways USING (p, q))",
+}
+
+
+@register("vec07_distance_agreement", sql(f"""SELECT pairs, round(rho, 6) AS rho, (1 + hits) / {N_PERM_PAIRS + 1}.0::DOUBLE AS p, rho <= -0.3 AND (1 + hits) / {N_PERM_PAIRS + 1}.0 < 0.05 AS agree FROM (SELECT count(*) AS pairs, corr(rx, ry) AS rho FROM paired_up), (
+    SELECT count(*) FILTER (abs(r) >= abs(o) - 1e-12) AS hits FROM (SELECT perm, corr(a.rx, z.ry) AS r FROM (
+      SELECT perm, rx, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql('agree', 'perm', 'pos')}, pos) AS slot FROM paired_up, range(0::BIGINT, {N_PERM_PAIRS}::BIGINT) u(perm)) a JOIN paired_up z ON z.pos = a.slot GROUP BY perm), (SELECT corr(rx, ry) AS o FROM paired_up))""", "matrix", more=WEIGHTS))
 def vec07(spark: S, d: str) -> DataFrame:
-    p = cell_pairs(spark, d).where("a_cell < b_cell AND a_env < 5 AND b_env < 5").select((1 - v.cosine(F.col("a_v"), F.col("b_v"))).alias("x"), "a_env", "a_era", "b_env", "b_era")
-    m = b.transfer(spark, d).where("value IS NOT NULL").groupBy(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q")).agg(F.avg("value").alias("y"))
-    joined = p.where("a_era < 5 AND b_era < 5").join(m, (F.col("p") == F.col("a_era") * 5 + F.col("a_env")) & (F.col("q") == F.col("b_era") * 5 + F.col("b_env")))
-    rank = lambda c: F.rank().over(Window.orderBy(c)).cast("double")
-    ranked = joined.select(rank("x").alias("rx"), rank("y").alias("ry"))
-    return ranked.agg(F.count("*").alias("pairs"), F.round(F.corr("rx", "ry"), 6).alias("rho")).withColumn("agree", F.col("rho") <= -0.3)
+    """Whether cells whose vectors are far apart transfer less: rank correlation over unordered pairs, with a permutation p."""
+    near = cell_pairs(spark, d).where("a_cell < b_cell AND a_env < 5 AND b_env < 5 AND a_era < 5 AND b_era < 5")
+    place = lambda side: F.col(f"{side}_era") * 5 + F.col(f"{side}_env")
+    x = near.select(F.least(place("a"), place("b")).alias("p"), F.greatest(place("a"), place("b")).alias("q"), F.round(1 - v.cosine(F.col("a_v"), F.col("b_v")), 9).alias("x"))
+    y = b.transfer(spark, d).where("value IS NOT NULL AND src <> dst").groupBy(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q")).agg(F.round(F.avg("value"), 9).alias("y"))
+    rank = lambda c: (F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2).cast("double")
+    r = x.join(y, ["p", "q"]).select(rank("x").alias("rx"), rank("y").alias("ry"), F.row_number().over(Window.orderBy("p", "q")).cast("long").alias("pos"))  # some hundred pairs
+    slot = F.row_number().over(Window.partitionBy("perm").orderBy(draw("agree", "perm", "pos"), "pos")).cast("long")
+    moved = times(r.select("pos", "rx"), N_PERM_PAIRS).withColumn("slot", slot).join(r.select(F.col("pos").alias("slot"), "ry"), "slot").groupBy("perm").agg(F.corr("rx", "ry").alias("r"))
+    seen = r.agg(F.count("*").alias("pairs"), F.corr("rx", "ry").alias("rho"))
+    hits = moved.crossJoin(seen).agg(F.count_if(F.abs("r") >= F.abs("rho") - 1e-12).alias("hits"))
+    p = (1 + F.col("hits")) / (N_PERM_PAIRS + 1)
+    return seen.crossJoin(hits).select("pairs", F.round("rho", 6).alias("rho"), p.alias("p"), ((F.col("rho") <= -0.3) & (p < 0.05)).alias("agree"))
 
 
 COO = E | {"fa": "SELECT vec_id, label, (p // 8) AS r, p % 8 AS j, v[p + 1] AS x FROM (SELECT *, unnest(range(32)) AS p FROM e)", "fb": "SELECT vec_id, label, (p // 4) AS i, p % 4 AS r, v[p + 33] AS x FROM (SELECT *, unnest(range(32)) AS p FROM e)", "bank": "SELECT label, count(*) AS k FROM e GROUP BY 1"}
@@ -195,6 +211,25 @@ def vec10(spark: S, d: str) -> DataFrame:
     return embedded(spark, d).select("vec_id", F.round(F.sqrt(inner("v", "v")), 6).alias("norm"))
 
 
+@register("vec10_pairwise_products", sql(f"SELECT same_env, count(*) AS pairs, round(avg(ab / sqrt(aa * bb)), 6) AS mean_cosine FROM (SELECT a.env = z.env AS same_env, {inner_sql('a.v', 'z.v')} AS ab, {inner_sql('a.v', 'a.v')} AS aa, {inner_sql('z.v', 'z.v')} AS bb FROM vecs a JOIN vecs z ON a.cell < z.cell) GROUP BY 1", more=VECS))
+def vec10b(spark: S, d: str) -> DataFrame:
+    """Cosines of the products of the cells' factors, never multiplied out, within an environment and across."""
+    p = cell_pairs(spark, d).where("a_cell < b_cell").select((F.col("a_env") == F.col("b_env")).alias("same_env"), inner("a_v", "b_v").alias("ab"), inner("a_v", "a_v").alias("aa"), inner("b_v", "b_v").alias("bb"))
+    return p.groupBy("same_env").agg(F.count("*").alias("pairs"), F.round(F.avg(F.expr("ab / sqrt(aa * bb)")), 6).alias("mean_cosine"))
+
+
+RANDOM_SQL = f"[{draw_sql('random', 'vec_id', 'i')} / 2147483648.0 - 1 FOR i IN range(64)]"
+
+
+@register("vec11_random_control", sql(f"SELECT vec_id, round(sqrt(t / c), 6) AS factor, round(c, 6) AS raw, round(c * sqrt(t / c) * sqrt(t / c), 6) AS matched FROM (SELECT vec_id, sqrt({inner_sql('v', 'v')}) AS t, sqrt({inner_sql('r', 'r')}) AS c FROM (SELECT vec_id, v, {RANDOM_SQL} AS r FROM e))", more=E))
+def vec11b(spark: S, d: str) -> DataFrame:
+    """Random factors for each vector, both scaled by the root of the ratio of norms, so their product is as large as the vector's own."""
+    r = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: draw("random", F.col("vec_id"), i) / 2147483648.0 - 1)
+    e = embedded(spark, d).withColumn("r", r).select("vec_id", F.sqrt(inner("v", "v")).alias("t"), F.sqrt(inner("r", "r")).alias("c"))
+    f = F.sqrt(F.col("t") / F.col("c"))
+    return e.select("vec_id", F.round(f, 6).alias("factor"), F.round("c", 6).alias("raw"), F.round(F.col("c") * f * f, 6).alias("matched"))
+
+
 @register("vec11_rescale_to_target", sql(f"SELECT vec_id, round(t / n, 6) AS factor, round(sqrt(list_sum([(x * t / n) * (x * t / n) FOR x IN v[33:64]])), 6) AS b_norm FROM (SELECT vec_id, v, sqrt({inner_sql('v', 'v')}) AS n, avg(sqrt({inner_sql('v', 'v')})) OVER (PARTITION BY label) AS t FROM e)", more=E))
 def vec11(spark: S, d: str) -> DataFrame:
     e = embedded(spark, d).select("vec_id", "label", "v", F.sqrt(inner("v", "v")).alias("n"))
@@ -258,7 +293,7 @@ def vec16(spark: S, d: str) -> DataFrame:
 @register("vec17_minimum_norm_interpolant")
 def vec17(spark: S, d: str) -> DataFrame:
     """How well the labels' mean vectors span the eras' means: the residual after the minimum-norm interpolant."""
-    pdf = cells(spark, d).orderBy("cell").toPandas()  # sixty cells at most
+    pdf = v.bounded(cells(spark, d).orderBy("cell"))
     x = np.stack(pdf.groupby("env")["v"].apply(lambda s: np.mean(np.stack(s.to_numpy()), axis=0)).to_numpy()).T
     rows = []
     for era, part in pdf.groupby("era"):
@@ -288,20 +323,24 @@ def vec19(spark: S, d: str) -> DataFrame:
     return p.select("vec_id", F.round(F.aggregate(term, F.lit(0.0), lambda s, x: s + x), 6).alias("kl"))
 
 
-PERM = f"SELECT perm, cell, env, row_number() OVER (PARTITION BY perm, env ORDER BY {draw_sql('era', 'perm', 'cell')}, cell) AS slot FROM vecs, range(0::BIGINT, 50::BIGINT) r(perm)"
+PERM = f"SELECT perm, cell, env, row_number() OVER (PARTITION BY perm, env ORDER BY {draw_sql('era', 'perm', 'cell')}, cell) AS slot FROM vecs, range(0::BIGINT, {N_PERM}::BIGINT) r(perm)"
 
 
-@register("stat08_era_permutation", sql(f"""SELECT round(any_value(o), 6) AS observed, (1 + count(*) FILTER (s >= o - 1e-12)) / 51 AS p, round(avg(s), 6) AS null_mean FROM (
+@register("stat08_era_permutation", sql(f"""SELECT round(any_value(o), 6) AS observed, (1 + count(*) FILTER (s >= o - 1e-12)) / {N_PERM + 1} AS p, round(avg(s), 6) AS null_mean, round((list_sort(list(s)))[{int(0.95 * N_PERM) + 1}], 6) AS null_p95 FROM (
     SELECT p.perm, avg(sim) AS s FROM ({PERM}) p JOIN ({PERM}) q ON p.perm = q.perm AND p.slot = q.slot AND p.env < q.env JOIN ({NEAR}) n ON n.cell = p.cell AND n.near = q.cell GROUP BY 1), (SELECT avg(sim) AS o FROM ({NEAR}) WHERE era = near_era)""", more=VECS))
 def stat08(spark: S, d: str) -> DataFrame:
+    """Whether eras look alike across environments: one-sided, against eras dealt anew within each environment; with the null's 95th percentile."""
     sims = cell_pairs(spark, d).where("a_env <> b_env").select("a_cell", "b_cell", "a_era", "b_era", v.cosine(F.col("a_v"), F.col("b_v")).alias("sim"))
     slot = F.row_number().over(Window.partitionBy("perm", "env").orderBy(draw("era", "perm", "cell"), "cell"))
-    moved = times(cells(spark, d).select("cell", "env"), 50).withColumn("slot", slot)
+    moved = times(cells(spark, d).select("cell", "env"), N_PERM).withColumn("slot", slot)
     a = moved.select("perm", "slot", F.col("cell").alias("a_cell"), F.col("env").alias("a_env"))
     z = moved.select("perm", "slot", F.col("cell").alias("b_cell"), F.col("env").alias("b_env"))
-    null = a.join(z, ["perm", "slot"]).where("a_env < b_env").join(F.broadcast(sims), ["a_cell", "b_cell"]).groupBy("perm").agg(F.avg("sim").alias("s"))
+    null = a.join(z, ["perm", "slot"]).where("a_env < b_env").join(F.broadcast(sims), ["a_cell", "b_cell"]).groupBy("perm").agg(F.avg("sim").alias("s"))  # sixty cells squared
     seen = sims.where("a_era = b_era").agg(F.avg("sim").alias("o"))
-    return null.crossJoin(seen).agg(F.round(F.max("o"), 6).alias("observed"), ((1 + F.count_if(F.col("s") >= F.col("o") - 1e-12)) / 51).alias("p"), F.round(F.avg("s"), 6).alias("null_mean"))
+    ordered = F.sort_array(F.collect_list("s"))  # a number a draw
+    return null.crossJoin(seen).agg(
+        F.round(F.max("o"), 6).alias("observed"), ((1 + F.count_if(F.col("s") >= F.col("o") - 1e-12)) / (N_PERM + 1)).alias("p"), F.round(F.avg("s"), 6).alias("null_mean"),
+        F.round(F.get(ordered, int(0.95 * N_PERM)), 6).alias("null_p95"))
 
 
 def probe(spark: S, d: str, target: str) -> tuple[str, float, float, float]:
