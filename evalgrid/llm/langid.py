@@ -18,7 +18,6 @@ language are kept. What reaches the driver, and then every task, is at most
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +31,22 @@ from evalgrid.llm.common import modest_batches
 PROFILE_SIZE = 400
 #: A partition's pending n-grams are summed up when there are so many.
 _PENDING = 1 << 20
-#: Word characters that are numbers but not decimal digits, such as one half or a circled one: no letters either.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Word characters that are numbers but not decimal digits, such as one half or a circled one: no letters either. Sets of plain
+#: characters of the first plane are fast; those beyond it are looked at one by one.
+_NUMBER = re.compile("[{}]".format("".join(c for c in map(chr, range(1 << 16)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())))
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _letters_only(text: str) -> str:
+    """``text`` with blanks for those numbers."""
+    return _BEYOND.sub(lambda m: m[0] if m[0].isalpha() else " ", _NUMBER.sub(" ", text))
 
 
 def grams(text: str | None) -> np.ndarray:
     """The n-grams of a text as integers, repeats included; none without letters."""
-    words = _WORD.findall(text.lower()) if text else ()
+    text = text.lower() if text else ""
+    words = _WORD.findall(text if text.isascii() else _letters_only(text))
     if not words:
         return np.empty(0, np.int64)
     c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
