@@ -78,11 +78,25 @@ def fn07(spark: S, d: str) -> DataFrame:
 HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
 
 
-@register("fn09_inject_block", "SELECT conv_id, turn, CASE WHEN strpos(text, ' ') > 0 THEN substr(text, 1, strpos(text, ' ')) || '[manual] ' || substr(text, strpos(text, ' ') + 1) ELSE text END AS text FROM conversations WHERE role = 'user' AND turn <= 1")
+#: Where a block goes in a prompt, and how it begins.
+HEADING, BOUNDARY, BLOCK = "## Extra instructions:", "\n\n# Observation", "# Site manual"
+
+
+def injected(prompt, block):
+    """A prompt with a block right before the observation that follows its extra instructions. A prompt without that place, or with a block already, is an error."""
+    i = F.instr(prompt, HEADING)
+    j = F.when(i > 0, F.call_function("locate", F.lit(BOUNDARY), prompt, F.greatest(i, F.lit(1)))).otherwise(0)
+    told = lambda why: F.raise_error(F.lit(why))
+    out = F.concat(F.substr(prompt, F.lit(1), j - 1), F.lit("\n"), block, F.lit("\n"), F.substr(prompt, j + 2))
+    return F.when(F.contains(prompt, F.lit(BLOCK)), told("the prompt has a manual already")).when(i == 0, told("no extra instructions in the prompt")).when(j == 0, told("no observation after the extra instructions")).otherwise(out)
+
+
+@register("fn09_inject_block", "SELECT conv_id, '## Extra instructions:' || chr(10) || chr(10) || first || chr(10) || '# Site manual' || chr(10) || 'Use the menu.' || chr(10) || '# Observation' || chr(10) || 'page' AS prompt FROM (SELECT conv_id, arg_min(text, turn) AS first FROM conversations WHERE role = 'user' GROUP BY 1)")
 def fn09(spark: S, d: str) -> DataFrame:
-    at = F.instr("text", " ")
-    put = F.when(at > 0, F.concat(F.substr("text", F.lit(1), at), F.lit("[manual] "), F.substr("text", at + 1))).otherwise(F.col("text"))
-    return b.table(spark, d, "conversations").where("role = 'user' AND turn <= 1").select("conv_id", "turn", put.alias("text"))
+    """The manual in the first prompt of each conversation, at the same place as in an evaluation."""
+    first = b.table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
+    prompt = F.concat(F.lit(f"{HEADING}\n\n"), F.col("first"), F.lit(f"{BOUNDARY}\npage"))
+    return first.withColumn("whole", prompt).select("conv_id", injected(F.col("whole"), F.lit(f"{BLOCK}\nUse the menu.")).alias("prompt"))
 
 
 ROLE_SQL = ", ".join(f"len(list_filter(t, lambda x: x = '{k}'))::DOUBLE" for k in t.ROLES)
@@ -129,12 +143,22 @@ def fn18(spark: S, d: str) -> DataFrame:
     return v.select("source", "n", *[F.round(F.col("v")[i], 6).alias(c) for i, c in enumerate("xyz")])
 
 
-@register("fn20_chat_template", """SELECT conv_id, len(prompt)::BIGINT AS n_prompt, right(prompt, 200) AS kept, answer FROM (SELECT conv_id, string_agg('<|' || role || '|>' || text, chr(10) ORDER BY turn) FILTER (role <> 'assistant') AS prompt, arg_max(text, turn) FILTER (role = 'assistant') AS answer FROM conversations GROUP BY 1) WHERE prompt IS NOT NULL AND answer IS NOT NULL""")
+#: Characters of a sample, in the place of tokens.
+MOST = 512
+
+
+@register("fn20_chat_template", f"""SELECT conv_id, length(prompt) AS n_prompt, right(prompt, greatest(0, {MOST} - length(answer))) AS kept, answer, least(length(prompt), greatest(0, {MOST} - length(answer))) AS masked, length(answer) AS target, greatest(0, {MOST} - length(answer) - length(prompt)) AS padding,
+    md5(repeat('0', least(length(prompt), greatest(0, {MOST} - length(answer)))) || repeat('1', length(answer)) || repeat('-', greatest(0, {MOST} - length(answer) - length(prompt)))) AS mask
+  FROM (SELECT conv_id, string_agg('<|' || role || '|>' || text, chr(10) ORDER BY turn) FILTER (role <> 'assistant') AS prompt, arg_max(text, turn) FILTER (role = 'assistant') AS answer FROM conversations GROUP BY 1) WHERE prompt IS NOT NULL AND answer IS NOT NULL""")
 def fn20(spark: S, d: str) -> DataFrame:
+    """Samples of a chat template: the whole response, as much of the prompt's end as fits before it, and masks of what is learned and what is padding."""
     line = F.when(F.col("role") != "assistant", F.struct("turn", F.concat(F.lit("<|"), "role", F.lit("|>"), "text").alias("line")))
     g = b.table(spark, d, "conversations").groupBy("conv_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x.line), "\n").alias("prompt"), F.max_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", F.col("turn"))).alias("answer"))
-    return g.where("prompt <> '' AND answer IS NOT NULL").select("conv_id", F.length("prompt").cast("long").alias("n_prompt"), F.right("prompt", F.lit(200)).alias("kept"), "answer")
+    g = g.where("prompt <> '' AND answer IS NOT NULL").withColumn("target", F.length("answer")).withColumn("n_prompt", F.length("prompt"))
+    g = g.withColumn("room", F.greatest(F.lit(0), MOST - F.col("target"))).withColumn("masked", F.least("n_prompt", "room")).withColumn("padding", F.greatest(F.lit(0), MOST - F.col("target") - F.col("n_prompt")))
+    mask = F.concat(F.expr("repeat('0', masked)"), F.expr("repeat('1', target)"), F.expr("repeat('-', padding)"))
+    return g.select("conv_id", F.col("n_prompt").cast("long").alias("n_prompt"), F.right("prompt", F.col("room")).alias("kept"), "answer", *[F.col(c).cast("long").alias(c) for c in ("masked", "target", "padding")], F.md5(mask.cast("binary")).alias("mask"))
 
 
 @register("fn22_port_bands", "SELECT s_suppkey, port FROM supplier JOIN (SELECT p AS port, row_number() OVER (ORDER BY p) - 1 AS i, count(*) OVER () AS n FROM range(6000::BIGINT, 60000::BIGINT, 20) r(p) WHERE NOT (p <= 6669 AND p + 19 >= 6665) AND NOT (p <= 10080 AND p + 19 >= 10080)) ON i = s_suppkey % n")
@@ -155,11 +179,24 @@ def fn19(spark: S, d: str) -> DataFrame:
     return found.groupBy("p_brand", "module").agg(F.count("*").alias("sites"), F.sum(8 * (F.col("d_in") + F.col("d_out"))).alias("budget"))
 
 
-@register("fn23_ordered_concatenation", "SELECT conv_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, turn) AS manual FROM conversations GROUP BY 1 HAVING count(DISTINCT role) >= 2")
+VARIANTS = {"full": ("system", "user", "assistant"), "affordance": ("system", "user"), "style": ("assistant",)}
+
+
+@register("fn23_ordered_concatenation", "SELECT variant, conv_id, md5(string_agg(text, chr(10) || '---' || chr(10) ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, turn)) AS manual, count(DISTINCT role) = len(any_value(roles)) AS complete FROM conversations, (VALUES ('full', ['system', 'user', 'assistant']), ('affordance', ['system', 'user']), ('style', ['assistant'])) v(variant, roles) WHERE list_contains(roles, role) GROUP BY 1, 2")
 def fn23(spark: S, d: str) -> DataFrame:
+    """Parts of a manual in fixed order, in three variants; ``complete`` tells whether every part of the variant is there (``require_complete`` makes that an error)."""
     place = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
-    g = b.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("o"), "turn", "text"))).alias("p"), F.size(F.collect_set("role")).alias("k"))
-    return g.where("k >= 2").select("conv_id", F.array_join(F.transform("p", lambda x: x.text), "\n---\n").alias("manual"))
+    of = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("variant"), F.array(*map(F.lit, v)).alias("roles")) for k, v in VARIANTS.items()]), lambda x: F.array_contains(x.roles, F.col("role"))))
+    parts = b.table(spark, d, "conversations").select("conv_id", "role", "turn", "text", of.alias("v")).groupBy(F.col("v.variant").alias("variant"), "conv_id")
+    g = parts.agg(F.array_sort(F.collect_list(F.struct(place.alias("o"), "turn", "text"))).alias("p"), F.size(F.collect_set("role")).alias("k"), F.max(F.size("v.roles")).alias("all"))
+    return g.select("variant", "conv_id", F.md5(F.array_join(F.transform("p", lambda x: x.text), "\n---\n").cast("binary")).alias("manual"), (F.col("k") == F.col("all")).alias("complete"))
+
+
+def require_complete(manuals: DataFrame) -> DataFrame:
+    """The manuals, or ValueError if one lacks a part."""
+    if not manuals.where("NOT complete").isEmpty():
+        raise ValueError("a manual lacks a part")
+    return manuals
 
 
 @register("set02_union_with_roles", "SELECT key, max(role)::BIGINT AS role, count(*) AS n FROM (SELECT sha1(text) AS key, 0 AS role FROM documents WHERE source IN ('src0', 'src1') UNION ALL SELECT sha1(text), 1 FROM documents WHERE source NOT IN ('src0', 'src1')) GROUP BY 1")
@@ -188,12 +225,23 @@ def set05(spark: S, d: str) -> DataFrame:
     return docs.where("source <> 'src3'").join(held, "key", "left").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.coalesce("leak", F.lit(False))).alias("leaks"))
 
 
-@register("pf10_log_line_classes", "SELECT class, count(*) AS n FROM (SELECT CASE WHEN line LIKE '%License%' THEN 'license' WHEN line LIKE '%token =%' THEN 'secret' WHEN regexp_matches(line, '[0-9]{3}\\.[0-9]{1,3}') THEN 'address' WHEN line LIKE 'The %' THEN 'benign' ELSE 'other' END AS class FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1")
+#: Patterns of log lines by name, and what makes a line that has one benign: how it begins, what else it says, or a leaf that isn't targeted.
+SUSPECT = {"license": "License", "secret": "token ="}
+PREFIX, CONTEXT, TARGETS = "Licensed under", "All rights reserved", ("apiKey", "session")
+CLASS_SQL = " ".join(f"WHEN contains(line, '{v}') THEN '{k}'" for k, v in SUSPECT.items())
+
+
+@register("pf10_log_line_classes", f"""SELECT *, NOT bool_or(verdict = 'hit') OVER (PARTITION BY source) AS ok FROM (SELECT source, pattern, verdict, count(*) AS n FROM (SELECT source, pattern, CASE WHEN starts_with(line, '{PREFIX}') THEN 'benign-prefix' WHEN contains(line, '{CONTEXT}') THEN 'benign-context' WHEN leaf <> '' AND leaf NOT IN ('apiKey', 'session') THEN 'benign-leaf' ELSE 'hit' END AS verdict
+  FROM (SELECT source, line, CASE {CLASS_SQL} END AS pattern, regexp_extract(line, '([A-Za-z]+)_token = ', 1) AS leaf FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE pattern IS NOT NULL) GROUP BY ALL)""")
 def pf10(spark: S, d: str) -> DataFrame:
-    lines = b.table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    """Lines of each log by the first pattern that they have, and whether that is benign; a log is fine if nothing hits."""
+    lines = b.table(spark, d, "documents").select("source", F.explode(F.split("text", "\n")).alias("line"))
     has = lambda s: F.contains("line", F.lit(s))
-    kind = F.when(has("License"), "license").when(has("token ="), "secret").when(F.rlike("line", F.lit(r"[0-9]{3}\.[0-9]{1,3}")), "address").when(F.startswith("line", F.lit("The ")), "benign").otherwise("other")
-    return lines.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+    pattern = F.coalesce(*[F.when(has(v), k) for k, v in SUSPECT.items()])
+    leaf = F.regexp_extract("line", r"([A-Za-z]+)_token = ", 1)
+    verdict = F.when(F.startswith("line", F.lit(PREFIX)), "benign-prefix").when(has(CONTEXT), "benign-context").when((leaf != "") & ~leaf.isin(*TARGETS), "benign-leaf").otherwise("hit")
+    g = lines.select("source", pattern.alias("pattern"), verdict.alias("verdict")).where("pattern IS NOT NULL").groupBy("source", "pattern", "verdict").agg(F.count("*").alias("n"))
+    return g.withColumn("ok", ~F.bool_or(F.col("verdict") == "hit").over(Window.partitionBy("source")))
 
 
 @register("win05_segment_stream", "SELECT conv_id, episode, count(*) AS n, arg_min(text, turn) AS first FROM (SELECT *, sum((role = 'user')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS episode FROM conversations) GROUP BY 1, 2")
@@ -203,11 +251,17 @@ def win05(spark: S, d: str) -> DataFrame:
     return c.groupBy("conv_id", "episode").agg(F.count("*").alias("n"), F.min_by("text", "turn").alias("first"))
 
 
-@register("win07_worked_examples", "SELECT conv_id, string_agg(left(text, greatest(1, 600 // k)), ' > ' ORDER BY turn) AS path FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations) GROUP BY 1")
+#: Characters of a conversation's example, and caps of a turn that are tried in turn.
+FIT, CAPS = 6000, (2000, 1000, 500, 250, 125, 60, 30, 10, 1)
+
+
+@register("win07_worked_examples", f"SELECT conv_id, cap, array_to_string([left(x, cap) FOR x IN ts], ' > ') AS path FROM (SELECT conv_id, ts, coalesce(list_filter({list(CAPS)}, lambda c: list_sum([least(length(x), c) FOR x IN ts]) + 3 * (len(ts) - 1) <= {FIT})[1], 1) AS cap FROM (SELECT conv_id, list(text ORDER BY turn) AS ts FROM conversations GROUP BY 1))")
 def win07(spark: S, d: str) -> DataFrame:
-    g = b.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s"))
-    budget = F.greatest(F.lit(1), F.floor(F.lit(600) / F.size("s"))).cast("int")
-    return g.select("conv_id", F.array_join(F.transform("s", lambda x: F.left(x.text, budget)), " > ").alias("path"))
+    """Each conversation's turns as one path, every turn cut to the largest cap that lets the whole fit. A conversation is a row's array; its turns are few by nature."""
+    g = b.table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text).alias("ts"))
+    size = lambda c: F.aggregate("ts", F.lit(0), lambda n, x: n + F.least(F.length(x), c)) + 3 * (F.size("ts") - 1)
+    cap = F.coalesce(F.get(F.filter(F.array(*map(F.lit, CAPS)), lambda c: size(c) <= FIT), 0), F.lit(1))
+    return g.withColumn("cap", cap).select("conv_id", "cap", F.array_join(F.transform("ts", lambda x: F.left(x, F.col("cap"))), " > ").alias("path"))
 
 
 @register("fn06_strip_answer", r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[.!?] [^.!?]*[.!?]?$') THEN regexp_replace(text, ' [^.!?]*[.!?]?$', '') ELSE text END AS recipe FROM conversations WHERE role = 'assistant'")

@@ -136,3 +136,46 @@ def test_style_sheets_are_counted_by_declaration(spark):
     assert rows[2] == ("", "")
     got = {(r["hex"], r["hue"], r["saturation"], r["lightness"]) for r in sites.colours(ds, "k", "css").collect()}
     assert got == {("ffffff", 0.0, 0.0, 1.0), ("00aa00", 120.0, 1.0, 0.333333), ("336699", 210.0, 0.5, 0.4)}
+
+
+def test_blocks_go_before_the_observation_or_fail(spark):
+    from evalgrid.plans import texts
+
+    put = lambda prompt: spark.createDataFrame([(prompt,)], "p string").select(texts.injected(F.col("p"), F.lit("# Site manual\nx"))).first()[0]
+    assert put("a\n## Extra instructions:\n\nb\n\n# Observation\nc") == "a\n## Extra instructions:\n\nb\n# Site manual\nx\n# Observation\nc"
+    for bad in ("no heading\n\n# Observation", "## Extra instructions: none", "## Extra instructions:\n# Site manual\n\n# Observation"):
+        with pytest.raises(Exception, match="prompt|observation|instructions"):
+            put(bad)
+
+
+def test_unknown_and_empty_sites_are_refused(spark):
+    from evalgrid.plans import records
+
+    key = lambda sites: spark.createDataFrame([(sites,)], "s array<string>").select(records.site_key("s")).first()[0]
+    assert key([" SHOP", "wiki "]) == "wiki+shop"
+    for bad in (["wiki", "blog"], [], None):
+        with pytest.raises(Exception, match="no such sites"):
+            key(bad)
+
+
+def test_sinks_save_in_place_resume_and_refuse(spark, tmp_path):
+    path = str(tmp_path / "m")
+    one = spark.createDataFrame([(1, float("nan")), (2, 0.5)], "k long, v double")
+    for df in (one.limit(1), one):
+        sinks.save(df, path)
+    assert sorted(map(tuple, sinks.load(spark, path, "k long, v double").collect())) == [(1, None), (2, 0.5)]
+    assert sinks.load(spark, str(tmp_path / "none"), "k long").count() == 0 and len(list(tmp_path.iterdir())) == 1
+    seen = []
+    run = lambda todo: seen.append(sorted(r["k"] for r in todo.collect())) or todo
+    fills = str(tmp_path / "fill")
+    sinks.fill(one.where("k = 1"), fills, ["k"], run)
+    assert sinks.fill(one, fills, ["k"], run, pieces=2).count() == 2 and sorted(sum(seen, [])) == [1, 2]
+    with pytest.raises(ValueError, match="nothing"):
+        sinks.build_corpus(one.limit(0).withColumn("cell", F.lit("a")), one, str(tmp_path / "c"))
+    sites = spark.createDataFrame([("s", [1.0] * 6, [1.0] * 4)], "site string, a array<double>, b array<double>")
+    assert sinks.check_shapes(sites, 2, 3, 2).count() == 1
+    for rank, rows in ((3, sites), (2, sites.limit(0))):
+        with pytest.raises(ValueError, match="shapes"):
+            sinks.check_shapes(rows, rank, 3, 2)
+    with pytest.raises(ValueError, match="scale"):
+        sinks.require_preserved(spark.createDataFrame([(1.1,)], "r double"), "r")
