@@ -5,10 +5,10 @@ it, so a passage that was pasted into the middle of a line is found as well. A s
 together with those after it, and with those before it, that make up so many words. Units are
 compared in lower case with their white space collapsed, by a 128-bit digest.
 
-The digests of all documents are grouped; partial aggregation keeps one row for each digest
-and task, however common a line is. Digests that occur once fall out. The earliest
-occurrence, by doc_id and then by place, stays; the others come back as spans of their own
-document, in code points of the original text. The join that finds them is a plain equi-join
+The digests of all documents are counted; partial aggregation keeps one row for each digest
+and task, however common a line is. Digests that occur once fall out, and only units of the others are kept and grouped for their earliest
+occurrence, by doc_id and then by place. That one stays; the others come back as spans of their own
+document, in code points of the original text. Both joins are plain equi-joins of written tables,
 which the adaptive planner splits where a digest is hot.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from evalgrid.llm.common import modest_batches
+from evalgrid.llm.common import modest_batches, written
 
 #: Shorter sentences within a line are removed only with their neighbours.
 MIN_WORDS = 8
@@ -102,9 +102,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     found = _unit_table(docs, min_words)
     place = F.struct("doc_id", "sign", "start")
-    groups = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    several = written(found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "several")
+    repeated = written(found.join(several, ["h1", "h2"]), "repeated-units")
+    firsts = written(repeated.groupBy("h1", "h2").agg(F.min(place).alias("first")), "firsts")
     return (
-        found.join(groups, ["h1", "h2"])
+        repeated.join(firsts, ["h1", "h2"])
         .where(~place.eqNullSafe(F.col("first")))
         .select("doc_id", "sign", "start", "stop", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
         .distinct()
