@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import decontaminate, htmlmain, langid, licenses, mixing, neardup, substring_dedup, tokencount, topk, urlfilter
+from evalgrid.llm import decontaminate, htmlmain, langid, licenses, mixing, neardup, periodic, substring_dedup, tokencount, tokenfile, topk, urlfilter
 from evalgrid.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -83,6 +83,17 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = tokenfile.write_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenfile.read_documents(spark, files)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(_table(spark, sf_dir, "documents"), planted=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filters": op2_url_filters,
@@ -94,4 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_exact_top_k": op10_exact_top_k,
+    "op12_token_files": op12_token_files,
+    "op13_periodic_runs": op13_periodic_runs,
 }

@@ -32,7 +32,7 @@ from evalgrid.llm.common import modest_batches
 CHUNK, OVERLAP = 1024, 64
 _BOUNDARY = re.compile(r"[!-~](?=[ \n\t\r])")
 #: Word patterns that never let a blank follow another character within a word.
-_WORDS = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"])
+WORDS = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"])
 
 
 class Encoded:
@@ -89,7 +89,7 @@ def proven(vocabulary: str) -> None:
     words = len(cuts) == 1 and plain(cuts[0], True)
     if len(cuts) == 2:
         split = cuts[0]
-        words = split["type"] == "Split" and split["pattern"].get("Regex") in _WORDS and split["behavior"] == "Removed" and split["invert"] and plain(cuts[1], False)
+        words = split["type"] == "Split" and split["pattern"].get("Regex") in WORDS and split["behavior"] == "Removed" and split["invert"] and plain(cuts[1], False)
     alike = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in forms)
     added = all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"])) for x in spec["added_tokens"])
     if not (words and alike and added and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")):
