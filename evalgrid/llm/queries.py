@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import decontaminate, htmlmain, langid, licenses, mixing, neardup, periodic, substring_dedup, tokencount, tokenfile, topk, urlfilter
+from evalgrid.llm import collocations, decontaminate, htmlmain, langid, licenses, mixing, neardup, periodic, substring_dedup, tokencount, tokenfile, topk, urlfilter
 from evalgrid.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -83,6 +83,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_collocations": op11_collocations,
     "op12_token_files": op12_token_files,
     "op13_periodic_runs": op13_periodic_runs,
 }
