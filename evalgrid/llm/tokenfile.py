@@ -34,7 +34,7 @@ from evalgrid.llm.tokencount import WORDS as WORD_PATTERNS
 #: Ids of a sequence, sequences of a record batch, and ids from which a task begins its next file.
 SEQUENCE, BATCH, FILE = 2048, 64, 1 << 26
 #: Stretches of text that a worker keeps with their ids.
-KEPT = 1_000_000
+KEPT = 2_000_000
 #: A stretch that ends in punctuation; an apostrophe may begin a token of its own and isn't split off.
 _TAIL = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)
 
@@ -70,6 +70,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.by_stretch = drops_blanks(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -95,12 +96,13 @@ class Encoder:
                     break
                 held.update(words)
                 part.append(words)
-            # All that these texts need is known together, however many have been forgotten before.
+            # What is known makes room in two steps: what is used again in the meantime stays. All that these texts need is known together.
             unknown = {w for w in held if w not in self.known}
-            if len(self.known) + len(unknown) > KEPT:
-                self.known.clear()
-                unknown = held
-            self._learn(unknown)
+            if len(self.known) + len(unknown) > KEPT // 2:
+                self.known, self.older, unknown = {}, self.known, held
+            again = {w: self.older[w] for w in unknown if w in self.older}
+            self.known.update(again)
+            self._learn(unknown - again.keys())
             found += [b"".join(map(self.known.__getitem__, words)) for words in part]
         return found
 
