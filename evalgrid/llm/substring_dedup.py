@@ -28,7 +28,8 @@ from evalgrid.llm.common import modest_batches, written
 
 #: Shorter sentences within a line are removed only with their neighbours.
 MIN_WORDS = 8
-_SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)\s*|$)", re.S)
+#: A run of sentence ends is taken or passed over as a whole, so no line takes longer than in proportion to its length.
+_SENTENCE = re.compile(r"[.!?][.!?]++(?=\s)\s*|\S.*?(?:(?<![.!?])[.!?]++(?=\s)\s*|$)", re.S)
 
 
 def units(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
