@@ -48,8 +48,8 @@ PROOF = 3
 DEPTH = 512
 
 _PART = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(script|style|noscript|template|iframe|svg|textarea|title)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:(-->)|\Z)|<[!?][^>]*>|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title)\b[^>]*?(?:/>|>.*?(?:(</(?P=raw)\s*>)|\Z))"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -58,6 +58,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _SELF_ENDING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_P_WITHIN = _ENDS_P - {"p"} | {"td", "li", "body"}
 #: Elements, and names in class, id or role, that mark what isn't main text.
 _ASIDE = frozenset("head nav header footer aside form dialog menu button select fieldset".split())
 _ASIDE_WORDS = frozenset(
@@ -74,6 +75,9 @@ _PLAIN_WORDS = frozenset(
     "page panel posts primary right row secondary section signup site slot small stories sub text the thread top unit widget wrap wrapper".split()
 )
 _MAIN = frozenset(("article", "main"))
+#: Elements that only a page has: a form around one of them is a wrapper of the page, of which its controls alone are left out.
+_PAGE_PARTS = frozenset("article main nav header footer h1".split())
+_CONTROLS = frozenset("label legend option".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _NUMBER = re.compile(r"[0-9]+(?:x[0-9]+)?\Z")
 
@@ -96,13 +100,15 @@ def _named(names: str, words: frozenset[str]) -> set[str]:
 class _Kind:
     """What an element's tag and names say of it."""
 
-    __slots__ = ("aside", "comment", "loose", "main")
+    __slots__ = ("aside", "comment", "form", "loose", "main", "part")
 
     def __init__(self, tag: str, names: str) -> None:
         said = _named(names, _ASIDE_WORDS) if names and tag not in ("html", "body") else set()
         self.comment = bool(said & _COMMENT_WORDS)
         self.main = tag in _MAIN or "main" in names.split()
         self.aside = tag in _ASIDE or (bool(said) and tag not in _MAIN)
+        self.form = tag == "form" and not said
+        self.part = self.main or tag in _PAGE_PARTS
         # A word alone may name a part of the article; with words like box or list beside it, it doesn't.
         self.loose = self.aside and tag not in _ASIDE and said <= _LOOSE_WORDS and said <= set(names.split())
 
@@ -133,7 +139,7 @@ def read(page: str) -> Iterator[tuple[str, Element, str]]:
     """
     stack: list[Element] = [ROOT]
 
-    def end(names: tuple[str, ...], barrier: tuple[str, ...] = ()) -> bool:
+    def end(names: tuple[str, ...], barrier: tuple[str, ...] | frozenset[str] = ()) -> bool:
         for at in range(len(stack) - 1, 0, -1):
             if stack[at].tag in names:
                 del stack[at:]
@@ -142,15 +148,17 @@ def read(page: str) -> Iterator[tuple[str, Element, str]]:
                 return False
         return False
 
-    at, m = 0, None
-    for m in _PART.finditer(page):
+    # Behind the last > nothing can end, and nothing is looked for; so what never ends is not read again from each of its beginnings.
+    at, last, open_end = 0, page.rfind(">") + 1, False
+    for m in _PART.finditer(page, 0, last):
         if m.start() > at:
             yield "text", stack[-1], page[at : m.start()]
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m["tag"] or "").lower()
         if not tag:
+            open_end = at == last and not (m[1] or m[3]) and (m[0].startswith("<!--") or (m["raw"] is not None and not m[0].endswith("/>")))
             continue
-        if m[2]:
+        if m["end"]:
             closed = next((e for e in reversed(stack) if e.tag == tag), None)
             if closed is not None:
                 yield "close", closed, tag
@@ -159,8 +167,9 @@ def read(page: str) -> Iterator[tuple[str, Element, str]]:
         if tag in _SELF_ENDING and tag != "p":
             end(_SELF_ENDING[tag], ("ul", "ol", "dl", "table", "select"))
         elif tag in _ENDS_P:
-            end(("p",), ("article", "section", "div", "td", "li", "body", "blockquote", "aside"))
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[4])).lower() if m[4] else ""
+            # A paragraph that is open around one of these was ended by it, so none needs to be looked for beyond the nearest.
+            end(("p",), _P_WITHIN)
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(m["rest"])).lower() if m["rest"] else ""
         new = Element(tag, names, stack[min(len(stack), DEPTH) - 1], m.start())
         if tag in _VOID:
             yield "void", new, tag
@@ -168,9 +177,11 @@ def read(page: str) -> Iterator[tuple[str, Element, str]]:
             del stack[DEPTH:]
             stack.append(new)
             yield "open", new, tag
-    if at < len(page):
+    if at < len(page) and not open_end:
         rest = page[at:]
-        yield "text", stack[-1], rest[: m.start()] if (m := re.search(r"<[a-zA-Z/][^>]*\Z", rest)) else rest
+        rest = rest[: m.start()] if (m := re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)) else rest
+        if rest:
+            yield "text", stack[-1], rest
 
 
 def _text_token(around: Element, text: str) -> int:
@@ -237,10 +248,18 @@ def extract(page: str | None, template: frozenset[int], names: bool = True) -> s
     if not page:
         return ""
     boxes: set[int] = set()
+    wrappers: set[int] = set()
     own_main = False
     for what, e, text in read(page):
         if what == "open":
             own_main |= e.kind.main and bool(template) and not (e.kind.comment and names)
+            # What stands around each element goes down from parent to child: the form that is innermost.
+            e.own = e if e.kind.form else e.parent.own
+            if e.kind.part:
+                form = e.own
+                while form is not None and form.at not in wrappers:
+                    wrappers.add(form.at)
+                    form = form.parent.own
         elif what == "text" and text.strip() and _text_token(e, text) in template:
             while e is not None and e.at not in boxes:  # the template's text makes all that is around it boxes
                 boxes.add(e.at)
@@ -252,7 +271,7 @@ def extract(page: str | None, template: frozenset[int], names: bool = True) -> s
         nested = nested and e.key in template
         if ok and template and (names or nested):
             comment = kind.comment and (inside or not kind.main or own_main)
-            aside = comment or kind.aside
+            aside = comment or (kind.aside and not (kind.form and e.at in wrappers)) or (bool(wrappers) and e.tag in _CONTROLS)
             if aside and kind.loose and inside and not comment:
                 # The template's own part is left out if its text doesn't vary or stands beside text of the template.
                 aside = nested and (_part_token(e.key) not in template or e.at in boxes)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -67,6 +68,70 @@ def test_hot_groups_of_edited_and_partial_copies(spark):
     assert got == {(i, i % 2) for i in range(80)} | {(500, 2), (501, 0)}
 
 
+def test_score_and_span_equal_those_of_full_alignment():
+    rnd = random.Random(4)
+    say = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    missed = found = 0
+
+    def judge(item, copy):
+        nonlocal missed, found
+        text = " ".join(say(60) + copy + say(60))
+        items = decontaminate.Items([(7, decontaminate.word_hashes(" ".join(item)))])
+        words = decontaminate.word_hashes(text)
+        score, start, stop = decontaminate.align(items.words[0], words)
+        assert decontaminate.reach(words, items.own[0]) >= score
+        got = list(items.matches(text, 0.5))
+        share = score / (2 * len(item))
+        found += share >= 0.5
+        missed += share >= 0.5 and not got
+        assert not got or got == [(7, share, start, stop)]
+
+    item = say(40)
+    for step in (1, 2, 3):  # a foreign word after every few, with one whole seed at the start, in the middle or at the end
+        for at in (0, 18, 37):
+            judge(item, [x for i, w in enumerate(item) for x in ([w] if at <= i < at + 2 or i % step else [w, f"new{i}"])])
+    assert missed == 0 and found >= 9
+    for _ in range(300):
+        item, edits = say(rnd.randrange(6, 60)), rnd.random() * 0.5
+        draw = [(w, rnd.random() / edits) for w in item]
+        judge(item, [x for w, r in draw for x in ((w,) if r > 1 else () if r < 1 / 3 else ("new",) if r < 2 / 3 else (w, "more"))])
+    assert missed <= 0.02 * found
+
+
+def test_common_seeds_do_not_multiply_and_lose_no_copy():
+    rnd = random.Random(6)
+    say = lambda n: [f"w{rnd.randrange(100_000)}" for _ in range(n)]
+    heads = [["what", "is", "the", *say(17)] for _ in range(4000)]
+    alike = [[f"t{k}" for k in range(20)] + say(3) for _ in range(200)]
+    same = [["just", "these", "five", "common", "words"]] * 50
+    texts = heads + alike + same
+    items = decontaminate.Items([(k, decontaminate.word_hashes(" ".join(x))) for k, x in enumerate(texts)])
+    seed = decontaminate.seed_hashes(decontaminate.word_hashes("what is the"))[0]
+    assert len(items.words) == 4201 and (items.hashes == seed).sum() == 0
+    assert np.unique(items.items).tolist() == list(range(4201))
+    begun = time.perf_counter()
+    assert list(items.matches(" ".join(x for _ in range(200) for x in ["what", "is", "the", *say(6)]), 0.5)) == []
+    assert time.perf_counter() - begun < 1
+    for k in (0, 3999, 4000, 4199):
+        got = {m[0]: m[1] for m in items.matches(" ".join(say(30) + texts[k] + say(30)), 0.5)}
+        assert got[k] == 1.0
+    assert {m[0] for m in items.matches(" ".join(say(30) + [f"t{k}" for k in range(20)] + say(30)), 0.5)} == set(range(4000, 4200))
+    assert {m[0] for m in items.matches("x just these five common words y", 0.5)} == set(range(4200, 4250))
+
+
+def test_parts_of_a_benchmark(spark, monkeypatch):
+    rnd = random.Random(8)
+    say = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    items = [say(20) for _ in range(9)]
+    rows = [(k, " ".join(say(20) + (items[k] if k < 9 else []) + say(20))) for k in range(30)]
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "MOST_WORDS", 45)
+    found = decontaminate.contaminated(docs(spark, rows), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"], r["start_word"], r["end_word"]) for r in found) == [(k, k, 1.0, 20, 40) for k in range(9)]
+    left = decontaminate.clean(docs(spark, rows), benchmark)
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(9, 30))
+
+
 def test_alignment_equals_plain_recurrence():
     rnd = np.random.default_rng(1)
     for _ in range(30):
@@ -577,6 +642,26 @@ def test_parts_of_articles_stay_and_comments_go_anywhere():
     assert htmlmain.text_of(page, frozenset()) == htmlmain.text_of(page, htmlmain.alone("<html><body><nav>")) == "One. Two. Three. Four."
 
 
+def test_hostile_pages_and_lines_take_time_in_proportion():
+    for unit in ("<title ", "<!-- ", '<a "', "<script ", "<", "</script ", "<!", "<form>"):
+        begun = time.perf_counter()
+        htmlmain.extract(unit * (200_000 // len(unit)), frozenset())
+        assert time.perf_counter() - begun < 5, unit
+    for unit in ("!", "!a", ".", "a.a?"):
+        begun = time.perf_counter()
+        substring_dedup.units(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - begun < 5, unit
+
+
+def test_forms_around_a_page_and_within_one():
+    page = "<body><form id=f><nav>menu</nav><label>Name</label><input><div><h1>Title</h1><p>Body text.</p><select><option>No</option></select></div><footer>foot</footer></form></body>"
+    assert htmlmain.text_of(page, frozenset()) == "Title Body text."
+    assert htmlmain.text_of("<body><p>Body.</p><form><label>Ask</label><p>us here</p></form></body>", frozenset()) == "Body."
+    assert htmlmain.text_of("<body><form><form><article>Body.</article></form><form>Ask</form></form></body>", frozenset()) == "Body."
+    assert htmlmain.text_of("<p>Before <b>after</b><!-- never ends > <p>gone", frozenset()) == "Before after"
+    assert htmlmain.text_of("<p>Before</p><script>never() > ends", frozenset()) == "Before"
+
+
 def test_broken_pages_take_memory_in_proportion():
     import tracemalloc
 
