@@ -6,7 +6,7 @@ import importlib
 
 from evalgrid.plans import QUERIES, Query
 
-MODULES = ("records", "matrix", "texts", "vectors", "gates", "leaks", "trials", "sites")
+MODULES = ("records", "matrix", "texts", "vectors", "gates", "leaks", "trials", "sites", "recipes", "solvers", "trees")
 FLAGSHIP = "ag01_episode_aggregate"
 
 

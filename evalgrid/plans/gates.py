@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalgrid.functions.rng import draw, draw_sql
-from evalgrid.operators import sinks
+from evalgrid.operators import graphs, sinks
 from evalgrid.plans import register
 from evalgrid.plans.ctes import sql
 from evalgrid.sources import bindings as b
@@ -84,6 +84,14 @@ def gr02(spark: S, d: str) -> DataFrame:
     return g.agg(F.min(F.struct("user_id", "ts", "event_id")).getField("user_id").alias("first_user"), F.count("*").alias("visits")).orderBy("path").limit(200)
 
 
+@register("gr02_first_visits", "SELECT path, f['u'] AS from_task, row_number() OVER (ORDER BY f) AS place FROM (SELECT path, min({'u': user_id, 't': ts, 'e': event_id}) AS f FROM (SELECT '/' || event_type || '/' || json_extract_string(props, '$.k') AS path, user_id, ts, event_id FROM events) GROUP BY path) ORDER BY place LIMIT 25")
+def gr02_first(spark: S, d: str) -> DataFrame:
+    """The paths that tasks (users, by number) visited first, in the order of their first visit, as many as a crawl has pages."""
+    path = F.concat_ws("/", F.lit(""), "event_type", F.get_json_object("props", "$.k"))
+    visits = b.table(spark, d, "events").select(path.alias("path"), F.col("user_id").alias("task"), "user_id", "ts", "event_id")
+    return graphs.first_visits(visits, ["user_id", "ts", "event_id"], 25)
+
+
 @register("snk04_registry_upsert", "SELECT coalesce(n.k, o.k) AS k, coalesce(n.rows, o.rows) AS rows FROM (SELECT source AS k, count(*) AS rows FROM documents WHERE lang = 'en' GROUP BY 1) o FULL JOIN (SELECT source || '-de' AS k, count(*) AS rows FROM documents WHERE lang = 'de' GROUP BY 1) n ON o.k = n.k")
 def snk04(spark: S, d: str) -> DataFrame:
     counts = lambda lang, suffix: b.table(spark, d, "documents").where(F.col("lang") == lang).groupBy(F.concat("source", F.lit(suffix)).alias("k")).agg(F.count("*").alias("rows"))

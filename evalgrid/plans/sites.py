@@ -105,6 +105,86 @@ def gr01(spark: S, d: str) -> DataFrame:
     return walk.join(own.select("host", F.col("path").alias("node"), F.lit(True).alias("there")), ["host", "node"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
 
 
+def _probe_sql() -> str:
+    """The crawl in SQL with a search on each site's first page, whose result is the site's last page, and the rounds that follow it."""
+    head, _, _ = _crawl_sql().rpartition("\nSELECT s.host")
+    parts = [
+        head,
+        f"found AS (FROM seen{DEPTH} WHERE place <= {PAGES})",
+        "front10 AS (SELECT o.host, arg_max(o.path, page_id) AS node, 1::BIGINT AS depth, any_value(before) + 1 AS place FROM own o JOIN (SELECT host, max(place) AS before FROM found GROUP BY 1) f ON f.host = o.host GROUP BY 1)",
+        "seen10 AS (FROM found UNION ALL FROM front10)",
+    ]
+    for k in range(11, 10 + DEPTH):
+        parts.append(f"""front{k} AS (SELECT host, node, {k - 9}::BIGINT AS depth, place FROM (SELECT f.host, f.node, before + row_number() OVER (PARTITION BY f.host ORDER BY f.first, f.node) AS place FROM (
+          SELECT e.host, e.dst AS node, min({{'f1': p.place, 'f2': e.i}}) AS first FROM front{k - 1} p JOIN edges e ON e.host = p.host AND e.src = p.node GROUP BY 1, 2) f
+          JOIN (SELECT host, max(place) AS before FROM seen{k - 1} GROUP BY 1) s USING (host) WHERE (f.host, f.node) NOT IN (SELECT (host, node) FROM seen{k - 1})) WHERE place <= {PAGES})""")
+        parts.append(f"seen{k} AS (FROM seen{k - 1} UNION ALL FROM front{k})")
+    return ",\n".join(parts) + f"\nSELECT host, node, depth, place, place IN (SELECT place FROM front10 p WHERE p.host = s.host) AS from_probe FROM seen{9 + DEPTH} s"
+
+
+@register("gr01_crawl_with_probe", _probe_sql())
+def gr01_probe(spark: S, d: str) -> DataFrame:
+    """Each site crawled with one search. The given pages have no forms, so the first page's search stands in: it leads to the site's last page, which links may not reach."""
+    pages = b.table(spark, d, "pages").select("page_id", host().alias("host"), urls.site_path(F.col("url"), F.col("url")).alias("path"))
+    keep = lambda df: files.kept(df, "crawl")
+    own = keep(pages.groupBy("host", "path").agg(F.min("page_id").alias("page_id")))
+    edges = linked(spark, d).select("page_id", "ord", F.col("path").alias("dst")).join(own, "page_id").groupBy("host", F.col("path").alias("src"), "dst").agg(F.min("ord").alias("ord"))
+    roots = own.groupBy("host").agg(F.min_by("path", "page_id").alias("node"), F.max_by("path", "page_id").alias("result"))
+    return graphs.crawl_with_probe(roots.select("host", "node"), keep(edges), roots, DEPTH, PAGES, keep=keep)
+
+
+#: Fixed values of a rendered page: most headings, link labels, link targets, buttons, fields and roles; and characters of a site.
+SHOWN = {"headings": 20, "links": 40, "targets": 25, "buttons": 20, "inputs": 20, "roles": 25}
+SITE_CHARS = 60_000
+
+
+def _line_sql(name: str, listed: str, separator: str, most: str = "") -> str:
+    return f"CASE WHEN len({listed}) > 0 THEN chr(10) || '{name}: ' || array_to_string({listed}{most}, '{separator}') ELSE '' END"
+
+
+def _site_sql() -> str:
+    head, _, _ = _crawl_sql().rpartition("\nSELECT s.host")
+    roles = "[k || '=' || len(list_filter(ts, lambda y: y = k)) FOR k IN list_sort(list_distinct(ts))]"
+    text = " || ".join([
+        "'--- page ' || node || chr(10) || 'title: ' || title", _line_sql("headings", "heads", " | ", "[1:20]"), _line_sql("links", "labels", " | ", "[1:40]"), _line_sql("link targets", "targets", " ", "[1:25]"),
+        _line_sql("buttons", "buttons", " | ", "[1:20]"), _line_sql("fields", "inputs", " | ", "[1:20]"), "chr(10) || 'forms: ' || forms", _line_sql("roles", roles, " ", "[1:25]")])
+    return f"""{head}, pairs AS (SELECT page_id, label, path, min(i) AS i FROM links GROUP BY ALL), numbered AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM pairs),
+said AS (SELECT page_id, list(label ORDER BY k) FILTER (label <> '') AS labels FROM numbered GROUP BY 1), led AS (SELECT page_id, list(path ORDER BY k) AS targets FROM (SELECT page_id, path, min(k) AS k FROM numbered WHERE k <= 40 GROUP BY ALL) GROUP BY 1),
+fields AS (SELECT page_id, {urls.label_sql(f"regexp_extract(html, '{urls.TITLE}', 1)")} AS title, {HEADS} AS heads, {_texts(urls.BUTTON)} AS buttons, {_texts(urls.INPUT)} AS inputs, len(regexp_extract_all(html, '(?i)<form\\b')) AS forms, [lower(x) FOR x IN regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)] AS ts FROM pages)
+SELECT host, count(*) AS n_pages, left('site: ' || host || chr(10) || 'pages crawled: ' || count(*) || chr(10) || string_agg(text, chr(10) ORDER BY place), {SITE_CHARS}) AS rendered FROM (
+  SELECT s.host, place, {text} AS text FROM seen{DEPTH} s JOIN own ON own.host = s.host AND own.path = node JOIN fields USING (page_id) LEFT JOIN said USING (page_id) LEFT JOIN led USING (page_id) WHERE place <= {PAGES}) GROUP BY 1"""
+
+
+def rendered(pages: DataFrame) -> DataFrame:
+    """``host, n_pages, rendered``: the crawled pages of each site as text, in the order of their visits, with what each holds (columns host, place, path, url, html).
+
+    A site has no more pages than its crawl's budget, so what is gathered is bounded; so is each list, and the whole text.
+    """
+    html = F.col("html")
+    line = lambda name, listed, how, most: F.when(F.size(listed) > 0, F.concat(F.lit(f"\n{name}: "), F.array_join(F.slice(listed, 1, most), how))).otherwise(F.lit(""))
+    texts = lambda p: F.transform(urls.every(html, p), urls.label)
+    p = pages.withColumn("l", urls.links(html, F.col("url"))).withColumn("ts", F.transform(urls.every(html, r"<([a-zA-Z][a-zA-Z0-9]*)"), lambda x: F.lower(x)))
+    roles = F.transform(F.array_sort(F.array_distinct("ts")), lambda k: F.concat_ws("=", k, F.size(F.filter("ts", lambda y: y == k)).cast("string")))
+    labels = F.filter(F.transform("l", lambda x: x.label), lambda x: x != "")
+    targets = F.array_distinct(F.transform(F.slice("l", 1, SHOWN["links"]), lambda x: x.path))
+    text = F.concat(
+        F.lit("--- page "), "path", F.lit("\ntitle: "), urls.label(F.regexp_extract("html", urls.TITLE, 1)), line("headings", urls.headings(html), " | ", SHOWN["headings"]), line("links", labels, " | ", SHOWN["links"]),
+        line("link targets", targets, " ", SHOWN["targets"]), line("buttons", texts(urls.BUTTON), " | ", SHOWN["buttons"]), line("fields", texts(urls.INPUT), " | ", SHOWN["inputs"]),
+        F.lit("\nforms: "), F.size(urls.every(html, r"(?i)<form\b", 0)).cast("string"), line("roles", roles, " ", SHOWN["roles"]))
+    g = p.select("host", F.struct("place", text.alias("text")).alias("page")).groupBy("host").agg(F.array_sort(F.collect_list("page")).alias("p"))
+    whole = F.concat(F.lit("site: "), "host", F.lit("\npages crawled: "), F.size("p").cast("string"), F.lit("\n"), F.array_join(F.transform("p", lambda x: x.text), "\n"))
+    return g.select("host", F.size("p").cast("long").alias("n_pages"), F.left(whole, F.lit(SITE_CHARS)).alias("rendered"))
+
+
+@register("fn08_rendered_sites", _site_sql())
+def fn08_sites(spark: S, d: str) -> DataFrame:
+    """What a reader of a crawl gets of each site: title, headings, links and where they lead, buttons, fields, forms and roles of each page, each list capped."""
+    walk = gr01(spark, d).where("there").select("host", F.col("node").alias("path"), "place")
+    p = b.table(spark, d, "pages").select("page_id", host().alias("host"), urls.site_path(F.col("url"), F.col("url")).alias("path"), "url", "html")
+    own = p.groupBy("host", "path").agg(F.min("page_id").alias("page_id"))
+    return rendered(walk.join(own, ["host", "path"]).join(p.drop("host", "path"), "page_id"))
+
+
 @register("fn08_render_with_caps", f"SELECT host, left(string_agg('## ' || path || ' ' || title, chr(10) ORDER BY page_id), 60000) AS rendered FROM (SELECT {HOST} AS host, page_id, {OWN} AS path, {urls.label_sql(f"regexp_extract(html, '{urls.TITLE}', 1)")} AS title, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) AS rn FROM pages) WHERE rn <= {PAGES} GROUP BY 1")
 def fn08(spark: S, d: str) -> DataFrame:
     """A site's first pages as text: paths and titles of 25 at most, 60,000 characters at most. The smallest ids are picked before pages are gathered, so a hot host has no large group."""
