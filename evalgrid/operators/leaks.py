@@ -7,14 +7,17 @@ N-grams never leave the scan: the known ones go out in parts of bounded size, an
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.functions import text as t
+from evalgrid.sources.files import kept
 
 #: Fixed values of the gate: words that compare designs, and words of the evaluation itself.
 FORBIDDEN = ("era", "version", "modern", "older", "newer", "legacy", "newest", "latest", "outdated", "contemporary", "retro", "old-fashioned", "old-style", "dated")
@@ -43,10 +46,53 @@ def _times(text: Column, found: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(found), 0)).cast("long")
 
 
+class _Codes(dict):
+    """The 64-bit codes of the words that a worker has met last; forgetting some changes nothing."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = code = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return code
+
+
+_codes, _PRIME = _Codes(), np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_codes(words: list[str]) -> np.ndarray:
+    """A 64-bit code of each n-gram of a text, in order."""
+    codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
+    n = len(codes) - N + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for i in range(N if n > 0 else 0):
+        out = (out ^ codes[i : i + n]) * _PRIME
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class Known:
+    """N-grams that are looked for, as sorted codes: 8 bytes each, and a bitmap that most others fail."""
+
+    def __init__(self, grams: Iterator[str]) -> None:
+        self.codes = np.unique(np.concatenate([np.empty(0, np.uint64), *(gram_codes(g.split(" ")) for g in grams)]))
+        self.bitmap = np.zeros(1 << 22, bool)
+        self.bitmap[(self.codes >> np.uint64(42)).astype(np.int64)] = True
+
+    def within(self, words: list[str]) -> set[str]:
+        """The n-grams of a text that have a known code."""
+        codes = gram_codes(words)
+        at = np.flatnonzero(self.bitmap[(codes >> np.uint64(42)).astype(np.int64)])
+        if not len(at):
+            return set()
+        place = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
+        return {" ".join(words[i : i + N]) for i in at[self.codes[place] == codes[at]].tolist()}
+
+
 def shared_grams(docs: DataFrame, key: str, text: Column, known: DataFrame) -> DataFrame:
     """``key, gram``: a row for each distinct n-gram of a row's ``text`` that ``known`` (column ``gram``) has.
 
-    Known n-grams go out ``MOST_GRAMS`` at a time, dealt by a hash; n-grams of the texts are never rows and never shuffled, only hits are.
+    Known n-grams go out as 64-bit codes, ``MOST_GRAMS`` (8 MB a million) at a time, dealt by a hash; n-grams of the texts are never rows and never
+    shuffled. Only hits are: they are joined to the known n-grams, so a code that two share does no harm.
     """
     spark = docs.sparkSession
     grams = known.where("gram IS NOT NULL").select("gram").distinct()
@@ -55,22 +101,21 @@ def shared_grams(docs: DataFrame, key: str, text: Column, known: DataFrame) -> D
     schema = f"{key} {texts.schema[key].dataType.simpleString()}, gram string"
     for part in range(parts):
         own = grams if parts == 1 else grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part)
-        shared = spark.sparkContext.broadcast(frozenset(tuple(r["gram"].split(" ")) for r in own.toLocalIterator()))
+        shared = spark.sparkContext.broadcast(Known(r["gram"] for r in own.toLocalIterator()))
 
         def probe(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             word = re.compile(t.WORD)
             for batch in batches:
                 keys, hits = [], []
                 for k, x in zip(batch[key], batch["text"], strict=True):
-                    words = word.findall(x.lower()) if x else ()
-                    found = shared.value.intersection(zip(*(words[i:] for i in range(N)), strict=False))
+                    found = shared.value.within(word.findall(x.lower())) if x else ()
                     keys += [k] * len(found)
-                    hits += [" ".join(g) for g in found]
+                    hits += found
                 yield pd.DataFrame({key: pd.Series(keys, dtype=batch[key].dtype), "gram": pd.Series(hits, dtype="object")})
 
         found = texts.mapInPandas(probe, schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.join(grams, "gram", "left_semi").select(key, "gram")
 
 
 def grams_table(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -114,12 +159,14 @@ def leak_check(manuals: DataFrame, intents: DataFrame, scouted: DataFrame, theme
 
     mine, theirs = grams_table(scouted, "intent", "intent"), grams_table(intents, "intent", "intent")
     texts = manuals.select("id", "text")
-    shared = shared_grams(texts, "id", F.col("text"), theirs)
+    # One pass over the texts looks for the n-grams of both lists; its hits are few and kept.
+    both = kept(shared_grams(texts, "id", F.col("text"), theirs.select("gram").unionByName(mine.select("gram"))), "shared-grams")
+    shared = both
     # Hits are few; each is looked up among the intents and the scouted n-grams.
     judged = shared.join(theirs, "gram").join(mine.select("gram", F.lit(True).alias("known")).distinct(), "gram", "left").groupBy("id", "intent").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("explained"))
     overlap = judged.groupBy("id", F.when(F.col("explained"), "waived").otherwise("hit").alias("kind")).agg(F.count("*").alias("n"))
     # Only manuals with a scouted n-gram anywhere can hold one within a section.
-    some = shared_grams(texts, "id", F.col("text"), mine).select("id").distinct()
+    some = both.join(mine.select("gram").distinct(), "gram", "left_semi").select("id").distinct()
     bodies = texts.join(some, "id", "left_semi").select("id", F.explode(t.sections(F.col("text"))).alias("k", "body")).where(F.col("k") != EXAMPLES)
     inside = shared_grams(bodies, "id", F.col("body"), mine).join(mine, "gram").groupBy("id").agg(F.count_distinct("intent").alias("n"))
     named = lambda df, rule, kind: df.select("id", F.lit(rule).alias("rule"), kind.alias("kind"), F.lit("n-gram").alias("match"), "n")

@@ -10,6 +10,7 @@ from evalgrid.operators import leaks
 from evalgrid.plans import register
 from evalgrid.plans.ctes import sql
 from evalgrid.sources import bindings as b
+from evalgrid.sources import files
 
 S = SparkSession
 GRAMS, WORDS = t.ngrams_sql("text", 6)
@@ -83,7 +84,7 @@ HARD, WARN = 6000, 8000
   FROM documents LEFT JOIN bad ON bad.id = doc_id GROUP BY 1""")
 def gate02(spark: S, d: str) -> DataFrame:
     """The gate by source: manuals that leak, are too long or pass; planted manuals that must fail are in the tests."""
-    found = checked(spark, d).where("kind = 'hit'")
+    found = files.kept(checked(spark, d).where("kind = 'hit'"), "hits")
     bad = found.select("id").distinct().withColumn("leak", F.lit(True))
     m = b.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars").join(bad, "id", "left").withColumn("leak", F.coalesce("leak", F.lit(False)))
     out = m.groupBy("source").agg(

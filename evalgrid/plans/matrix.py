@@ -12,6 +12,7 @@ from evalgrid.operators.selection import rank_within
 from evalgrid.plans import register
 from evalgrid.plans.ctes import sql
 from evalgrid.sources import bindings as b
+from evalgrid.sources import files
 
 S = SparkSession
 
@@ -32,9 +33,9 @@ def mean_columns() -> list:
     return [F.round(F.avg("value"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("sd"), F.count("value").alias("n")]
 
 
-def classed(spark: S, d: str) -> DataFrame:
-    """The matrix with the kind of each pair. It must have two environments and two eras at least."""
-    m = b.transfer(spark, d)
+def classed(spark: S, d: str, m: DataFrame | None = None) -> DataFrame:
+    """The matrix (``m``, or the given tables') with the kind of each pair. It must have two environments and two eras at least."""
+    m = b.transfer(spark, d) if m is None else m
     factors = b.cells(spark, d).agg(F.count_distinct("env").alias("env"), F.count_distinct("era").alias("era")).first()
     if min(factors) < 2:
         raise ValueError("a dissociation needs two environments and two eras at least")
@@ -78,9 +79,9 @@ def jn05(spark: S, d: str) -> DataFrame:
 PER_SOURCE = "SELECT src, src_env, src_era, avg(value) FILTER (kind = 'theme') - avg(value) FILTER (kind = 'env') AS diff, avg(value) FILTER (kind = 'theme') AS theme, avg(value) FILTER (kind = 'env') AS env FROM classed GROUP BY 1, 2, 3"
 
 
-def per_source(spark: S, d: str) -> DataFrame:
+def per_source(spark: S, d: str, m: DataFrame | None = None) -> DataFrame:
     of = lambda k: F.avg(F.when(F.col("kind") == k, F.col("value")))
-    return classed(spark, d).groupBy("src", "src_env", "src_era").agg(of("theme").alias("theme"), of("env").alias("env")).withColumn("diff", F.col("theme") - F.col("env"))
+    return classed(spark, d, m).groupBy("src", "src_env", "src_era").agg(of("theme").alias("theme"), of("env").alias("env")).withColumn("diff", F.col("theme") - F.col("env"))
 
 
 @register("jn05_dissociation_per_source", sql(f"SELECT src, round(theme, 6) AS theme_mean, round(env, 6) AS env_mean, round(diff, 6) AS difference FROM ({PER_SOURCE})", "matrix", more=CLASSED))
@@ -130,9 +131,9 @@ def jn07(spark: S, d: str) -> DataFrame:
 NORMAL = "SELECT m.*, CASE WHEN o.value >= 0.05 THEN m.value / o.value END AS normal, coalesce(o.value >= 0.05, false) AS kept FROM matrix m JOIN (SELECT dst, value FROM matrix WHERE src = dst) o USING (dst)"
 
 
-def normalised(spark: S, d: str, least: float = 0.05) -> DataFrame:
+def normalised(spark: S, d: str, least: float = 0.05, m: DataFrame | None = None) -> DataFrame:
     """Each entry as a share of its column's diagonal; columns whose diagonal is missing or below ``least`` are null."""
-    m = b.transfer(spark, d)
+    m = b.transfer(spark, d) if m is None else m
     own = m.where("src = dst").select("dst", F.col("value").alias("own"))
     ok = F.coalesce(F.col("own") >= least, F.lit(False))
     return m.join(F.broadcast(own), "dst").withColumn("normal", F.when(ok, F.col("value") / F.col("own"))).withColumn("kept", ok)
@@ -145,7 +146,12 @@ def jn08(spark: S, d: str) -> DataFrame:
 
 @register("jn08_normalisation_usable", sql(f"SELECT count(DISTINCT dst) FILTER (NOT kept) AS dropped, count(DISTINCT dst) AS columns, count(DISTINCT dst) FILTER (NOT kept) < count(DISTINCT dst) // 2 AS usable FROM ({NORMAL})", "matrix"))
 def jn08b(spark: S, d: str) -> DataFrame:
-    out = normalised(spark, d).agg(F.count_distinct(F.when(~F.col("kept"), F.col("dst"))).alias("dropped"), F.count_distinct("dst").alias("columns"))
+    return usability(normalised(spark, d))
+
+
+def usability(normal: DataFrame) -> DataFrame:
+    """How many columns the normalisation drops, and whether it is fit for use."""
+    out = normal.agg(F.count_distinct(F.when(~F.col("kept"), F.col("dst"))).alias("dropped"), F.count_distinct("dst").alias("columns"))
     return out.withColumn("usable", F.col("dropped") < F.floor(F.col("columns") / 2))
 
 
@@ -301,7 +307,8 @@ DIFFS = {"diffs": f"SELECT src, diff FROM ({PER_SOURCE}) WHERE diff IS NOT NULL"
 
 @register("stat01_sign_flip", sql(sign_flips_sql("diffs", "src", "diff", N_PERM, "flip"), "matrix", more=CLASSED | DIFFS))
 def stat01(spark: S, d: str) -> DataFrame:
-    return sign_flips(per_source(spark, d).where("diff IS NOT NULL").select("src", "diff"), "src", "diff", N_PERM, "flip")
+    # A row a source, kept, so the matrix is built once however often the test looks at them.
+    return sign_flips(files.kept(per_source(spark, d).where("diff IS NOT NULL").select("src", "diff"), "diffs"), "src", "diff", N_PERM, "flip")
 
 
 UNIT_DIFFS = {**SITE, "unit_diffs": "SELECT a.arm, a.grp, a.version * 10 + a.seed AS unit, o.m - a.m AS diff FROM site_units a JOIN site_units o ON o.arm = 'L_' || a.grp AND o.grp = a.grp AND o.version = a.version AND o.seed = a.seed WHERE a.arm <> o.arm"}
@@ -359,7 +366,7 @@ def stat03b(spark: S, d: str) -> DataFrame:
 
 @register("stat04_bootstrap_mean", sql(bootstrap_sql("diffs", "src", "diff", N_PERM, "boot"), "matrix", more=CLASSED | DIFFS))
 def stat04(spark: S, d: str) -> DataFrame:
-    return bootstrap(per_source(spark, d).select("src", "diff"), "src", "diff", N_PERM, "boot")
+    return bootstrap(files.kept(per_source(spark, d).select("src", "diff"), "diffs"), "src", "diff", N_PERM, "boot")
 
 
 CLUSTERS = {"clusters": f"SELECT row_number() OVER (ORDER BY src) - 1 AS unit, theme, env FROM ({PER_SOURCE}) WHERE theme IS NOT NULL OR env IS NOT NULL"}
@@ -369,7 +376,7 @@ CLUSTERS = {"clusters": f"SELECT row_number() OVER (ORDER BY src) - 1 AS unit, t
     SELECT perm, avg(v.theme) AS t, avg(v.env) AS e FROM (SELECT perm, {draw_sql('cluster', 'perm', 'unit')} % (SELECT count(*) FROM clusters) AS pick FROM clusters, range(0::BIGINT, {N_PERM}::BIGINT) p(perm)) JOIN clusters v ON v.unit = pick GROUP BY perm)""", "matrix", more=CLASSED | CLUSTERS))
 def stat05(spark: S, d: str) -> DataFrame:
     """Both means and their difference from one resample of the cells that have any."""
-    u = numbered(per_source(spark, d).where("theme IS NOT NULL OR env IS NOT NULL").select("src", "theme", "env"), "src")
+    u = files.kept(numbered(per_source(spark, d).where("theme IS NOT NULL OR env IS NOT NULL").select("src", "theme", "env"), "src"), "clusters")
     size = u.agg(F.count("*").alias("size"))
     drawn = times(u.select("unit").crossJoin(size), N_PERM).select("perm", (draw("cluster", "perm", "unit") % F.col("size")).alias("unit"))
     means = drawn.join(u, "unit").groupBy("perm").agg(F.avg("theme").alias("t"), F.avg("env").alias("e"))
@@ -387,11 +394,12 @@ def stat06(spark: S, d: str) -> DataFrame:
     c = b.cells(spark, d)
     slot = (F.row_number().over(Window.partitionBy("perm").orderBy(draw("label", "perm", "cell"), "cell")) - 1).cast("long")
     labels = times(c.select("cell"), N_PERM_PAIRS).withColumn("slot", slot).join(c.select(F.col("cell").alias("slot"), "env", "era"), "slot").select("perm", "cell", "env", "era")
-    m = b.transfer(spark, d).where("value IS NOT NULL AND src <> dst").select("src", "dst", "value")
+    whole = files.kept(b.transfer(spark, d), "matrix")
+    m = whole.where("value IS NOT NULL AND src <> dst").select("src", "dst", "value")
     side = lambda n: labels.select("perm", F.col("cell").alias(n), F.col("env").alias(f"{n}_env"), F.col("era").alias(f"{n}_era"))
     moved = m.join(F.broadcast(side("src")), "src").join(F.broadcast(side("dst")), ["perm", "dst"])
     x = F.avg(F.when(F.col("src_era") == F.col("dst_era"), F.col("value"))) - F.avg(F.when((F.col("src_env") == F.col("dst_env")) & (F.col("src_era") != F.col("dst_era")), F.col("value")))
-    seen = classed(spark, d).agg((F.avg(F.when(F.col("kind") == "theme", F.col("value"))) - F.avg(F.when(F.col("kind") == "env", F.col("value")))).alias("o"))
+    seen = classed(spark, d, whole).agg((F.avg(F.when(F.col("kind") == "theme", F.col("value"))) - F.avg(F.when(F.col("kind") == "env", F.col("value")))).alias("o"))
     return moved.groupBy("perm").agg(x.alias("x")).crossJoin(seen).agg(F.round(F.max("o"), 6).alias("observed"), ((1 + F.count_if(F.abs("x") >= F.abs("o") - 1e-12)) / (N_PERM_PAIRS + 1)).alias("p"))
 
 
@@ -415,11 +423,12 @@ def ladder(tests: DataFrame) -> DataFrame:
   FROM ({ladder_sql(sign_flips_sql('diffs', 'src', 'diff', N_PERM, 'flip'))}) r, ({ladder_sql(sign_flips_sql('normal_diffs', 'src', 'diff', N_PERM, 'flip'))}) z, (SELECT count(DISTINCT dst) FILTER (NOT kept) < count(DISTINCT dst) // 2 AS usable FROM normals)""", "matrix", more=CLASSED | DIFFS | NORMAL_DIFFS))
 def stat07(spark: S, d: str) -> DataFrame:
     """The ladder on the raw and on the normalised matrix; the normalised one leads while it is usable."""
-    raw = ladder(sign_flips(per_source(spark, d).where("diff IS NOT NULL").select("src", "diff"), "src", "diff", N_PERM, "flip"))
+    m = files.kept(b.transfer(spark, d), "matrix")
+    raw = ladder(sign_flips(per_source(spark, d, m).where("diff IS NOT NULL").select("src", "diff"), "src", "diff", N_PERM, "flip"))
     of = lambda k: F.avg(F.when(F.col("kind") == k, F.col("normal")))
-    normal = normalised(spark, d).withColumn("kind", kind()).groupBy("src").agg((of("theme") - of("env")).alias("diff")).where("diff IS NOT NULL")
+    normal = normalised(spark, d, m=m).withColumn("kind", kind()).groupBy("src").agg((of("theme") - of("env")).alias("diff")).where("diff IS NOT NULL")
     second = ladder(sign_flips(normal, "src", "diff", N_PERM, "flip"))
-    both = raw.toDF("raw_difference", "raw_p", "raw_verdict").crossJoin(second.toDF("normal_difference", "normal_p", "normal_verdict")).crossJoin(jn08b(spark, d).select("usable"))
+    both = raw.toDF("raw_difference", "raw_p", "raw_verdict").crossJoin(second.toDF("normal_difference", "normal_p", "normal_verdict")).crossJoin(usability(normalised(spark, d, m=m)).select("usable"))
     return both.withColumn("verdict", F.when(F.col("usable"), F.col("normal_verdict")).otherwise(F.col("raw_verdict"))).withColumn("disagree", F.col("raw_verdict") != F.col("normal_verdict"))
 
 
@@ -438,25 +447,25 @@ def pair_scores(spark: S, d: str) -> DataFrame:
     return paired(spark, d).select((F.col("era") * 1000 + F.col("seed") * 231 + F.col("task_id")).alias("unit"), (F.col("ma") - F.col("mb")).alias("diff"), (F.col("ma") >= 1).alias("wa"), (F.col("mb") >= 1).alias("wz"))
 
 
-@register("stat09_random_control", sql(f"SELECT n_units, observed, p, dz, low, high, b, c, {CONTROL} AS verdict FROM (SELECT n_units, observed, p_two AS p, d_z AS dz FROM ({sign_flips_sql('pair_diffs', 'unit', 'diff', N_PERM_PAIRS, 'control')})) t, (SELECT low, high FROM ({bootstrap_sql('pair_diffs', 'unit', 'diff', N_PERM_PAIRS, 'control-ci')})) i, (SELECT count(*) FILTER (wa AND NOT wz) AS b, count(*) FILTER (wz AND NOT wa) AS c FROM pair_diffs)", "evals", more=SCORES))
+@register("stat09_random_control", sql(f"SELECT n_units, observed, p, dz, low, high, b, c, {CONTROL} AS verdict FROM (SELECT n_units, observed, p_two AS p, d_z AS dz FROM ({sign_flips_sql('pair_diffs', 'unit', 'diff', N_PERM, 'control')})) t, (SELECT low, high FROM ({bootstrap_sql('pair_diffs', 'unit', 'diff', N_PERM, 'control-ci')})) i, (SELECT count(*) FILTER (wa AND NOT wz) AS b, count(*) FILTER (wz AND NOT wa) AS c FROM pair_diffs)", "evals", more=SCORES))
 def stat09(spark: S, d: str) -> DataFrame:
     """The paired control: sign flips, an interval of the mean difference, and the discordant pairs."""
-    p = pair_scores(spark, d)
+    p = files.kept(pair_scores(spark, d), "pairs")
     counts = p.agg(F.count_if(F.col("wa") & ~F.col("wz")).alias("b"), F.count_if(F.col("wz") & ~F.col("wa")).alias("c"))
-    t = sign_flips(p.select("unit", "diff"), "unit", "diff", N_PERM_PAIRS, "control").select("n_units", "observed", F.col("p_two").alias("p"), F.col("d_z").alias("dz"))
-    interval = bootstrap(p.select("unit", "diff"), "unit", "diff", N_PERM_PAIRS, "control-ci").select("low", "high")
+    t = sign_flips(p.select("unit", "diff"), "unit", "diff", N_PERM, "control").select("n_units", "observed", F.col("p_two").alias("p"), F.col("d_z").alias("dz"))
+    interval = bootstrap(p.select("unit", "diff"), "unit", "diff", N_PERM, "control-ci").select("low", "high")
     return t.crossJoin(interval).crossJoin(counts).withColumn("verdict", control_verdict())
 
 
 POOLED = {
     "pooled": "SELECT row_number() OVER (ORDER BY g DESC, unit) - 1 AS i, g, x, count(*) FILTER (g) OVER () AS k FROM (SELECT true AS g, era * 1000 + seed * 231 + task_id AS unit, avg(reward) AS x FROM evals WHERE arm = 'L_wiki' GROUP BY ALL UNION ALL SELECT false, era * 1000 + seed * 231 + task_id, avg(reward) FROM evals WHERE arm = 'M_all' GROUP BY ALL)",
-    "dealt": f"SELECT perm, x, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql('unpaired', 'perm', 'i')}, i) <= k AS side FROM pooled, range(0::BIGINT, 500::BIGINT) p(perm)",
+    "dealt": f"SELECT perm, x, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql('unpaired', 'perm', 'i')}, i) <= k AS side FROM pooled, range(0::BIGINT, {N_PERM_PAIRS}::BIGINT) p(perm)",
     "observed_arms": "SELECT avg(x) FILTER (g) - avg(x) FILTER (NOT g) AS o, sqrt((var_samp(x) FILTER (g) + var_samp(x) FILTER (NOT g)) / 2) AS sd FROM pooled",
 }
 
 
-@register("stat09_unpaired_control", sql(f"SELECT observed, p, dz, {CONTROL} AS verdict FROM (SELECT round(any_value(o), 6) AS observed, (1 + count(*) FILTER (abs(t) >= abs(o) - 1e-12)) / 501.0::DOUBLE AS p, round(any_value(o / sd), 6) AS dz FROM (SELECT perm, avg(x) FILTER (side) - avg(x) FILTER (NOT side) AS t FROM dealt GROUP BY perm), observed_arms)", "evals", more=POOLED))
-def stat09b(spark: S, d: str, n: int = 500) -> DataFrame:
+@register("stat09_unpaired_control", sql(f"SELECT observed, p, dz, {CONTROL} AS verdict FROM (SELECT round(any_value(o), 6) AS observed, (1 + count(*) FILTER (abs(t) >= abs(o) - 1e-12)) / {N_PERM_PAIRS + 1}.0::DOUBLE AS p, round(any_value(o / sd), 6) AS dz FROM (SELECT perm, avg(x) FILTER (side) - avg(x) FILTER (NOT side) AS t FROM dealt GROUP BY perm), observed_arms)", "evals", more=POOLED))
+def stat09b(spark: S, d: str, n: int = N_PERM_PAIRS) -> DataFrame:
     """The unpaired control: labels of the arms are dealt anew. Its units are some thousands, so the draws number ``n``."""
     e = b.eval_records(spark, d).where(F.col("arm").isin("L_wiki", "M_all"))
     x = e.groupBy((F.col("arm") == "L_wiki").alias("g"), (F.col("era") * 1000 + F.col("seed") * 231 + F.col("task_id")).alias("unit")).agg(F.avg("reward").alias("x"))
@@ -509,3 +518,18 @@ def stat13(spark: S, d: str) -> DataFrame:
         .unionByName(one(pair_scores(spark, d), "random_control", True, n < 2, never)))
     blocking = F.col("required") & (F.col("status") != "ok")
     return rows.withColumn("blocking", blocking).withColumn("trusted", ~F.bool_or(blocking).over(Window.partitionBy()))
+
+
+CONTROLLED = sql(f"SELECT verdict, n_units FROM (SELECT n_units, observed, p, dz, {CONTROL} AS verdict FROM (SELECT n_units, observed, p_two AS p, d_z AS dz FROM ({sign_flips_sql('pair_diffs', 'unit', 'diff', N_PERM, 'control')})))", "evals", more=SCORES)
+
+
+@register("stat13_control_gate", f"""SELECT 'random_control' AS check_name, CASE WHEN n_units < 2 OR verdict = 'inconclusive' THEN 'skipped' WHEN verdict = 'functional' THEN 'ok' ELSE 'failed' END AS status, verdict, coalesce(n_units < 2 OR verdict <> 'functional', true) AS blocking FROM ({CONTROLLED})""")
+def stat13_control(spark: S, d: str) -> DataFrame:
+    """The gate's own look at the random control: it fails where the adapter does nothing or harms, and a control that decides nothing counts as skipped, which blocks as well."""
+    return control_gate(stat09(spark, d))
+
+
+def control_gate(control: DataFrame) -> DataFrame:
+    """``check_name, status, verdict, blocking`` from the paired control's row (columns n_units, verdict)."""
+    status = F.when((F.col("n_units") < 2) | (F.col("verdict") == "inconclusive"), "skipped").when(F.col("verdict") == "functional", "ok").otherwise("failed")
+    return control.select(F.lit("random_control").alias("check_name"), status.alias("status"), "verdict").withColumn("blocking", F.col("status") != "ok")
