@@ -195,8 +195,9 @@ def fn08(spark: S, d: str) -> DataFrame:
 
 
 CSS = f"regexp_replace(array_to_string(regexp_extract_all(html, '{styles.STYLE}', 1), chr(10)), '{styles.COMMENT}', ' ', 'g')"
-DECLARED = f"[{{'p': lower(trim(regexp_extract(c, '{styles.DECLARATION}', 1))), 'v': lower(trim(regexp_extract(c, '{styles.DECLARATION}', 2)))}} FOR c IN flatten([string_split(x, ';') FOR x IN regexp_extract_all(css, '{styles.BLOCK}', 1)]) IF regexp_matches(c, '{styles.DECLARATION}')]"
-COUNTED = "concat_ws(' ', " + ", ".join(f"CASE WHEN len([x FOR x IN ds IF {styles.condition(n, 'duckdb')}]) > 0 THEN '{n}=' || len([x FOR x IN ds IF {styles.condition(n, 'duckdb')}]) END" for n in sorted(styles.COUNTERS)) + ")"
+#: Declarations of plain sheets: what stands between an opening brace and the next closing one, cut at semicolons and at the first colon.
+DECLARED = """[{'p': lower(trim(left(c, strpos(c, ':') - 1))), 'v': lower(trim(substr(c, strpos(c, ':') + 1)))} FOR c IN flatten([string_split(list_last(string_split(x, '{')), ';') FOR x IN string_split(css, '}') IF contains(x, '{')]) IF strpos(c, ':') > 1 AND trim(substr(c, strpos(c, ':') + 1)) <> '']"""
+COUNTED = "concat_ws(' ', " + ", ".join(f"CASE WHEN len([x FOR x IN ds IF {styles.condition(n, 'duckdb')}]) > 0 THEN '{n}=' || len([x FOR x IN ds IF {styles.condition(n, 'duckdb')}]) END" for n in sorted(styles.COUNTED)) + ")"
 
 
 @register("fn13_css_and_colours", rf"""SELECT page_id, len(ds)::BIGINT AS declarations, len(regexp_extract_all(css, '@media'))::BIGINT AS media, len(regexp_extract_all(css, '@keyframes'))::BIGINT AS keyframes, len(regexp_extract_all(css, '(?m)^\s*--[-a-zA-Z0-9_]+\s*:'))::BIGINT AS custom, len(regexp_extract_all(css, 'var[(]\s*--'))::BIGINT AS vars,
@@ -211,12 +212,78 @@ def fn13(spark: S, d: str) -> DataFrame:
 
 
 def colours(sheets: DataFrame, key: str, css: str) -> DataFrame:
-    """``key, hex, hue, saturation, lightness`` of each distinct colour of a style sheet."""
+    """``key, hex, hue, saturation, lightness`` of each distinct colour that a style sheet writes in hex."""
     found = sheets.select(key, styles.declarations(F.col(css)).alias("ds")).select(key, F.explode(styles.palette("ds")).alias("hex"))
     h, s, light = hue(F.col("hex"))
     return found.select(key, "hex", F.round(h, 6).alias("hue"), F.round(s, 6).alias("saturation"), F.round(light, 6).alias("lightness"))
 
 
+#: Fixed values of a signature: bins of hue, saturation from which a colour has one, and where each count saturates.
+HUES, CHROMATIC = 8, 0.15
+SATURATES = {
+    "float": 1.0, "flex": 2.0, "grid": 1.0, "pos_absolute": 1.0, "pos_fixed": 0.5, "border_radius": 2.0, "shadow": 1.5, "gradient": 0.5, "transition": 1.5, "animation": 0.5, "transform": 0.5, "important": 0.5, "vendor": 1.0,
+    "fluid_unit": 5.0, "fixed_px_width": 2.0,
+}
+FONTS = {
+    "serif": "times|georgia|garamond|palatino|book antiqua|serif|cambria|constantia|didot|bodoni|merriweather",
+    "sans": "arial|helvetica|verdana|tahoma|geneva|trebuchet|segoe|calibri|lato|roboto|open sans|inter|sans-serif|futura|gill sans|franklin",
+    "mono": "courier|monaco|consolas|menlo|monospace|lucida console",
+}
+
+
+def signatures(pages: DataFrame, by: str) -> DataFrame:
+    """``by, doctype, blocks``: what the sheets and tags of each group of pages look like; a block's numbers by name, scaled to length 1.
+
+    Blocks are colour (palette, saturation, lightness, notations and a histogram of hues), font, layout (counts for a hundred
+    declarations, saturating) and structure. The document type is that of most pages that declare one. Pages are counted one by one and
+    summed up, so a hot group is no special case; only a group's distinct colours and families are told apart.
+    """
+    html = F.col("html")
+    kinds = F.transform(F.regexp_extract_all("html", F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), 1), lambda x: F.lower(x))
+    dt = F.lower(F.regexp_extract("html", r"(?i)<!doctype([^>]*)>", 1))
+    doctype = F.when(F.contains(dt, F.lit("xhtml")), "xhtml").when(F.contains(dt, F.lit("html 4")), "html4").when(F.trim(dt).isin("html", ""), "html5").otherwise("html4")
+    p = pages.select(by, "html", styles.sheet(html).alias("css")).withColumn("ds", styles.declarations(F.col("css"))).withColumn("ts", kinds)
+    p = files.kept(p.withColumn("doctype", F.when(F.rlike("html", F.lit("(?i)<!doctype[^>]*>")), doctype)).withColumn("cs", styles.colours(F.col("ds"))), "sheets")
+    times = lambda pattern: F.sum(F.size(F.regexp_extract_all("css", F.lit(pattern), 0)))
+    tags = lambda *names: F.sum(F.size(F.filter("ts", lambda x: x.isin(*names))))
+    sums = p.groupBy(by).agg(
+        F.mode(F.col("doctype"), True).alias("doctype"), F.sum(F.size("ds")).alias("n"), *[F.sum(styles.count("ds", k)).alias(k) for k in styles.COUNTED],
+        (times("@media") + times("@keyframes")).alias("media"), times(r"(?m)^\s*--[-a-zA-Z0-9_]+\s*:").alias("custom"), times(r"var[(]\s*--").alias("vars"), F.sum(F.size("ts")).alias("tags"),
+        tags("table").alias("tables"), tags("article", "aside", "footer", "header", "main", "nav", "section").alias("semantic"), tags("button", "input", "label", "option", "select", "textarea").alias("controls"), tags("script").alias("scripts"))
+    c = p.select(by, F.explode("cs").alias("c")).select(by, "c.*").withColumn("hex", F.format_string("%02x%02x%02x", "r", "g", "b"))
+    h, s, light = hue(F.col("hex"))
+    safe = F.col("r").isin(*styles.WEB_SAFE) & F.col("g").isin(*styles.WEB_SAFE) & F.col("b").isin(*styles.WEB_SAFE)
+    bin_ = F.when(s >= CHROMATIC, F.least(F.lit(HUES - 1), F.floor(h / 360 * HUES)))
+    share = lambda what: F.avg(what.cast("double"))
+    paint = c.groupBy(by).agg(
+        F.count_distinct("hex").alias("palette"), F.avg(s).alias("mean_saturation"), F.avg(light).alias("mean_lightness"), F.stddev_pop(light).alias("std_lightness"), share((F.col("r") == F.col("g")) & (F.col("g") == F.col("b"))).alias("grayscale"),
+        share(safe).alias("websafe"), share(F.col("notation") == "hex3").alias("hex3"), share(F.col("notation") == "named").alias("named"), share(F.col("notation").isin("rgb", "hsl")).alias("rgb_hsl"),
+        *[F.coalesce(F.count_if(bin_ == k) / F.nullif(F.count(bin_), F.lit(0)), F.lit(0.0)).alias(f"hue_{k}") for k in range(HUES)])
+    f = p.select(by, F.explode(styles.first_families("ds")).alias("f"))
+    type_ = f.groupBy(by).agg(F.count_distinct("f").alias("families"), *[share(F.rlike("f", F.lit(v))).alias(k) for k, v in FONTS.items()])
+    g = sums.join(paint, by, "left").join(type_, by, "left").fillna(0).withColumn("n", F.greatest("n", F.lit(1))).withColumn("tags", F.greatest("tags", F.lit(1)))
+    sat = lambda x, at: F.coalesce(x / (x + F.lit(float(at))), F.lit(0.0))
+    per_hundred = lambda k, at: sat(100.0 * F.col(k) / F.col("n"), at)
+    sizes = F.greatest(sum((F.col(f"unit_{u}") for u in ("rem", "em", "pt", "px", "percent")), F.lit(0)), F.lit(1))
+    blocks = {
+        "colour": {"palette": sat(F.col("palette"), 40)} | {k: F.col(k) for k in ("mean_saturation", "mean_lightness", "std_lightness", "grayscale", "websafe", "hex3", "named", "rgb_hsl", *(f"hue_{k}" for k in range(HUES)))},
+        "font": {"families": sat(F.col("families"), 6)} | {k: F.col(k) for k in FONTS} | {"pt": F.col("unit_pt") / sizes, "px": F.col("unit_px") / sizes, "relative": (F.col("unit_rem") + F.col("unit_em") + F.col("unit_percent")) / sizes},
+        "layout": {k: per_hundred(k, at) for k, at in SATURATES.items()} | {"media": sat(F.col("media"), 4), "custom": sat(F.col("custom"), 8), "vars": per_hundred("vars", 5)},
+        "structure": {"tables": sat(1000.0 * F.col("tables") / F.col("tags"), 5), "semantic": F.col("semantic") / F.col("tags"), "controls": F.col("controls") / F.col("tags"), "scripts": sat(1000.0 * F.col("scripts") / F.col("tags"), 8)},
+    }
+    parts = []
+    for name, own in blocks.items():
+        length = F.sqrt(sum((v * v for v in own.values()), F.lit(0.0)))
+        parts.append(F.struct(*[F.coalesce(F.round(v / F.nullif(length, F.lit(0.0)), 6), F.lit(0.0)).alias(k) for k, v in own.items()]).alias(name))
+    return g.select(by, F.coalesce("doctype", F.lit("none")).alias("doctype"), F.struct(*parts).alias("blocks"))
+
+
+@register("fn15_signature_by_block")
+def fn15_blocks(spark: S, d: str) -> DataFrame:
+    """Each site's signature: its document type and the blocks of colours, fonts, layout and structure."""
+    return signatures(b.table(spark, d, "pages").select(host().alias("host"), "html"), "host").select("host", "doctype", *[F.to_json(F.col(f"blocks.{k}")).alias(k) for k in ("colour", "font", "layout", "structure")])
+
+
 #: Attributes that only say how something looks.
 LOOKS = "bgcolor|background|align|valign|cellpadding|cellspacing|hspace|vspace|nowrap|border|width|height"
 BARE = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)[{][%{#].*?[%}#][}]', ' ', 'g')"
