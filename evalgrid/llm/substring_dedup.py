@@ -28,6 +28,8 @@ from evalgrid.llm.common import modest_batches, written
 
 #: Shorter sentences within a line are removed only with their neighbours.
 MIN_WORDS = 8
+#: Rows and bytes of texts that a worker is handed at once, and rows whose units it holds as strings; units are several times the size of their text.
+ROWS, BYTES, SOME = 250, 2 << 20, 50
 #: A run of sentence ends is taken or passed over as a whole, so no line takes longer than in proportion to its length.
 _SENTENCE = re.compile(r"[.!?][.!?]++(?=\s)\s*|\S.*?(?:(?<![.!?])[.!?]++(?=\s)\s*|$)", re.S)
 
@@ -64,8 +66,8 @@ def _unit_table(docs: DataFrame, min_words: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for low in range(0, len(batch), 500):
-                part = batch.iloc[low : low + 500]
+            for low in range(0, len(batch), SOME):
+                part = batch.iloc[low : low + SOME]
                 found = [units(t, min_words) for t in part["text"]]
                 flat = [u for doc in found for u in doc]
                 digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(u[2].encode("utf-8", "surrogatepass")) for u in flat), np.int64).reshape(-1, 2)
@@ -81,7 +83,7 @@ def _unit_table(docs: DataFrame, min_words: int) -> DataFrame:
                     }
                 )
 
-    modest_batches(docs.sparkSession)
+    modest_batches(docs.sparkSession, ROWS, BYTES)
     return _keyed(docs).where("text IS NOT NULL").mapInPandas(cut, "h1 long, h2 long, doc_id long, sign long, start int, stop int")
 
 
