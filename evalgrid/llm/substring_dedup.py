@@ -30,8 +30,8 @@ from evalgrid.llm.common import modest_batches, written
 MIN_WORDS = 8
 #: Rows and bytes of texts that a worker is handed at once, and rows whose units it holds as strings; units are several times the size of their text.
 ROWS, BYTES, SOME = 250, 2 << 20, 50
-#: A run of sentence ends is taken or passed over as a whole, so no line takes longer than in proportion to its length.
-_SENTENCE = re.compile(r"[.!?][.!?]++(?=\s)\s*|\S.*?(?:(?<![.!?])[.!?]++(?=\s)\s*|$)", re.S)
+#: Runs of sentence ends and what stands between them are taken as wholes, so no line takes longer than in proportion to its length.
+_SENTENCE = re.compile(r"\S(?:[^.!?]++|[.!?]++(?!\s))*+(?:[.!?]++\s*+)?")
 
 
 def units(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
