@@ -84,6 +84,26 @@ def gr02(spark: S, d: str) -> DataFrame:
     return g.agg(F.min(F.struct("user_id", "ts", "event_id")).getField("user_id").alias("first_user"), F.count("*").alias("visits")).orderBy("path").limit(200)
 
 
+@register("ag17_module_shapes", "SELECT p_type AS module, count(*) AS sites, count(DISTINCT (p_size, p_partkey % 16)) AS shapes, sum(8 * (p_size + p_partkey % 16))::BIGINT AS budget, (5 * sum(8 * (p_size + p_partkey % 16)))::BIGINT AS bank FROM part GROUP BY ROLLUP (p_type)")
+def ag17_shapes(spark: S, d: str) -> DataFrame:
+    """Parts as sites of modules (their type): how many there are, their distinct shapes (in, out), the parameters of rank 8, and those of a bank of five; and all together."""
+    p = b.table(spark, d, "part").select("p_type", F.col("p_size").cast("long").alias("d_in"), (F.col("p_partkey") % 16).alias("d_out"))
+    size = F.sum(8 * (F.col("d_in") + F.col("d_out")))
+    return p.rollup("p_type").agg(F.count("*").alias("sites"), F.count_distinct("d_in", "d_out").alias("shapes"), size.alias("budget"), (5 * size).alias("bank")).withColumnRenamed("p_type", "module")
+
+
+@register("ag21_main_crawl_costs", r"""SELECT version, count(*) AS pages, count(DISTINCT host) AS calls, sum(length(html) // 4)::BIGINT AS tokens, count(DISTINCT version) AS versions, round(count(*) / count(DISTINCT version), 6) AS pages_per_version, round(count(*) / (103 * count(DISTINCT version)), 6) AS steps_per_episode,
+    CASE WHEN count(*) FILTER (NOT titled) = 0 THEN 'PASS' WHEN count(*) FILTER (NOT titled) * 10 < count(*) THEN 'report' ELSE 'FAIL' END AS gate
+  FROM (SELECT page_id % 6 + 1 AS version, regexp_extract(url, '://([^/?#]*)', 1) AS host, html, regexp_matches(html, '(?i)<title>\s*\S') AS titled FROM pages WHERE page_id % 7 <> 0) GROUP BY ROLLUP (version)""")
+def ag21_main(spark: S, d: str) -> DataFrame:
+    """What crawls cost by version and together: pages, calls (a site one), tokens (four characters one), and the gate on pages without a title. Every seventh page is no main crawl's and doesn't count."""
+    p = b.table(spark, d, "pages").where("page_id % 7 <> 0").select((F.col("page_id") % 6 + 1).alias("version"), F.regexp_extract("url", r"://([^/?#]*)", 1).alias("host"), F.floor(F.length("html") / 4).alias("tokens"), F.rlike("html", F.lit(r"(?i)<title>\s*\S")).alias("titled"))
+    # The rollup's own column is null in the total, so versions are counted from a copy.
+    g = p.withColumn("v", F.col("version")).rollup("version").agg(F.count("*").alias("pages"), F.count_distinct("host").alias("calls"), F.sum("tokens").alias("tokens"), F.count_distinct("v").alias("versions"), F.count_if(~F.col("titled")).alias("bad"))
+    gate = F.when(F.col("bad") == 0, "PASS").when(F.col("bad") * 10 < F.col("pages"), "report").otherwise("FAIL")
+    return g.select("version", "pages", "calls", "tokens", "versions", F.round(F.col("pages") / F.col("versions"), 6).alias("pages_per_version"), F.round(F.col("pages") / (103 * F.col("versions")), 6).alias("steps_per_episode"), gate.alias("gate"))
+
+
 @register("gr02_first_visits", "SELECT path, f['u'] AS from_task, row_number() OVER (ORDER BY f) AS place FROM (SELECT path, min({'u': user_id, 't': ts, 'e': event_id}) AS f FROM (SELECT '/' || event_type || '/' || json_extract_string(props, '$.k') AS path, user_id, ts, event_id FROM events) GROUP BY path) ORDER BY place LIMIT 25")
 def gr02_first(spark: S, d: str) -> DataFrame:
     """The paths that tasks (users, by number) visited first, in the order of their first visit, as many as a crawl has pages."""

@@ -533,3 +533,12 @@ def control_gate(control: DataFrame) -> DataFrame:
     """``check_name, status, verdict, blocking`` from the paired control's row (columns n_units, verdict)."""
     status = F.when((F.col("n_units") < 2) | (F.col("verdict") == "inconclusive"), "skipped").when(F.col("verdict") == "functional", "ok").otherwise("failed")
     return control.select(F.lit("random_control").alias("check_name"), status.alias("status"), "verdict").withColumn("blocking", F.col("status") != "ok")
+
+
+@register("snk06_marked_matrix", sql("SELECT src, '| **' || src || '** | ' || string_agg(CASE WHEN value IS NULL THEN '.' WHEN src = dst THEN '**' || format('{:.1f}', round(100 * value, 1)) || '**' ELSE format('{:.1f}', round(100 * value, 1)) END, ' | ' ORDER BY dst) || ' |' AS line FROM matrix GROUP BY src", "matrix"))
+def snk06_marked(spark: S, d: str) -> DataFrame:
+    """The matrix as lines of a table, a row a cell: what is missing is a dot, and each cell's own entry is emphasised."""
+    number = F.format_string("%.1f", F.round(100 * F.col("value"), 1))
+    text = F.when(F.col("value").isNull(), F.lit(".")).when(F.col("src") == F.col("dst"), F.concat(F.lit("**"), number, F.lit("**"))).otherwise(number)
+    row = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dst", text.alias("t")))), lambda x: x.t), " | ")  # as many as there are cells
+    return b.transfer(spark, d).groupBy("src").agg(row.alias("r")).select("src", F.concat(F.lit("| **"), F.col("src").cast("string"), F.lit("** | "), "r", F.lit(" |")).alias("line"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalgrid.functions import text as t
-from evalgrid.operators import recipes
+from evalgrid.operators import leaks, recipes
 from evalgrid.plans import register
+from evalgrid.plans.leaks import ANSWERS, THEMES, WARNED, intents, manuals
 from evalgrid.sources import bindings as b
+from evalgrid.sources import files
 
 S = SparkSession
 #: The question that the second shape's fuzzy answer only says again.
@@ -89,3 +91,45 @@ def fn03_rebuilt(spark: S, d: str) -> DataFrame:
     raw = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("## "), (i % 9 + 1).cast("string"), F.lit("."), x)), "\n")
     m = b.table(spark, d, "documents").select("doc_id", "source", t.sections(raw).alias("s"))
     return m.select("doc_id", *[F.sha1(recipes.manual(F.col("s"), F.col("source"), keep).cast("binary")).alias(name) for name, keep in recipes.VARIANTS.items()])
+
+
+#: Characters that a manual may have, and from which on a full one is warned about.
+HARD, WARN = 6000, 8000
+
+
+def gated(manuals: DataFrame, intents: DataFrame, scouted_: DataFrame, **rules) -> DataFrame:
+    """``id, variant, n_chars, hits, waived, too_long, warned, pass``: every manual in each of its variants, through the leak check and the limits of size.
+
+    ``manuals`` has ``id, site, sections (a map by number), version, labels``. Years count only where a variant has sections of affordances.
+    """
+    out = None
+    for name, keep in recipes.VARIANTS.items():
+        m = files.kept(manuals.withColumn("text", recipes.manual(F.col("sections"), F.col("site"), keep)), f"manuals-{name}")
+        found = leaks.leak_check(m, intents, scouted_, affordances=1 in keep, **rules).groupBy("id").agg(F.sum(F.when(F.col("kind") == "hit", F.col("n")).otherwise(0)).alias("hits"), F.sum(F.when(F.col("kind") == "waived", F.col("n")).otherwise(0)).alias("waived"))
+        size = F.length("text").cast("long")
+        own = m.select("id", F.lit(name).alias("variant"), size.alias("n_chars")).join(found, "id", "left").fillna(0, ["hits", "waived"])
+        own = own.withColumn("too_long", F.col("n_chars") > HARD).withColumn("warned", (F.col("n_chars") > WARN) & F.lit(name == "full"))
+        out = own if out is None else out.unionByName(own)
+    return out.withColumn("pass", (F.col("hits") == 0) & ~F.col("too_long"))
+
+
+#: Controls that the gate must catch, by the site that they are for: what is planted in their first section (None: an intent), and in which variants it is caught.
+PLANTED = {"no-plant": ("", ()), "key-plant": ("This is v3. ", ("full", "affordance")), "year-plant": ("Built in 2005. ", ("full", "affordance")), "task-plant": (None, ("full", "affordance"))}
+
+
+def planted(spark: S, intent: str) -> DataFrame:
+    """The controls as manuals, with a section on what can be done and one on looks."""
+    rows = [(-k, name, {1: (intent + ". " if text is None else text) + "A column of links leads to the main page.", 7: "Plain and blue."}, "v1", []) for k, (name, (text, _)) in enumerate(PLANTED.items(), 1)]
+    return spark.createDataFrame(rows, "id long, site string, sections map<int,string>, version string, labels array<string>")
+
+
+@register("gate02_variant_gate")
+def gate02_variants(spark: S, d: str) -> DataFrame:
+    """Manuals of all documents and the planted controls through the gate in three variants: by source and variant, how many leak, are too long and pass."""
+    mine, theirs = intents(spark, d)
+    m = manuals(spark, d).select("id", F.col("source").alias("site"), t.sections(F.col("text")).alias("sections"), "version", "labels")
+    first = mine.where(F.size(F.split("intent", " ")) > 8).orderBy("intent").first()
+    whole = m.unionByName(planted(spark, first["intent"] if first else "")) if first else m
+    g = gated(whole, mine, theirs, themes=THEMES, answers=ANSWERS, warned=WARNED).join(whole.select("id", "site"), "id")
+    count = lambda c: F.count_if(F.col(c)).alias(c)
+    return g.groupBy(F.col("site").alias("source"), "variant").agg(F.count("*").alias("n"), F.count_if(F.col("hits") > 0).alias("leaking"), F.sum("waived").alias("waived"), count("too_long"), count("warned"), F.bool_and("pass").alias("pass"))

@@ -45,6 +45,32 @@ def jn16(spark: S, d: str) -> DataFrame:
     return g.where("k = 5")
 
 
+BANKS = "SELECT l_partkey AS site, n_regionkey AS bank, max(l_linenumber) AS rank, max(round(l_discount * 100) % 2) AS scaling, max(l_tax >= 0.06) AS base FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2"
+
+
+@register("jn16_bank_consistency", f"""SELECT site, count(*) AS k, CASE WHEN count(*) < (SELECT count(*) FROM region) THEN 'missing' WHEN count(DISTINCT rank) > 1 THEN 'rank' WHEN count(DISTINCT scaling) > 1 THEN 'scaling' WHEN count(DISTINCT base) > 1 THEN 'base' ELSE 'ok' END AS status, min(rank)::BIGINT AS rank FROM ({BANKS}) GROUP BY 1""")
+def jn16_banks(spark: S, d: str) -> DataFrame:
+    """Each site over the banks that must all have it (a bank a region): the first of what disagrees between them, its rank, its scaling or its base."""
+    s = b.table(spark, d, "supplier").join(F.broadcast(b.table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("bank"))
+    li = b.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    banks = li.groupBy(F.col("l_partkey").alias("site"), "bank").agg(F.max("l_linenumber").alias("rank"), F.max(F.round(F.col("l_discount") * 100) % 2).alias("scaling"), F.max(F.col("l_tax") >= 0.06).alias("base"))
+    return consistent(banks, b.table(spark, d, "region").count())
+
+
+def consistent(banks: DataFrame, k: int) -> DataFrame:
+    """``site, k, status, rank`` of adapters' sites (``site, bank, rank, scaling, base``): ``ok`` only if all ``k`` banks have the site and agree."""
+    differ = lambda c: F.min(c) != F.max(c)
+    status = F.when(F.count("*") < k, "missing").when(differ("rank"), "rank").when(differ("scaling"), "scaling").when(differ("base"), "base").otherwise("ok")
+    return banks.groupBy("site").agg(F.count("*").alias("k"), status.alias("status"), F.min("rank").cast("long").alias("rank"))
+
+
+def require_consistent(sites: DataFrame) -> None:
+    """Raises ValueError if any site of ``consistent`` isn't ok, with how many there are of each kind."""
+    bad = {r["status"]: r["n"] for r in sites.where("status <> 'ok'").groupBy("status").agg(F.count("*").alias("n")).collect()}  # four kinds
+    if bad:
+        raise ValueError(f"banks disagree: {dict(sorted(bad.items()))}")
+
+
 @register("fn03_numbered_sections", r"""SELECT doc_id, count(*) AS n_sections, string_agg(k::VARCHAR, ',' ORDER BY k) AS numbers, sha1(string_agg(body, '|' ORDER BY k)) AS bodies FROM (
   SELECT doc_id, (i % 7 + 1)::INTEGER AS k, arg_max(trim(line, ' '), i) AS body FROM (SELECT doc_id, unnest(string_split(replace(text, '## ', ''), chr(10))) AS line, unnest(range(len(string_split(replace(text, '## ', ''), chr(10))))) AS i FROM documents) GROUP BY 1, 2) GROUP BY 1""")
 def fn03(spark: S, d: str) -> DataFrame:
@@ -117,6 +143,14 @@ def fn10(spark: S, d: str) -> DataFrame:
     return p.select("page_id", *[F.round(F.col("v")[i], 6).alias(n) for i, n in ((0, "link"), (1, "heading"), (8, "other"))])
 
 
+@register("fn10_whole_role_vector", f"SELECT page_id, {', '.join(f'round(u[{k + 1}] / n, 6) AS {name}' for k, name in enumerate([*t.ROLES.values(), 'other']))} FROM (SELECT page_id, u, sqrt(list_sum([x * x FOR x IN u])) AS n FROM (SELECT page_id, [ln(1 + x) FOR x IN [{ROLE_SQL}, {OTHER_SQL}]] AS u FROM (SELECT page_id, {TAGS_SQL} AS t FROM pages)))")
+def fn10_whole(spark: S, d: str) -> DataFrame:
+    """All components of a page's role vector, by role."""
+    v = t.l2_normalised(F.transform(t.role_counts(F.col("html")), lambda x: F.log1p(x)))
+    p = b.table(spark, d, "pages").select("page_id", v.alias("v"))
+    return p.select("page_id", *[F.round(F.get("v", k), 6).alias(name) for k, name in enumerate([*t.ROLES.values(), "other"])])
+
+
 @register("sort05_first_matching_label", """SELECT page_id, coalesce(list_filter(regexp_extract_all(html, '<a href="[^"]*">([^<]*)', 1), lambda x: regexp_matches(x, '^[a-z]{4,}$'))[1], 'list') AS label FROM pages""")
 def sort05(spark: S, d: str) -> DataFrame:
     labels = F.regexp_extract_all("html", F.lit(r'<a href="[^"]*">([^<]*)'), 1)

@@ -122,6 +122,28 @@ def vec04(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame([(round(ratio, 6), round(rank, 6), ratio < 0.1 or rank < 0.25)], "variance_ratio double, rank_fraction double, collapsed boolean")
 
 
+def collapse(ratio: float, fraction: float) -> str:
+    """Which signal says that the vectors have collapsed: their spread is under a tenth of their mean, or they use under a quarter of the directions they have."""
+    return {(True, True): "both", (True, False): "variance", (False, True): "rank", (False, False): "none"}[ratio < 0.1, fraction < 0.25]
+
+
+@register("vec04_collapse_signals")
+def vec04_signals(spark: S, d: str) -> DataFrame:
+    """Both signals of collapse and which of them fires, for the vectors, for those drawn close to their mean, and for those flattened to one direction."""
+    e = embedded(spark, d)
+    mean = e.agg(*[F.avg(F.get("v", i)).alias(f"m{i}") for i in range(DIM)]).first()  # one row
+    m, at = F.array(*[F.lit(float(x)) for x in mean]), e.withColumn("w", v.dot(F.col("v"), F.array(*[F.lit(float(x)) for x in mean])))
+    sets = {"as_given": e, "near_mean": e.withColumn("v", F.zip_with("v", m, lambda x, y: 1000 * y + x)), "one_direction": at.withColumn("v", F.transform(m, lambda y: y * (1 + 100 * F.col("w"))))}
+    rows = []
+    for name, x in sets.items():
+        g, total, n = v.gram(x, "v")
+        centre = total / n
+        ratio = float(np.sqrt(max(np.trace(g) / n - centre @ centre, 0)) / max(np.linalg.norm(centre), 1e-300))
+        fraction = v.effective_ranks(x, "v")["by_value"] / min(n - 1, DIM)
+        rows.append((name, round(ratio, 6), round(fraction, 6), collapse(ratio, fraction)))
+    return spark.createDataFrame(rows, "name string, variance_ratio double, rank_fraction double, signal string")
+
+
 #: <B1 A1, B2 A2> without the products: A is the first 32 components (4 x 8), B the last 32 (8 x 4).
 def inner_sql(x: str, y: str) -> str:
     return f"list_sum([list_sum([{x}[33 + i * 4 + t // 4] * {y}[33 + i * 4 + t % 4] FOR i IN range(8)]) * list_sum([{x}[1 + (t // 4) * 8 + j] * {y}[1 + (t % 4) * 8 + j] FOR j IN range(8)]) FOR t IN range(16)])"
@@ -402,3 +424,27 @@ def vec16b(spark: S, d: str) -> DataFrame:
     return g.join(sums, "env").join(most, "env").select(
         "env", F.round(F.abs(F.col("q") - F.col("mm")), 6).alias("norm_violation"), F.round(F.abs(F.col("dq") - F.col("dd")), 6).alias("contrast_violation"),
         (F.sqrt("mm") <= F.col("most") + 1e-9).alias("within_largest"), (F.col("q") >= -1e-9).alias("positive"))
+
+
+#: Sources of a conditioning vector by label: stored ones up to 3, one constant for 4 and 5, a hash beyond.
+KIND = "CASE WHEN vec_id % 5 = 0 THEN 'sample' WHEN label < 4 THEN 'stored' WHEN label < 6 THEN 'constant' ELSE 'hash' END"
+
+
+@register("ag20_whole_conditioning", sql(f"""SELECT vec_id, kind, round(list_sum(x), 6) AS total, round(sqrt(list_sum([y * y FOR y IN x])), 6) AS norm, round(x[64], 6) + 0.0 AS last FROM (SELECT vec_id, {KIND} AS kind,
+    CASE {KIND} WHEN 'sample' THEN v WHEN 'stored' THEN m WHEN 'constant' THEN [0.125::DOUBLE FOR i IN range(64)] ELSE [{draw_sql('cond', 'label', 'i')} / 4294967296.0 FOR i IN range(64)] END AS x FROM e LEFT JOIN (SELECT env, list(s ORDER BY i) AS m FROM (SELECT label AS env, i, avg(v[i]) AS s FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM e) GROUP BY ALL) GROUP BY 1) ON env = label)""", more=E))
+def ag20_whole(spark: S, d: str) -> DataFrame:
+    """Every vector's conditioning, all components: its own, else its label's stored mean, else a constant of length 1, else a hash of the label. A label that should be stored and isn't is an error."""
+    e = embedded(spark, d)
+    stored = v.mean_vector(e, ["label"], "v", DIM).withColumnRenamed("v", "m").where("label < 4")
+    return conditioned(e.withColumn("own", F.when(F.col("vec_id") % 5 == 0, F.col("v"))), stored, F.col("label") < 4, F.col("label") < 6).select(
+        "vec_id", "kind", F.round(F.aggregate("x", F.lit(0.0), lambda s, y: s + y), 6).alias("total"), F.round(v.norm(F.col("x")), 6).alias("norm"), (F.round(F.element_at("x", -1), 6) + 0.0).alias("last"))
+
+
+def conditioned(rows: DataFrame, stored: DataFrame, is_stored, is_constant) -> DataFrame:
+    """``rows`` (label, own) with ``kind`` and ``x``: the vector by precedence. ``stored`` (label, m) has a row a label that is stored; one that is missing there raises."""
+    j = rows.join(F.broadcast(stored), "label", "left")
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: draw("cond", F.col("label"), i) / 4294967296.0)
+    kind = F.when(F.col("own").isNotNull(), "sample").when(is_stored, "stored").when(is_constant, "constant").otherwise("hash")
+    told = F.raise_error(F.concat(F.lit("no stored vector for label "), F.col("label").cast("string"))).cast("array<double>")
+    x = F.when(F.col("kind") == "sample", F.col("own")).when(F.col("kind") == "stored", F.when(F.col("m").isNull(), told).otherwise(F.col("m"))).when(F.col("kind") == "constant", F.array_repeat(F.lit(DIM**-0.5), DIM)).otherwise(hashed)
+    return j.withColumn("kind", kind).withColumn("x", x)
