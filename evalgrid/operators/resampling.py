@@ -13,8 +13,9 @@ from evalgrid.functions.rng import draw
 
 
 def times(units: DataFrame, n: int, name: str = "perm") -> DataFrame:
-    """Every unit once for each of ``n`` draws."""
-    return units.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    """Every unit once for each of ``n`` draws. Units are few and may stand in one file, so they are dealt over the tasks first."""
+    spread = units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
 
 def sign_flips(diffs: DataFrame, unit: str, value: str, n: int, seed: str, by: list[str] | None = None) -> DataFrame:

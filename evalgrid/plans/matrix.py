@@ -459,13 +459,13 @@ def stat09(spark: S, d: str) -> DataFrame:
 
 POOLED = {
     "pooled": "SELECT row_number() OVER (ORDER BY g DESC, unit) - 1 AS i, g, x, count(*) FILTER (g) OVER () AS k FROM (SELECT true AS g, era * 1000 + seed * 231 + task_id AS unit, avg(reward) AS x FROM evals WHERE arm = 'L_wiki' GROUP BY ALL UNION ALL SELECT false, era * 1000 + seed * 231 + task_id, avg(reward) FROM evals WHERE arm = 'M_all' GROUP BY ALL)",
-    "dealt": f"SELECT perm, x, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql('unpaired', 'perm', 'i')}, i) <= k AS side FROM pooled, range(0::BIGINT, {N_PERM_PAIRS}::BIGINT) p(perm)",
+    "dealt": f"SELECT perm, x, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql('unpaired', 'perm', 'i')}, i) <= k AS side FROM pooled, range(0::BIGINT, 500::BIGINT) p(perm)",
     "observed_arms": "SELECT avg(x) FILTER (g) - avg(x) FILTER (NOT g) AS o, sqrt((var_samp(x) FILTER (g) + var_samp(x) FILTER (NOT g)) / 2) AS sd FROM pooled",
 }
 
 
-@register("stat09_unpaired_control", sql(f"SELECT observed, p, dz, {CONTROL} AS verdict FROM (SELECT round(any_value(o), 6) AS observed, (1 + count(*) FILTER (abs(t) >= abs(o) - 1e-12)) / {N_PERM_PAIRS + 1}.0::DOUBLE AS p, round(any_value(o / sd), 6) AS dz FROM (SELECT perm, avg(x) FILTER (side) - avg(x) FILTER (NOT side) AS t FROM dealt GROUP BY perm), observed_arms)", "evals", more=POOLED))
-def stat09b(spark: S, d: str, n: int = N_PERM_PAIRS) -> DataFrame:
+@register("stat09_unpaired_control", sql(f"SELECT observed, p, dz, {CONTROL} AS verdict FROM (SELECT round(any_value(o), 6) AS observed, (1 + count(*) FILTER (abs(t) >= abs(o) - 1e-12)) / 501.0::DOUBLE AS p, round(any_value(o / sd), 6) AS dz FROM (SELECT perm, avg(x) FILTER (side) - avg(x) FILTER (NOT side) AS t FROM dealt GROUP BY perm), observed_arms)", "evals", more=POOLED))
+def stat09b(spark: S, d: str, n: int = 500) -> DataFrame:
     """The unpaired control: labels of the arms are dealt anew. Its units are some thousands, so the draws number ``n``."""
     e = b.eval_records(spark, d).where(F.col("arm").isin("L_wiki", "M_all"))
     x = e.groupBy((F.col("arm") == "L_wiki").alias("g"), (F.col("era") * 1000 + F.col("seed") * 231 + F.col("task_id")).alias("unit")).agg(F.avg("reward").alias("x"))
@@ -526,7 +526,8 @@ CONTROLLED = sql(f"SELECT verdict, n_units FROM (SELECT n_units, observed, p, dz
 @register("stat13_control_gate", f"""SELECT 'random_control' AS check_name, CASE WHEN n_units < 2 OR verdict = 'inconclusive' THEN 'skipped' WHEN verdict = 'functional' THEN 'ok' ELSE 'failed' END AS status, verdict, coalesce(n_units < 2 OR verdict <> 'functional', true) AS blocking FROM ({CONTROLLED})""")
 def stat13_control(spark: S, d: str) -> DataFrame:
     """The gate's own look at the random control: it fails where the adapter does nothing or harms, and a control that decides nothing counts as skipped, which blocks as well."""
-    return control_gate(stat09(spark, d))
+    t = sign_flips(files.kept(pair_scores(spark, d).select("unit", "diff"), "pairs"), "unit", "diff", N_PERM, "control")
+    return control_gate(t.select("n_units", "observed", F.col("p_two").alias("p"), F.col("d_z").alias("dz")).withColumn("verdict", control_verdict()))
 
 
 def control_gate(control: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def scouted(spark: S, d: str) -> DataFrame:
     docs = b.table(spark, d, "documents").select("doc_id", "source", "text")
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), 0)
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    p = docs.withColumn("answer", F.try_element_at(words, F.least(F.lit(7), F.size(words)))).withColumn("lines", lines)
+    p = docs.withColumn("answer", F.get(words, F.least(F.lit(7), F.size(words)) - 1)).withColumn("lines", lines)
     hand = F.concat(F.lit('Send a message to the user: "'), F.coalesce("answer", F.lit("")), F.lit('".'))
     last = F.element_at(F.array(F.lit("Stop here"), F.concat(F.lit("Conclude that "), F.coalesce("answer", F.lit("it")), F.lit(" is right. "), hand), hand), (F.col("doc_id") % 3 + 1).cast("int"))
     steps = F.concat(F.transform("lines", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), F.array(F.concat((F.size("lines") + 1).cast("string"), F.lit(". "), last)))
