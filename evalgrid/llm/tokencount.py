@@ -11,6 +11,9 @@ normal form looks across them and that no special string spans one, or, for sent
 another character. Then what stands on one side can't change the tokens on the other. A vocabulary of which
 this can't be read is refused.
 
+Where the vocabulary drops blanks altogether, a chunk's tokens come from those of its stretches between ASCII white space, each of which
+the library encodes once (``stretches``); a stretch that the chunk's edge cuts stands outside the splice, as any token there.
+
 Everything happens in the task that reads the text. Nothing is shuffled.
 """
 
@@ -27,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.llm.common import modest_batches
+from evalgrid.llm.stretches import WORDS, Stretches, drops_blanks, split
 
 #: Characters of a chunk, and of the first overlap.
 CHUNK, OVERLAP = 1024, 64
 _BOUNDARY = re.compile(r"[!-~](?=[ \n\t\r])")
-#: Word patterns that never let a blank follow another character within a word.
-WORDS = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"])
+#: Stretches of text that a worker keeps with their counts.
+KEPT = 1_000_000
 
 
 class Encoded:
@@ -63,8 +67,22 @@ class Pieces:
         return i + 1 if i < self.n and self.ends[i] == end else None
 
 
-#: From a text to its tokens.
-Encode = Callable[[str], Encoded | Pieces]
+class Blanked:
+    """The tokens of a chunk whose blanks are dropped, as the counts of its stretches."""
+
+    def __init__(self, text: str, counts: list[int]) -> None:
+        self.text, self.counts, self.n = text, counts, sum(counts)
+
+    def before(self, at: int) -> int:
+        """Tokens before ``at``, the end of a stretch, where a token always ends; the shorter side is looked at."""
+        if 2 * at <= len(self.text):
+            return sum(self.counts[: len(self.text[:at].encode().split())])
+        return self.n - sum(self.counts[len(self.counts) - len(self.text[at:].encode().split()) :])
+
+
+#: A chunk's tokens, and from a text to them.
+Tokens = Encoded | Pieces | Blanked
+Encode = Callable[[str], Tokens]
 
 
 def proven(vocabulary: str) -> None:
@@ -96,7 +114,7 @@ def proven(vocabulary: str) -> None:
         raise ValueError(f"no stable boundary is proven for {vocabulary}")
 
 
-def common_boundary(text: str, left: Encoded | Pieces, start: int, stop: int, right: Encoded | Pieces, begin: int) -> tuple[int, int, int] | None:
+def common_boundary(text: str, left: Tokens, start: int, stop: int, right: Tokens, begin: int) -> tuple[int, int, int] | None:
     """A stable boundary in the overlap from ``begin`` to ``stop`` that both encodings have, and the tokens of each before it."""
     for m in _BOUNDARY.finditer(text, begin, stop):
         a, b = left.before(m.end() - start), right.before(m.end() - begin)
@@ -133,7 +151,7 @@ def spliced_count(encode: Encode, text: str, chunk: int = CHUNK, overlap: int =
 
 
 class Counter:
-    """Counts tokens with the library for a vocabulary file; made in each task."""
+    """Counts tokens with the library for a vocabulary file; made in each worker."""
 
     def __init__(self, vocabulary: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -149,7 +167,11 @@ class Counter:
             model = Tokenizer.from_file(vocabulary)
             model.no_truncation()
             model.no_padding()
-            self.encode = lambda texts: [Encoded(x) for x in model.encode_batch(texts, add_special_tokens=False)]
+            if drops_blanks(vocabulary):
+                known = Stretches(lambda texts: [len(x.ids) for x in model.encode_batch_fast(texts, add_special_tokens=False)], KEPT)
+                self.encode = lambda texts: list(map(Blanked, texts, known([split(t.encode()) for t in texts])))
+            else:
+                self.encode = lambda texts: [Encoded(x) for x in model.encode_batch(texts, add_special_tokens=False)]
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """The chunks of a text, each with its overlap into the next."""
@@ -175,6 +197,15 @@ class Counter:
         return total + chunks[-1].n - skip, len(spans), 0
 
 
+_counters: dict[tuple[str, int, int], Counter] = {}
+
+
+def _counter(*key: str | int) -> Counter:
+    if key not in _counters:
+        _counters[key] = Counter(*key)
+    return _counters[key]
+
+
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit, n_chunks, n_widened`` of every row of ``docs`` (columns doc_id, text).
 
@@ -187,7 +218,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, chunk: int
 
     @F.pandas_udf("n_tokens long, n_chunks int, n_widened int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counter = Counter(vocabulary, chunk, overlap)
+        counter = _counter(vocabulary, chunk, overlap)
         for batch in batches:
             texts = batch.tolist()
             rows = [row for low in range(0, len(texts), 128) for row in counter.count(texts[low : low + 128])]

@@ -408,6 +408,38 @@ def test_splices_hold_for_hostile_texts(name):
         assert [x[0] for x in got] == want and sum(x[2] for x in got) > 0
 
 
+def test_the_library_sees_each_stretch_once(vocabulary, monkeypatch):
+    seen = []
+
+    class Watched(tokencount.Stretches):
+        def __init__(self, library, kept):
+            super().__init__(lambda texts: seen.extend(texts) or library(texts), kept)
+
+    monkeypatch.setattr(tokencount, "Stretches", Watched)
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choices([f"word{chr(97 + i % 26)}{i}," for i in range(200)], k=600)) for _ in range(60)]
+    counter = tokencount.Counter(vocabulary)
+    got = [x for t in texts for x in counter.count([t])]
+    assert [x[0] for x in got] == library(vocabulary, texts) and min(x[1] for x in got) > 3
+    assert len(seen) == len(set(seen)) and sum(map(len, seen)) < sum(map(len, texts)) / 20
+
+
+def test_what_the_counter_forgets_changes_nothing(vocabulary, monkeypatch):
+    texts = [" ".join(f"word{(i * j) % 97}," for j in range(400)) + " " + "x" * 300 + f" {i}" for i in range(40)]
+    want = library(vocabulary, texts)
+    for kept in (8, 20, 1000):
+        monkeypatch.setattr(tokencount, "KEPT", kept)
+        counter = tokencount.Counter(vocabulary, 300, 40)
+        assert [counter.count([t])[0][0] for t in texts] == want and [x[0] for x in counter.count(texts)] == want
+
+
+def test_marks_that_one_case_alone_composes_with_are_counted(vocabulary):
+    # The library composes before it lowers letters, and T, W, Y, J, H have such forms in lower case alone.
+    texts = [f"{a}{letter}{marks}{b}" for letter in "THWYJItz" for marks in ("\u0308", "\u030a", "\u030c", "\u0331", "\u0307", "\u0344", "\u0323\u030c") for a, b in (("", ""), ("A b", "c D"))]
+    texts += ["A b " * 300 + x + " C d" * 300 for x in texts]
+    assert [x[0] for x in tokencount.Counter(vocabulary).count(texts)] == library(vocabulary, texts)
+
+
 def test_vocabularies_without_a_proof_are_refused(vocabulary, tmp_path):
     import json
     from pathlib import Path
