@@ -7,16 +7,13 @@ messages are equally long: sequence i begins at a place that is computed, and co
 second stream says where its documents begin. A task that is run again writes the same files again, under a name of its
 own until they are complete.
 
-Encoding takes each distinct stretch between ASCII white space once: where the vocabulary drops white space before it merges (read from
-its file), no token depends on what stands on the other side of it. A worker keeps up to ``KEPT`` such stretches with their ids, which
-changes no result. Texts go whole to the library for any other vocabulary.
+Encoding takes each distinct stretch between ASCII white space once (``stretches``); a worker keeps up to ``KEPT`` of them with their ids.
+Texts go whole to the library for a vocabulary that doesn't drop white space.
 """
 
 from __future__ import annotations
 
-import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,34 +26,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalgrid.llm.common import modest_batches, shared_dir, written
-from evalgrid.llm.tokencount import WORDS as WORD_PATTERNS
+from evalgrid.llm.stretches import Stretches, drops_blanks, split
 
 #: Ids of a sequence, sequences of a record batch, and ids from which a task begins its next file.
 SEQUENCE, BATCH, FILE = 2048, 64, 1 << 26
 #: Stretches of text that a worker keeps with their ids.
 KEPT = 2_000_000
-#: A stretch that ends in punctuation; an apostrophe may begin a token of its own and isn't split off.
-_TAIL = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 FILES = "part int, number int, path string, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def drops_blanks(vocabulary: str) -> bool:
-    """Whether the vocabulary file shows that white space is dropped before merging begins, and that no special string holds any."""
-    with open(vocabulary, encoding="utf-8") as f:
-        spec = json.load(f)
-    cuts, forms = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
-    first, *more = cuts.get("pretokenizers", [cuts])
-    words = first.get("type") == "Split" and first["pattern"].get("Regex") in WORD_PATTERNS and first["behavior"] == "Removed" and first["invert"]
-    bare = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x.get("use_regex", True) for x in more)
-    steps = forms["normalizers"] if forms["type"] == "Sequence" else [forms]
-    alike = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in steps)
-    lower = any(x["type"] == "Lowercase" for x in steps)
-    added = all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"])) and x["content"].startswith("<|") for x in spec["added_tokens"])
-    return words and bare and alike and lower and added and not spec["model"].get("dropout")
-
-
 class Encoder:
     """Ids of texts by the ``tokenizers`` library, as little-endian bytes of ``dtype``; made in each worker."""
 
@@ -69,42 +49,16 @@ class Encoder:
         self.model.no_padding()
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.by_stretch = drops_blanks(vocabulary)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.stretches = Stretches(self._library, KEPT)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, stretches: set[bytes]) -> None:
-        """Has the library encode the stretches that aren't known; what ends in punctuation comes from its two parts."""
-        parts = {w: m.groups() for w in stretches if b"<|" not in w and (m := _TAIL.fullmatch(w))}
-        new = [w for w in (stretches - parts.keys()) | {x for two in parts.values() for x in two} if w not in self.known]
-        self.known.update(zip(new, self._library([w.decode("utf-8", "replace") for w in new]), strict=True))
-        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in parts.items())
-
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
         if not self.by_stretch:
             return self._library([(t or b"").decode("utf-8", "replace") for t in texts])
-        # The library lowers letters too, but a special string counts only as it is written.
-        split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
-        found: list[bytes] = []
-        while len(found) < len(split):
-            held, part = set(), []
-            for words in split[len(found) :]:
-                if part and len(held) > KEPT // 4:
-                    break
-                held.update(words)
-                part.append(words)
-            # What is known makes room in two steps: what is used again in the meantime stays. All that these texts need is known together.
-            unknown = {w for w in held if w not in self.known}
-            if len(self.known) + len(unknown) > KEPT // 2:
-                self.known, self.older, unknown = {}, self.known, held
-            again = {w: self.older[w] for w in unknown if w in self.older}
-            self.known.update(again)
-            self._learn(unknown - again.keys())
-            found += [b"".join(map(self.known.__getitem__, words)) for words in part]
-        return found
+        return [b"".join(ids) for ids in self.stretches([split(t or b"") for t in texts])]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -52,6 +52,12 @@ def test_strange_texts_equal_library():
     assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder([t.encode() for t in texts])] == library(texts)
 
 
+def test_marks_that_one_case_alone_composes_with():
+    texts = [f"{a}{letter}{marks}{b}" for letter in "THWYJItz" for marks in ("\u0308", "\u030a", "\u030c", "\u0331", "\u0307", "\u0344", "\u0323\u030c") for a, b in (("", ""), ("A b", "c D"))]
+    encoder = tokenfile.Encoder(VOCABULARY)
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder([t.encode() for t in texts])] == library(texts)
+
+
 def test_another_vocabulary_goes_whole():
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     encoder = tokenfile.Encoder(vocabulary)
